@@ -7,8 +7,9 @@ with a value between i and i+1, in later rounds in bin i-128, so every coordinat
 and the first rounds decide nearly all. Bands of four coordinates bring documents together;
 two of similarity 0.8 share none of the 32 bands with a chance of 5e-8.
 
-Within a band the members are compared with one centre, then with a second one, and what
-then lies in different components pair by pair; every link is confirmed on the full sets.
+Within a band the members are compared with one centre, then with a second one. What then
+lies in different components is compared completely: pair by pair in small bands, blocks of
+queries against blocks of members in large ones. Every link is confirmed on the full sets.
 Components come from repeated hooking to the smallest neighbour and pointer jumping.
 
 Texts without words and null texts have an empty set and are linked with nothing. Rows that
@@ -31,6 +32,8 @@ PERCENT = 80
 #: Pairs whose 8-bit sketches agree in fewer coordinates are not verified: at a similarity
 #: of 0.8 fewer than 74 of 128 agree with a chance below 1e-8.
 LEAST_EQUAL = 74
+#: Bands of up to FEW members are compared pair by pair, larger ones in blocks.
+FEW, BLOCK, QUERIES = 64, 512, 2048
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -126,6 +129,62 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= PERCENT * union).select("a", "b").distinct()
 
 
+def _links(key, members: pa.Table, queries: pa.Table) -> pa.Table:
+    """Links of a block of queries to a block of members, one per pair of components at least.
+
+    Intersections are counted by products of 0/1 matrices over the shingles both sides have.
+    """
+    sides = []
+    for side in (members, queries):
+        shingles = side.column("shingles").combine_chunks()
+        sides.append((side.column("id").to_numpy(), side.column("comp").to_numpy(), np.diff(shingles.offsets.to_numpy()), shingles.flatten().to_numpy()))
+    (ids_m, comp_m, n_m, flat_m), (ids_q, comp_q, n_q, flat_q) = sides
+    column = np.intersect1d(flat_m, flat_q)
+    both = np.zeros((len(ids_q), len(ids_m)), np.float32)
+    at_m, at_q = np.searchsorted(column, flat_m), np.searchsorted(column, flat_q)
+    row_m, row_q = np.repeat(np.arange(len(ids_m)), n_m), np.repeat(np.arange(len(ids_q)), n_q)
+    if len(column):
+        for at, row, flat in ((at_m, row_m, flat_m), (at_q, row_q, flat_q)):
+            at[column[np.minimum(at, len(column) - 1)] != flat] = -1
+            at[at >= len(column)] = -1
+    for a in range(0, len(column), 2048):
+        part = []
+        for at, row, n in ((at_m, row_m, len(ids_m)), (at_q, row_q, len(ids_q))):
+            here = (at >= a) & (at < a + 2048)
+            dense = np.zeros((n, 2048), np.float32)
+            dense[row[here], at[here] - a] = 1
+            part.append(dense)
+        both += part[1] @ part[0].T
+    union = n_q[:, None] + n_m[None, :] - both
+    q, m = np.nonzero((100 * both >= PERCENT * union) & (comp_q[:, None] != comp_m[None, :]))
+    pair = np.stack([np.minimum(comp_q[q], comp_m[m]), np.maximum(comp_q[q], comp_m[m])])
+    _, first = np.unique(pair, axis=1, return_index=True)
+    a, b = ids_q[q[first]], ids_m[m[first]]
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def _in_blocks(scratch: common.Scratch, left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components inside large bands, without making their pairs.
+
+    A band's family is its largest component. Whoever shares such a band without belonging
+    to the family is a query; queries meet all members of the family, and one another, block
+    by block. Both sides of a block are bounded, however large the band.
+    """
+    sizes = left.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("family"))
+    belongs = scratch.save(left.join(sizes, "band").select("family", "id", "comp").distinct(), "families")
+    many = belongs.groupBy("family").agg(
+        F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count_if(F.col("comp") != F.col("family")) / QUERIES).alias("turns")
+    )
+    dealt = belongs.join(many, "family").join(sets, "id")
+    last = lambda c: F.sequence(F.lit(0), F.col(c).cast("int") - 1)
+    part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    columns = ["family", "block", "turn", "id", "comp", "shingles"]
+    members = dealt.withColumn("block", part("blocks")).withColumn("turn", F.explode(last("turns"))).select(*columns)
+    queries = dealt.filter("comp != family").withColumn("turn", part("turns")).withColumn("block", F.explode(last("blocks"))).select(*[F.col(c).alias(f"{c}_q") for c in columns]).toDF(*columns)
+    cell = ["family", "block", "turn"]
+    return members.groupBy(*cell).cogroup(queries.groupBy(*cell)).applyInArrow(_links, "a long, b long")
+
+
 class Components:
     """``table`` (id, comp): the smallest id reachable over the links added so far."""
 
@@ -193,17 +252,19 @@ def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
         pairs = here.join(centre, "band").filter("comp != c.comp")
         return pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"), F.col("n").alias("n_a"), F.col("c.n").alias("n_b"), F.col("small").alias("small_a"), F.col("c.small").alias("small_b"))
 
-    for turn, order in enumerate((F.col("id"), F.xxhash64("id"), F.xxhash64("id", F.lit(1)))):
+    for turn, order in enumerate((F.col("id"), F.xxhash64("id"))):
         close = scratch.save(_close(to_centre(order)), f"close{turn}")
         found.add(verified(close, sets))
-    # what is left: members of one band in different components, every pair
+    # what is left: members of one band in different components
     here = buckets.join(found.table, "id")
-    mixed = here.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("band")
-    left = scratch.save(here.join(mixed, "band"), "left")
-    other = left.select("band", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "small", "comp")])
-    rest = left.join(other, "band").filter((F.col("id") < F.col("id_b")) & (F.col("comp") != F.col("comp_b")))
+    mixed = here.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).filter("low != high")
+    left = scratch.save(here.join(mixed.select("band", "members"), "band"), "left")
+    few = left.filter(F.col("members") <= FEW)
+    other = few.select("band", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "small", "comp")])
+    rest = few.join(other, "band").filter((F.col("id") < F.col("id_b")) & (F.col("comp") != F.col("comp_b")))
     rest = rest.select(F.col("id").alias("a"), F.col("id_b").alias("b"), F.col("n").alias("n_a"), "n_b", F.col("small").alias("small_a"), F.col("small_b"))
-    found.add(verified(scratch.save(_close(rest), "close"), sets))
+    close = scratch.save(_close(rest), "close")
+    found.add(verified(close, sets).union(_in_blocks(scratch, left.filter(F.col("members") > FEW), sets)))
 
     placed = distinct.select(*keyed, "id").join(found.table, "id", "left").select(*keyed, F.coalesce("comp", "id").alias("comp"))
     labelled = light.select("doc_id", *keyed).join(placed, keyed, "left")
