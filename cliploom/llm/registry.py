@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, languages, media, mixing, near_copies, packing, token_files
+from . import fingerprints, languages, media, mixing, near_copies, packing, personal, token_files
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_pack": packing.op6_pack,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_media": media.op8_media,
+        "op9_personal": personal.op9_personal,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 
