@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, languages, media, mixing, near_copies, packing, personal, token_files
+from . import fingerprints, languages, media, mixing, near_copies, packing, personal, substrings, token_files
 
 
 def queries() -> dict:
     return {
         "op1_near_copies": near_copies.op1_near_copies,
+        "op2_substrings": substrings.op2_substrings,
         "op3_token_files": token_files.op3_token_files,
         "op4_language": languages.op4_language,
         "op6_pack": packing.op6_pack,
