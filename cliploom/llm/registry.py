@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, languages, media, mixing, near_copies, packing, personal, substrings, token_files
+from . import fingerprints, languages, licenses, media, mixing, near_copies, packing, personal, substrings, token_files
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_substrings": substrings.op2_substrings,
         "op3_token_files": token_files.op3_token_files,
         "op4_language": languages.op4_language,
+        "op5_licenses": licenses.op5_licenses,
         "op6_pack": packing.op6_pack,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_media": media.op8_media,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op10_mix_sources": mixing.OP10_SQL}
+    return {"op5_licenses": licenses.OP5_SQL, "op10_mix_sources": mixing.OP10_SQL}

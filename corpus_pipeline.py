@@ -1,8 +1,66 @@
-"""The corpus pipeline; its stages follow as their operators do."""
+"""The corpus pipeline: language, near copies, personal data, mixture, packing.
 
-STAGES = []
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it is written as
+Parquet and read again as the next stage's ``docs``. All stages but the last return the
+columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cliploom.llm import common, languages, mixing, near_copies, packing, personal
+
+#: Documents whose language is less certain than this are rejected.
+LEAST_SCORE = 0.5
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: no letters, or a guess below ``LEAST_SCORE``."""
+    model = languages.train(spark, docs)
+    found = languages.predict(spark, docs, model)
+    return found.filter((F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return near_copies.keep_first(spark, docs)
+
+
+def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by the name of its kind; ``n_chars`` follows the new text."""
+    return personal.redact(spark, docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture of sources asks for."""
+    return mixing.mix(spark, docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    _, placed = packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language", keep_languages),
+    ("near copies", drop_near_copies),
+    ("personal data", redact_personal),
+    ("mixture", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Sketches, tokenizers and the language model have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("the pipeline's operators are being built")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = common.Scratch(spark, "pipeline")
+    docs = common.documents(spark, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"stage{i}")
+    return docs
