@@ -64,14 +64,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, limit: float
     owned = F.filter(F.transform(short, pairs_of), lambda p: F.size(p) <= max(sizes) / narrow)
 
     def best(p: Column) -> Column:
-        found = None
+        reached = []
         for name, shape in shapes:
             n = len(shape)
             dice = 2.0 * F.size(F.array_intersect(p, F.array(*map(F.lit, shape)))) / (F.size(p) + n)
             fits = F.size(p).between(narrow * n, n / narrow)
-            one = F.when(fits & (dice >= limit), F.struct((-dice).alias("d"), F.lit(name).alias("name")))
-            found = one if found is None else F.coalesce(F.least(found, one), found, one)
-        return found
+            reached.append(F.when(fits & (dice >= limit), F.struct((-dice).alias("d"), F.lit(name).alias("name"))))
+        return F.array_min(F.array(*reached))
 
     hits = F.filter(F.transform(owned, best), lambda b: b.isNotNull())
     found = docs.withColumn("_hits", hits).withColumn("_best", F.array_min("_hits"))
