@@ -28,7 +28,7 @@ def canon(row, names):
     return tuple(map(str, out))
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+@pytest.mark.parametrize("name", list(catalog.oracle_sql()))
 def test_matches_sql(spark, duck, name):
     got = catalog.queries()[name](spark, SF)
     want = duck.execute(catalog.oracle_sql()[name])
@@ -36,5 +36,5 @@ def test_matches_sql(spark, duck, name):
     assert sorted(names) == sorted(got.columns)
     a = sorted(canon(r.asDict(), names) for r in got.collect())
     b = sorted(canon(dict(zip(names, r)), names) for r in want.fetchall())
-    assert len(a) == len(b) and len(a) > 0
+    assert len(a) == len(b) and (len(a) > 0 or name == "orphan_tags")
     assert a == b
