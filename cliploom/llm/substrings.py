@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "fp long, doc_id long, n int")
 
 
-def _merged(rows: DataFrame) -> DataFrame:
+def _merged(rows: DataFrame, keep_run: bool) -> DataFrame:
     """Merges sorted fingerprints: documents to examine (``state`` NEW or OLDER) and the rows of a new run (KNOWN).
 
     What a row means depends on whether it opens its group and on the next row only.
@@ -134,6 +134,8 @@ def _merged(rows: DataFrame) -> DataFrame:
             last = (fp[size - 1], state[size - 1]) if size else last
             keep = np.flatnonzero((examine | older)[:size])
             yield pa.RecordBatch.from_arrays([pa.array(fp[keep]), pa.array(doc[keep]), pa.array(n[keep]), pa.array(np.where(new[keep], NEW, OLDER).astype(np.int32))], ["fp", "doc_id", "n", "state"])
+            if not keep_run:
+                continue
             keep = np.flatnonzero(first_new[:size])
             many = np.where(next_new[keep] | (n[keep] > 1), 2, 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(fp[keep]), pa.array(doc[keep]), pa.array(many), pa.array(np.full(len(keep), KNOWN, np.int32))], ["fp", "doc_id", "n", "state"])
@@ -224,6 +226,7 @@ class SubstringIndex:
         self.scratch = common.Scratch(spark, "substrings")
         self.prints: list[DataFrame] = []
         self.windows: list[DataFrame] = []
+        self.names: list[str] = []
         self.step = 0
 
     def add(self, docs: DataFrame, history: DataFrame | None = None, keep: bool = True) -> DataFrame:
@@ -237,7 +240,7 @@ class SubstringIndex:
         rows = fingerprints(docs).withColumn("state", F.lit(NEW))
         for run in self.prints:
             rows = rows.union(run.select("fp", "doc_id", "n", F.lit(KNOWN).alias("state")))
-        merged = self.scratch.save(_merged(rows), f"{name}-prints")
+        merged = self.scratch.save(_merged(rows, keep), f"{name}-prints")
         wanted = merged.filter(F.col("state") != KNOWN).groupBy("state", "doc_id").agg(F.collect_list("fp").alias("fps"))
         wanted = self.scratch.save(wanted, f"{name}-wanted")
         texts = docs.select("doc_id", "text").join(wanted.filter(F.col("state") == NEW).drop("state"), "doc_id", "left")
@@ -248,13 +251,23 @@ class SubstringIndex:
         for run in self.windows:
             found = found.union(run.select("wh", "doc_id", "place", F.lit(KNOWN).alias("state")))
         repeats = self.scratch.save(_repeats(found, keep), f"{name}-windows")
-        if keep:
+        self.scratch.drop(f"{name}-wanted")
+        if not keep:
+            self.scratch.drop(f"{name}-prints")
+        else:
+            self.names.append(f"{name}-prints")
             self.prints.append(merged.filter(F.col("state") == KNOWN).select("fp", "doc_id", "n"))
             self.windows.append(repeats.filter("wh IS NOT NULL").select("wh", "doc_id", "place"))
             if len(self.prints) > MOST_RUNS:
                 self.compact()
         return repeats.filter("places IS NOT NULL").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
 
+    def close(self) -> None:
+        """Deletes the fingerprint runs; what ``add`` returned stays readable."""
+        for name in self.names:
+            self.scratch.drop(name)
+        self.prints, self.names = [], []
+
     def compact(self) -> None:
         """Merges all runs into one of each kind, sorted; a fingerprint keeps its first document and its sum."""
         self.step += 1
@@ -265,6 +278,7 @@ class SubstringIndex:
             windows = windows.union(run)
         one = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"))
         first = windows.groupBy("wh").agg(F.min(F.struct("doc_id", "place")).alias("m")).select("wh", "m.doc_id", "m.place")
+        self.names.append(f"run{self.step}-prints")
         self.prints = [self.scratch.save(one.sortWithinPartitions("fp"), f"run{self.step}-prints")]
         self.windows = [self.scratch.save(first.sortWithinPartitions("wh"), f"run{self.step}-windows")]
 
@@ -315,6 +329,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, batches: int = 2) -> Data
         own = docs.filter((at > cuts[i - 1]) if i else F.lit(True)).filter((at <= cuts[i]) if i < len(cuts) else F.lit(True))
         found = index.add(own, docs.filter(at <= cuts[i - 1]) if i else None, keep=i < len(cuts))
         places = found if places is None else places.union(found)
+    index.close()
     return without(docs, places)
 
 
