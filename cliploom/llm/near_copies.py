@@ -34,6 +34,8 @@ PERCENT = 80
 LEAST_EQUAL = 74
 #: Bands of up to FEW members are compared pair by pair, larger ones in blocks.
 FEW, BLOCK, QUERIES = 64, 512, 2048
+#: Up to this number of ids go to every executor instead of all texts being shuffled.
+MOST_BROADCAST = 1_000_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -243,7 +245,10 @@ def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     ids = buckets.select("id").distinct()
     found = Components(scratch, ids)
-    sets = scratch.save(full_sets(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")), "sets")
+    wanted = scratch.save(ids.withColumnRenamed("id", "doc_id"), "wanted")
+    if wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
+    sets = scratch.save(full_sets(docs.join(wanted, "doc_id", "left_semi")), "sets")
 
     def to_centre(order) -> DataFrame:
         """Members of a band against its first one in ``order``, where components differ."""
