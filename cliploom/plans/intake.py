@@ -177,7 +177,7 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "region_tracks": (_tracks, None),
     "track_stats": (lambda s, d: segments.track_stats(_tracks(s, d), 4), None),
     "plan_masks": (lambda s, d: segments.masks(segments.stable(segments.track_stats(_tracks(s, d), 4))), None),
-    "orphan_tags": (lambda s, d: _tag_counts(table(s, d, "clips")).select("tag").distinct().join(_tag_counts(table(s, d, "clips").filter("favorite")).select("tag").distinct(), "tag", "left_anti"), f"SELECT DISTINCT tag FROM {_TAGS} WHERE tag NOT IN (SELECT tag FROM {_TAGS} t JOIN clips USING (clip_id) WHERE favorite)"),
+    "orphan_tags": (_on("clips")(lambda c: c.select(F.col("description").alias("tag")).distinct().join(c.filter("favorite").select(F.col("description").alias("tag")), "tag", "left_anti")), "SELECT DISTINCT description AS tag FROM clips WHERE description NOT IN (SELECT description FROM clips WHERE favorite)"),
     "library_overview": (_on("clips")(lambda c: c.agg(F.count("*").alias("clips"), F.countDistinct("source_id").alias("sources"), F.countDistinct("category").alias("categories"), F.bround(F.sum("duration"), 1).alias("seconds"))), "SELECT count(*) AS clips, count(DISTINCT source_id) AS sources, count(DISTINCT category) AS categories, round_even(sum(duration), 1) AS seconds FROM clips"),
     "stage_target_gate": (_on("clips")(lambda c: library.clip_filter(c, among={"stage": ["drying", "inside_dryer"]}).select("clip_id", "stage")), "SELECT clip_id, stage FROM clips WHERE stage IN ('drying', 'inside_dryer')"),
 }
