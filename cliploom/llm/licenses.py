@@ -1,10 +1,11 @@
 """Licence scan: normalised text compared to notice templates by the Dice coefficient of word bigrams.
 
-A text's units are its lines and its sentences. A unit is normalised to lower-case letters
-and digits between single blanks; its bigrams are the distinct pairs of neighbouring words.
+A text's units are its lines and its sentences. A unit is normalised to ASCII letters, in
+lower case, and digits between single blanks; its bigrams are the distinct pairs of neighbouring words.
 Dice = 2 * common / (own + template's). A unit with n bigrams can only reach the limit t
-with templates of t/(2-t) * n to (2-t)/t * n bigrams, so most units are dropped by their size
-alone, and a unit meets few templates. Everything happens within the row.
+with templates of t/(2-t) * n to (2-t)/t * n bigrams, so a unit meets few templates. Lines
+that share no bigram with any template are passed over by hashes of all pairs of words.
+Everything happens within the row.
 
 Null and empty texts have no unit: ``license`` is null, ``dice`` 0. Ties go to the first
 template name. Rows may repeat; extra columns are ignored.
@@ -14,8 +15,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
@@ -39,51 +41,76 @@ TEMPLATES = {
 }
 
 
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
 def bigrams(text: str) -> list[str]:
-    words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    words = re.sub(rb"[^a-z0-9]+", b" ", text.encode().lower()).decode().split()
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def units(line: str) -> set[str]:
+    return {line, *re.sub("([.!?]) +", r"\1\n", line).split("\n")}
+
+
+def best_template(own: set[str], shapes: list[tuple[str, set[str]]], limit: float) -> tuple[float, str] | None:
+    """The smallest (-dice, name) that reaches the limit; only templates of fitting size are compared."""
+    narrow, found = limit / (2 - limit), None
+    for name, shape in shapes:
+        if narrow * len(shape) <= len(own) <= len(shape) / narrow:
+            dice = 2.0 * len(own & shape) / (len(own) + len(shape))
+            if dice >= limit and (found is None or (-dice, name) < found):
+                found = (-dice, name)
+    return found
+
+
+def _pair_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of neighbouring words of a line, the row and the first byte of each pair."""
+    data, offsets = common.utf8(column)
+    plain = np.where(_PLAIN[data], common._LOWER[data], 0x20).astype(np.uint8)
+    words = common.Words(pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(plain.tobytes())]))
+    line = np.cumsum(data == 0x0A)[words.start]
+    same = (words.row[1:] == words.row[:-1]) & (line[1:] == line[:-1])
+    value = common.mix(words.hash[:-1] * common._BASE + words.hash[1:])
+    return value[same], words.row[:-1][same], words.start[:-1][same]
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, limit: float = LIMIT) -> DataFrame:
-    """Adds ``license, dice, n_units``: the best template, its coefficient, the units that reach the limit."""
-    shapes = sorted((name, bigrams(text)) for name, text in (templates or TEMPLATES).items())
-    shapes = [(name, pairs) for name, pairs in shapes if pairs]
-    sizes = [len(pairs) for _, pairs in shapes]
-    narrow = limit / (2 - limit)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n")
-    sentences = F.split(F.regexp_replace(text, "([.!?]) +", "$1\n"), "\n")
-    plain = F.transform(F.array_distinct(F.concat(lines, sentences)), lambda u: F.trim(F.regexp_replace(F.lower(u), "[^a-z0-9]+", " ")))
-    # a unit of n words has at most n-1 bigrams; distinct ones are counted only if that allows a match
-    short = F.filter(plain, lambda u: F.size(F.split(u, " ")) > min(sizes) * narrow)
-
-    def pairs_of(u: Column) -> Column:
-        words = F.split(u, " ")
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i))))
-
-    owned = F.filter(F.transform(short, pairs_of), lambda p: F.size(p) <= max(sizes) / narrow)
-
-    def best(p: Column) -> Column:
-        reached = []
-        for name, shape in shapes:
-            n = len(shape)
-            dice = 2.0 * F.size(F.array_intersect(p, F.array(*map(F.lit, shape)))) / (F.size(p) + n)
-            fits = F.size(p).between(narrow * n, n / narrow)
-            reached.append(F.when(fits & (dice >= limit), F.struct((-dice).alias("d"), F.lit(name).alias("name"))))
-        return F.array_min(F.array(*reached))
-
-    hits = F.filter(F.transform(owned, best), lambda b: b.isNotNull())
-    found = docs.withColumn("_hits", hits).withColumn("_best", F.array_min("_hits"))
-    return (
-        found.withColumn("license", F.col("_best.name"))
-        .withColumn("dice", F.coalesce(-F.col("_best.d"), F.lit(0.0)))
-        .withColumn("n_units", F.size("_hits").cast("long"))
-        .drop("_hits", "_best")
-    )
+    """``doc_id, license, dice, n_units``: the best template, its coefficient, the units that reach the limit.
+
+    A unit without a bigram of any template has coefficient 0, so only lines that hold one are looked at.
+    """
+    shapes = sorted((name, set(bigrams(text))) for name, text in (templates or TEMPLATES).items())
+    shapes = [(name, shape) for name, shape in shapes if shape]
+
+    def run(batches):
+        wanted = np.unique(_pair_hashes(pa.array(sorted(set().union(*[shape for _, shape in shapes]))))[0])
+        for batch in batches:
+            for part in common.pieces(batch, "text"):
+                value, row, start = _pair_hashes(part.column("text"))
+                hit = np.isin(value, wanted)
+                data, offsets = common.utf8(part.column("text"))
+                raw, ends = data.tobytes(), offsets.tolist()
+                lines: dict[int, set[tuple[int, int]]] = {}
+                for r, at in zip(row[hit].tolist(), start[hit].tolist(), strict=True):
+                    a = raw.rfind(b"\n", ends[r], at) + 1
+                    b = raw.find(b"\n", at, ends[r + 1])
+                    lines.setdefault(r, set()).add((a or ends[r], ends[r + 1] if b < 0 else b))
+                names, dices, counts = [None] * part.num_rows, np.zeros(part.num_rows), np.zeros(part.num_rows, np.int64)
+                for r, places in lines.items():
+                    own = set().union(*[units(raw[a:b].decode()) for a, b in places])
+                    found = [x for u in own if (x := best_template(set(bigrams(u)), shapes, limit))]
+                    if found:
+                        best = min(found)
+                        names[r], dices[r], counts[r] = best[1], -best[0], len(found)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(names, pa.string()), pa.array(dices), pa.array(counts)], ["doc_id", "license", "dice", "n_units"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, license string, dice double, n_units long")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(common.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "license", "dice", "n_units")
+    return scan(common.documents(spark, sf_dir))
 
 
 _ROWS = ",\n".join(f"('{name}', {len(bigrams(text))}, {bigrams(text)!r})" for name, text in sorted(TEMPLATES.items()))
@@ -92,8 +119,8 @@ WITH templates(name, n, pairs) AS (VALUES {_ROWS}),
 units AS (
   SELECT doc_id, unnest(list_distinct(list_concat(string_split(COALESCE(text, ''), chr(10)),
          string_split(regexp_replace(COALESCE(text, ''), '([.!?]) +', '\\1' || chr(10), 'g'), chr(10))))) AS unit FROM documents),
-words AS (SELECT doc_id, unit, string_split(trim(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
-owned AS (SELECT doc_id, unit, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS p FROM words WHERE len(w) BETWEEN 2 AND 400),
+words AS (SELECT doc_id, unit, string_split(trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
+owned AS (SELECT doc_id, unit, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS p FROM words WHERE len(w) >= 2),
 scored AS (
   SELECT doc_id, unit, name, 2.0::DOUBLE * len(list_intersect(p, pairs)) / (len(p) + n) AS dice FROM owned, templates
   WHERE len(p) BETWEEN n * {LIMIT / (2 - LIMIT)} AND n / {LIMIT / (2 - LIMIT)}),
