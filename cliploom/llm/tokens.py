@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Words kept per worker; beyond it the memory starts afresh.
-MEMORY = 1_000_000
+MEMORY = 500_000
 _NONE, _BLANK, _LINE = 0, 1, 2
 #: The byte level shows the printable bytes as themselves, the others as characters from 256 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -39,7 +40,7 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.keep_space = self.tokenizer.normalizer is None
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -53,18 +54,23 @@ class WordTokenizer:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _part(self, text: str) -> list[int]:
+    def _part(self, text: str) -> bytes:
+        """Ids of a piece of text as 32-bit numbers."""
         ids = self.parts.get(text)
         if ids is None:
             if text.lstrip(" ").isalpha() and (self.keep_space or text.islower() and unicodedata.is_normalized("NFC", text)):
                 # one pre-token that the normaliser leaves alone, in the spelling of the byte level
-                ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_SPELLED))]
+                if not text.isascii():
+                    spelled = text.encode().decode("latin-1").translate(_SPELLED)
+                else:
+                    spelled = text.replace(" ", "\u0120")
+                found = [t.id for t in self.model.tokenize(spelled)]
             else:
-                ids = self.whole(text)
-            self.parts[text] = ids
+                found = self.whole(text)
+            ids = self.parts[text] = array("I", found).tobytes()
         return ids
 
-    def _word(self, raw: bytes, before: int) -> list[int]:
+    def _word(self, raw: bytes, before: int) -> bytes:
         text = raw.decode()
         if not self.keep_space:
             text = raw.lower().decode()
@@ -76,16 +82,16 @@ class WordTokenizer:
     def _learn(self, keys: list[int], words: list[bytes], before: list[int]) -> None:
         ids = [self._word(w, b) for w, b in zip(words, before, strict=True)]
         n, at = len(self.known), self.used
-        need = at + sum(map(len, ids))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        need = at + int(sizes.sum())
         while need > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while n + len(ids) > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.size[n : n + len(ids)] = sizes
         self.begin[n : n + len(ids)] = at + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.pool[at:need] = [i for x in ids for i in x]
+        self.pool[at:need] = np.frombuffer(b"".join(ids), np.uint32)
         self.used = need
         self.known.update(zip(keys, range(n, n + len(ids)), strict=True))
 
