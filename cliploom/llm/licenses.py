@@ -1,18 +1,27 @@
 """Licence scan: normalised text compared to notice templates by the Dice coefficient of word bigrams.
 
-A text's units are its lines and its sentences. A unit is normalised to ASCII letters, in
-lower case, and digits between single blanks; its bigrams are the distinct pairs of neighbouring words.
-Dice = 2 * common / (own + template's). A unit with n bigrams can only reach the limit t
-with templates of t/(2-t) * n to (2-t)/t * n bigrams, so a unit meets few templates. Lines
-that share no bigram with any template are passed over by hashes of all pairs of words.
+A text's units are its lines, its sentences, and runs of neighbouring sentences, which go on
+over ends of lines: a wrapped notice or a licence text of many lines is one unit. A unit is
+normalised to ASCII letters, in lower case, and digits between single blanks; its bigrams are
+the distinct pairs of neighbouring words. Dice = 2 * common / (own + template's).
+
+A unit with n bigrams can only reach the limit t with templates of t/(2-t) * n to (2-t)/t * n
+bigrams, and only if it shares t/(2-t) of the template's. So all but that share of a template's
+bigrams, and one more, are its anchors: a unit without one of them is passed over by hashes of
+all pairs of words. A run has up to (2-t)/t times the template's pairs, repeated ones counted.
 Everything happens within the row.
 
+``n_units`` counts the distinct lines and sentences that reach the limit and the best runs
+that share no sentence with one another and touch no line with such a unit. Long licences
+(GPL, Apache, MPL, Creative Commons) are known by the opening passage of their text.
+
 Null and empty texts have no unit: ``license`` is null, ``dice`` 0. Ties go to the first
 template name. Rows may repeat; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -20,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
+from .license_texts import WORDINGS
 
 LIMIT = 0.8
-#: Notices, fixed values.
+#: Notices of one line, fixed values; longer ones and other wordings are in ``license_texts``.
 TEMPLATES = {
     "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -65,45 +75,122 @@ def best_template(own: set[str], shapes: list[tuple[str, set[str]]], limit: floa
     return found
 
 
-def _pair_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of neighbouring words of a line, the row and the first byte of each pair."""
+def _pair_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of neighbouring words of a text, the row and the first bytes of both words of each pair."""
     data, offsets = common.utf8(column)
     plain = np.where(_PLAIN[data], common._LOWER[data], 0x20).astype(np.uint8)
     words = common.Words(pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(plain.tobytes())]))
-    line = np.cumsum(data == 0x0A)[words.start]
-    same = (words.row[1:] == words.row[:-1]) & (line[1:] == line[:-1])
+    same = words.row[1:] == words.row[:-1]
     value = common.mix(words.hash[:-1] * common._BASE + words.hash[1:])
-    return value[same], words.row[:-1][same], words.start[:-1][same]
+    return value[same], words.row[:-1][same], words.start[:-1][same], words.start[1:][same]
+
+
+class Shape:
+    """A template as hashes: its bigrams, anchors, how many a unit must share and how many pairs a run may have."""
+
+    def __init__(self, name: str, text: str, limit: float):
+        narrow = limit / (2 - limit)
+        pairs = sorted(set(bigrams(text)), key=lambda p: (-len(p), p))
+        self.name, self.n = name, len(pairs)
+        self.need = math.ceil(narrow * self.n - 1e-9)
+        value = _pair_hashes(pa.array(pairs))[0]
+        self.all, self.anchors = np.sort(value), value[: self.n - self.need + 1]
+        self.span = math.ceil(len(_pair_hashes(pa.array([text]))[0]) / narrow)
+
+
+def runs(value: np.ndarray, first: np.ndarray, last: np.ndarray, shape: Shape, limit: float) -> list[tuple[float, str, int, int]]:
+    """``-dice, name, i, j`` of runs of sentences i to j that reach the limit, the best one of each start.
+
+    ``first`` and ``last`` are the sentences of both words of the pairs of a text. A best run
+    starts with a sentence that holds a bigram of the template.
+    """
+    hits = np.flatnonzero(np.isin(value, shape.all))
+    if len(hits) < shape.need:
+        return []
+    dense = hits[shape.need - 1 :] - hits[: len(hits) - shape.need + 1] < shape.span
+    found, known = [], set(shape.all.tolist())
+    if not dense.any():
+        return []
+    for i in np.unique(first[hits]).tolist():
+        k0 = int(np.searchsorted(first, i))
+        k1 = min(k0 + shape.span, len(value))
+        if np.searchsorted(hits, k1) - np.searchsorted(hits, k0) < shape.need:
+            continue
+        own, both, to, best = set(), 0, i, None
+
+        def close():
+            if to > i and own and (dice := 2.0 * both / (len(own) + shape.n)) >= limit and (best is None or -dice < best[0]):
+                return (-dice, shape.name, i, to)
+            return best
+
+        for v, j in zip(value[k0:k1].tolist(), last[k0:k1].tolist(), strict=True):
+            if j > to:
+                best = close()
+                to = j
+            if v not in own:
+                own.add(v)
+                both += v in known
+        if k1 == len(value) or last[k1] > to:
+            best = close()
+        if best:
+            found.append(best)
+    return found
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, limit: float = LIMIT) -> DataFrame:
     """``doc_id, license, dice, n_units``: the best template, its coefficient, the units that reach the limit.
 
-    A unit without a bigram of any template has coefficient 0, so only lines that hold one are looked at.
+    Only texts that hold an anchor of a template are looked at.
     """
-    shapes = sorted((name, set(bigrams(text))) for name, text in (templates or TEMPLATES).items())
-    shapes = [(name, shape) for name, shape in shapes if shape]
+    texts = sorted((templates or TEMPLATES).items()) + ([] if templates else sorted(WORDINGS))
+    texts = [(name, text) for name, text in texts if bigrams(text)]
 
     def run(batches):
-        wanted = np.unique(_pair_hashes(pa.array(sorted(set().union(*[shape for _, shape in shapes]))))[0])
+        shapes = [(name, set(bigrams(text))) for name, text in texts]
+        hashed = [Shape(name, text, limit) for name, text in texts]
+        wanted = np.unique(np.concatenate([s.anchors for s in hashed])) if hashed else np.zeros(0, np.uint64)
+        holders: dict[int, list[int]] = {}
+        for t, s in enumerate(hashed):
+            for v in s.anchors.tolist():
+                holders.setdefault(v, []).append(t)
         for batch in batches:
             for part in common.pieces(batch, "text"):
-                value, row, start = _pair_hashes(part.column("text"))
+                value, row, start, second = _pair_hashes(part.column("text"))
                 hit = np.isin(value, wanted)
                 data, offsets = common.utf8(part.column("text"))
                 raw, ends = data.tobytes(), offsets.tolist()
                 lines: dict[int, set[tuple[int, int]]] = {}
-                for r, at in zip(row[hit].tolist(), start[hit].tolist(), strict=True):
+                held: dict[int, set[int]] = {}
+                for r, at, v in zip(row[hit].tolist(), start[hit].tolist(), value[hit].tolist(), strict=True):
                     a = raw.rfind(b"\n", ends[r], at) + 1
                     b = raw.find(b"\n", at, ends[r + 1])
                     lines.setdefault(r, set()).add((a or ends[r], ends[r + 1] if b < 0 else b))
+                    held.setdefault(r, set()).update(holders[v])
                 names, dices, counts = [None] * part.num_rows, np.zeros(part.num_rows), np.zeros(part.num_rows, np.int64)
                 for r, places in lines.items():
-                    own = set().union(*[units(raw[a:b].decode()) for a, b in places])
-                    found = [x for u in own if (x := best_template(set(bigrams(u)), shapes, limit))]
-                    if found:
-                        best = min(found)
-                        names[r], dices[r], counts[r] = best[1], -best[0], len(found)
+                    found, taken = {}, []
+                    for a, b in places:
+                        here = {u: x for u in units(raw[a:b].decode()) if (x := best_template(set(bigrams(u)), shapes, limit))}
+                        found |= here
+                        taken += [(a, b)] if here else []
+                    results, many = list(found.values()), len(found)
+                    lo, hi = np.searchsorted(row, [r, r + 1])
+                    cuts = [m.end() + ends[r] for m in re.finditer(rb"\n|(?<=[.!?]) +", raw[ends[r] : ends[r + 1]])]
+                    if cuts:
+                        first, last = (np.searchsorted(cuts, x[lo:hi], side="right") for x in (start, second))
+                        longer = sorted(x for t in sorted(held[r]) for x in runs(value[lo:hi], first, last, hashed[t], limit))
+                        borders = [ends[r], *cuts, ends[r + 1]]
+                        results += [x[:2] for x in longer]
+                        seen = set()
+                        for _, _, i, j in longer:
+                            a, b = borders[i], borders[j + 1]
+                            if not any(a < y and x < b for x, y in taken):
+                                taken.append((a, b))
+                                seen.add(raw[a:b].strip())
+                        many += len(seen)
+                    if results:
+                        best = min(results)
+                        names[r], dices[r], counts[r] = best[1], -best[0], many
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(names, pa.string()), pa.array(dices), pa.array(counts)], ["doc_id", "license", "dice", "n_units"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, license string, dice double, n_units long")

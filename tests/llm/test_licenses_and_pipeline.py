@@ -77,3 +77,58 @@ def personal_left(text):
     from .test_near_and_personal import base
 
     return [b for b in base(text) if not b.startswith("card")]
+
+
+def test_op5_finds_usual_wordings_wrapped_notices_and_texts(spark):
+    import textwrap
+
+    from cliploom.llm.license_texts import WORDINGS
+
+    apache = next(t for n, t in WORDINGS if n == "Apache-2.0" and t.startswith("Licensed under") and "Unless" in t)
+    mit = max((t for n, t in WORDINGS if n == "MIT"), key=len)
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    prose = "\n".join("the rights of the river and the use of a boat in spring" for _ in range(30))
+    cases = [
+        ("MIT", "Licensed under the MIT License."),
+        ("MIT", "This project is licensed under the MIT License."),
+        ("MIT", f"Copyright (c) 2020 A B\n\n{textwrap.fill(mit, 60)}\n\nimport os"),
+        ("GPL-3.0", f"#!/bin/sh\n\n{gpl}\n\n{prose}"),
+        ("Apache-2.0", f"{prose}\n" + "\n".join(f"// {x}" for x in textwrap.wrap(apache, 40))),
+        ("Apache-2.0", "a note. Licensed under the Apache License,\nVersion 2.0. And more follows here"),
+        (None, prose),
+        (None, "one two\n" * 20_000),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert [got[i].license for i in range(len(cases))] == [n for n, _ in cases]
+    assert [got[i].n_units for i in (2, 3, 6)] == [1, 1, 0]
+
+
+def test_op5_runs_against_all_runs():
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    text = "Licensed under the Apache License, Version 2.0. You may obtain a copy of the License there."
+    shape = licenses.Shape("x", text, licenses.LIMIT)
+    for _ in range(200):
+        parts = [" ".join(w for w in rng.sample(["river boat"] * 3 + [text], 1)[0].split() if rng.random() > 0.05) for _ in range(3)]
+        words = " ".join(parts).split()
+        lines = "".join(w + rng.choice(["\n", " ", " ", " "]) for w in words).strip().split("\n")
+        found, t = [], set(licenses.bigrams(text))
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                joined = " ".join(lines[i : j + 1])
+                own = set(licenses.bigrams(joined))
+                fits = len(re.findall("[A-Za-z0-9]+", joined)) - 1 <= shape.span
+                if own and fits and (d := 2 * len(own & t) / (len(own) + len(t))) >= licenses.LIMIT:
+                    found.append((-d, i == j))
+        whole = "\n".join(lines)
+        value, _, start, second = licenses._pair_hashes(pa.array([whole]))
+        cuts = [i + 1 for i, c in enumerate(whole) if c == "\n"]
+        got = licenses.runs(value, np.searchsorted(cuts, start, side="right"), np.searchsorted(cuts, second, side="right"), shape, licenses.LIMIT)
+        alone = [d for d, single in found if single]
+        assert min([*alone, *(x[0] for x in got)], default=0) == min((d for d, _ in found), default=0)
+        assert {x[0] for x in got} <= {d for d, _ in found}
