@@ -24,7 +24,11 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    The rule is that of op1: a resemblance of two-word shingles of 0.8 or more links two
+    documents, and links chain, so two members of a group may resemble each other less.
+    """
     return near_copies.keep_first(spark, docs)
 
 
