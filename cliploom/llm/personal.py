@@ -5,9 +5,11 @@ Beside them generous generators propose overlapping candidates: runs of digits a
 separators as a phone, card or IP number, and addresses that spell out ``(at)``. Format and
 context features without the deciding sign of the base format (plus sign, Luhn sum, ``@``)
 describe them; boosted trees learn from all candidates which feature combinations base spans
-have. The threshold of a kind is the lowest probability from which at least ``PRECISION`` of
-the candidates of held-out documents overlap base spans; combinations above it add their
-candidates, unless they touch a base span.
+have. A combination adds its candidates, unless they touch a base span, where the share that
+overlaps base spans is shown to be ``PRECISION`` at least: by a lower confidence bound over the
+held-out candidates of its narrow band of probabilities or its own, never by a running total
+that other combinations fill. One without a base hit, or whose own counts speak against
+``PRECISION``, adds nothing whatever its band.
 
 Positions are code points, ends exclusive. Null text is empty and has no spans; where no
 candidate or only one class exists nothing is added. Repeated rows get equal spans; extra
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -43,8 +45,8 @@ SPELLED = r"[A-Za-z0-9._%+-]++\x20?(?:@|[(\[][aA][tT][)\]])\x20?[A-Za-z0-9-]++(?
 #: Words right before a span that speak for one.
 CONTEXT = r"(?i)\b(?:tel|phone|call|mobile|fax|mail|e-mail|card|visa|account|ip|host|contact|at)\b\W*$"
 PRECISION = 0.98
-#: Counted as misses beside the held-out candidates, so that a few hits prove nothing.
-SUPPORT = 2
+#: Normal quantile of the one-sided 95 % bounds, and the number of bands of probabilities.
+QUANTILE, BANDS = 1.645, 100
 FEATURES = ("kind_id", "digits", "groups", "style", "context", "joined", "tail")
 
 
@@ -100,7 +102,7 @@ def _candidates(text: Column, raw: Column, kind: str) -> Column:
     def describe(s: Column) -> Column:
         value = s["value"]
         digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
-        groups = F.size(F.split(F.regexp_replace(value, "[^0-9]*$", ""), "[^0-9]+"))
+        groups = F.size(F.split(F.regexp_replace(value, "^[^0-9]+|[^0-9]+$", ""), "[^0-9]+"))
         style = F.when(value.rlike("[()]"), 4).when(value.contains("-"), 3).when(value.contains("."), 2).when(value.contains(" "), 1).otherwise(0)
         before = F.substring(text, F.greatest(s["start"] - 15, F.lit(1)), F.least(s["start"], F.lit(16)))
         joined = F.substring(text, F.greatest(s["start"], F.lit(1)), F.least(s["start"], F.lit(1))).rlike(r"[\p{L}0-9_=\x22]")
@@ -139,13 +141,19 @@ def _touches(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def _bound(hits: Column, n: Column, side: int) -> Column:
+    """Wilson bound of a share: the lower one for side -1, the upper one for side 1."""
+    share, z = hits / n, QUANTILE
+    return (share + z * z / (2 * n) + side * z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def accepted(table: DataFrame) -> list[list[int]]:
     """Feature combinations whose candidates are added: trees over all candidates of the table.
 
     Candidates are counted by feature combination first, so what is learned from and what
     comes to the driver is bounded by the ranges of the features, not by the corpus.
     """
-    fold = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0).alias("test")
+    fold = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 2 == 0).alias("test")
     each = table.filter(F.size("cand") > 0).select(fold, "base", F.explode("cand").alias("c"))
     hit = F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & _touches(b, F.col("c")))
     combos = each.select("test", F.col("c.f").alias("f"), hit.cast("int").alias("hit")).groupBy("test", "f").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
@@ -157,10 +165,12 @@ def accepted(table: DataFrame) -> list[list[int]]:
         return []
     model = GBTClassifier(weightCol="weight", maxIter=10, maxDepth=3, stepSize=0.3, seed=7).fit(fit)
     scored = model.transform(combos).select("test", "f", "n", "hits", "kind_id", vector_to_array("probability")[1].alias("p"))
-    down = Window.partitionBy("kind_id").orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    held = scored.filter("test").withColumn("part", F.sum("hits").over(down) / (F.sum("n").over(down) + SUPPORT))
-    level = held.filter(F.col("part") >= PRECISION).groupBy("kind_id").agg(F.min("p").alias("level"))
-    return [list(r.f) for r in scored.join(level, "kind_id").filter("p >= level").select("f").distinct().collect()]
+    scored = scored.withColumn("band", F.round(F.col("p") * BANDS))
+    good = lambda *keys: scored.filter("test").groupBy(*keys).agg(F.sum("hits").alias("h"), F.sum("n").alias("m")).filter(_bound(F.col("h"), F.col("m"), -1) >= PRECISION).select(*keys)
+    own = scored.groupBy("kind_id", "band", "f").agg(F.sum("hits").alias("h"), F.sum("n").alias("m"))
+    fits = own.filter((F.col("h") > 0) & (_bound(F.col("h"), F.col("m"), 1) >= PRECISION))
+    both = fits.join(good("kind_id", "band"), ["kind_id", "band"]).select("f").union(fits.join(good("f"), "f").select("f"))
+    return sorted(list(r.f) for r in both.distinct().collect())
 
 
 def spans(table: DataFrame, chosen: list[list[int]]) -> DataFrame:

@@ -148,6 +148,21 @@ def test_op9_adds_spans_of_familiar_shape(spark):
     assert not any(got[3000 + i] for i in range(50))
 
 
+@pytest.mark.parametrize("hits", [800, 6000])
+def test_op9_adds_by_combination_and_not_by_running_total(spark, hits):
+    rng = random.Random(6)
+    number = lambda: f"1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+    docs = [(i, f"some text call +{number()} and more", "en", "s", 1) for i in range(hits)]
+    docs += [(10_000 + i, f"some text call {number()} and more", "en", "s", 1) for i in range(2)]
+    docs += [(20_000 + i, f"order {rng.randrange(10**6, 10**7)} was sent on {rng.randrange(1990, 2020)}-{i % 12 + 1:02d}-11", "en", "s", 1) for i in range(hits // 200)]
+    table = personal.annotated(spark.createDataFrame(docs, SCHEMA)).cache()
+    got = {r.doc_id: r.spans for r in personal.spans(table, personal.accepted(table)).select("doc_id", "spans").collect()}
+    assert all(len(got[i]) == 1 for i in range(hits))
+    for i, text in ((d[0], d[1]) for d in docs if 10_000 <= d[0] < 20_000):
+        assert [(x.kind, text[x.start : x.end]) for x in got[i]] == [("phone", text[15:-9])]
+    assert not any(got[20_000 + i] for i in range(hits // 200))
+
+
 def test_redaction(spark):
     docs = [(1, "mail a.b@c.org now, +1 (988) 555-2485 or 10.0.0.1é", "en", "s", 7), (2, "clean", "en", "s", 5), (3, None, "en", "s", None), (4, "", "en", "s", 0)]
     got = {r.doc_id: r for r in personal.redact(spark, frame(spark, docs, clash=True)).collect()}
