@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RADIUS, BYTES = 6, 8
+VALID = "phash RLIKE '^[0-9a-f]{16}$'"
 
 
 def halves(c: Column) -> list[Column]:
@@ -34,23 +35,28 @@ def by_sha(new: DataFrame, library: DataFrame) -> DataFrame:
     return new.join(first, "sha").select("clip_id", "match_id")
 
 
-def by_phash(new: DataFrame, library: DataFrame, scope: str = "category", radius: int = RADIUS) -> DataFrame:
-    """Pairs of distinct hashes of a scope within ``radius``, and the first clip that holds each.
+def close_values(mine: DataFrame, theirs: DataFrame, scope: str = "category", radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of distinct valid hashes of a scope within ``radius``, equal ones among them.
 
     Of eight bytes at least 8 - radius are equal in such a pair, so every set of that many
-    bytes is an equi-join key. Equal hashes are merged first: clips of one blank frame count
-    as one row.
+    bytes is an equi-join key.
     """
     def spread(df: DataFrame, own: str) -> DataFrame:
         bytes_ = [F.substring("phash", 2 * i + 1, 2) for i in range(BYTES)]
         keys = F.array(*[F.concat(F.lit(f"{i}:"), *[bytes_[j] for j in c]) for i, c in enumerate(combinations(range(BYTES), BYTES - radius))])
-        return df.select(F.col(scope), F.col("phash").alias(own), F.explode(keys).alias("key"))
+        return df.filter(VALID).select(scope, "phash").distinct().select(F.col(scope), F.col("phash").alias(own), F.explode(keys).alias("key"))
 
-    valid = F.col("phash").rlike("^[0-9a-f]{16}$")
-    mine = new.filter(valid).select(scope, "phash").distinct()
-    theirs = library.filter(valid).groupBy(scope, "phash").agg(F.min("clip_id").alias("match_id"))
     pairs = spread(mine, "a").join(spread(theirs, "b"), [scope, "key"]).select(scope, "a", "b").distinct()
-    close = pairs.withColumn("distance", hamming(F.col("a"), F.col("b"))).filter(F.col("distance") <= radius)
+    return pairs.withColumn("distance", hamming(F.col("a"), F.col("b"))).filter(F.col("distance") <= radius)
+
+
+def by_phash(new: DataFrame, library: DataFrame, scope: str = "category", radius: int = RADIUS) -> DataFrame:
+    """Distinct hashes of a scope and the first library clip within ``radius``.
+
+    Equal hashes are merged first: clips of one blank frame count as one row.
+    """
+    theirs = library.filter(VALID).groupBy(scope, "phash").agg(F.min("clip_id").alias("match_id"))
+    close = close_values(new, library, scope, radius)
     held = close.join(theirs.withColumnRenamed("phash", "b"), [scope, "b"])
     return held.groupBy(scope, F.col("a").alias("phash")).agg(F.min(F.struct("match_id", "distance")).alias("m")).select(scope, "phash", "m.match_id", "m.distance")
 
@@ -62,3 +68,32 @@ def cascade(new: DataFrame, library: DataFrame, scope: str = "category") -> Data
     joined = new.select("clip_id").join(exact, "clip_id", "left").join(near, "clip_id", "left")
     kind = F.when(F.col("exact_id").isNotNull(), "sha256").when(F.col("near_id").isNotNull(), "phash")
     return joined.select("clip_id", kind.alias("detector"), F.coalesce("exact_id", "near_id").alias("match_id"), F.when(F.col("exact_id").isNull(), F.col("distance")).alias("distance")).filter("detector IS NOT NULL")
+
+
+def in_order(batch: DataFrame, library: DataFrame, save, scope: str = "category") -> DataFrame:
+    """``id, kept``: a clip of the batch goes if it matches the library or an earlier kept clip, in order of ``clip_id``.
+
+    A match is an equal sha or a perceptual hash of the scope within the radius. Clips that
+    agree in sha, scope and hash share their matches, so only the first can stay; the others
+    are never looked at. Every round takes the first kept and the first open clip of each sha
+    and hash, so no pairs of clips are made. ``save(df, name)`` writes a table and reads it.
+    """
+    columns = ["sha", scope, "phash"]
+    marked = (F.col("sha") != "") | F.expr(VALID)
+    firsts = batch.filter(marked).groupBy(*columns).agg(F.min("clip_id").alias("id"))
+    pairs = save(close_values(batch, batch, scope).select(scope, "a", "b"), "pairs")
+    sha = by_sha(batch, library).select(F.col("clip_id").alias("id"))
+    near = firsts.join(by_phash(batch, library, scope), [scope, "phash"]).select("id")
+    known = sha.union(near).distinct().withColumn("known", F.lit(True))
+    state = save(firsts.join(known, "id", "left").select("id", *columns, F.when(F.col("known"), False).alias("kept")), "round0")
+    step, lowest = 0, [F.min(F.when(F.col("kept"), F.col("id"))).alias("k"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("u")]
+    while not state.filter("kept IS NULL").isEmpty():
+        step += 1
+        exact = state.filter("sha <> ''").groupBy("sha").agg(*lowest).withColumnsRenamed({"k": "k1", "u": "u1"})
+        value = state.filter(VALID).groupBy(scope, F.col("phash").alias("b")).agg(*lowest)
+        around = pairs.join(value, [scope, "b"]).groupBy(scope, F.col("a").alias("phash")).agg(F.min("k").alias("k2"), F.min("u").alias("u2"))
+        both = state.join(exact, "sha", "left").join(around, [scope, "phash"], "left")
+        verdict = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.least("k1", "k2") < F.col("id"), False).when(F.least("u1", "u2") >= F.col("id"), True)
+        state = save(both.select("id", *columns, verdict.alias("kept")), f"round{step}")
+    stay = state.filter("kept").select(F.col("id").alias("clip_id"), F.lit(True).alias("stays"))
+    return batch.join(stay, "clip_id", "left").select(F.col("clip_id").alias("id"), F.when(F.coalesce(marked, F.lit(False)), F.coalesce("stays", F.lit(False))).otherwise(True).alias("kept"))

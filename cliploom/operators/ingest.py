@@ -68,19 +68,24 @@ def collapse(hits: DataFrame) -> DataFrame:
     return by_id.groupBy("url").agg(F.min_by("video_id", "seq").alias("video_id"), F.min("seq").alias("seq"), merged.alias("queries"))
 
 
-def batch_dedup(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Kept or dropped in order of ``id``: a node is dropped if an earlier kept node is its neighbour.
-
-    ``edges`` (a, b) has a < b. Every round keeps the nodes whose earlier neighbours are all
-    dropped and drops the later neighbours of kept ones; rounds are written to the shared folder.
-    """
-    spark = nodes.sparkSession
+def saver(spark):
+    """Writes tables to a new part of the shared folder and reads them."""
     root = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/batch-{uuid.uuid4().hex[:12]}"
 
     def save(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{root}/{name}")
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
+    return save
+
+
+def batch_dedup(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Kept or dropped in order of ``id``: a node is dropped if an earlier kept node is its neighbour.
+
+    ``edges`` (a, b) has a < b. Every round keeps the nodes whose earlier neighbours are all
+    dropped and drops the later neighbours of kept ones; rounds are written to the shared folder.
+    """
+    save = saver(nodes.sparkSession)
     state, step = nodes.select("id", F.lit(None).cast("boolean").alias("kept")), 0
     while True:
         step += 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -55,15 +55,10 @@ def _probe(spark, sf_dir):
     return p.select("source_id", F.bround("seconds", 4).alias("seconds"), "width", "height", "fps", "has_audio")
 
 
-def _edges(spark, sf_dir):
-    clips = table(spark, sf_dir, "clips").select("clip_id", "sha")
-    before = F.lag("clip_id").over(Window.partitionBy("sha").orderBy("clip_id"))
-    return clips, clips.select(before.alias("a"), F.col("clip_id").alias("b")).filter("a IS NOT NULL")
-
-
 def _batch(spark, sf_dir):
-    clips, edges = _edges(spark, sf_dir)
-    return ingest.batch_dedup(clips.select(F.col("clip_id").alias("id")), edges)
+    """All clips as one batch into an empty library."""
+    clips = table(spark, sf_dir, "clips").select("clip_id", "category", "sha", "phash")
+    return duplicates.in_order(clips, clips.limit(0), ingest.saver(spark))
 
 
 def _boxes(spark, sf_dir):

@@ -75,3 +75,21 @@ def test_scalar_texts(spark):
     base = text.strip_suffixes(F.col("t"), ["drying", "process"], ["dry", "slice"])
     names = spark.createDataFrame([("appledrydryingprocess",), ("process",), ("adry",)], "t string")
     assert [r[0] for r in names.select(base).collect()] == ["apple", "process", "adry"]
+
+
+def test_dedup_in_order_is_the_sequential_loop(spark):
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    near = lambda: f"{rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))):016x}"
+    rows = [(i, rng.choice("mn"), rng.choice(["", None, *[f"s{k}" for k in range(40)]]), rng.choice(["", None, "zz", *[near() for _ in range(6)]])) for i in range(240)]
+    rows += [(300 + i, "m", "copies", "0123456789abcdef") for i in range(5)]
+    library, batch = rows[:20], rows[20:]
+    close = lambda a, b: a[1] == b[1] and len(a[3] or "") == len(b[3] or "") == 16 and bin(int(a[3], 16) ^ int(b[3], 16)).count("1") <= 6
+    kept, held = {}, list(library)
+    for r in batch:
+        kept[r[0]] = not any((r[2] and r[2] == o[2]) or close(r, o) for o in held)
+        held += [r] if kept[r[0]] else []
+    schema = "clip_id long, category string, sha string, phash string"
+    got = duplicates.in_order(spark.createDataFrame(batch, schema), spark.createDataFrame(library, schema), ingest.saver(spark)).collect()
+    assert {r.id: r.kept for r in got} == kept and len(got) == len(batch)
+    assert sum(kept[300 + i] for i in range(5)) == 1
