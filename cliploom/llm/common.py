@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,26 +10,34 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Regular expression of a word: a run of anything but space and 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Text bytes that are looked at in one go inside a task.
-CHUNK_BYTES = 3 << 20
+#: Text bytes that are looked at in one go inside a task, and those hashed in one go.
+CHUNK_BYTES, HASH_BYTES = 1 << 20, 1 << 18
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 class Scratch:
     """Tables written under ``spark.checkpoint.dir``, which all executors share.
 
-    Writing a table cuts the lineage: a lost executor loses no finished step.
+    Writing a table cuts the lineage: a lost executor loses no finished step. Without a
+    named folder a local session gets a temporary one; a cluster is refused, since its
+    executors would write to their own disks.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:  # tests only: a cluster names its shared folder
+        if not root:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
             spark.conf.set("spark.checkpoint.dir", root)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -47,6 +56,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def running(scratch: Scratch, df: DataFrame, name: str, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """``df`` with the sum of all rows before each one in ``order`` (distinct): ``sums`` maps columns to new names.
+
+    Rows are dealt to ranges of the order, every range is summed on its own, and only the
+    ranges' totals, one row each, are put in one line.
+    """
+    keys = [f"_k{i}" for i in range(len(order))]
+    keyed = df.select("*", *[o.alias(k) for o, k in zip(order, keys, strict=True)])
+    ranged = keyed.repartitionByRange(*[F.asc_nulls_last(k) for k in keys]).withColumn("_range", F.spark_partition_id())
+    ranged = scratch.save(ranged, name)
+    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_{new}") for c, new in sums.items()])
+    line = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_{new}").over(line), F.lit(0)).alias(f"_{new}") for new in sums.values()])
+    inside = Window.partitionBy("_range").orderBy(*[F.asc_nulls_last(k) for k in keys]).rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(new) for c, new in sums.items()])
+    return own.join(totals, "_range").select(*df.columns, *[(F.col(new) + F.col(f"_{new}")).alias(new) for new in sums.values()])
+
+
 # ---- bytes and words of Arrow batches ---------------------------------------------
 
 _SPACE = np.zeros(256, bool)
@@ -119,18 +146,24 @@ class Words:
         #: number of words of each row, and where a row's words begin
         self.count = np.bincount(self.row, minlength=self.rows)
         self.first = np.concatenate([[0], np.cumsum(self.count)])
-        if len(self.start):
-            length = self.end - self.start
-            place = np.arange(len(data)) - np.repeat(self.start, np.diff(np.append(self.start, len(data)))) if self.start[0] == 0 else None
-            if place is None:
-                lead = self.start[0]
-                place = np.concatenate([np.zeros(lead, np.int64), np.arange(lead, len(data)) - np.repeat(self.start, np.diff(np.append(self.start, len(data))))])
-            place[~solid] = 0
-            value = _BYTE[data] * _powers(int(length.max()) + 1)[place]
-            value[~solid] = 0
-            self.hash = mix(np.add.reduceat(value, self.start) + length.astype(np.uint64) * _BASE)
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        self.hash = self._hashes()
+
+    def _hashes(self) -> np.ndarray:
+        """A polynomial of each word's bytes, mixed; some words at a time, so that little is held beside the text."""
+        out = np.empty(len(self.start), np.uint64)
+        at = 0
+        while at < len(out):
+            to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + HASH_BYTES, side="right")))
+            low, high = self.start[at], self.end[to - 1]
+            begin, length = self.start[at:to] - low, self.end[at:to] - self.start[at:to]
+            part = self.data[low:high]
+            place = np.arange(high - low) - np.repeat(begin, np.diff(np.append(begin, high - low)))
+            longest = int(length.max())
+            value = _BYTE[part] * _powers(longest + 1)[np.minimum(place, longest)]
+            value[_SPACE[part]] = 0
+            out[at:to] = mix(np.add.reduceat(value, begin) + length.astype(np.uint64) * _BASE)
+            at = to
+        return out
 
     def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and rows of the runs of ``n`` words; a row with 1 to n-1 words has its whole sequence as one."""

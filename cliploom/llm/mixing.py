@@ -1,50 +1,52 @@
 """Mixing sources to target weights: repetition rates per source, then whole and random copies.
 
 Null text has size 0, a null source is a source of its own (the last one). Rows with equal
-``doc_id`` draw the same random number, so reruns and repeated rows agree. An empty table
-gives an empty mix. Columns beside those named are carried along unchanged.
+``doc_id`` draw the same random number, so reruns and repeated rows agree; rows without an
+id draw one number together. An empty table gives an empty mix. Texts of any length only add
+their number of words. Further columns, whatever their names, are carried along unchanged.
+
+Rates meet the documents in a plain join on the source: Spark sends the rates to every
+executor where their written size allows it, and otherwise splits a source that holds a
+large part of all rows (AQE skew join).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Sources up to this number are sent to every executor; beyond it they are joined by shuffle.
-MOST_BROADCAST = 20_000
 SEED = "mix-1"
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """Adds ``size``: the number of words of the whole text."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long"))
+def size_of(text: Column) -> Column:
+    """The number of words of a whole text."""
+    return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """One row per source: ``source, source_size, weight, target, rate``.
+def targets(scratch: common.Scratch, sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """One row per source of ``sizes`` (source, size): ``source, source_size, weight, target, rate``.
 
     Sources in code point order, null last, take ``weights`` in turn and share ``share``
     times all sizes. No target exceeds ``most`` times its source's size; what is above is
     shared again by weight. With sources by ascending cap/weight the first one below its
     cap fixes the level ``target = level * weight`` of all that follow.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    turn = F.array(*[F.lit(w) for w in weights])
-    ranked = totals.withColumn("weight", F.get(turn, (place - 1) % len(weights)).cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    level = (
-        ranked.withColumn("capped", F.coalesce(F.sum("cap").over(upto), F.lit(0.0)))
-        .withColumn("left", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0)))
-        .withColumn("level", (F.sum("source_size").over(every) * F.lit(float(share)) - F.col("capped")) / F.col("left"))
-    )
-    free = F.min(F.when(F.col("cap") / F.col("weight") > F.col("level"), F.struct(F.col("cap") / F.col("weight"), F.col("level").alias("level")))).over(every)
-    target = F.coalesce(F.least(F.col("cap"), free["level"] * F.col("weight")), F.col("cap"))
-    return level.select("source", "source_size", "weight", target.alias("target")).withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
+    totals = scratch.save(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "totals").withColumn("one", F.lit(1))
+    placed = common.running(scratch, totals, "by_source", [F.col("source")], {"one": "place"})
+    turn = F.array(*[F.lit(float(w)) for w in weights])
+    weighed = placed.select("source", "source_size", F.get(turn, F.col("place") % len(weights)).alias("weight"))
+    weighed = weighed.withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    ratio = F.col("cap") / F.col("weight")
+    levels = common.running(scratch, weighed, "by_ratio", [ratio, F.col("source")], {"cap": "capped", "weight": "used"})
+    levels = scratch.save(levels, "levels")
+    whole = levels.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(float(share) * (whole["size"] or 0)) - F.col("capped")) / (F.lit(whole["weight"] or 1.0) - F.col("used"))
+    free = levels.filter(ratio > level).agg(F.min(F.struct(ratio.alias("ratio"), level.alias("level"))).alias("m")).first().m
+    target = F.least(F.col("cap"), F.lit(free.level) * F.col("weight")) if free else F.col("cap")
+    rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
+    return scratch.save(levels.select("source", "source_size", "weight", target.alias("target")).withColumn("rate", rate), "rates")
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -53,31 +55,30 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def copies(spark: SparkSession, docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
-    """``docs`` with ``size, source_size, target, rate, copies``: floor(rate) plus one by chance."""
-    docs = sized(docs)
-    rates = common.Scratch(spark, "mix").save(targets(docs.select("source", "size"), **how).drop("weight"), "rates")
-    rates = rates.withColumnRenamed("source", "rate_source")
-    if rates.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        rates = F.broadcast(rates)
+def _counted(spark: SparkSession, docs: DataFrame, carried: Column, seed: str, **how) -> DataFrame:
+    """``row`` (whatever is carried), ``doc_id, size, source_size, target, rate, copies``."""
+    scratch = common.Scratch(spark, "mix")
+    own = docs.select(carried.alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"))
+    rates = targets(scratch, own.select("source", "size"), **how).select(F.col("source").alias("of"), "source_size", "target", "rate")
     whole = F.floor("rate")
-    return (
-        docs.join(rates, F.col("source").eqNullSafe(F.col("rate_source")))
-        .drop("rate_source")
-        .withColumn("copies", (whole + (draw(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")).cast("long"))
-    )
+    by_chance = (draw(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")
+    return own.join(rates, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("copies", (whole + by_chance).cast("long"))
+
+
+def copies(spark: SparkSession, docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
+    """``doc_id, size, source_size, target, rate, copies``: floor(rate) copies plus one by chance."""
+    return _counted(spark, docs, F.lit(None).cast("int"), seed, **how).drop("row", "source")
 
 
-def mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """The mix itself: every row of ``docs`` as many times as its copies, same columns."""
-    names = docs.columns
-    mixed = copies(spark, docs.select(*[F.col(f"`{c}`") for c in names]), **how)
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).filter("copies > 0").select(*[F.col(f"`{c}`") for c in names])
+    counted = _counted(spark, docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), seed, **how).filter("copies > 0")
+    return counted.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir).select("doc_id", "source", "text")
-    return copies(spark, docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    found = copies(spark, common.documents(spark, sf_dir))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP10_SQL = f"""

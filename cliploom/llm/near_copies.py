@@ -1,7 +1,7 @@
 """Near copies by fast similarity sketching, banding and exact verification.
 
-A document's set holds its distinct two-word shingles (A-Z in lower case; a shorter text has
-its whole sequence as the only one). Equal sets are merged first, so a group of copies costs
+A document's set holds its distinct shingles of ``shingle`` words (A-Z in lower case; a shorter
+text has its whole sequence as the only one). Equal sets are merged first, so a group of copies costs
 one row. A sketch has 128 coordinates: in round i every shingle is placed in a hashed bin
 with a value between i and i+1, in later rounds in bin i-128, so every coordinate is filled
 and the first rounds decide nearly all. Bands of four coordinates bring documents together;
@@ -12,9 +12,15 @@ lies in different components is compared completely: pair by pair in small bands
 queries against blocks of members in large ones. Every link is confirmed on the full sets.
 Components come from repeated hooking to the smallest neighbour and pointer jumping.
 
+Full sets are made for the documents that share a band: texts and wanted ids meet in one
+shuffle by id at every size of the corpus.
+
 Texts without words and null texts have an empty set and are linked with nothing. Rows that
-repeat a ``doc_id`` are one document; rows without one are never linked and stay. Extra
-columns are ignored.
+repeat a ``doc_id`` are one document; rows without one are never linked and stay. Equal texts
+are linked, and the smallest id of a tie stands for its group. An empty table gives an empty
+result. Long texts are taken whole: a worker holds one text's words at a time, and blocks are
+bounded by the hashes they hold, or one text where that alone is longer. Extra columns are
+ignored, and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -27,15 +33,15 @@ from pyspark.sql import functions as F
 from . import common
 
 SIZE, BAND = 128, 4
-SHINGLE = 2
-PERCENT = 80
+#: Words of a shingle unless a caller says otherwise, and the limit of resemblance.
+SHINGLE, PERCENT = 5, 80
 #: Pairs whose 8-bit sketches agree in fewer coordinates are not verified: at a similarity
 #: of 0.8 fewer than 74 of 128 agree with a chance below 1e-8.
 LEAST_EQUAL = 74
-#: Bands of up to FEW members are compared pair by pair, larger ones in blocks.
-FEW, BLOCK, QUERIES = 64, 512, 2048
-#: Up to this number of ids go to every executor instead of all texts being shuffled.
-MOST_BROADCAST = 1_000_000
+#: Bands of up to FEW members are compared pair by pair, larger ones in blocks of members and
+#: queries; a block is split by its documents and by its shingles.
+FEW, BLOCK, QUERIES = 64, 512, 1024
+BLOCK_SHINGLES, COLUMNS = 1 << 18, 1024
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -54,10 +60,10 @@ def fast_sketches(value: np.ndarray, row: np.ndarray, rows: int, size: int = SIZ
     return table.reshape(rows, size)
 
 
-def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles, their rows, and the number of each row."""
     words = common.Words(column, lower=True)
-    value, row = common.distinct_by_row(*words.shingles(SHINGLE))
+    value, row = common.distinct_by_row(*words.shingles(shingle))
     return value, row, np.bincount(row, minlength=words.rows)
 
 
@@ -67,13 +73,13 @@ def _sums(value: np.ndarray, count: np.ndarray) -> np.ndarray:
     return total[ends[1:]] - total[ends[:-1]]
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, n_shingles``, two 64-bit keys of the set, ``bands`` and the 8-bit sketch ``small``."""
 
     def run(batches):
         for batch in batches:
             for part in common.pieces(batch, "text"):
-                value, row, count = shingle_sets(part.column("text"))
+                value, row, count = shingle_sets(part.column("text"), shingle)
                 table = fast_sketches(value, row, len(count))
                 bands = np.zeros((len(count), SIZE // BAND), np.uint64)
                 for j in range(BAND):
@@ -97,13 +103,13 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, small binary")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``id`` and ``shingles``, all hashes of the set."""
 
     def run(batches):
         for batch in batches:
             for part in common.pieces(batch, "text"):
-                value, _, count = shingle_sets(part.column("text"))
+                value, _, count = shingle_sets(part.column("text"), shingle)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), common.lists(common.signed(value), count, pa.int64())], ["id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "id long, shingles array<long>")
@@ -143,18 +149,20 @@ def _links(key, members: pa.Table, queries: pa.Table) -> pa.Table:
     (ids_m, comp_m, n_m, flat_m), (ids_q, comp_q, n_q, flat_q) = sides
     column = np.intersect1d(flat_m, flat_q)
     both = np.zeros((len(ids_q), len(ids_m)), np.float32)
-    at_m, at_q = np.searchsorted(column, flat_m), np.searchsorted(column, flat_q)
-    row_m, row_q = np.repeat(np.arange(len(ids_m)), n_m), np.repeat(np.arange(len(ids_q)), n_q)
-    if len(column):
-        for at, row, flat in ((at_m, row_m, flat_m), (at_q, row_q, flat_q)):
-            at[column[np.minimum(at, len(column) - 1)] != flat] = -1
-            at[at >= len(column)] = -1
-    for a in range(0, len(column), 2048):
+    cells = []  # of each side, ascending by column: which rows hold which shared shingle
+    for flat, n in ((flat_m, n_m), (flat_q, n_q)):
+        row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        at = np.minimum(np.searchsorted(column, flat), max(0, len(column) - 1))
+        shared = column[at] == flat if len(column) else np.zeros(len(flat), bool)
+        at, row = at[shared].astype(np.int32), row[shared]
+        order = np.argsort(at, kind="stable")
+        cells.append((at[order], row[order], len(n)))
+    for a in range(0, len(column), COLUMNS):
         part = []
-        for at, row, n in ((at_m, row_m, len(ids_m)), (at_q, row_q, len(ids_q))):
-            here = (at >= a) & (at < a + 2048)
-            dense = np.zeros((n, 2048), np.float32)
-            dense[row[here], at[here] - a] = 1
+        for at, row, n in cells:
+            low, high = np.searchsorted(at, [a, a + COLUMNS])
+            dense = np.zeros((n, COLUMNS), np.float32)
+            dense[row[low:high], at[low:high] - a] = 1
             part.append(dense)
         both += part[1] @ part[0].T
     union = n_q[:, None] + n_m[None, :] - both
@@ -173,11 +181,14 @@ def _in_blocks(scratch: common.Scratch, left: DataFrame, sets: DataFrame) -> Dat
     by block. Both sides of a block are bounded, however large the band.
     """
     sizes = left.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("family"))
-    belongs = scratch.save(left.join(sizes, "band").select("family", "id", "comp").distinct(), "families")
+    belongs = scratch.save(left.join(sizes, "band").select("family", "id", "comp", "n").distinct(), "families")
+    stranger = F.col("comp") != F.col("family")
+    part_of = lambda most, n, total: F.greatest(F.ceil(n / most), F.ceil(total / BLOCK_SHINGLES))
     many = belongs.groupBy("family").agg(
-        F.ceil(F.count("*") / BLOCK).alias("blocks"), F.ceil(F.count_if(F.col("comp") != F.col("family")) / QUERIES).alias("turns")
+        part_of(BLOCK, F.count("*"), F.sum("n")).alias("blocks"),
+        part_of(QUERIES, F.count_if(stranger), F.sum(F.when(stranger, F.col("n")).otherwise(0))).alias("turns"),
     )
-    dealt = belongs.join(many, "family").join(sets, "id")
+    dealt = belongs.drop("n").join(many, "family").join(sets, "id")
     last = lambda c: F.sequence(F.lit(0), F.col(c).cast("int") - 1)
     part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     columns = ["family", "block", "turn", "id", "comp", "shingles"]
@@ -192,11 +203,12 @@ class Components:
 
     def __init__(self, scratch: common.Scratch, ids: DataFrame):
         self.scratch, self.step = scratch, 0
-        self.table = self._save(ids.select("id", F.col("id").alias("comp")))
+        self.table, self.name = self._save(ids.select("id", F.col("id").alias("comp")))
 
-    def _save(self, df: DataFrame) -> DataFrame:
+    def _save(self, df: DataFrame) -> tuple[DataFrame, str]:
         self.step += 1
-        return self.scratch.save(df, f"component{self.step}")
+        name = f"component{self.step}"
+        return self.scratch.save(df, name), name
 
     def mapped(self, pairs: DataFrame) -> DataFrame:
         """Pairs of components that pairs of ids connect."""
@@ -205,33 +217,43 @@ class Components:
         return pairs.join(a, "a").join(b, "b").filter("comp_a != comp_b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()
 
     def add(self, links: DataFrame) -> None:
-        edges = self._save(self.mapped(links))
-        total = None
+        """Adds pairs of ids; every table of a round is written, so that no plan grows with the rounds."""
+        edges, old = self._save(self.mapped(links))
+        used, total = [old], None
         while not edges.isEmpty():
             both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            up = self._save(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("up")))
+            up, old = self._save(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("up")))
+            used.append(old)
             while True:  # every id jumps to where its target points
                 higher = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
-                jumped = self._save(up.join(higher, "up", "left").select("id", F.coalesce("top", "up").alias("next"), "up"))
-                moved = jumped.filter("next != up").isEmpty()
+                jumped, old = self._save(up.join(higher, "up", "left").select("id", F.coalesce("top", "up").alias("next"), "up"))
+                used.append(old)
+                settled = jumped.filter("next != up").isEmpty()
                 up = jumped.select("id", F.col("next").alias("up"))
-                if moved:
+                if settled:
                     break
             a, b = up.withColumnsRenamed({"id": "a", "up": "up_a"}), up.withColumnsRenamed({"id": "b", "up": "up_b"})
-            edges = self._save(edges.join(a, "a").join(b, "b").filter("up_a != up_b").select(F.col("up_a").alias("a"), F.col("up_b").alias("b")).distinct())
-            if total is None:
-                total = up
-            else:
-                total = total.join(up.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", "left").select("id", F.coalesce("top", "up").alias("up"))
+            linked = edges.join(a, "a").join(b, "b").filter("up_a != up_b")
+            edges, old = self._save(linked.select(F.col("up_a").alias("a"), F.col("up_b").alias("b")).distinct())
+            used.append(old)
+            if total is not None:
+                higher = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
+                up, old = self._save(total.join(higher, "up", "left").select("id", F.coalesce("top", "up").alias("up")))
+                used.append(old)
+            total = up
         if total is not None:
             joined = self.table.join(total.select(F.col("id").alias("comp"), F.col("up").alias("top")), "comp", "left")
-            self.table = self._save(joined.select("id", F.coalesce("top", "comp").alias("comp")))
+            table, name = self._save(joined.select("id", F.coalesce("top", "comp").alias("comp")))
+            used.append(self.name)
+            self.table, self.name = table, name
+        for name in used:
+            self.scratch.drop(name)
 
 
-def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def components(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row per row of ``docs``."""
     scratch = common.Scratch(spark, "near")
-    light = scratch.save(sketched(docs), "sketches")
+    light = scratch.save(sketched(docs, shingle), "sketches")
     keyed = ["key_a", "key_b", "n_shingles"]
     own = light.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     distinct = own.groupBy(*keyed).agg(F.min(F.struct("doc_id", "bands", "small")).alias("m"))
@@ -245,10 +267,10 @@ def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     ids = buckets.select("id").distinct()
     found = Components(scratch, ids)
-    wanted = scratch.save(ids.withColumnRenamed("id", "doc_id"), "wanted")
-    if wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        wanted = F.broadcast(wanted)
-    sets = scratch.save(full_sets(docs.join(wanted, "doc_id", "left_semi")), "sets")
+    # the ids are the side that is hashed, so texts are shuffled once and not sorted
+    wanted = ids.withColumnRenamed("id", "doc_id").hint("shuffle_hash")
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    sets = scratch.save(full_sets(texts, shingle), "sets")
 
     def to_centre(order) -> DataFrame:
         """Members of a band against its first one in ``order``, where components differ."""
@@ -260,16 +282,20 @@ def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     for turn, order in enumerate((F.col("id"), F.xxhash64("id"))):
         close = scratch.save(_close(to_centre(order)), f"close{turn}")
         found.add(verified(close, sets))
+        scratch.drop(f"close{turn}")
     # what is left: members of one band in different components
     here = buckets.join(found.table, "id")
     mixed = here.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).filter("low != high")
     left = scratch.save(here.join(mixed.select("band", "members"), "band"), "left")
+    scratch.drop("buckets")
     few = left.filter(F.col("members") <= FEW)
     other = few.select("band", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "small", "comp")])
     rest = few.join(other, "band").filter((F.col("id") < F.col("id_b")) & (F.col("comp") != F.col("comp_b")))
     rest = rest.select(F.col("id").alias("a"), F.col("id_b").alias("b"), F.col("n").alias("n_a"), "n_b", F.col("small").alias("small_a"), F.col("small_b"))
     close = scratch.save(_close(rest), "close")
     found.add(verified(close, sets).union(_in_blocks(scratch, left.filter(F.col("members") > FEW), sets)))
+    for name in ("left", "families", "close", "sets"):
+        scratch.drop(name)
 
     placed = distinct.select(*keyed, "id").join(found.table, "id", "left").select(*keyed, F.coalesce("comp", "id").alias("comp"))
     labelled = light.select("doc_id", *keyed).join(placed, keyed, "left")
@@ -277,11 +303,11 @@ def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return labelled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def keep_first(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` without the documents that a near copy with a smaller id stands for."""
-    dropped = components(spark, docs).filter(~F.col("kept")).select("doc_id")
+    dropped = components(spark, docs, shingle).filter(~F.col("kept")).select("doc_id").hint("shuffle_hash")
     return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(spark, common.documents(spark, sf_dir))
+    return components(spark, common.documents(spark, sf_dir), shingle=2)

@@ -1,14 +1,17 @@
-"""Token ids of whole texts by the tokenizers library, each distinct word encoded once per worker.
-
-Both supported vocabularies split a text at white space before anything else, so the ids
-of a text are those of its words in order. Words are found with numpy; only words that a
-worker has not seen yet reach the library. A text with unusual white space goes there whole.
+"""Token ids of whole texts by the tokenizers library, each distinct stretch of text encoded once per worker.
+
+A text is cut before every run of ASCII white space that follows a character which is no
+white space. Both supported vocabularies end a token there whatever surrounds it: neither's
+splitting pattern crosses from a character into white space after it, a normaliser changes
+nothing across that place, and no special string holds white space. So the ids of a text are
+those of its segments in order. Segments are told apart by their bytes, and only those that a
+worker has not met yet reach the library. Texts of any length are cut in this way; a segment
+without white space goes to the library as it is.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -18,69 +21,106 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: Words kept per worker; beyond it the memory starts afresh.
-MEMORY = 500_000
-_NONE, _BLANK, _LINE = 0, 1, 2
+#: Segments and ids kept per worker; beyond either the memory starts afresh.
+MEMORY, MEMORY_IDS = 400_000, 1 << 21
+#: Text bytes that are encoded in one go.
+PIECE = 3 << 20
+#: Letters of one character in every normal form and either case, after at most one blank; and
+#: one line end before or ASCII punctuation after them, which every supported pattern parts
+#: from letters.
+_LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017e]"
+_CORE = re.compile(f"(\n?)((?: (?<!\n ))?{_LETTER}+)([.,!?;:()*#%&$/-]*)")
 #: The byte level shows the printable bytes as themselves, the others as characters from 256 on.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _SPELLED = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
-_CORE = re.compile(r"([^\W\d_]+)([.,!?|*#$%&]+)")
 
 
-class WordTokenizer:
-    """``keep_space``: the vocabulary is byte-level and a blank belongs to the word after it."""
+def _after_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Does a white space character that is not ASCII, or a separator from 1C to 1F, end before ``at``."""
+    last = data[np.maximum(at - 1, 0)]
+    found = (last >= 0x1C) & (last <= 0x1F)
+    wide = np.flatnonzero((last >= 0x80) & (at >= 2))
+    a, b, c = last[wide], data[at[wide] - 2], np.where(at[wide] >= 3, data[at[wide] - 3], 0)
+    two = (b == 0xC2) & ((a == 0x85) | (a == 0xA0))
+    general = (c == 0xE2) & (((b == 0x80) & ((a <= 0x8A) | (a == 0xA8) | (a == 0xA9) | (a == 0xAF))) | ((b == 0x81) & (a == 0x9F)))
+    other = ((c == 0xE1) & (b == 0x9A) & (a == 0x80)) | ((c == 0xE3) & (b == 0x80) & (a == 0x80))
+    found[wide] = two | general | other
+    return found
+
+
+def segments(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the segments of some texts begin; none crosses from one text into the next."""
+    space = common._SPACE[data]
+    cut = space.copy()
+    cut[1:] &= ~space[:-1]
+    at = np.flatnonzero(cut)
+    cut[at[_after_space(data, at)]] = False
+    cut[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(cut)
+
 
-    def __init__(self, path: str):
+class SegmentTokenizer:
+    """``special_as_text``: strings of special tokens in a text are ordinary text instead of those tokens."""
+
+    def __init__(self, path: str, special_as_text: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.model = self.tokenizer.model
-        self.keep_space = self.tokenizer.normalizer is None
-        self.parts: dict[str, bytes] = {}
+        self.lower = self.tokenizer.normalizer is not None
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
+        self.parts: dict[str, bytes] = {}
         self.begin = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
         self.pool = np.zeros(1 << 18, np.uint32)
         self.used = 0
-        self.parts.clear()
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _letters(self, text: str) -> bytes:
+        """Ids of letters after at most one blank: a single pre-token, in the spelling of the byte level."""
+        if self.lower:
+            text = text.lstrip(" ").lower()
+        spelled = text.replace(" ", "Ġ") if text.isascii() else text.encode().decode("latin-1").translate(_SPELLED)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
     def _part(self, text: str) -> bytes:
-        """Ids of a piece of text as 32-bit numbers."""
+        """Ids as 32-bit numbers, which the garbage collector need not look at."""
         ids = self.parts.get(text)
         if ids is None:
-            if text.lstrip(" ").isalpha() and (self.keep_space or text.islower() and unicodedata.is_normalized("NFC", text)):
-                # one pre-token that the normaliser leaves alone, in the spelling of the byte level
-                if not text.isascii():
-                    spelled = text.encode().decode("latin-1").translate(_SPELLED)
-                else:
-                    spelled = text.replace(" ", "\u0120")
-                found = [t.id for t in self.model.tokenize(spelled)]
-            else:
-                found = self.whole(text)
-            ids = self.parts[text] = array("I", found).tobytes()
+            letters = text[-1].isalpha()
+            ids = self.parts[text] = self._letters(text) if letters else array("I", self.whole(text)).tobytes()
         return ids
 
-    def _word(self, raw: bytes, before: int) -> bytes:
-        text = raw.decode()
-        if not self.keep_space:
-            text = raw.lower().decode()
-        lead = " " if before == _BLANK else ""
-        cut = _CORE.fullmatch(text)
-        ids = self._part(lead + cut[1]) + self._part(cut[2]) if cut and cut[1].isalpha() else self._part(lead + text)
-        return self._part("\n") + ids if before == _LINE else ids
-
-    def _learn(self, keys: list[int], words: list[bytes], before: list[int]) -> None:
-        ids = [self._word(w, b) for w, b in zip(words, before, strict=True)]
+    def _encoded(self, raws: list[bytes]) -> list[bytes]:
+        found: list = [None] * len(raws)
+        rest = []
+        for i, raw in enumerate(raws):
+            text = raw.decode()
+            m = _CORE.fullmatch(text)
+            if not m:
+                rest.append((i, text))
+                continue
+            line, letters, marks = m.groups()
+            ids = self._part(letters)
+            if line:
+                ids = self._part(line) + ids
+            found[i] = ids + self._part(marks) if marks else ids
+        coded = self.tokenizer.encode_batch_fast([x for _, x in rest], add_special_tokens=False)
+        for (i, _), x in zip(rest, coded, strict=True):
+            found[i] = array("I", x.ids).tobytes()
+        return found
+
+    def _learn(self, raws: list[bytes]) -> None:
+        ids = self._encoded(raws)
         n, at = len(self.known), self.used
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         need = at + int(sizes.sum())
@@ -90,80 +130,60 @@ class WordTokenizer:
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
         self.size[n : n + len(ids)] = sizes
-        self.begin[n : n + len(ids)] = at + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.begin[n : n + len(ids)] = at + np.cumsum(sizes) - sizes
         self.pool[at:need] = np.frombuffer(b"".join(ids), np.uint32)
         self.used = need
-        self.known.update(zip(keys, range(n, n + len(ids)), strict=True))
+        self.known.update(zip(raws, range(n, n + len(ids)), strict=True))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows one after another, and their number for each row."""
-        if len(self.known) > MEMORY:
+        if max(len(self.known), len(self.parts)) > MEMORY or self.used > MEMORY_IDS:
             self._clear()
-        words = common.Words(column)
-        key, before, odd = words.hash, np.zeros(len(words.hash), np.int64), np.zeros(words.rows, bool)
-        if self.keep_space:
-            before, odd = self._spaces(words)
-            key = common.mix(key + before.astype(np.uint64))
-        uniq, index, inverse = np.unique(key, return_index=True, return_inverse=True)
-        at = [self.known.get(k, -1) for k in uniq.tolist()]
-        at = np.array(at, np.int64)
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            i = index[new]
-            data = words.data.tobytes()
+        data, offsets = common.utf8(column)
+        start = segments(data, offsets)
+        bounds = np.append(start, len(data)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = pieces.dictionary_encode()
+        raws = coded.dictionary.to_pylist()
+        at = [self.known.get(raw, -1) for raw in raws]
+        new = [i for i, k in enumerate(at) if k < 0]
+        if new:
             n = len(self.known)
-            self._learn(uniq[new].tolist(), [data[a:b] for a, b in zip(words.start[i].tolist(), words.end[i].tolist(), strict=True)], before[i].tolist())
-            at[new] = np.arange(n, n + len(new))
-        entry = at[inverse]
+            self._learn([raws[i] for i in new])
+            for k, i in enumerate(new, n):
+                at[i] = k
+        entry = np.array(at, np.int64)[coded.indices.to_numpy()]
         size = self.size[entry]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.pool[np.arange(total) + np.repeat(self.begin[entry] - (ends - size), size)]
-        filled = np.concatenate([[0], ends])[words.first]
-        count = np.diff(filled)
-        if odd.any():
-            parts = np.split(flat, filled[1:-1])
-            for r in np.flatnonzero(odd):
-                parts[r] = np.array(self.whole(words.data[words.offsets[r] : words.offsets[r + 1]].tobytes().decode()), np.uint32)
-            flat, count = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
-        return flat.astype(np.uint32, copy=False), count
-
-    def _spaces(self, words: common.Words) -> tuple[np.ndarray, np.ndarray]:
-        """What stands before each word, and the rows whose white space is not single blanks and line ends inside the text."""
-        data, offsets = words.data, words.offsets
-        space = common._SPACE[data]
-        before = np.full(len(words.start), _NONE)
-        inner = np.flatnonzero(words.start > offsets[words.row])
-        byte = data[words.start[inner] - 1]
-        before[inner] = np.where(byte == 0x20, _BLANK, _LINE)
-        count = np.add.reduceat(np.append(space, False).astype(np.int64), offsets[:-1]) if len(offsets) > 1 else np.zeros(0, np.int64)
-        count[np.diff(offsets) == 0] = 0
-        used = np.bincount(words.row[inner], minlength=words.rows)
-        strange = space & (data != 0x20) & (data != 0x0A)
-        odd = count != used
-        if strange.any():
-            odd |= np.bincount(np.searchsorted(offsets, np.flatnonzero(strange), side="right") - 1, minlength=words.rows) > 0
-        return before, odd
-
-
-_CACHE: dict[str, WordTokenizer] = {}
-
-
-def tokenizer(path: str) -> WordTokenizer:
-    """This worker's tokenizer for the vocabulary at ``path``, a file present on every machine."""
-    if path not in _CACHE:
-        _CACHE[path] = WordTokenizer(path)
-    return _CACHE[path]
-
-
-def token_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        filled = np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
+        return flat, np.diff(filled)
+
+
+_CACHE: dict[tuple[str, bool], SegmentTokenizer] = {}
+
+
+def tokenizer(path: str, special_as_text: bool = False) -> SegmentTokenizer:
+    """This worker's tokenizer for the vocabulary at ``path``, a file present on every machine; one at a time is kept."""
+    key = (path, special_as_text)
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = SegmentTokenizer(*key)
+    return _CACHE[key]
+
+
+def token_batches(
+    batches: Iterator[pa.RecordBatch], path: str, end_id: int, special_as_text: bool = False
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the input with their ids; every document's ids close with ``end_id``."""
-    own = tokenizer(path)
+    own = tokenizer(path, special_as_text)
     for batch in batches:
-        for part in common.pieces(batch, "text"):
+        for part in common.pieces(batch, "text", PIECE):
             flat, count = own.encode(part.column("text"))
             ends = np.cumsum(count)
             yield part, np.insert(flat, ends, np.uint32(end_id)), count + 1
+    own._clear()  # an idle worker remembers no segments
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:

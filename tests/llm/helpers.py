@@ -8,6 +8,9 @@ import pyarrow.parquet as pq
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = ", size long, range int, part long, word string, copies long, n long, start long"
+#: Names that operators use inside; stages must carry a caller's columns of these names unchanged.
+INSIDE = "rate target source_size rate_source copy of weight row own base cand fakes spans changed new found lang_pred score pred c0 c1 col id comp band kept component_id n_shingles key_a _new _range".split()
+CLASHING += "".join(f", {x} string" for x in INSIDE)
 
 
 def rows(n=None):
@@ -27,7 +30,7 @@ def awkward():
 def frame(spark, data, clash=False):
     if not clash:
         return spark.createDataFrame(data, SCHEMA)
-    return spark.createDataFrame([(*r, 1, 2, 3, "w", 4, 5, 6) for r in data], SCHEMA + CLASHING)
+    return spark.createDataFrame([(*r, 1, 2, 3, "w", 4, 5, 6, *(f"{x}!" for x in INSIDE)) for r in data], SCHEMA + CLASHING)
 
 
 def written(spark, data, folder, clash=False):

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import re
 import zlib
 from fractions import Fraction
 
@@ -72,6 +74,70 @@ def test_op4_awkward(spark, tmp_path, data):
         assert ((d[0], "und") in got) == none, d
 
 
+def slow_language(docs, least=languages.LEAST, longest=languages.LONGEST):
+    """Plain dictionaries: the predicted language and score of every text, learned from the labelled rows."""
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: [w.translate(fold) for w in re.findall(r"[A-Za-z\x80-\U0010ffff]+", t or "")]
+    grams = lambda w, n: [g for i in range(len(w) + 3 - n) if (g := f"\2{w}\3"[i : i + n]) not in ("\2", "\3")]
+    counts = {}
+    for d in docs:
+        if d[1] is not None and d[2] is not None and zlib.crc32(str(d[0] if d[0] is not None else "").encode()) % 3 != 1:
+            for w in words(d[1]):
+                for n in range(longest + 1):
+                    for g in grams(w, n) if n else [w]:
+                        counts[n, g, d[2]] = counts.get((n, g, d[2]), 0) + 1
+    counts = {k: n for k, n in counts.items() if n >= least}
+    langs = sorted({k[2] for k in counts})
+    known = [{k[1] for k in counts if k[0] == n} for n in range(longest + 1)]
+    total = {(n, lang): sum(c for k, c in counts.items() if k[0] == n and k[2] == lang) for n in range(longest + 1) for lang in langs}
+
+    def log(n, g, lang):
+        return math.log(counts.get((n, g, lang), 0) + 0.5) - math.log(total[n, lang] + 0.5 * max(1, len(known[n])))
+
+    def score(w, lang):
+        if w in known[0]:
+            return log(0, w, lang)
+        for n in range(longest, 0, -1):
+            own = [g for g in grams(w, n) if g in known[n]]
+            if own:
+                return sum(log(n, g, lang) for g in own) / len(own)
+        return 0.0
+
+    out = []
+    for d in docs:
+        w = words(d[1])
+        if not langs or not any(c.isalpha() for c in d[1] or ""):
+            out.append(("und", 0.0))
+            continue
+        mean = [sum(score(x, lang) for x in w) / len(w) for lang in langs]
+        best = max(range(len(langs)), key=lambda i: (round(mean[i], 9), -i))
+        out.append((langs[best], 1 / sum(math.exp(m - mean[best]) for m in mean)))
+    return out
+
+
+@pytest.mark.parametrize("data", [lambda: rows(90), awkward, list], ids=["rows", "awkward", "empty"])
+def test_op4_against_brute_force(spark, tmp_path, data):
+    docs = data()
+    got = languages.op4_language(spark, written(spark, docs, tmp_path, clash=True)).collect()
+    want = [(d[0], *w) for d, w in zip(docs, slow_language(docs), strict=True)]
+    key = lambda x: (x[0] is None, x[0] or 0, round(x[2], 4))
+    for r, (doc, lang, share) in zip(sorted(((r.doc_id, r.lang_pred, r.score) for r in got), key=key), sorted(want, key=key), strict=True):
+        assert (r[0], r[1]) == (doc, lang) and abs(r[2] - share) < 1e-4, (r, lang, share)
+
+
+def test_language_stage_drops_junk_and_keeps_text(spark):
+    docs = rows()
+    junk = [(10**6 + i, t, None, "s", 1) for i, t in enumerate(["xqzt vvkp zzxq kjhqw qqqq wxyz", "0x00 0xff e3b0c44298fc1c149afbf4c8996fb924", "日本語 の テキスト", "12 34", "", None])]
+    kept = {r.doc_id for r in languages.keep(spark, frame(spark, docs + junk, clash=True), 0.5).collect()}
+    assert max(kept) < 10**6 and len(kept) >= 0.99 * len(docs)  # 200 documents teach little
+
+
+def test_rare_languages_keep_their_rows(spark):
+    docs = [(i, f"alpha beta {i}", "en", "s", 1) for i in range(3000)] + [(10_000 + i, f"rara avis {i}", "la", "s", 1) for i in range(30)]
+    n = {r["lang"]: r["count"] for r in languages.sample(frame(spark, docs), most=200).groupBy("lang").count().collect()}
+    assert n["la"] == sum(zlib.crc32(str(10_000 + i).encode()) % 3 != 1 for i in range(30)) and 120 < n["en"] < 280
+
+
 def test_op4_unseen_words_back_off(spark):
     docs = frame(spark, [(i, t, l, "s", 1) for i, (t, l) in enumerate([("strasse schule", "de"), ("street school", "en")] * 9)])
     model = languages.train(spark, docs)

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from cliploom.llm import near_copies, personal
 
@@ -12,17 +13,17 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text):
+def shingles(text, n):
     w = WORD.findall((text or "").translate(FOLD))
-    return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)] if w else [])
+    return frozenset(zip(*(w[i:] for i in range(n)))) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def expected(docs):
-    """Components over all pairs of documents with an id and words."""
+def expected(docs, n):
+    """Components over all pairs of documents with an id and words, by shingles of n words."""
     sets = {}
     for d in docs:
         if d[0] is not None:
-            sets.setdefault(d[0], []).append(shingles(d[1]))
+            sets.setdefault(d[0], []).append(shingles(d[1], n))
     parent = {d: d for d in sets}
 
     def find(x):
@@ -56,7 +57,7 @@ def near_group(n, seed=3):
 def test_op1_against_all_pairs(spark, tmp_path, data):
     docs = data()
     got = near_copies.op1_near_copies(spark, written(spark, docs, tmp_path, clash=True)).collect()
-    want = expected(docs)
+    want = expected(docs, 2)
     assert len(got) == len(docs)
     for r in got:
         if r.doc_id is None:
@@ -64,15 +65,39 @@ def test_op1_against_all_pairs(spark, tmp_path, data):
         else:
             assert r.component_id == want[r.doc_id]
             assert r.kept == (r.doc_id == r.component_id)
-    assert sorted((r.doc_id, r.n_shingles) for r in got if r.doc_id is not None) == sorted((d[0], len(shingles(d[1]))) for d in docs if d[0] is not None)
+    assert sorted((r.doc_id, r.n_shingles) for r in got if r.doc_id is not None) == sorted((d[0], len(shingles(d[1], 2))) for d in docs if d[0] is not None)
 
 
-def test_keep_first_keeps_one_of_each_group(spark):
-    docs = rows()
+@pytest.mark.parametrize("data", [rows, awkward, list, lambda: near_group(120, 5)], ids=["rows", "awkward", "empty", "group"])
+def test_keep_first_keeps_one_of_each_group(spark, data):
+    """Stages take five words."""
+    docs = data()
     stay = near_copies.keep_first(spark, frame(spark, docs, clash=True))
     assert stay.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
-    want = expected(docs)
-    assert {r.doc_id for r in stay.collect()} == {d for d, c in want.items() if d == c}
+    want = expected(docs, 5)
+    assert {r.doc_id for r in stay.collect()} == {d for d, c in want.items() if d == c} | {None for d in docs if d[0] is None}
+
+
+def test_blocks_lose_no_link(spark, monkeypatch):
+    """Tiny blocks: every component is still found."""
+    monkeypatch.setattr(near_copies, "FEW", 3)
+    monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", 2_000)
+    monkeypatch.setattr(near_copies, "COLUMNS", 64)
+    docs = near_group(150, 8)
+    got = near_copies.components(spark, frame(spark, docs), shingle=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == expected(docs, 2)
+
+
+def test_small_sketches_of_links_agree():
+    """The share of pairs at the limit whose 8-bit sketches agree in fewer than LEAST_EQUAL places: none here."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        value = rng.integers(0, 2**63, 1000, dtype=np.uint64)
+        both = np.concatenate([value[:900], value[100:]])  # resemblance 0.8
+        table = near_copies.common.mix(near_copies.fast_sketches(both, np.repeat([0, 1], 900), 2)) & np.uint64(255)
+        assert (table[0] == table[1]).sum() >= near_copies.LEAST_EQUAL
 
 
 def test_sketches_fill_and_estimate():
@@ -141,11 +166,33 @@ def test_op9_adds_spans_of_familiar_shape(spark):
     docs = [(i, f"some text call +1 {number()} and more", "en", "s", 1) for i in range(2000)]
     docs += [(2000 + i, f"some text call {number()} and more", "en", "s", 1) for i in range(4)]
     docs += [(3000 + i, f"chapter 12. 34 - 56 and {i}", "en", "s", 1) for i in range(50)]
+    docs += [(4000 + i, f"write to user{i}@mail.example.org or so", "en", "s", 1) for i in range(600)]
+    docs += [(5000 + i, f"write to user{i} (at) mail.example.org or so", "en", "s", 1) for i in range(3)]
+    docs += [(6000 + i, f"call +1 {number()} 4539578763621486 now", "en", "s", 1) for i in range(3)]  # one run: no base span
+    docs += [(7000 + i, f"card 4539578763621486, host 10.1.{i % 200}.7 up", "en", "s", 1) for i in range(600)]
     table = personal.annotated(spark.createDataFrame(docs, SCHEMA)).cache()
     chosen = personal.accepted(table)
-    got = {r.doc_id: r.spans for r in personal.spans(table, chosen).select("doc_id", "spans").collect()}
+    found = personal.spans(table, chosen).select("doc_id", "spans", F.size("base").alias("n")).collect()
+    got, n = {r.doc_id: r.spans for r in found}, {r.doc_id: r.n for r in found}
+    text = {d[0]: d[1] for d in docs}
     assert all(len(got[i]) == 1 for i in range(2000))
     assert not any(got[3000 + i] for i in range(50))
+    for i in range(4):
+        assert n[2000 + i] == 0 and [(x.kind, text[2000 + i][x.start : x.end]) for x in got[2000 + i]] == [("phone", text[2000 + i][15:-9])]
+    for i in range(3):
+        assert n[5000 + i] == 0 and [(x.kind, text[5000 + i][x.start : x.end]) for x in got[5000 + i]] == [("email", f"user{i} (at) mail.example.org")]
+        assert n[6000 + i] == 0 and {(x.kind, text[6000 + i][x.start : x.end]) for x in got[6000 + i]} == {("phone", text[6000 + i][5:22]), ("card", "4539578763621486")}
+    good, every = personal.precision(table, chosen)
+    assert good >= personal.PRECISION * every > 0
+
+
+def test_redaction_leaves_no_base_span(spark):
+    """Cutting one number can make another one of the rest of its run."""
+    card = "4539578763621486"
+    texts = [f"{card} {card}", f"1{card} {card} +1 (988) 555-2485 {card}", "+1 (988) 555-2485 +1 (988) 555-2485", f"a@b.co {card}-1.2.3.4", f"é {card}1 {card} 10.0.0.1.2.3.4"]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(d[0] + 100, *d[1:]) for d in tricky()]
+    for r in personal.redact(spark, frame(spark, docs)).collect():
+        assert not base(r.text), r
 
 
 @pytest.mark.parametrize("hits", [800, 6000])

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -16,12 +17,30 @@ NASTY = ["", None, "  a b", "a  b", "x\n\ny ", "tab\tx", "é b c", " lead", "tra
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_ids_are_those_of_whole_texts(name):
-    own = tokens.WordTokenizer(public_tokenizers.path(name))
+    own = tokens.SegmentTokenizer(public_tokenizers.path(name))
     texts = NASTY + [r[1] for r in rows()]
-    for _ in range(2):  # the second time all words are known
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    for _ in range(2):  # the second time all segments are known
         flat, count = own.encode(pa.array(texts, pa.string()))
         for text, ids in zip(texts, np.split(flat, np.cumsum(count)[:-1]), strict=True):
-            assert list(ids) == own.whole(text or "")
+            assert list(ids) == whole.encode(text or "", add_special_tokens=False).ids
+
+
+#: Characters and strings whose neighbourhood decides on ids.
+DECIDING = list("aAbZ éÉßİıſΣς'’.,!?-_<|>\n\t\r\x0b\x1c\x1f\x85\xa0\u1680\u2000\u2009\u2028\u202f\u205f\u3000\u0327\u0301“”…日本語한0१²½😀")
+DECIDING += ["<|endoftext|>", "<|startoftext|>", "'s", "'LL", " the", "  ", "\n\n", " \u0301", "\u1112\u1161", "\n\xa0", "İ?"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_random_texts_equal_the_unchanged_library(name):
+    rng, own = random.Random(11), tokens.SegmentTokenizer(public_tokenizers.path(name))
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    for _ in range(50):
+        texts = ["".join(rng.choice(DECIDING) for _ in range(rng.randrange(24))) for _ in range(1000)]
+        flat, count = own.encode(pa.array(texts, pa.string()))
+        wanted = whole.encode_batch(texts, add_special_tokens=False)
+        for text, ids, want in zip(texts, np.split(flat, np.cumsum(count)[:-1]), wanted, strict=True):
+            assert ids.tolist() == want.ids, text
 
 
 @pytest.mark.parametrize("n,kinds", [(0, 5), (1, 5), (7, 3), (5000, 300), (262_144 + 77, 3000)])
@@ -43,7 +62,6 @@ def test_rans_round_trip_checkpoints_and_damage(n, kinds):
 
 def plain(name, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
