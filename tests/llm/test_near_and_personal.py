@@ -170,6 +170,7 @@ def test_op9_adds_spans_of_familiar_shape(spark):
     docs += [(5000 + i, f"write to user{i} (at) mail.example.org or so", "en", "s", 1) for i in range(3)]
     docs += [(6000 + i, f"call +1 {number()} 4539578763621486 now", "en", "s", 1) for i in range(3)]  # one run: no base span
     docs += [(7000 + i, f"card 4539578763621486, host 10.1.{i % 200}.7 up", "en", "s", 1) for i in range(600)]
+    docs += [(8000 + i, "paid by 4539578763621486 in full", "en", "s", 1) for i in range(600)]
     table = personal.annotated(spark.createDataFrame(docs, SCHEMA)).cache()
     chosen = personal.accepted(table)
     found = personal.spans(table, chosen).select("doc_id", "spans", F.size("base").alias("n")).collect()
