@@ -1,35 +1,11 @@
-"""Query texts and collection objectives: families, templates, priorities, best queries per gap."""
+"""Collection objectives: priorities, best queries per gap and family, plans and funnels."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Families by the words that name them, tried in this order; fixed values.
-FAMILIES = (
-    ("heat_pump", ("heat pump",)),
-    ("inside_dryer", ("inside", "interior")),
-    ("dryer_equipment", ("equipment", "machine")),
-    ("factory_line", ("factory", "workshop")),
-    ("finished_product", ("finished", "product")),
-    ("material_process", ("process", "making")),
-)
-#: Query templates per stage, fixed values.
-TEMPLATES = (
-    ("drying", ("{} heat pump drying", "{} drying process")),
-    ("inside_dryer", ("{} inside dryer",)),
-    ("finished_product", ("{} finished product",)),
-    ("equipment", ("{} drying equipment",)),
-)
-
-
-def family(query: Column) -> Column:
-    chosen = None
-    for name, words in FAMILIES:
-        hit = query.rlike("|".join(words))
-        chosen = F.when(hit, name) if chosen is None else chosen.when(hit, name)
-    return chosen.otherwise("other")
-
+from . import planning
 
 def prioritized(queries: DataFrame, material: str = "material") -> DataFrame:
     """Bare material last; more words, then longer texts first."""
@@ -38,13 +14,6 @@ def prioritized(queries: DataFrame, material: str = "material") -> DataFrame:
     return queries.withColumn("qualifiers", words).withColumn("place", place)
 
 
-def recommended(stages: DataFrame) -> DataFrame:
-    """Template queries for stages with clips missing; the templates are a handful of rows."""
-    rows = [(stage, i, t) for stage, texts in TEMPLATES for i, t in enumerate(texts)]
-    templates = F.broadcast(stages.sparkSession.createDataFrame(rows, "stage string, turn int, template string"))
-    return stages.filter("missing > 0").join(templates, "stage").select("category", "stage", "turn", F.replace("template", F.lit("{}"), F.col("category")).alias("query"))
-
-
 def relevance(posts: DataFrame, terms: list[str]) -> DataFrame:
     """How many of the terms a post's text holds."""
     found = sum((F.contains(F.lower("text"), F.lit(t.lower())).cast("int") for t in terms), F.lit(0))
@@ -53,8 +22,8 @@ def relevance(posts: DataFrame, terms: list[str]) -> DataFrame:
 
 def best_per_family(scored: DataFrame) -> DataFrame:
     """The best historical query of each objective and family."""
-    place = F.row_number().over(Window.partitionBy("objective", "family").orderBy(F.desc("score"), "query"))
-    return scored.withColumn("family", family(F.col("query"))).withColumn("place", place).filter("place = 1").drop("place")
+    place = F.row_number().over(Window.partitionBy("objective", "family").orderBy(F.desc("clips"), "query"))
+    return scored.withColumn("family", planning.family(F.col("query"))).withColumn("place", place).filter("place = 1").drop("place")
 
 
 def production_gaps(stages: DataFrame, scored: DataFrame) -> DataFrame:

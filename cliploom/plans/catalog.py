@@ -16,7 +16,7 @@ from ..operators import coverage, duplicates, geometry, library, ranking, usage
 from ..sources.adapters import REVIEWS, STAGES
 from ..sources.adapters import library as table
 from ..sources.adapters import oracle
-from . import intake, objectives, rules, upkeep
+from . import decisions, intake, objectives, records, rules, upkeep
 
 #: The moment that ages are measured from.
 AS_OF = "2001-12-31 00:00:00"
@@ -234,8 +234,8 @@ SELECT clip_id, round_even(greatest(min(s), 0), 4) AS "start", round_even(max(e)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run for name, (run, _) in {**QUERIES, **intake.QUERIES, **upkeep.QUERIES, **objectives.QUERIES, **rules.QUERIES}.items()}
+    return {name: run for name, (run, _) in {**QUERIES, **intake.QUERIES, **upkeep.QUERIES, **objectives.QUERIES, **rules.QUERIES, **decisions.QUERIES, **records.QUERIES}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(sql) for name, (_, sql) in {**QUERIES, **intake.QUERIES, **upkeep.QUERIES, **objectives.QUERIES, **rules.QUERIES}.items() if sql}
+    return {name: oracle(sql) for name, (_, sql) in {**QUERIES, **intake.QUERIES, **upkeep.QUERIES, **objectives.QUERIES, **rules.QUERIES, **decisions.QUERIES, **records.QUERIES}.items() if sql}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import coverage, duplicates, objectives
+from ..sources.adapters import STAGES
 from ..sources.adapters import library as table
+from .decisions import FAMILY_SQL as _FAMILY
 
 _PHRASES = ["heat pump", "inside dryer", "drying equipment", "factory line", "finished product", "drying process", "farm"]
 _PHRASE_SQL = "CASE part_no % 7 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PHRASES)) + " END"
@@ -20,13 +22,14 @@ def _queries(spark, sf_dir):
 
 
 _Q = f"q AS (SELECT p_partkey AS part_no, p_name AS material, CASE WHEN p_partkey % 10 = 0 THEN p_name ELSE p_name || ' ' || {_PHRASE_SQL.replace('part_no', 'p_partkey')} END AS query, p_retailprice AS score, p_size % 5 AS objective FROM part)"
-_FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(query, '{'|'.join(words)}') THEN '{name}'" for name, words in objectives.FAMILIES) + " ELSE 'other' END"
-_COUNTS = "c AS (SELECT CASE WHEN trim(category) = '' THEN '(legacy)' ELSE category END AS category, stage, count(*) AS total FROM clips GROUP BY 1, 2), k AS (SELECT category, stage, 400 - total AS missing FROM c WHERE total < 400)"
-_TEMPLATES = ", ".join(f"('{s}', {i}, '{t}')" for s, texts in objectives.TEMPLATES for i, t in enumerate(texts))
+_STAGE_ROWS = ", ".join(f"('{s}')" for s in STAGES)
+_COUNTS = f"""c0 AS (SELECT CASE WHEN trim(category) = '' THEN '(legacy)' ELSE category END AS category, CASE WHEN trim(stage) = '' THEN 'other' ELSE stage END AS stage, count(*) AS total FROM clips GROUP BY 1, 2),
+c AS (SELECT category, stage, COALESCE(total, 0) AS total FROM (SELECT DISTINCT category FROM c0) x CROSS JOIN (VALUES {_STAGE_ROWS}) s(stage) LEFT JOIN c0 USING (category, stage)),
+k AS (SELECT category, stage, 400 - total AS missing FROM c WHERE total < 400)"""
 
 
 def _stages(spark, sf_dir):
-    return coverage.stages(table(spark, sf_dir, "clips"), 400).filter("total > 0")
+    return coverage.stages(table(spark, sf_dir, "clips"), 400)
 
 
 def _scored(spark, sf_dir):
@@ -69,10 +72,11 @@ def _detail(spark, sf_dir):
 
 
 QUERIES = {
-    "query_family": (lambda s, d: _queries(s, d).select("part_no", objectives.family(F.col("query")).alias("family")), f"WITH {_Q} SELECT part_no, {_FAMILY} AS family FROM q"),
     "prioritize_queries": (lambda s, d: objectives.prioritized(_queries(s, d).select("material", "query").distinct()).select("material", "query", "place"), f"WITH {_Q} SELECT material, query, CAST(row_number() OVER (PARTITION BY material ORDER BY len(string_split(query, ' ')) - len(string_split(material, ' ')) DESC, length(query) DESC, query) AS INT) AS place FROM (SELECT DISTINCT material, query FROM q)"),
-    "family_pick": (lambda s, d: objectives.best_per_family(_queries(s, d)).select("objective", "family", "query", "score"), f"WITH {_Q}, f AS (SELECT objective, {_FAMILY} AS family, query, score FROM q) SELECT objective, family, query, score FROM (SELECT *, row_number() OVER (PARTITION BY objective, family ORDER BY score DESC, query) AS place FROM f) WHERE place = 1"),
-    "recommended_queries": (lambda s, d: objectives.recommended(_stages(s, d)), f"WITH {_COUNTS}, t(stage, turn, template) AS (VALUES {_TEMPLATES}) SELECT category, stage, CAST(turn AS INT) AS turn, replace(template, '{{}}', category) AS query FROM k JOIN t USING (stage)"),
+    "family_pick": (
+        lambda s, d: objectives.best_per_family(table(s, d, "searches").select(F.col("reference").alias("objective"), "query", "clips")),
+        f"SELECT reference AS objective, {_FAMILY} AS family, query, clips FROM searches QUALIFY row_number() OVER (PARTITION BY 1, 2 ORDER BY clips DESC, query) = 1".replace("PARTITION BY 1, 2", f"PARTITION BY reference, {_FAMILY}"),
+    ),
     "keyword_relevance": (_posts, "SELECT * FROM (SELECT doc_id, CAST(contains(lower(text), 'license') AS INT) + CAST(contains(lower(text), 'password') AS INT) + CAST(contains(lower(text), 'the') AS INT) AS hits FROM documents) WHERE hits > 0"),
     "production_gaps": (lambda s, d: objectives.production_gaps(_stages(s, d), _scored(s, d)), f"WITH {_COUNTS}, y AS (SELECT CASE CAST(substr(query, 2) AS INT) % 3 WHEN 0 THEN 'apple dry' WHEN 1 THEN 'banana dry' ELSE 'mango slice' END AS category, query, sum(clips)::DOUBLE AS score FROM yields GROUP BY 1, 2), b AS (SELECT category, arg_max(query, (score, query)) AS best_query, max(score) AS score FROM y GROUP BY 1) SELECT category, stage, missing, best_query, round_even(missing / 400.0::DOUBLE * CASE WHEN COALESCE(score, 0) > 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END, 4) AS value FROM k LEFT JOIN b USING (category)"),
     "plan_linkage": (lambda s, d: objectives.linkage(_tasks(s, d), table(s, d, "sources"), table(s, d, "clips")), "WITH m AS (SELECT source_id, count(*) AS n FROM clips GROUP BY 1) SELECT task_id % 40 AS plan_id, count(DISTINCT task_id) AS tasks, count(*) AS sources, CAST(COALESCE(sum(n), 0) AS BIGINT) AS clips FROM sources LEFT JOIN m USING (source_id) GROUP BY 1"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import coverage, upkeep
+from ..sources.adapters import STAGES
 from ..sources.adapters import library as table
 
 
@@ -40,8 +41,9 @@ def _found(sources):
 
 
 _GAPS = """
-g AS (SELECT CASE WHEN trim(category) = '' THEN '(legacy)' ELSE category END AS category, stage, count(*) AS total FROM clips GROUP BY 1, 2),
-k AS (SELECT category, stage, 400 - total AS missing, CASE WHEN total / 400.0 < 0.5 THEN 1 ELSE 2 END AS p FROM g WHERE total < 400),
+g0 AS (SELECT CASE WHEN trim(category) = '' THEN '(legacy)' ELSE category END AS category, CASE WHEN trim(stage) = '' THEN 'other' ELSE stage END AS stage, count(*) AS total FROM clips GROUP BY 1, 2),
+g AS (SELECT category, stage, COALESCE(total, 0) AS total FROM (SELECT DISTINCT category FROM g0) x CROSS JOIN (VALUES """ + ", ".join(f"('{s}')" for s in STAGES) + """) s(stage) LEFT JOIN g0 USING (category, stage)),
+k AS (SELECT category, stage, 400 - total AS missing, CASE WHEN total = 0 THEN 0 WHEN total / 400.0 < 0.5 THEN 1 ELSE 2 END AS p FROM g WHERE total < 400),
 r AS (SELECT *, COALESCE(sum(missing) OVER (PARTITION BY category ORDER BY p, missing DESC, stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)"""
 
 QUERIES = {
@@ -63,5 +65,5 @@ SELECT version, count(*) AS n, count(DISTINCT description) AS descriptions, coun
     "release_sources": (_one("sources", lambda s: upkeep.release(s, s.filter("task_id % 3 = 0"))), "SELECT source_id, CASE WHEN task_id % 3 = 0 AND status = 'downloading' THEN 'discovered' ELSE status END AS status FROM sources"),
     "subtitle_report": (_one("clips", upkeep.subtitle_report), "SELECT category, CASE WHEN subtitle_type = 'none' THEN 'clean' WHEN subtitle_type IN ('bottom_simple', 'top_simple', 'single_region', 'watermark_only') THEN 'simple' WHEN subtitle_type = 'unknown' THEN 'unknown' ELSE 'hard' END AS bucket, count(*) AS n, round_even(avg(1 - subtitle_score), 4) AS avg_cleanliness FROM clips GROUP BY 1, 2"),
     "production_ready": (_pair("clips", "sources", upkeep.production_ready), "SELECT category, count(*) AS n, count(*) FILTER (WHERE review_status IN ('approved', 'unreviewed', '') AND subtitle_score <= 0.35::DOUBLE AND source_id IN (SELECT source_id FROM sources) AND duration BETWEEN 3 AND 15) AS ready FROM clips GROUP BY 1"),
-    "plan_draft": (_one("clips", lambda c: upkeep.draft(coverage.gaps(c, 400).filter("total > 0"), 500)), f"WITH {_GAPS} SELECT category, stage, missing, CAST(least(missing, 500 - before) AS BIGINT) AS requested FROM r WHERE 500 - before > 0"),
+    "plan_draft": (_one("clips", lambda c: upkeep.draft(coverage.gaps(c, 400), 500)), f"WITH {_GAPS} SELECT category, stage, missing, CAST(least(missing, 500 - before) AS BIGINT) AS requested FROM r WHERE 500 - before > 0"),
 }

@@ -28,6 +28,8 @@ SUBTITLES = [
 ]
 STATUSES = ["discovered", "rejected_preview", "failed", "downloading", "completed", "analyzed", "no_usable_segment", "duplicate"]
 REASONS = ["", "subtitle_too_complex", "low_quality", "duplicate_source", "duration_unresolved", "no_material"]
+MATERIALS = ["苹果干", "香蕉", "芒果片", "辣椒干", "香菇", "枸杞", "苹果"]
+PHRASES = ["烘干过程", "热泵烘干", "烘干机内部", "", "成品", "车间", "烘干设备", "烘房烘干", "价格"]
 
 #: name -> (tables it reads, SQL)
 ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -68,6 +70,14 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN l_partkey % 61 % 5 = 0 THEN 0 ELSE CAST(floor(l_quantity / 4e0) AS BIGINT) END AS fresh,
           CAST(floor(l_quantity / 3e0) AS BIGINT) AS known, l_shipdate AS created_at
         FROM {lineitem}"""),
+    "searches": (("lineitem",), f"""
+        SELECT query, min(reference) AS reference, CAST(sum(clips) AS BIGINT) AS clips, CAST(CAST(sum(clips) AS BIGINT) AS DOUBLE) / CAST(sum(n) AS BIGINT) AS score,
+          CAST(min(known) AS DOUBLE) / 1e1 AS rediscovery
+        FROM (SELECT concat({pick('l_partkey % 61', MATERIALS)}, {pick('floor(l_partkey % 61 / 7e0)', PHRASES)}) AS query, {pick('l_partkey % 61 * 3', MATERIALS)} AS reference,
+            CAST(l_quantity AS BIGINT) AS n, l_partkey % 10 AS known, CASE WHEN l_partkey % 61 % 8 = 0 THEN 0 ELSE CAST(floor(l_quantity / 12e0) AS BIGINT) END AS clips FROM {{lineitem}}) x
+        GROUP BY query"""),
+    "wanted": (("part",), f"""
+        SELECT DISTINCT {pick('p_partkey', MATERIALS)} AS category FROM {{part}}"""),
     "regions": (("events",), """
         SELECT CAST(floor(event_id / 12e0) AS BIGINT) AS clip_id, CAST(floor(event_id % 12 / 3e0) AS BIGINT) AS frame,
           (event_id * 37 % 700) / 1e3 AS x1, (event_id * 53 % 880) / 1e3 AS y1,
