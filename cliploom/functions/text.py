@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 #: Redactions in order, fixed values: bearer tokens, sk- keys, key=value secrets.
 SECRETS = (
-    (r"(?i)bearer\s+[A-Za-z0-9._-]+", "Bearer <redacted>"),
-    (r"sk-[A-Za-z0-9_-]{6,}", "<redacted>"),
-    (r"(?i)(api[_-]?key|token|secret|password)\s*[=:]\s*[^\s,;]+", "$1=<redacted>"),
+    (r"(?i)\b(bearer)\s+[A-Za-z0-9._-]+", "Bearer <redacted>"),
+    (r"\bsk-[A-Za-z0-9._-]{6,}", "sk-<redacted>"),
+    (r"(?i)\b(api[-_]?key|authorization|token|secret|password|cookie)\b\s*[:=]\s*[\"']?([^\s\"',;)]+)", "$1=<redacted>"),
 )
 
 
 def sanitize_error(c: Column, most: int = 600) -> Column:
+    """Credentials out, then at most ``most`` characters, the last three of a cut text being dots; null is empty."""
+    c = F.coalesce(c, F.lit(""))
     for pattern, text in SECRETS:
         c = F.regexp_replace(c, pattern, text)
-    return F.substring(c, 1, most)
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 3), F.lit("..."))).otherwise(c)
 
 
 def redact_digits(c: Column) -> Column:

@@ -53,7 +53,7 @@ def stages(clips: DataFrame, target: int = TARGET, approved_only: bool = False)
     count = F.when(F.lit(approved_only) & F.col("stage").isin(STAGES), approved).otherwise(total)
     return full.select(
         "category", "stage", count.alias("count"), total.alias("total"), approved.alias("approved"), goal.alias("target"),
-        F.greatest(goal - total, F.lit(0)).alias("missing"), ratio(total, goal).alias("ratio"), priority(total, goal).alias("priority"),
+        F.greatest(goal - total, F.lit(0)).alias("missing"), F.when(goal <= 0, 1.0).otherwise(ratio(total, goal)).alias("ratio"), priority(total, goal).alias("priority"),
     )
 
 

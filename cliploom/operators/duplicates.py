@@ -35,6 +35,12 @@ def by_sha(new: DataFrame, library: DataFrame) -> DataFrame:
     return new.join(first, "sha").select("clip_id", "match_id")
 
 
+def by_content_key(new: DataFrame, library: DataFrame) -> DataFrame:
+    """The first library clip with the same content key (``key``)."""
+    first = library.filter("key <> ''").groupBy("key").agg(F.min("clip_id").alias("match_id"))
+    return new.join(first, "key").select("clip_id", "match_id")
+
+
 def close_values(mine: DataFrame, theirs: DataFrame, scope: str = "category", radius: int = RADIUS) -> DataFrame:
     """Pairs (a, b) of distinct valid hashes of a scope within ``radius``, equal ones among them.
 
@@ -61,13 +67,18 @@ def by_phash(new: DataFrame, library: DataFrame, scope: str = "category", radius
     return held.groupBy(scope, F.col("a").alias("phash")).agg(F.min(F.struct("match_id", "distance")).alias("m")).select(scope, "phash", "m.match_id", "m.distance")
 
 
-def cascade(new: DataFrame, library: DataFrame, scope: str = "category") -> DataFrame:
-    """The first detector that finds a duplicate: exact hash, then perceptual hash."""
+def cascade(new: DataFrame, library: DataFrame, scope: str = "category", with_key: bool = False) -> DataFrame:
+    """The first detector that finds a duplicate: exact hash, perceptual hash, then (if asked for) content key."""
     exact = by_sha(new, library).select("clip_id", F.col("match_id").alias("exact_id"))
     near = new.join(by_phash(new, library, scope), [scope, "phash"]).select("clip_id", F.col("match_id").alias("near_id"), "distance")
     joined = new.select("clip_id").join(exact, "clip_id", "left").join(near, "clip_id", "left")
-    kind = F.when(F.col("exact_id").isNotNull(), "sha256").when(F.col("near_id").isNotNull(), "phash")
-    return joined.select("clip_id", kind.alias("detector"), F.coalesce("exact_id", "near_id").alias("match_id"), F.when(F.col("exact_id").isNull(), F.col("distance")).alias("distance")).filter("detector IS NOT NULL")
+    if with_key:
+        joined = joined.join(by_content_key(new, library).select("clip_id", F.col("match_id").alias("key_id")), "clip_id", "left")
+    else:
+        joined = joined.withColumn("key_id", F.lit(None).cast("long"))
+    kind = F.when(F.col("exact_id").isNotNull(), "sha256").when(F.col("near_id").isNotNull(), "phash").when(F.col("key_id").isNotNull(), "content_key")
+    found = joined.select("clip_id", kind.alias("detector"), F.coalesce("exact_id", "near_id", "key_id").alias("match_id"), F.when(kind == "phash", F.col("distance")).alias("distance"))
+    return found.filter("detector IS NOT NULL")
 
 
 def in_order(batch: DataFrame, library: DataFrame, save, scope: str = "category") -> DataFrame:

@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOP, BOTTOM = 0.25, 0.7
-
-
-def geometry(regions: DataFrame) -> DataFrame:
-    width, height = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    middle = (F.col("y1") + F.col("y2")) / 2
-    zone = F.when(middle >= BOTTOM, "bottom").when(middle <= TOP, "top").otherwise("center")
-    return regions.select("*", F.bround(width * height, 6).alias("area"), F.bround(middle, 6).alias("center_y"), zone.alias("zone"))
+# ---- fixed values: defaults of the limits and the promotional words ----------------
+CENTER_START, BOTTOM_START = 0.25, 0.72
+BAND_WIDTH, BAND_HEIGHT = 0.70, 0.08
+WATERMARK_AREA, WATERMARK_MARGIN, SMALL_AREA, CENTER_AREA = 0.02, 0.18, 0.02, 0.10
+PROMOTION = ("价格", "优惠", "特价", "私信", "咨询", "联系电话", "电话", "微信", "下单", "购买", "厂家", "扫码", "批发", "包邮", "限时")
+# ---- end of fixed values -----------------------------------------------------------
+
+
+def geometry(regions: DataFrame, center_start: float = CENTER_START, bottom_start: float = BOTTOM_START) -> DataFrame:
+    """Boxes with their ratios, centre, zone, and whether they are a small mark in a corner."""
+    width = F.bround(F.greatest(F.col("x2") - F.col("x1"), F.lit(0.0)), 4)
+    height = F.bround(F.greatest(F.col("y2") - F.col("y1"), F.lit(0.0)), 4)
+    area = F.bround(width * height, 5)
+    middle = lambda a, b: F.bround((F.col(a) + F.col(b)) / 2, 4)
+    zone = F.when(middle("y1", "y2") < center_start, "top").when(middle("y1", "y2") < bottom_start, "center").otherwise("bottom")
+    side = lambda low, high: (F.col(high) <= WATERMARK_MARGIN) | (F.col(low) >= 1 - WATERMARK_MARGIN)
+    mark = (area <= WATERMARK_AREA) & side("x1", "x2") & side("y1", "y2")
+    return regions.select("*", width.alias("width"), height.alias("height"), area.alias("area"), middle("x1", "x2").alias("center_x"), middle("y1", "y2").alias("center_y"), zone.alias("zone"), mark.alias("watermark"))
 
 
 def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -23,20 +33,36 @@ def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.when(union > 0, F.bround(w * h / union, 6)).otherwise(0.0)
 
 
-def frames(regions: DataFrame) -> DataFrame:
-    """Per frame: boxes, area per zone, the largest box."""
-    zone_area = lambda z: F.bround(F.sum(F.when(F.col("zone") == z, F.col("area")).otherwise(0.0)), 6).alias(f"{z}_area")
-    return geometry(regions).groupBy("clip_id", "frame").agg(
-        F.count("*").alias("boxes"), F.bround(F.sum("area"), 6).alias("area"), zone_area("top"), zone_area("center"), zone_area("bottom"), F.max("area").alias("largest")
-    )
+def frames(regions: DataFrame, sampled: DataFrame, words: tuple[str, ...] = PROMOTION) -> DataFrame:
+    """Per sampled frame: boxes, area by zone, bands, watermarks, significant zones, promotion; frames without a box are rows too."""
+    boxes = geometry(regions)
+    has = F.col("area").isNotNull()
+    total = lambda cond: F.bround(F.sum(F.when(cond, F.col("area")).otherwise(0.0)), 5)
+    large = F.col("area") > SMALL_AREA
+    return sampled.join(boxes, ["clip_id", "frame"], "left").groupBy("clip_id", "frame").agg(
+        F.count_if(has).alias("boxes"), F.count_if(large).alias("significant"), total(has).alias("area"), F.coalesce(F.max("area"), F.lit(0.0)).alias("largest"),
+        *[total(F.col("zone") == z).alias(f"{z}_area") for z in ("top", "center", "bottom")],
+        F.count_if((F.col("width") >= BAND_WIDTH) & (F.col("height") >= BAND_HEIGHT)).alias("bands"), total(F.col("watermark")).alias("watermark_area"),
+        F.sort_array(F.collect_set(F.when(large, F.col("zone")))).alias("zones"), F.sort_array(F.collect_set("zone")).alias("all_zones"),
+        F.coalesce(F.bool_or(F.col("words").rlike("|".join(words))), F.lit(False)).alias("promotion"),
+    )
 
 
-def temporal(regions: DataFrame, per_clip: int = 4) -> DataFrame:
-    """Per clip: share of its sampled frames with text, by zone; frames without a box count."""
-    share = lambda cond: F.bround(F.count_if(cond) / per_clip, 4)
-    return frames(regions).groupBy("clip_id").agg(
-        share(F.lit(True)).alias("presence"), share(F.col("top_area") > 0).alias("top"), share(F.col("center_area") > 0).alias("center"),
-        share(F.col("bottom_area") > 0).alias("bottom"), F.bround(F.avg("area"), 4).alias("avg_area"), F.max("boxes").alias("most_boxes"),
+def temporal(frames: DataFrame, digits: int = 5) -> DataFrame:
+    """Per clip: the six persistence ratios over its sampled frames, averages, and what the classes need."""
+    n = F.count("*")
+    share = lambda cond: F.bround(F.count_if(cond) / n, 4)
+    mean = lambda c: F.bround(F.sum(c) / n, digits)
+    shown = F.when(F.size("zones") > 0, F.col("zones")).otherwise(F.col("all_zones"))
+    any_text = F.max("boxes") > 0
+    return frames.groupBy("clip_id").agg(
+        share(F.col("boxes") > 0).alias("presence"), share(F.col("bottom_area") > 0).alias("bottom"), share(F.col("center_area") >= CENTER_AREA).alias("center"),
+        share(F.col("largest") >= CENTER_AREA).alias("large"), share(F.size(shown) >= 2).alias("multi"), share(F.col("bands") > 0).alias("band"),
+        mean("area").alias("avg_area"), *[mean(f"{z}_area").alias(f"avg_{z}") for z in ("top", "center", "bottom")],
+        F.max("boxes").alias("most_boxes"), F.max("significant").alias("most_significant"),
+        (any_text & F.bool_and((F.col("boxes") == 0) | (F.col("watermark_area") >= F.col("area") - 1e-9))).alias("watermark_only"),
+        (F.count_if(F.col("promotion")) >= F.greatest(F.lit(1), F.floor(n / 2))).alias("promotion"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("zones")))).alias("zones"),
     )
 
 
@@ -61,8 +87,8 @@ def intervals(points: DataFrame, keys: list[str], at: str, gap: float, pad: floa
     return apart.withColumn("island", F.sum("opens").over(v)).groupBy(*keys, "island").agg(F.greatest(F.min("start"), F.lit(0.0)).alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def without_overlaps(segments: DataFrame, key: str, slack: float = 0.5, most: int = 6) -> DataFrame:
-    """Segments in order of start; one that begins before the last kept one ends (less ``slack``) is dropped."""
+def without_overlaps(segments: DataFrame, key: str, slack: float = 0.5, most: int = 12) -> DataFrame:
+    """Segments in order of start; one that begins before the last kept one ends (less ``slack``) is dropped, and ``most`` stay."""
     ordered = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
     empty = F.expr("cast(array() as array<struct<start:double,end:double>>)")
 

@@ -6,24 +6,51 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Weights of the cleanliness penalties, fixed values.
-PENALTIES = {"presence": 0.25, "bottom": 0.10, "center": 0.35, "avg_area": 1.0}
-
-
-def cleanliness(metrics: DataFrame) -> DataFrame:
-    """1 less weighted penalties, between 0 and 1."""
-    loss = sum((F.coalesce(c, F.lit(0.0)) * w for c, w in PENALTIES.items()), F.lit(0.0))
-    return metrics.withColumn("cleanliness", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - loss)), 4))
-
-
-def classify(metrics: DataFrame) -> DataFrame:
-    """The first class whose rule holds."""
+from . import geometry
+
+# ---- fixed values: defaults of the penalties and limits ----------------------------
+PENALTIES = {
+    "center_text": 0.45, "multi_region": 0.35, "text_area": 0.30, "band": 0.25, "dense_text": 0.20, "bottom_simple": 0.08,
+    "top_simple": 0.06, "watermark": 0.02, "promotion": 0.25,
+}
+LIMITS = {
+    "simple_bottom_area": 0.12, "simple_bottom_boxes": 3, "center_area": 0.10, "dense_area": 0.25, "multi": 0.40, "center": 0.50, "band": 0.40,
+}
+#: Thresholds of stable tracks and guards of masks.
+STABLE = {"samples": 2, "persistence": 0.55, "seconds": 0.30, "jitter": 0.05, "growth": 0.75, "area": 0.10, "union_area": 0.15}
+MASK = {"pad": 0.02, "width": 0.90, "height": 0.30, "area": 0.10, "total": 0.20, "count": 3}
+# ---- end of fixed values -----------------------------------------------------------
+
+
+def classify(metrics: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
+    """The first of twelve classes whose rule holds; no sampled frame at all means ``unknown``."""
+    only = lambda z: F.col("shown") == F.array(F.lit(z))
+    zones = F.filter(F.array(*[F.when(F.col(f"avg_{z}") > 0, z) for z in ("bottom", "center", "top")]), lambda z: z.isNotNull())
+    rows = metrics.withColumn("shown", F.when(F.size("zones") > 0, F.col("zones")).otherwise(zones))
+    many = F.col("multi") >= limits["multi"]
+    simple = (F.col("avg_area") <= limits["simple_bottom_area"]) & (F.col("most_significant") <= limits["simple_bottom_boxes"])
     kind = (
-        F.when(F.col("presence") == 0, "none").when(F.col("most_boxes") >= 6, "dense_text").when((F.col("center") >= 0.5) & (F.col("avg_area") >= 0.05), "large_center_text")
-        .when((F.col("bottom") > 0) & (F.col("top") + F.col("center") == 0), "bottom_simple").when((F.col("top") > 0) & (F.col("bottom") + F.col("center") == 0), "top_simple")
-        .when(F.col("most_boxes") == 1, "single_region").otherwise("multi_region")
+        F.when(F.col("presence").isNull(), "unknown").when(F.col("most_boxes") == 0, "none").when(F.col("watermark_only"), "watermark_only").when(F.col("promotion"), "promotional_overlay")
+        .when(F.col("avg_area") >= limits["dense_area"], "dense_text").when((F.col("avg_center") >= limits["center_area"]) & (F.col("center") >= limits["center"]), "large_center_text")
+        .when((F.col("band") >= limits["band"]) & many, "colored_block").when(many, "multi_region").when(F.col("band") >= limits["band"], "colored_block")
+        .when(only("bottom") & simple, "bottom_simple").when(only("bottom"), "single_region").when(only("top"), "top_simple").when(F.col("most_boxes") <= 1, "single_region").otherwise("complex")
+    )
+    return rows.withColumn("subtitle_class", kind).drop("shown")
+
+
+def cleanliness(classified: DataFrame, weights: dict[str, float] = PENALTIES, limits: dict[str, float] = LIMITS) -> DataFrame:
+    """1 less the weighted penalties, between 0 and 1; 1 without text, 0 where nothing was measured."""
+    part = lambda c, whole: F.least(F.lit(1.0), c / whole)
+    on = lambda cond, name: F.when(cond, weights[name]).otherwise(0.0)
+    kind = F.col("subtitle_class")
+    loss = (
+        weights["center_text"] * F.col("center") * part(F.col("avg_center"), limits["center_area"]) + weights["multi_region"] * F.col("multi")
+        + weights["text_area"] * part(F.greatest(F.lit(0.0), F.col("avg_area") - F.col("avg_bottom")), limits["dense_area"]) + weights["band"] * F.col("band")
+        + weights["bottom_simple"] * F.col("bottom") + on(~F.col("watermark_only") & (F.col("avg_top") > 0), "top_simple") + on(kind == "dense_text", "dense_text")
+        + on(F.col("watermark_only"), "watermark") + on(F.col("promotion"), "promotion")
     )
-    return metrics.withColumn("subtitle_class", kind)
+    score = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - loss)), 3)
+    return classified.withColumn("cleanliness", F.when(kind == "none", 1.0).when(kind == "unknown", 0.0).otherwise(score))
 
 
 def tracks(boxes: DataFrame, least_iou: float = 0.3, most_distance: float = 0.15) -> DataFrame:
@@ -62,26 +89,48 @@ def tracks(boxes: DataFrame, least_iou: float = 0.3, most_distance: float = 0.15
 
 
 def track_stats(tracked: DataFrame, samples: int) -> DataFrame:
-    middle = (F.col("y1") + F.col("y2")) / 2
-    return tracked.groupBy("clip_id", "track").agg(
-        F.count("*").alias("boxes"), F.bround(F.countDistinct("t") / samples, 4).alias("persistence"), F.bround(F.stddev_pop(middle), 6).alias("jitter_y"),
-        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
+    """Per track: boxes, persistence, first and last time, jitter of the centres, median and union box, growth of the union."""
+    center = lambda a, b: (F.col(a) + F.col(b)) / 2
+    names = ("x1", "y1", "x2", "y2")
+    area = lambda p: (F.col(f"{p}x2") - F.col(f"{p}x1")) * (F.col(f"{p}y2") - F.col(f"{p}y1"))
+    stats = tracked.groupBy("clip_id", "track").agg(
+        F.count("*").alias("boxes"), F.bround(F.countDistinct("t") / samples, 4).alias("persistence"), F.min("t").alias("first_seen"), F.max("t").alias("last_seen"),
+        F.bround(F.stddev_pop(center("y1", "y2")), 6).alias("jitter_y"), F.bround(F.stddev_pop(center("x1", "x2")), 6).alias("jitter_x"),
+        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), *[F.median(c).alias(f"median_{c}") for c in names],
     )
+    sized = stats.withColumns({"union_area": F.bround(area(""), 6), "median_area": F.bround(area("median_"), 6)})
+    return sized.withColumn("growth", F.bround(F.coalesce(F.try_divide(F.col("union_area") - F.col("median_area"), "median_area"), F.lit(0.0)), 4))
+
 
+def stable(stats: DataFrame, limits: dict[str, float] = STABLE) -> DataFrame:
+    """Tracks that pass all seven thresholds; the time rule spares those that are nearly always there."""
+    brief = (F.col("persistence") < 0.9) & (F.col("last_seen") - F.col("first_seen") < limits["seconds"])
+    return stats.filter(
+        (F.col("boxes") >= max(2, limits["samples"])) & (F.col("persistence") >= limits["persistence"]) & ~brief & (F.coalesce("jitter_y", F.lit(0.0)) <= limits["jitter"])
+        & (F.col("growth") <= limits["growth"]) & (F.col("median_area") <= limits["area"]) & (F.col("union_area") <= limits["union_area"])
+    )
 
-def stable(stats: DataFrame, persistence: float = 0.5, jitter: float = 0.05) -> DataFrame:
-    return stats.filter((F.col("persistence") >= persistence) & (F.coalesce("jitter_y", F.lit(0.0)) <= jitter))
 
+def masks(stats: DataFrame, clips: DataFrame, guards: dict[str, float] = MASK) -> DataFrame:
+    """Per clip the padded boxes of its largest safe tracks, or one row with the reason why there is none.
 
-def masks(stats: DataFrame, pad: float = 0.01, most_area: float = 0.35, count: int = 3) -> DataFrame:
-    """Padded boxes of the largest stable tracks; a box above the guard is refused with a reason."""
-    box = stats.select(
-        "clip_id", "track", F.greatest(F.col("x1") - pad, F.lit(0.0)).alias("x1"), F.greatest(F.col("y1") - pad, F.lit(0.0)).alias("y1"),
-        F.least(F.col("x2") + pad, F.lit(1.0)).alias("x2"), F.least(F.col("y2") + pad, F.lit(1.0)).alias("y2"),
-    )
-    sized = box.withColumn("area", F.bround((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")), 6))
-    top = sized.groupBy("clip_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("area", "track", "x1", "y1", "x2", "y2")), asc=False), 1, count).alias("m"))
-    return top.select("clip_id", F.explode("m").alias("m")).select("clip_id", "m.*", F.when(F.col("m.area") > most_area, "mask_geometry_guard").alias("reason"))
+    Guards on width, height and area come before the choice of the largest, the guard on the
+    total after it. ``clips`` names the clips that a verdict is wanted for.
+    """
+    pad = guards["pad"]
+    low = lambda c: F.bround(F.greatest(F.lit(0.0), F.least(F.col(c) - pad, F.lit(1.0))), 5).alias(c)
+    high = lambda c: F.bround(F.greatest(F.lit(0.0), F.least(F.col(c) + pad, F.lit(1.0))), 5).alias(c)
+    boxes = stats.select("clip_id", "track", low("x1"), low("y1"), high("x2"), high("y2"))
+    wide, tall = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    sized = boxes.withColumn("area", F.bround(wide * tall, 6))
+    safe = (wide > 0) & (tall > 0) & (wide <= guards["width"]) & (tall <= guards["height"]) & (F.col("area") <= guards["area"])
+    item = F.struct((-F.col("area")).alias("o"), "track", "x1", "y1", "x2", "y2", "area")
+    best = sized.groupBy("clip_id").agg(F.slice(F.array_sort(F.array_compact(F.collect_list(F.when(safe, item)))), 1, int(guards["count"])).alias("m"))
+    joined = clips.select("clip_id").distinct().join(best, "clip_id", "left")
+    total = F.aggregate("m", F.lit(0.0), lambda a, x: a + x["area"])
+    reason = F.when(F.col("m").isNull(), "no_stable_subtitle_track").when(F.size("m") == 0, "mask_geometry_guard").when(total > guards["total"], "mask_total_area_guard")
+    rows = joined.withColumn("reason", reason).select("clip_id", "reason", F.explode_outer(F.when(reason.isNull(), F.col("m"))).alias("m"))
+    return rows.select("clip_id", "m.track", "m.x1", "m.y1", "m.x2", "m.y2", "m.area", "reason")
 
 
 def snap(segments: DataFrame, boundaries: DataFrame, tolerance: float = 1.5) -> DataFrame:
@@ -98,24 +147,43 @@ def snap(segments: DataFrame, boundaries: DataFrame, tolerance: float = 1.5) ->
 
 
 def split_long(segments: DataFrame, most: float = 15.0, least: float = 3.0, tolerance: float = 1.5) -> DataFrame:
-    """Long ranges cut at the boundary nearest to each full length, else there; a short tail joins the last piece."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                cuts, at = [r.start], r.start
-                while r.end - at > most:
-                    goal = at + most
-                    near = [t for t in r.ts if at + least <= t <= goal and goal - t <= tolerance]
-                    at = max(near) if near else goal
-                    cuts.append(at)
-                if len(cuts) > 1 and r.end - cuts[-1] < least:
-                    cuts.pop()
-                rows += [(r.video_id, a, b) for a, b in zip(cuts, [*cuts[1:], r.end])]
-            yield pd.DataFrame(rows, columns=["video_id", "start", "end"])
-
-    return segments.select("video_id", "start", "end", "ts").mapInPandas(run, "video_id long, start double, end double")
+    """Ranges longer than ``most`` cut at the boundary nearest to each full length, else there; a short tail joins the last piece.
+
+    ``ts`` holds a video's boundaries. Each cut depends on the one before, so a fold over as
+    many turns as pieces can be makes them.
+    """
+    begin, end = F.col("start"), F.col("end")
+    turns = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil((end - begin) / least).cast("int")))
+
+    def step(acc: Column, _: Column) -> Column:
+        ideal = acc["at"] + most
+        near = F.array_min(F.transform(F.filter("ts", lambda t: F.abs(t - ideal) <= tolerance), lambda t: F.struct(F.abs(t - ideal).alias("d"), t.alias("t"))))
+        cut = F.coalesce(F.nullif(near["t"], F.lit(0.0)), ideal)
+        cut = F.when((cut - acc["at"] < least) | (cut >= end), F.least(ideal, end)).otherwise(cut)
+        more = F.struct(cut.alias("at"), F.concat(acc["cuts"], F.array(cut)).alias("cuts"), F.lit(False).alias("done"))
+        stop = acc["done"] | (end - acc["at"] <= most + 0.01) | (end - cut < least)
+        return F.when(stop, F.struct(acc["at"].alias("at"), acc["cuts"].alias("cuts"), F.lit(True).alias("done"))).otherwise(more)
+
+    first = F.struct(begin.alias("at"), F.expr("cast(array() as array<double>)").alias("cuts"), F.lit(False).alias("done"))
+    cuts = F.aggregate(turns, first, step, lambda acc: acc["cuts"])
+    last = F.try_element_at(F.col("cuts"), F.lit(-1))
+    inner = F.when(F.col("end") - last < least, F.slice("cuts", F.lit(1), F.size("cuts") - 1)).otherwise(F.col("cuts"))
+    marks = F.concat(F.array("start"), inner, F.array("end"))
+    pairs = F.zip_with(F.slice(marks, F.lit(1), F.size(marks) - 1), F.slice(marks, F.lit(2), F.size(marks)), lambda a, b: F.struct(F.bround(a, 3).alias("start"), F.bround(b, 3).alias("end")))
+    whole = F.array(F.struct(F.col("start").alias("start"), F.col("end").alias("end")))
+    rows = segments.select("video_id", "start", "end", cuts.alias("cuts"))
+    rows = rows.select("video_id", F.explode(F.when(F.size("cuts") > 0, pairs).otherwise(whole)).alias("s"))
+    return rows.select("video_id", "s.start", "s.end").filter(F.col("end") - F.col("start") >= least)
+
+
+def normalized(segments: DataFrame, durations: DataFrame, boundaries: DataFrame, least: float = 3.0, most: float = 15.0, tolerance: float = 1.5, slack: float = 0.5, count: int = 12) -> DataFrame:
+    """Raw ranges made fit: clamped to the video, unusable and short ones dropped, long ones split, later overlapping ones dropped, the first ``count`` kept."""
+    held = boundaries.groupBy("video_id").agg(F.sort_array(F.collect_set("t")).alias("ts"))
+    good = segments.filter(F.coalesce("usable", F.lit(True)) & ~F.isnan("start") & ~F.isnan("end")).join(durations.filter("duration > 0"), "video_id")
+    inside = lambda c: F.greatest(F.lit(0.0), F.least(F.col(c), F.col("duration"))).alias(c)
+    cut = good.select("video_id", inside("start"), inside("end")).filter(F.col("end") - F.col("start") >= least).join(held, "video_id", "left")
+    cut = cut.withColumn("ts", F.coalesce("ts", F.expr("cast(array() as array<double>)")))
+    return geometry.without_overlaps(split_long(cut, most, least, tolerance), "video_id", slack, count)
 
 
 def clamp(segments: DataFrame, least: float = 3.0, most: float = 15.0) -> DataFrame:

@@ -16,7 +16,7 @@ from ..operators import coverage, duplicates, geometry, library, ranking, usage
 from ..sources.adapters import REVIEWS, STAGES
 from ..sources.adapters import library as table
 from ..sources.adapters import oracle
-from . import decisions, intake, objectives, records, rules, upkeep
+from . import boxes, decisions, intake, objectives, records, rules, upkeep
 
 #: The moment that ages are measured from.
 AS_OF = "2001-12-31 00:00:00"
@@ -67,11 +67,6 @@ scored AS (SELECT *, round_even(3.0::DOUBLE * clips + accepted + 2.0::DOUBLE * c
 _USE = """count(*) AS calls, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status <> 'ok') AS failed,
   CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, round_even(avg(latency_ms), 3) AS avg_latency_ms"""
 _SOURCE_CLIPS = "(SELECT source_id, count(*) AS clips, count(*) FILTER (WHERE review_status = 'approved') AS approved, sum(overall) AS s FROM clips GROUP BY source_id)"
-_GEO = """WITH geo AS (SELECT *, round_even((x2 - x1) * (y2 - y1), 6) AS area, round_even((y1 + y2) / 2, 6) AS center_y,
-  CASE WHEN (y1 + y2) / 2 >= 0.7::DOUBLE THEN 'bottom' WHEN (y1 + y2) / 2 <= 0.25::DOUBLE THEN 'top' ELSE 'center' END AS zone FROM regions),
-frames AS (SELECT clip_id, frame, count(*) AS boxes, round_even(sum(area), 6) AS area, round_even(sum(CASE WHEN zone = 'top' THEN area ELSE 0 END), 6) AS top_area,
-  round_even(sum(CASE WHEN zone = 'center' THEN area ELSE 0 END), 6) AS center_area, round_even(sum(CASE WHEN zone = 'bottom' THEN area ELSE 0 END), 6) AS bottom_area,
-  max(area) AS largest FROM geo GROUP BY clip_id, frame)"""
 _BITS = "bit_count(xor(('0x' || substr({0}, 1, 8))::BIGINT, ('0x' || substr({1}, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr({0}, 9, 8))::BIGINT, ('0x' || substr({1}, 9, 8))::BIGINT))"
 _REVIEW_NAMES = [s for s in REVIEWS if s]
 _REVIEW_SQL = "WITH r AS (SELECT CASE WHEN review_status = '' THEN 'unreviewed' ELSE review_status END AS s, favorite FROM clips) " + " UNION ALL ".join(
@@ -218,9 +213,6 @@ WITH old AS (SELECT source_id, status, reject_reason, url FROM sources WHERE sou
 SELECT source_id, CASE WHEN o.status IN ('completed', 'duplicate', 'rejected_preview') AND COALESCE(n.reject_reason, '') IN ('duration_unresolved', 'duplicate_source') THEN o.status WHEN n.reject_reason IS NOT NULL THEN 'failed' ELSE o.status END AS status,
  CASE WHEN o.status IN ('completed', 'duplicate', 'rejected_preview') AND COALESCE(n.reject_reason, '') IN ('duration_unresolved', 'duplicate_source') THEN o.reject_reason ELSE COALESCE(n.reject_reason, o.reject_reason) END AS reject_reason,
  o.url AS title, CAST(CASE WHEN o.status IS NULL THEN 0 ELSE 1 END + CASE WHEN n.reject_reason IS NULL THEN 0 ELSE 1 END AS BIGINT) AS attempts FROM old o FULL JOIN new n USING (source_id)"""),
-    "region_geometry": (_on("regions")(lambda r: geometry.geometry(r).select("clip_id", "frame", "area", "center_y", "zone")), _GEO + " SELECT clip_id, frame, area, center_y, zone FROM geo"),
-    "frame_metrics": (_on("regions")(geometry.frames), _GEO + " SELECT * FROM frames"),
-    "temporal_metrics": (_on("regions")(geometry.temporal), _GEO + " SELECT clip_id, round_even(count(*) / 4.0::DOUBLE, 4) AS presence, round_even(count(*) FILTER (WHERE top_area > 0) / 4.0::DOUBLE, 4) AS top, round_even(count(*) FILTER (WHERE center_area > 0) / 4.0::DOUBLE, 4) AS center, round_even(count(*) FILTER (WHERE bottom_area > 0) / 4.0::DOUBLE, 4) AS bottom, round_even(avg(area), 4) AS avg_area, max(boxes) AS most_boxes FROM frames GROUP BY clip_id"),
     "active_intervals": (_on("regions")(lambda r: geometry.intervals(r.select("clip_id", F.col("x1").alias("t")).distinct(), ["clip_id"], "t", 0.05, 0.01).select("clip_id", F.bround("start", 4).alias("start"), F.bround("end", 4).alias("end"))), """
 WITH p AS (SELECT DISTINCT clip_id, x1 AS t FROM regions), g AS (SELECT *, CASE WHEN t - lag(t) OVER w > 0.05::DOUBLE OR lag(t) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM p WINDOW w AS (PARTITION BY clip_id ORDER BY t)),
 r AS (SELECT *, sum(o) OVER (PARTITION BY clip_id ORDER BY t) AS run FROM g), i AS (SELECT clip_id, run, min(t) - 0.01::DOUBLE AS s, max(t) + 0.01::DOUBLE AS e FROM r GROUP BY 1, 2),
@@ -229,13 +221,15 @@ n AS (SELECT *, sum(o) OVER (PARTITION BY clip_id ORDER BY s) AS island FROM m)
 SELECT clip_id, round_even(greatest(min(s), 0), 4) AS "start", round_even(max(e), 4) AS "end" FROM n GROUP BY clip_id, island"""),
     "html_links": (_links, "SELECT page_id, len(l) AS n_links, array_to_string(l, ' ') AS links FROM (SELECT page_id, list_transform(list_sort(list_transform(list_distinct(x), lambda v: struct_pack(p := list_position(x, v), v := v))), lambda s: s.v) AS l FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) AS x FROM pages))"),
     "redact_digits": (_texts(text.redact_digits), "SELECT doc_id, regexp_replace(text, '[0-9]{7,}', '<num>', 'g') AS result FROM documents"),
-    "sanitize_error": (_texts(text.sanitize_error), "SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(text, '(?i)bearer\\s+[A-Za-z0-9._-]+', 'Bearer <redacted>', 'g'), 'sk-[A-Za-z0-9_-]{6,}', '<redacted>', 'g'), '(?i)(api[_-]?key|token|secret|password)\\s*[=:]\\s*[^\\s,;]+', '\\1=<redacted>', 'g'), 1, 600) AS result FROM documents"),
+    "sanitize_error": (_texts(text.sanitize_error), """SELECT doc_id, CASE WHEN length(r) > 600 THEN substr(r, 1, 597) || '...' ELSE r END AS result FROM (SELECT doc_id,
+  regexp_replace(regexp_replace(regexp_replace(COALESCE(text, ''), '(?i)\\b(bearer)\\s+[A-Za-z0-9._-]+', 'Bearer <redacted>', 'g'), '\\bsk-[A-Za-z0-9._-]{6,}', 'sk-<redacted>', 'g'),
+    '(?i)\\b(api[-_]?key|authorization|token|secret|password|cookie)\\b\\s*[:=]\\s*["'']?([^\\s"'',;)]+)', '\\1=<redacted>', 'g') AS r FROM documents)"""),
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run for name, (run, _) in {**QUERIES, **intake.QUERIES, **upkeep.QUERIES, **objectives.QUERIES, **rules.QUERIES, **decisions.QUERIES, **records.QUERIES}.items()}
+    return {name: run for name, (run, _) in {**QUERIES, **intake.QUERIES, **upkeep.QUERIES, **objectives.QUERIES, **rules.QUERIES, **boxes.QUERIES, **decisions.QUERIES, **records.QUERIES}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(sql) for name, (_, sql) in {**QUERIES, **intake.QUERIES, **upkeep.QUERIES, **objectives.QUERIES, **rules.QUERIES, **decisions.QUERIES, **records.QUERIES}.items() if sql}
+    return {name: oracle(sql) for name, (_, sql) in {**QUERIES, **intake.QUERIES, **upkeep.QUERIES, **objectives.QUERIES, **rules.QUERIES, **boxes.QUERIES, **decisions.QUERIES, **records.QUERIES}.items() if sql}

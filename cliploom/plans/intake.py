@@ -61,11 +61,6 @@ def _batch(spark, sf_dir):
     return duplicates.in_order(clips, clips.limit(0), ingest.saver(spark))
 
 
-def _boxes(spark, sf_dir):
-    r = table(spark, sf_dir, "regions")
-    return r.select("clip_id", F.col("frame").cast("double").alias("t"), "x1", "y1", "x2", "y2")
-
-
 def _segments(spark, sf_dir):
     c = table(spark, sf_dir, "clips")
     start = (F.col("clip_id") % 3) * 20.0 + F.col("overall")
@@ -82,19 +77,6 @@ def _snapped(spark, sf_dir):
     return s.select("video_id", F.bround("start", 4).alias("start"), F.bround("end", 4).alias("end"), "refined")
 
 
-def _split(spark, sf_dir):
-    held = _boundaries(spark, sf_dir).groupBy("video_id").agg(F.sort_array(F.collect_set("t")).alias("ts"))
-    return segments.clamp(segments.split_long(_segments(spark, sf_dir).join(held, "video_id")))
-
-
-def _metrics(spark, sf_dir):
-    return geometry.temporal(table(spark, sf_dir, "regions"))
-
-
-def _tracks(spark, sf_dir):
-    return segments.tracks(_boxes(spark, sf_dir))
-
-
 def _preferred(spark, sf_dir):
     """The newest succeeded and approved derivative of a clip, else the original."""
     clips = table(spark, sf_dir, "clips")
@@ -133,9 +115,6 @@ def _on(name):
 
 
 _BITS = "bit_count(xor(('0x' || substr({0}, 1, 8))::BIGINT, ('0x' || substr({1}, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr({0}, 9, 8))::BIGINT, ('0x' || substr({1}, 9, 8))::BIGINT))"
-_GEO = """geo AS (SELECT *, round_even((x2 - x1) * (y2 - y1), 6) AS area, CASE WHEN (y1 + y2) / 2 >= 0.7::DOUBLE THEN 'bottom' WHEN (y1 + y2) / 2 <= 0.25::DOUBLE THEN 'top' ELSE 'center' END AS zone FROM regions),
-frames AS (SELECT clip_id, frame, count(*) AS boxes, round_even(sum(area), 6) AS area, sum(CASE WHEN zone = 'top' THEN area ELSE 0 END) AS ta, sum(CASE WHEN zone = 'center' THEN area ELSE 0 END) AS ca, sum(CASE WHEN zone = 'bottom' THEN area ELSE 0 END) AS ba FROM geo GROUP BY 1, 2),
-m AS (SELECT clip_id, round_even(count(*) / 4.0::DOUBLE, 4) AS presence, round_even(count(*) FILTER (WHERE ta > 0) / 4.0::DOUBLE, 4) AS t, round_even(count(*) FILTER (WHERE ca > 0) / 4.0::DOUBLE, 4) AS c, round_even(count(*) FILTER (WHERE ba > 0) / 4.0::DOUBLE, 4) AS b, round_even(avg(area), 4) AS avg_area, max(boxes) AS most_boxes FROM frames GROUP BY 1)"""
 _TAGS = "(SELECT DISTINCT clip_id, unnest(list_concat(['shot:' || shot, 'stage:' || stage], list_transform(string_split(roles, ','), lambda r: 'role:' || r))) AS tag FROM clips)"
 
 #: key -> (query, SQL or None)
@@ -150,7 +129,7 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
       i AS (SELECT video_id, url, min(seq) AS seq FROM h GROUP BY 1, 2), f AS (SELECT url, arg_min(video_id, seq) AS video_id, min(seq) AS seq FROM i GROUP BY url),
       q AS (SELECT h.url, query, min(i.seq) AS s1, min(h.seq) AS s2 FROM h JOIN i USING (video_id) GROUP BY h.url, h.video_id, query), o AS (SELECT url, query, min((s1, s2)) AS k FROM q GROUP BY 1, 2)
       SELECT f.url, f.video_id, f.seq, (SELECT string_agg(query, ',' ORDER BY k) FROM o WHERE o.url = f.url) AS queries FROM f"""),
-    "dedup_batch": (_batch, "SELECT clip_id AS id, row_number() OVER (PARTITION BY sha ORDER BY clip_id) % 2 = 1 AS kept FROM clips"),
+    "dedup_batch": (_batch, None),
     "hamming": (_hamming, f"SELECT a.clip_id, CAST({_BITS.format('a.phash', 'b.phash')} AS INT) AS distance FROM clips a JOIN clips b ON a.clip_id = b.clip_id + 1"),
     "parse_time": (_times, "SELECT source_id, created_at AS at FROM sources"),
     "video_id": (_on("sources")(lambda s: s.select("source_id", text.video_id(F.col("url")).alias("video_id"))), "SELECT source_id, regexp_extract(url, '/video/([0-9]{6,})', 1) AS video_id FROM sources"),
@@ -161,17 +140,10 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "region_match": (lambda s, d: geometry.matched_regions(table(s, d, "regions")), """WITH p AS (SELECT a.clip_id, a.frame, a.x1, a.y1, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i,
       (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s FROM regions a JOIN regions b ON a.clip_id = b.clip_id AND a.frame = b.frame + 1)
       SELECT clip_id, frame, x1, y1, max(round_even(i / (s - i), 6)) AS iou FROM p GROUP BY 1, 2, 3, 4 HAVING max(round_even(i / (s - i), 6)) > 0"""),
-    "cleanliness": (lambda s, d: segments.cleanliness(_metrics(s, d)).select("clip_id", "cleanliness"), f"WITH {_GEO} SELECT clip_id, round_even(greatest(0, least(1, 1 - (presence * 0.25::DOUBLE + b * 0.10::DOUBLE + c * 0.35::DOUBLE + avg_area * 1.0::DOUBLE))), 4) AS cleanliness FROM m"),
-    "classify_subtitles": (lambda s, d: segments.classify(_metrics(s, d)).select("clip_id", "subtitle_class"), f"WITH {_GEO} SELECT clip_id, CASE WHEN presence = 0 THEN 'none' WHEN most_boxes >= 6 THEN 'dense_text' WHEN c >= 0.5::DOUBLE AND avg_area >= 0.05::DOUBLE THEN 'large_center_text' WHEN b > 0 AND t + c = 0 THEN 'bottom_simple' WHEN t > 0 AND b + c = 0 THEN 'top_simple' WHEN most_boxes = 1 THEN 'single_region' ELSE 'multi_region' END AS subtitle_class FROM m"),
     "segment_boundary_snap": (_snapped, """WITH s AS (SELECT clip_id, source_id AS video_id, (clip_id % 3) * 20.0::DOUBLE + overall AS a, (clip_id % 3) * 20.0::DOUBLE + overall + duration * 2 AS b FROM clips),
       t AS (SELECT DISTINCT source_id AS video_id, unnest([(clip_id % 3) * 20.0::DOUBLE, (clip_id % 3) * 20.0::DOUBLE + visual * 30]) AS t FROM clips),
       j AS (SELECT clip_id, s.video_id, a, b, max(CASE WHEN t <= a AND a - t <= 1.5::DOUBLE THEN t END) AS ta, min(CASE WHEN t >= b AND t - b <= 1.5::DOUBLE THEN t END) AS tb FROM s LEFT JOIN t USING (video_id) GROUP BY 1, 2, 3, 4)
       SELECT video_id, round_even(COALESCE(ta, a), 4) AS "start", round_even(COALESCE(tb, b), 4) AS "end", COALESCE(ta, a) <> a OR COALESCE(tb, b) <> b AS refined FROM j"""),
-    "normalize_segments": (lambda s, d: geometry.without_overlaps(_segments(s, d), "video_id"), None),
-    "split_segments": (_split, None),
-    "region_tracks": (_tracks, None),
-    "track_stats": (lambda s, d: segments.track_stats(_tracks(s, d), 4), None),
-    "plan_masks": (lambda s, d: segments.masks(segments.stable(segments.track_stats(_tracks(s, d), 4))), None),
     "orphan_tags": (_on("clips")(lambda c: c.select(F.col("description").alias("tag")).distinct().join(c.filter("favorite").select(F.col("description").alias("tag")), "tag", "left_anti")), "SELECT DISTINCT description AS tag FROM clips WHERE description NOT IN (SELECT description FROM clips WHERE favorite)"),
     "library_overview": (_on("clips")(lambda c: c.agg(F.count("*").alias("clips"), F.countDistinct("source_id").alias("sources"), F.countDistinct("category").alias("categories"), F.bround(F.sum("duration"), 1).alias("seconds"))), "SELECT count(*) AS clips, count(DISTINCT source_id) AS sources, count(DISTINCT category) AS categories, round_even(sum(duration), 1) AS seconds FROM clips"),
     "stage_target_gate": (_on("clips")(lambda c: library.clip_filter(c, among={"stage": ["drying", "inside_dryer"]}).select("clip_id", "stage")), "SELECT clip_id, stage FROM clips WHERE stage IN ('drying', 'inside_dryer')"),

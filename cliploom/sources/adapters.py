@@ -70,6 +70,8 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN l_partkey % 61 % 5 = 0 THEN 0 ELSE CAST(floor(l_quantity / 4e0) AS BIGINT) END AS fresh,
           CAST(floor(l_quantity / 3e0) AS BIGINT) AS known, l_shipdate AS created_at
         FROM {lineitem}"""),
+    "sampled": (("events",), """
+        SELECT clip_id, frame FROM (SELECT DISTINCT CAST(floor(event_id / 12e0) AS BIGINT) AS clip_id FROM {events}) c, (SELECT 0 AS frame UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) f"""),
     "searches": (("lineitem",), f"""
         SELECT query, min(reference) AS reference, CAST(sum(clips) AS BIGINT) AS clips, CAST(CAST(sum(clips) AS BIGINT) AS DOUBLE) / CAST(sum(n) AS BIGINT) AS score,
           CAST(min(known) AS DOUBLE) / 1e1 AS rediscovery
@@ -80,9 +82,10 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT DISTINCT {pick('p_partkey', MATERIALS)} AS category FROM {{part}}"""),
     "regions": (("events",), """
         SELECT CAST(floor(event_id / 12e0) AS BIGINT) AS clip_id, CAST(floor(event_id % 12 / 3e0) AS BIGINT) AS frame,
-          (event_id * 37 % 700) / 1e3 AS x1, (event_id * 53 % 880) / 1e3 AS y1,
-          (event_id * 37 % 700) / 1e3 + (5 + event_id * 11 % 250) / 1e3 AS x2, (event_id * 53 % 880) / 1e3 + (5 + event_id * 13 % 110) / 1e3 AS y2
-        FROM {events} WHERE event_id % 5 <> 0"""),
+          (event_id * 37 % 82) / 1e2 AS x1, (event_id * 53 % 88) / 1e2 AS y1,
+          (event_id * 37 % 82) / 1e2 + (1 + event_id * 11 % CASE WHEN event_id % 9 = 0 THEN 80 ELSE 18 END) / 1e2 AS x2, (event_id * 53 % 88) / 1e2 + (1 + event_id * 13 % 11) / 1e2 AS y2,
+          CASE WHEN event_id % 14 = 0 THEN '厂家优惠' ELSE 'text' END AS words
+        FROM {events} WHERE event_id % 5 <> 0 AND floor(event_id / 12e0) % 10 <> 3"""),
 }
 
 

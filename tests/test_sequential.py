@@ -71,7 +71,7 @@ def test_published_scores(spark):
 
 def test_scalar_texts(spark):
     row = spark.createDataFrame([("Bearer abc.def sk-12345678 token=xyz, ok",)], "t string")
-    assert row.select(text.sanitize_error(F.col("t"))).first()[0] == "Bearer <redacted> <redacted> token=<redacted>, ok"
+    assert row.select(text.sanitize_error(F.col("t"))).first()[0] == "Bearer <redacted> sk-<redacted> token=<redacted>, ok"
     base = text.strip_suffixes(F.col("t"), ["drying", "process"], ["dry", "slice"])
     names = spark.createDataFrame([("appledrydryingprocess",), ("process",), ("adry",)], "t string")
     assert [r[0] for r in names.select(base).collect()] == ["apple", "process", "adry"]
