@@ -12,7 +12,7 @@ _MEAN = "round_even(sum({}) / count(*), 8)".format
 _ZONES = "list_sort(list_distinct(flatten(list(zones))))"
 _WORDS = "|".join(geometry.PROMOTION)
 GEO = f"""geo AS (SELECT *, round_even(width * height, 5) AS area, CASE WHEN center_y < 0.25 THEN 'top' WHEN center_y < 0.72 THEN 'center' ELSE 'bottom' END AS zone,
-  round_even(width * height, 5) <= 0.02 AND (x2 <= 0.18 OR x1 >= 0.82) AND (y2 <= 0.18 OR y1 >= 0.82) AS watermark
+  round_even(width * height, 5) <= 0.02 AND (x2 <= 0.18 OR x1 >= 1 - 0.18::DOUBLE) AND (y2 <= 0.18 OR y1 >= 1 - 0.18::DOUBLE) AS watermark
   FROM (SELECT *, round_even(x2 - x1, 4) AS width, round_even(y2 - y1, 4) AS height, round_even((x1 + x2) / 2, 4) AS center_x, round_even((y1 + y2) / 2, 4) AS center_y FROM regions)),
 fr AS (SELECT s.clip_id, s.frame, count(area) AS boxes, count(*) FILTER (WHERE area > 0.02) AS significant, COALESCE(round_even(sum(area), 5), 0) AS area, COALESCE(max(area), 0) AS largest,
   COALESCE(round_even(sum(area) FILTER (WHERE zone = 'top'), 5), 0) AS top_area, COALESCE(round_even(sum(area) FILTER (WHERE zone = 'center'), 5), 0) AS center_area, COALESCE(round_even(sum(area) FILTER (WHERE zone = 'bottom'), 5), 0) AS bottom_area,

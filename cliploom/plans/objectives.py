@@ -66,9 +66,9 @@ def _content_keys(spark, sf_dir):
 
 
 def _by_key(spark, sf_dir):
-    """The second half of the clips against the first, by content key without the duration's last digit."""
+    """The second half of the clips against the first, by content key of category, event type and whole seconds."""
     c = table(spark, sf_dir, "clips")
-    keyed = c.select("clip_id", duplicates.content_key(F.col("category"), F.col("description"), F.round("duration", 0)).alias("key"))
+    keyed = c.select("clip_id", duplicates.content_key(F.col("category"), F.regexp_extract("description", "of (.*) no", 1), F.floor("duration").cast("double")).alias("key"))
     return duplicates.by_content_key(keyed.filter("clip_id % 2 = 1"), keyed.filter("clip_id % 2 = 0"))
 
 
@@ -91,6 +91,6 @@ QUERIES = {
     "funnel_metrics": (lambda s, d: objectives.funnel(*[table(s, d, n) for n in ("yields", "sources", "clips", "ai_runs")]), "SELECT (SELECT CAST(sum(candidates) AS BIGINT) FROM yields) AS candidates, (SELECT CAST(sum(uniques) AS BIGINT) FROM yields) AS uniques, (SELECT CAST(sum(downloads) AS BIGINT) FROM yields) AS downloads, (SELECT count(*) FROM sources) AS sources, (SELECT count(*) FROM sources WHERE status = 'rejected_preview') AS preview_rejected, (SELECT count(*) FROM clips) AS clips, (SELECT count(*) FROM clips WHERE review_status = 'approved') AS approved, (SELECT count(*) FROM ai_runs) AS calls, (SELECT CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) FROM ai_runs) AS tokens, (SELECT count(*) FROM (SELECT query FROM yields GROUP BY query HAVING sum(clips) = 0)) AS zero_yield_queries"),
     "table_counts": (_counts, "SELECT 'clips' AS name, count(*) AS n FROM clips UNION ALL SELECT 'sources', count(*) FROM sources UNION ALL SELECT 'ai_runs', count(*) FROM ai_runs UNION ALL SELECT 'yields', count(*) FROM yields"),
     "content_key": (_content_keys, "SELECT clip_id, substr(sha256(category || '|' || description || '|' || printf('%.1f', duration)), 1, 16) AS content_key FROM clips"),
-    "dup_content_key": (_by_key, "SELECT a.clip_id, min(b.clip_id) AS match_id FROM clips a JOIN clips b ON a.category = b.category AND a.description = b.description AND round(a.duration) = round(b.duration) WHERE a.clip_id % 2 = 1 AND b.clip_id % 2 = 0 GROUP BY 1"),
+    "dup_content_key": (_by_key, "SELECT a.clip_id, min(b.clip_id) AS match_id FROM clips a JOIN clips b ON a.category = b.category AND regexp_extract(a.description, 'of (.*) no', 1) = regexp_extract(b.description, 'of (.*) no', 1) AND floor(a.duration) = floor(b.duration) WHERE a.clip_id % 2 = 1 AND b.clip_id % 2 = 0 GROUP BY 1"),
     "source_detail": (_detail, "SELECT source_id, clip_id, author, url, count(*) OVER (PARTITION BY source_id) AS n_clips FROM clips LEFT JOIN sources USING (source_id)"),
 }

@@ -53,7 +53,7 @@ CLEANED = """SELECT clip_id, CASE clip_id % 8 WHEN 0 THEN 'succeeded' WHEN 1 THE
   (clip_id % 40) / 1e2 AS b, (clip_id % 40 + clip_id % 50) / 1e2 AS a, (clip_id % 30) / 1e2 AS x FROM {clips} WHERE clip_id % 9 <> 0"""
 MEASURED = """SELECT clip_id, subtitle_type, CASE WHEN clip_id % 3 = 0 THEN subtitle_type WHEN clip_id % 3 = 1 THEN 'bottom_simple' ELSE '' END AS measured_class FROM {clips}"""
 OPINIONS = """SELECT clip_id, CASE WHEN clip_id % 7 > 0 THEN subtitle_type END AS subtitle_class, CASE WHEN clip_id % 4 > 0 THEN 'complex' END AS model_class,
-  CASE clip_id % 5 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' END AS model_complexity, subtitle_score AS cleanliness, clip_id % 2 AS most_boxes,
+  CASE clip_id % 5 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' END AS model_complexity, (clip_id % 50) / 5e1 AS cleanliness, clip_id % 2 AS most_boxes,
   (clip_id % 25) / 1e2 AS avg_area, 0.08 + (clip_id % 20) / 1e2 AS center_area, 0.4 + (clip_id % 60) / 1e2 AS multi FROM {clips}"""
 TRACKS = """SELECT clip_id, frame AS track, x1 AS persistence, y1 / 1e1 AS jitter_y, x2 AS growth, y1 AS median_y1 FROM {regions}"""
 BOXES = "SELECT clip_id, frame, x1, y1, x2, y2, 0.9 AS confidence FROM {regions}"
