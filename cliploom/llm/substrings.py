@@ -2,18 +2,24 @@
 
 Every window of 20 words has a fingerprint: the smallest hash of its 15 six-word grams. Equal
 windows have equal fingerprints, and neighbouring windows mostly share one, so a document
-adds about one fingerprint per eight words. The index keeps sorted immutable runs of
-fingerprints with the document each was first seen in. A new batch of documents is merged
-with the runs by fingerprint; only where a fingerprint occurs again are windows compared,
-those of the new documents and, the first time, those of the older document the run points
-to. Windows meet in a second merge with the runs of known windows, are verified by an
-independent hash of their words, and yield the places to remove. New first occurrences form
-new runs; runs are compacted once there are more than ``MOST_RUNS``.
+adds about one fingerprint per eight words. The index keeps immutable runs of fingerprints
+with the document each was first seen in, as tables bucketed and sorted by fingerprint: a new
+batch is shuffled to the same buckets and merge-joined with every run, which itself is not
+moved. Fingerprints not met before form a new run; more than ``MOST_RUNS`` runs are compacted
+into one, bucket by bucket. Documents that share a fingerprint with another one, and the
+document in which it was first seen, are to be examined; their windows are made once, however
+many batches asked for it, meet by hash in a streaming merge with the runs of windows examined
+earlier, and yield the places to remove.
+
+Windows are told apart by 95 bits of two independent hashes. Of equal windows that meet in
+one slice of a task all but the first are repeats whatever the rest holds; only the first goes
+on, so a passage that stands in a third of all documents is a few rows of a merge.
 
 ``doc_id`` orders the documents and names them: rows that repeat an id repeat the document.
 Rows without an id are returned whole. Null text has no words. Texts below 20 words keep all.
-Extra columns are ignored. Merges stream over sorted rows and hold one row, so the size of a
-group of equal windows does not matter.
+Equal texts keep their words in the smallest id only. An empty table gives an empty result.
+Long texts are taken whole. Extra columns are ignored. Merges stream over sorted rows and hold
+one row, so the size of a group of equal windows does not matter.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +36,12 @@ from . import common
 
 WINDOW, GRAM = 20, 6
 MOST_RUNS = 3
+#: Batches that the query adds one after another.
+BATCHES = 5
 #: Places that a task holds before it passes them on.
 HELD = 1 << 20
-NEW, OLDER, KNOWN = 0, 1, 2
+NEW, KNOWN = 0, 2
+_STATE = "fp long, doc_id long, old long, fresh boolean, again boolean"
 
 
 def _sum_of(words: common.Words, n: int, salt: int) -> np.ndarray:
@@ -96,61 +106,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "fp long, doc_id long, n int")
 
 
-def _merged(rows: DataFrame, keep_run: bool) -> DataFrame:
-    """Merges sorted fingerprints: documents to examine (``state`` NEW or OLDER) and the rows of a new run (KNOWN).
+def _packed(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Places to remove, one row per document."""
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    blob = common.blobs(place.astype("<u4"), np.diff(np.append(first, len(doc))))
+    n = len(first)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(doc[first]), pa.nulls(n, pa.int64()), blob], ["wh", "doc_id", "place", "places"])
 
-    What a row means depends on whether it opens its group and on the next row only.
-    """
-
-    def run(batches):
-        held, last = None, None
-        for batch in _with_end(batches):
-            if batch is not None:
-                table = pa.Table.from_batches([x for x in (held, batch) if x is not None]).combine_chunks()
-                if table.num_rows < 2:
-                    held = table.to_batches()[0] if table.num_rows else None
-                    continue
-                held = table.slice(table.num_rows - 1).to_batches()[0]
-            elif held is None:
-                return
-            else:
-                table = pa.Table.from_batches([held])
-            fp, doc, n, state = (table.column(c).to_numpy() for c in ("fp", "doc_id", "n", "state"))
-            size = len(fp) - (batch is not None)
-            opens = np.ones(len(fp), bool)
-            opens[1:] = fp[1:] != fp[:-1]
-            opens[0] = last is None or fp[0] != last[0]
-            follow = np.zeros(len(fp), bool)
-            follow[:-1] = ~opens[1:]
-            new = state == NEW
-            next_new = np.zeros(len(fp), bool)
-            next_new[:-1] = new[1:] & follow[:-1]
-            before_new = np.zeros(len(fp), bool)
-            before_new[1:] = new[:-1]
-            before_new[0] = last is not None and last[1] == NEW
-            examine = new & (~opens | follow | (n > 1))
-            older = ~new & opens & (n == 1) & next_new
-            first_new = new & (opens | ~before_new)
-            last = (fp[size - 1], state[size - 1]) if size else last
-            keep = np.flatnonzero((examine | older)[:size])
-            yield pa.RecordBatch.from_arrays([pa.array(fp[keep]), pa.array(doc[keep]), pa.array(n[keep]), pa.array(np.where(new[keep], NEW, OLDER).astype(np.int32))], ["fp", "doc_id", "n", "state"])
-            if not keep_run:
-                continue
-            keep = np.flatnonzero(first_new[:size])
-            many = np.where(next_new[keep] | (n[keep] > 1), 2, 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[keep]), pa.array(doc[keep]), pa.array(many), pa.array(np.full(len(keep), KNOWN, np.int32))], ["fp", "doc_id", "n", "state"])
 
-    ordered = rows.repartition("fp").sortWithinPartitions("fp", F.col("state").desc(), "doc_id")
-    return ordered.mapInArrow(run, "fp long, doc_id long, n int, state int")
+def windows_of(texts: DataFrame) -> DataFrame:
+    """``wh, doc_id, place, places`` of the windows whose fingerprint is in ``fps``.
 
-
-def _with_end(batches):
-    yield from batches
-    yield None
-
-
-def windows_of(texts: DataFrame, state: int) -> DataFrame:
-    """``wh, doc_id, place, state`` of the windows whose fingerprint is in ``fps``; place holds 32 check bits below."""
+    ``place`` holds 31 check bits below. Rows without ``wh`` are repeats within a slice.
+    """
 
     def run(batches):
         for batch in batches:
@@ -162,30 +132,35 @@ def windows_of(texts: DataFrame, state: int) -> DataFrame:
                 fps, row = wanted.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(words.rows), count)
                 mine = np.isin(common.mix(windows.print) + words.row[windows.place].astype(np.uint64), common.mix(fps) + row.astype(np.uint64))
                 at = windows.place[mine]
-                wh = _sum_of(words, WINDOW, 1)[at]
+                wh = common.signed(_sum_of(words, WINDOW, 1)[at])
                 check = (_sum_of(words, WINDOW, 2)[at] >> np.uint64(33)).astype(np.int64)
                 place = (at - words.first[words.row[at]]) << 32 | check
-                doc = part.column("doc_id").cast(pa.int64()).take(pa.array(words.row[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(common.signed(wh)), doc, pa.array(place), pa.array(np.full(len(at), state, np.int32))], ["wh", "doc_id", "place", "state"])
-
-    return texts.select("doc_id", "text", "fps").mapInArrow(run, "wh long, doc_id long, place long, state int")
+                doc = part.column("doc_id").cast(pa.int64()).to_numpy()[words.row[at]]
+                order = np.lexsort((place, doc, check, wh))
+                wh, check, doc, place = wh[order], check[order], doc[order], place[order]
+                first = np.append(True, (wh[1:] != wh[:-1]) | (check[1:] != check[:-1]))[: len(wh)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(wh[first]), pa.array(doc[first]), pa.array(place[first]), pa.nulls(int(first.sum()), pa.binary())], ["wh", "doc_id", "place", "places"]
+                )
+                # a repeated row is no repeat of the same place
+                group = np.cumsum(first) - 1
+                again = ~first & ((doc != doc[first][group]) | (place != place[first][group])) if len(wh) else first
+                if again.any():
+                    yield _packed(doc[again], place[again] >> 32)
+
+    return texts.select("doc_id", "text", "fps").mapInArrow(run, "wh long, doc_id long, place long, places binary")
 
 
 def _repeats(rows: DataFrame, keep_run: bool) -> DataFrame:
     """Merges sorted windows: places to remove, packed by document, and the rows of a new run."""
 
-    def packed(docs: list, places: list):
-        doc, place = np.concatenate(docs), np.concatenate(places)
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        blob = common.blobs(place.astype("<u4"), np.diff(np.append(first, len(doc))))
-        n = len(first)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(doc[first]), pa.nulls(n, pa.int64()), blob], ["wh", "doc_id", "place", "places"])
-
     def run(batches):
         first, docs, places, held = None, [], [], 0
         for batch in batches:
+            done = batch.column("wh").is_null()
+            if pc.any(done).as_py():
+                yield batch.filter(done).select(["wh", "doc_id", "place", "places"])
+                batch = batch.filter(pc.invert(done))
             if not batch.num_rows:
                 continue
             wh, doc, place, state = (batch.column(c).to_numpy() for c in ("wh", "doc_id", "place", "state"))
@@ -210,77 +185,117 @@ def _repeats(rows: DataFrame, keep_run: bool) -> DataFrame:
                 fresh = starts[state[starts] != KNOWN]
                 yield pa.RecordBatch.from_arrays([pa.array(wh[fresh]), pa.array(doc[fresh]), pa.array(place[fresh]), pa.nulls(len(fresh), pa.binary())], ["wh", "doc_id", "place", "places"])
             if held >= HELD:
-                yield packed(docs, places)
+                yield _packed(np.concatenate(docs), np.concatenate(places))
                 docs, places, held = [], [], 0
         if held:
-            yield packed(docs, places)
+            yield _packed(np.concatenate(docs), np.concatenate(places))
 
-    ordered = rows.repartition("wh").sortWithinPartitions("wh", F.col("state").desc(), "doc_id", "place")
+    spread = F.coalesce("wh", F.xxhash64("doc_id"))
+    ordered = rows.repartition(spread).sortWithinPartitions("wh", F.col("state").desc(), "doc_id", "place")
     return ordered.mapInArrow(run, "wh long, doc_id long, place long, places binary")
 
 
 class SubstringIndex:
-    """Fingerprints of all documents added so far, as sorted runs in the shared folder."""
+    """Fingerprints of all documents added so far, and windows of those examined, as runs in the shared folder."""
 
     def __init__(self, spark: SparkSession):
-        self.scratch = common.Scratch(spark, "substrings")
-        self.prints: list[DataFrame] = []
-        self.windows: list[DataFrame] = []
-        self.names: list[str] = []
-        self.step = 0
+        self.spark, self.scratch = spark, common.Scratch(spark, "substrings")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.prints: list[str] = []
+        self.windows: list[str] = []
+        self.pending: list[DataFrame] = []
+        self.step = self.compactions = 0
+
+    def _path(self, name: str) -> str:
+        return f"{self.scratch.root}/{name}"
+
+    def _write(self, df: DataFrame, key: str, kind: str) -> str:
+        """A table of ``buckets`` buckets, each sorted by ``key``; its name."""
+        self.step += 1
+        name = f"{self.scratch.root.rsplit('/', 1)[1]}_{kind}{self.step}".replace("-", "_")
+        dealt = df.repartition(self.buckets, key)
+        dealt.write.bucketBy(self.buckets, key).sortBy(key).option("path", self._path(name)).option("compression", "zstd").saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.scratch.drop(name)
 
-    def add(self, docs: DataFrame, history: DataFrame | None = None, keep: bool = True) -> DataFrame:
-        """Indexes ``docs`` and returns ``doc_id, places``: the starts of their windows that were seen before.
+    def _runs(self, names: list[str], kind: str) -> list[DataFrame]:
+        return [self.spark.table(n).filter("fresh").drop("fresh") for n in names] if kind == "prints" else [self.spark.table(n) for n in names]
 
-        ``history`` holds the documents added earlier. Documents of one batch count as added
-        in the order of their ids. Without ``keep`` the batch leaves no runs.
+    def add(self, docs: DataFrame) -> None:
+        """Indexes ``docs`` as the next batch; what they repeat is told by ``resolve``."""
+        name = f"batch{self.step}"
+        rows = self.scratch.save(fingerprints(docs), name)
+        state = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n"))
+        olds = []
+        for i, run in enumerate(self._runs(self.prints, "prints")):
+            state = state.join(run.select("fp", F.col("doc_id").alias(f"old{i}")), "fp", "left")
+            olds.append(F.col(f"old{i}"))
+        old = F.least(*olds) if len(olds) > 1 else olds[0] if olds else F.lit(None).cast("long")
+        table = self._write(state.select("fp", "doc_id", old.alias("old"), old.isNull().alias("fresh"), (F.col("n") > 1).alias("again")), "fp", "prints")
+        # read without its buckets, so that a fingerprint of very many documents can be split
+        met = self.spark.read.schema(_STATE).parquet(self._path(table)).filter("NOT fresh OR again").select("fp", "old")
+        examine = rows.select("doc_id", "fp").join(met.select("fp"), "fp").select("doc_id", "fp")
+        examine = examine.union(met.filter("old IS NOT NULL").select(F.col("old").alias("doc_id"), "fp"))
+        self.pending.append(self.scratch.save(examine, f"examine{self.step}"))
+        self.scratch.drop(name)
+        self.prints.append(table)
+        if len(self.prints) > MOST_RUNS:
+            self.compact()
+
+    def resolve(self, docs: DataFrame) -> DataFrame:
+        """``doc_id, places``: starts of the windows that stand earlier, of all documents added since the last call.
+
+        ``docs`` holds every document added so far; each text is read once.
         """
         self.step += 1
-        name = f"batch{self.step}"
-        rows = fingerprints(docs).withColumn("state", F.lit(NEW))
-        for run in self.prints:
-            rows = rows.union(run.select("fp", "doc_id", "n", F.lit(KNOWN).alias("state")))
-        merged = self.scratch.save(_merged(rows, keep), f"{name}-prints")
-        wanted = merged.filter(F.col("state") != KNOWN).groupBy("state", "doc_id").agg(F.collect_list("fp").alias("fps"))
-        wanted = self.scratch.save(wanted, f"{name}-wanted")
-        texts = docs.select("doc_id", "text").join(wanted.filter(F.col("state") == NEW).drop("state"), "doc_id", "left")
-        found = windows_of(texts.filter("fps IS NOT NULL"), NEW)
-        if history is not None:
-            older = history.select("doc_id", "text").join(wanted.filter(F.col("state") == OLDER).drop("state"), "doc_id")
-            found = found.union(windows_of(older.dropDuplicates(["doc_id"]), OLDER))
-        for run in self.windows:
-            found = found.union(run.select("wh", "doc_id", "place", F.lit(KNOWN).alias("state")))
-        repeats = self.scratch.save(_repeats(found, keep), f"{name}-windows")
-        self.scratch.drop(f"{name}-wanted")
-        if not keep:
-            self.scratch.drop(f"{name}-prints")
-        else:
-            self.names.append(f"{name}-prints")
-            self.prints.append(merged.filter(F.col("state") == KNOWN).select("fp", "doc_id", "n"))
-            self.windows.append(repeats.filter("wh IS NOT NULL").select("wh", "doc_id", "place"))
-            if len(self.prints) > MOST_RUNS:
-                self.compact()
+        step, wanted = self.step, None
+        for rows in self.pending:
+            wanted = rows if wanted is None else wanted.union(rows)
+        if wanted is None:
+            return self.spark.createDataFrame([], "doc_id long, places array<binary>")
+        lists = wanted.groupBy("doc_id").agg(F.collect_set("fp").alias("fps")).hint("shuffle_hash")
+        found = windows_of(docs.select("doc_id", "text").join(lists, "doc_id")).withColumn("state", F.lit(NEW))
+        for run in self._runs(self.windows, "windows"):
+            found = found.union(run.select("wh", "doc_id", "place", F.lit(None).cast("binary"), F.lit(KNOWN)))
+        repeats = self.scratch.save(_repeats(found, keep_run=True), f"repeats{step}")
+        self.pending = []
+        self.windows.append(self._write(repeats.filter("wh IS NOT NULL").select("wh", "doc_id", "place"), "wh", "windows"))
+        if len(self.windows) > MOST_RUNS:
+            self.compact()
         return repeats.filter("places IS NOT NULL").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
 
     def close(self) -> None:
-        """Deletes the fingerprint runs; what ``add`` returned stays readable."""
-        for name in self.names:
-            self.scratch.drop(name)
-        self.prints, self.names = [], []
+        """Deletes the runs; what ``resolve`` returned stays readable."""
+        for name in [*self.prints, *self.windows]:
+            self._drop(name)
+        self.prints, self.windows = [], []
 
     def compact(self) -> None:
-        """Merges all runs into one of each kind, sorted; a fingerprint keeps its first document and its sum."""
-        self.step += 1
-        prints, windows = self.prints[0], self.windows[0]
-        for run in self.prints[1:]:
-            prints = prints.union(run)
-        for run in self.windows[1:]:
-            windows = windows.union(run)
-        one = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"))
-        first = windows.groupBy("wh").agg(F.min(F.struct("doc_id", "place")).alias("m")).select("wh", "m.doc_id", "m.place")
-        self.names.append(f"run{self.step}-prints")
-        self.prints = [self.scratch.save(one.sortWithinPartitions("fp"), f"run{self.step}-prints")]
-        self.windows = [self.scratch.save(first.sortWithinPartitions("wh"), f"run{self.step}-windows")]
+        """Merges the runs of a kind that has too many into one; buckets are merged where they lie."""
+        self.compactions += 1
+        if len(self.prints) > MOST_RUNS:
+            every = self._runs(self.prints, "prints")
+            one = every[0].select("fp", "doc_id")
+            for run in every[1:]:  # runs share no fingerprint
+                one = one.union(run.select("fp", "doc_id"))
+            one = one.select("fp", "doc_id", F.lit(None).cast("long").alias("old"), F.lit(True).alias("fresh"), F.lit(False).alias("again"))
+            self.prints = self._replaced(self.prints, one, "fp", "prints")
+        if len(self.windows) > MOST_RUNS:
+            every = self._runs(self.windows, "windows")
+            one = every[0]
+            for run in every[1:]:
+                one = one.union(run)
+            first = one.groupBy("wh").agg(F.min(F.struct("doc_id", "place")).alias("m")).select("wh", "m.doc_id", "m.place")
+            self.windows = self._replaced(self.windows, first, "wh", "windows")
+
+    def _replaced(self, names: list[str], one: DataFrame, key: str, kind: str) -> list[str]:
+        table = self._write(one, key, kind)
+        for name in names:
+            self._drop(name)
+        return [table]
 
 
 def without(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -318,17 +333,16 @@ def without(docs: DataFrame, places: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, batches: int = 2) -> DataFrame:
+def deduplicated(spark: SparkSession, docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """All of ``docs``, added to an index in ``batches`` ranges of ascending ids."""
     index, cuts = SubstringIndex(spark), []
     if batches > 1:
         share = [i / batches for i in range(1, batches)]
         cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", share, 10_000).alias("c")).first().c or []))
-    places, at = None, F.col("doc_id")
+    at = F.col("doc_id")
     for i in range(len(cuts) + 1):
-        own = docs.filter((at > cuts[i - 1]) if i else F.lit(True)).filter((at <= cuts[i]) if i < len(cuts) else F.lit(True))
-        found = index.add(own, docs.filter(at <= cuts[i - 1]) if i else None, keep=i < len(cuts))
-        places = found if places is None else places.union(found)
+        index.add(docs.filter((at > cuts[i - 1]) if i else F.lit(True)).filter((at <= cuts[i]) if i < len(cuts) else F.lit(True)))
+    places = index.resolve(docs)
     index.close()
     return without(docs, places)
 

@@ -56,17 +56,37 @@ def test_op2_against_brute_force(spark, tmp_path, data):
             assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id], r.doc_id
 
 
-@pytest.mark.parametrize("batches", [1, 6])
+@pytest.mark.parametrize("batches", [1, 7])
 def test_number_of_batches_does_not_matter(spark, batches):
     docs = passages()
     got = substrings.deduplicated(spark, frame(spark, docs), batches).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == expected(docs)
 
 
-def test_runs_are_compacted(spark):
-    docs = frame(spark, passages())
+def test_incremental_batches_and_compaction(spark, monkeypatch):
+    """Resolved after every batch, or once: the same places; runs of both kinds are compacted, and are met again."""
+    monkeypatch.setattr(substrings, "MOST_RUNS", 2)
+    docs = passages()
+    table = frame(spark, docs)
+    index, removed = substrings.SubstringIndex(spark), {}
+    ids = sorted(d[0] for d in docs)
+    cuts = [ids[len(ids) * i // 6] for i in range(6)] + [10**9]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        index.add(table.filter(f"doc_id >= {low} AND doc_id < {high}"))
+        for r in index.resolve(table.filter(f"doc_id < {high}")).collect():
+            removed.setdefault(r.doc_id, []).extend(r.places)
+    assert len(index.prints) <= 2 and len(index.windows) <= 2 and index.compactions >= 4
+    got = substrings.without(table, spark.createDataFrame(list(removed.items()), "doc_id long, places array<binary>")).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == expected(docs)
+    index.close()
+
+
+def test_a_run_is_not_shuffled(spark):
+    """Runs are merge-joined where they lie: the plan of a batch shuffles its own rows only."""
     index = substrings.SubstringIndex(spark)
-    for i in range(5):
-        index.add(docs.filter(f"doc_id % 5 = {i}"), docs.filter(f"doc_id % 5 < {i}"))
-    assert len(index.prints) == len(index.windows) <= substrings.MOST_RUNS
-    assert common.WORD
+    index.add(frame(spark, passages()[:30]))
+    run = spark.table(index.prints[0]).filter("fresh")
+    rows = substrings.fingerprints(frame(spark, passages()[30:])).groupBy("fp").count()
+    plan = rows.hint("merge").join(run, "fp", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and common.WORD
+    index.close()
