@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -46,6 +47,11 @@ class Scratch:
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets Spark's cleaner delete the shuffle files of finished steps, which nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Deletes a table that no later step reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

@@ -6,7 +6,7 @@ adds about one fingerprint per eight words. The index keeps immutable runs of fi
 with the document each was first seen in, as tables bucketed and sorted by fingerprint: a new
 batch is shuffled to the same buckets and merge-joined with every run, which itself is not
 moved. Fingerprints not met before form a new run; more than ``MOST_RUNS`` runs are compacted
-into one, bucket by bucket. Documents that share a fingerprint with another one, and the
+into one. Documents that share a fingerprint with another one, and the
 document in which it was first seen, are to be examined; their windows are made once, however
 many batches asked for it, meet by hash in a streaming merge with the runs of windows examined
 earlier, and yield the places to remove.
@@ -210,11 +210,13 @@ class SubstringIndex:
         return f"{self.scratch.root}/{name}"
 
     def _write(self, df: DataFrame, key: str, kind: str) -> str:
-        """A table of ``buckets`` buckets, each sorted by ``key``; its name."""
+        """A table of ``buckets`` buckets, each sorted by ``key``; its name.
+
+        ``df`` comes from a shuffle by ``key``, so every bucket is written by one task.
+        """
         self.step += 1
         name = f"{self.scratch.root.rsplit('/', 1)[1]}_{kind}{self.step}".replace("-", "_")
-        dealt = df.repartition(self.buckets, key)
-        dealt.write.bucketBy(self.buckets, key).sortBy(key).option("path", self._path(name)).option("compression", "zstd").saveAsTable(name)
+        df.write.bucketBy(self.buckets, key).sortBy(key).option("path", self._path(name)).option("compression", "zstd").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
@@ -244,11 +246,14 @@ class SubstringIndex:
         self.prints.append(table)
         if len(self.prints) > MOST_RUNS:
             self.compact()
+        del rows, state, met, examine
+        self.scratch.release()
 
-    def resolve(self, docs: DataFrame) -> DataFrame:
+    def resolve(self, docs: DataFrame, keep: bool = True) -> DataFrame:
         """``doc_id, places``: starts of the windows that stand earlier, of all documents added since the last call.
 
-        ``docs`` holds every document added so far; each text is read once.
+        ``docs`` holds every document added so far; each text is read once. Without ``keep``
+        nothing can be added afterwards, and no run of windows is left.
         """
         self.step += 1
         step, wanted = self.step, None
@@ -260,11 +265,15 @@ class SubstringIndex:
         found = windows_of(docs.select("doc_id", "text").join(lists, "doc_id")).withColumn("state", F.lit(NEW))
         for run in self._runs(self.windows, "windows"):
             found = found.union(run.select("wh", "doc_id", "place", F.lit(None).cast("binary"), F.lit(KNOWN)))
-        repeats = self.scratch.save(_repeats(found, keep_run=True), f"repeats{step}")
+        repeats = self.scratch.save(_repeats(found, keep_run=keep), f"repeats{step}")
         self.pending = []
-        self.windows.append(self._write(repeats.filter("wh IS NOT NULL").select("wh", "doc_id", "place"), "wh", "windows"))
-        if len(self.windows) > MOST_RUNS:
-            self.compact()
+        if keep:
+            fresh = repeats.filter("wh IS NOT NULL").select("wh", "doc_id", "place")
+            self.windows.append(self._write(fresh.repartition(self.buckets, "wh"), "wh", "windows"))
+            if len(self.windows) > MOST_RUNS:
+                self.compact()
+        del found, lists, wanted
+        self.scratch.release()
         return repeats.filter("places IS NOT NULL").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
 
     def close(self) -> None:
@@ -274,7 +283,7 @@ class SubstringIndex:
         self.prints, self.windows = [], []
 
     def compact(self) -> None:
-        """Merges the runs of a kind that has too many into one; buckets are merged where they lie."""
+        """Merges the runs of a kind that has too many into one."""
         self.compactions += 1
         if len(self.prints) > MOST_RUNS:
             every = self._runs(self.prints, "prints")
@@ -282,7 +291,7 @@ class SubstringIndex:
             for run in every[1:]:  # runs share no fingerprint
                 one = one.union(run.select("fp", "doc_id"))
             one = one.select("fp", "doc_id", F.lit(None).cast("long").alias("old"), F.lit(True).alias("fresh"), F.lit(False).alias("again"))
-            self.prints = self._replaced(self.prints, one, "fp", "prints")
+            self.prints = self._replaced(self.prints, one.repartition(self.buckets, "fp"), "fp", "prints")
         if len(self.windows) > MOST_RUNS:
             every = self._runs(self.windows, "windows")
             one = every[0]
@@ -342,7 +351,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, batches: int = BATCHES) -
     at = F.col("doc_id")
     for i in range(len(cuts) + 1):
         index.add(docs.filter((at > cuts[i - 1]) if i else F.lit(True)).filter((at <= cuts[i]) if i < len(cuts) else F.lit(True)))
-    places = index.resolve(docs)
+    places = index.resolve(docs, keep=False)
     index.close()
     return without(docs, places)
 
