@@ -38,8 +38,6 @@ WINDOW, GRAM = 20, 6
 MOST_RUNS = 3
 #: Batches that the query adds one after another.
 BATCHES = 5
-#: Places that a task holds before it passes them on.
-HELD = 1 << 20
 NEW, KNOWN = 0, 2
 _STATE = "fp long, doc_id long, old long, fresh boolean, again boolean"
 
@@ -106,20 +104,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "fp long, doc_id long, n int")
 
 
-def _packed(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """Places to remove, one row per document."""
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    blob = common.blobs(place.astype("<u4"), np.diff(np.append(first, len(doc))))
-    n = len(first)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(doc[first]), pa.nulls(n, pa.int64()), blob], ["wh", "doc_id", "place", "places"])
+def _removals(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Starts of windows to remove: rows without ``wh``."""
+    return pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()), pa.array(doc), pa.array(place)], ["wh", "doc_id", "place"])
 
 
 def windows_of(texts: DataFrame) -> DataFrame:
-    """``wh, doc_id, place, places`` of the windows whose fingerprint is in ``fps``.
+    """``wh, doc_id, place`` of the windows whose fingerprint is in ``fps``.
 
-    ``place`` holds 31 check bits below. Rows without ``wh`` are repeats within a slice.
+    ``place`` holds 31 check bits below. Rows without ``wh`` are repeats within a slice, by their start alone.
     """
 
     def run(batches):
@@ -139,27 +132,25 @@ def windows_of(texts: DataFrame) -> DataFrame:
                 order = np.lexsort((place, doc, check, wh))
                 wh, check, doc, place = wh[order], check[order], doc[order], place[order]
                 first = np.append(True, (wh[1:] != wh[:-1]) | (check[1:] != check[:-1]))[: len(wh)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(wh[first]), pa.array(doc[first]), pa.array(place[first]), pa.nulls(int(first.sum()), pa.binary())], ["wh", "doc_id", "place", "places"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(wh[first]), pa.array(doc[first]), pa.array(place[first])], ["wh", "doc_id", "place"])
                 # a repeated row is no repeat of the same place
                 group = np.cumsum(first) - 1
                 again = ~first & ((doc != doc[first][group]) | (place != place[first][group])) if len(wh) else first
                 if again.any():
-                    yield _packed(doc[again], place[again] >> 32)
+                    yield _removals(doc[again], place[again] >> 32)
 
-    return texts.select("doc_id", "text", "fps").mapInArrow(run, "wh long, doc_id long, place long, places binary")
+    return texts.select("doc_id", "text", "fps").mapInArrow(run, "wh long, doc_id long, place long")
 
 
 def _repeats(rows: DataFrame, keep_run: bool) -> DataFrame:
-    """Merges sorted windows: places to remove, packed by document, and the rows of a new run."""
+    """Merges sorted windows: places to remove and the rows of a new run."""
 
     def run(batches):
-        first, docs, places, held = None, [], [], 0
+        first = None
         for batch in batches:
             done = batch.column("wh").is_null()
             if pc.any(done).as_py():
-                yield batch.filter(done).select(["wh", "doc_id", "place", "places"])
+                yield batch.filter(done).select(["wh", "doc_id", "place"])
                 batch = batch.filter(pc.invert(done))
             if not batch.num_rows:
                 continue
@@ -178,21 +169,14 @@ def _repeats(rows: DataFrame, keep_run: bool) -> DataFrame:
                 i = starts[-1]
                 first = (wh[i], doc[i], place[i])
             found = np.flatnonzero(again)
-            docs.append(doc[found])
-            places.append(place[found] >> 32)
-            held += len(found)
             if keep_run:
                 fresh = starts[state[starts] != KNOWN]
-                yield pa.RecordBatch.from_arrays([pa.array(wh[fresh]), pa.array(doc[fresh]), pa.array(place[fresh]), pa.nulls(len(fresh), pa.binary())], ["wh", "doc_id", "place", "places"])
-            if held >= HELD:
-                yield _packed(np.concatenate(docs), np.concatenate(places))
-                docs, places, held = [], [], 0
-        if held:
-            yield _packed(np.concatenate(docs), np.concatenate(places))
+                yield pa.RecordBatch.from_arrays([pa.array(wh[fresh]), pa.array(doc[fresh]), pa.array(place[fresh])], ["wh", "doc_id", "place"])
+            yield _removals(doc[found], place[found] >> 32)
 
     spread = F.coalesce("wh", F.xxhash64("doc_id"))
     ordered = rows.repartition(spread).sortWithinPartitions("wh", F.col("state").desc(), "doc_id", "place")
-    return ordered.mapInArrow(run, "wh long, doc_id long, place long, places binary")
+    return ordered.mapInArrow(run, "wh long, doc_id long, place long")
 
 
 class SubstringIndex:
@@ -260,11 +244,11 @@ class SubstringIndex:
         for rows in self.pending:
             wanted = rows if wanted is None else wanted.union(rows)
         if wanted is None:
-            return self.spark.createDataFrame([], "doc_id long, places array<binary>")
+            return self.spark.createDataFrame([], "doc_id long, places array<long>")
         lists = wanted.groupBy("doc_id").agg(F.collect_set("fp").alias("fps")).hint("shuffle_hash")
         found = windows_of(docs.select("doc_id", "text").join(lists, "doc_id")).withColumn("state", F.lit(NEW))
         for run in self._runs(self.windows, "windows"):
-            found = found.union(run.select("wh", "doc_id", "place", F.lit(None).cast("binary"), F.lit(KNOWN)))
+            found = found.union(run.select("wh", "doc_id", "place", F.lit(KNOWN)))
         repeats = self.scratch.save(_repeats(found, keep_run=keep), f"repeats{step}")
         self.pending = []
         if keep:
@@ -274,7 +258,7 @@ class SubstringIndex:
                 self.compact()
         del found, lists, wanted
         self.scratch.release()
-        return repeats.filter("places IS NOT NULL").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+        return repeats.filter("wh IS NULL").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
 
     def close(self) -> None:
         """Deletes the runs; what ``resolve`` returned stays readable."""
@@ -316,12 +300,12 @@ def without(docs: DataFrame, places: DataFrame) -> DataFrame:
                 words = common.Words(part.column("text"))
                 n = len(words.hash)
                 change = np.zeros(n + 1, np.int64)
-                for r, blobs in enumerate(part.column("places").to_pylist()):
-                    for blob in blobs or ():
-                        at = np.frombuffer(blob, "<u4").astype(np.int64)
-                        at = words.first[r] + at[at + WINDOW <= words.count[r]]
-                        np.add.at(change, at, 1)
-                        np.add.at(change, at + WINDOW, -1)
+                places = pc.fill_null(part.column("places"), pa.scalar([], pa.list_(pa.int64())))
+                row = np.repeat(np.arange(words.rows), pc.list_value_length(places).to_numpy())
+                at = places.flatten().to_numpy()
+                inside = at + WINDOW <= words.count[row]
+                at = words.first[row[inside]] + at[inside]
+                change += np.bincount(at, minlength=n + 1)[: n + 1] - np.bincount(at + WINDOW, minlength=n + 1)[: n + 1]
                 gone = np.cumsum(change)[:n] > 0
                 removed = np.bincount(words.row[gone], minlength=words.rows)
                 start, end, row = words.start[~gone], words.end[~gone], words.row[~gone]

@@ -76,7 +76,7 @@ def test_incremental_batches_and_compaction(spark, monkeypatch):
         for r in index.resolve(table.filter(f"doc_id < {high}")).collect():
             removed.setdefault(r.doc_id, []).extend(r.places)
     assert len(index.prints) <= 2 and len(index.windows) <= 2 and index.compactions >= 4
-    got = substrings.without(table, spark.createDataFrame(list(removed.items()), "doc_id long, places array<binary>")).collect()
+    got = substrings.without(table, spark.createDataFrame(list(removed.items()), "doc_id long, places array<long>")).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == expected(docs)
     index.close()
 
