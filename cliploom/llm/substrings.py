@@ -245,6 +245,9 @@ class SubstringIndex:
             wanted = rows if wanted is None else wanted.union(rows)
         if wanted is None:
             return self.spark.createDataFrame([], "doc_id long, places array<long>")
+        if not keep:
+            while self.prints:
+                self._drop(self.prints.pop())
         lists = wanted.groupBy("doc_id").agg(F.collect_set("fp").alias("fps")).hint("shuffle_hash")
         found = windows_of(docs.select("doc_id", "text").join(lists, "doc_id")).withColumn("state", F.lit(NEW))
         for run in self._runs(self.windows, "windows"):
@@ -337,6 +340,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, batches: int = BATCHES) -
         index.add(docs.filter((at > cuts[i - 1]) if i else F.lit(True)).filter((at <= cuts[i]) if i < len(cuts) else F.lit(True)))
     places = index.resolve(docs, keep=False)
     index.close()
+    index.scratch.release()  # once more: the end of the last step has been reported by now
     return without(docs, places)
 
 
