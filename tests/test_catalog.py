@@ -9,7 +9,7 @@ from cliploom.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 #: Queries that find nothing in the smallest tables run on these.
-LARGER, EMPTY_WHEN_SMALL = os.environ.get("TEST_SF_DIR_LARGE", "/root/testdata/sf0.01"), ("tag_duplicates",)
+LARGER, EMPTY_WHEN_SMALL = os.environ.get("TEST_SF_DIR_LARGE", "/root/testdata/sf0.01"), ("tag_duplicates", "dup_content_key")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
