@@ -13,6 +13,8 @@ packs to nothing. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -80,6 +82,15 @@ def slots(found: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int,
     return rows
 
 
+def most_places(capacity: int = SEQUENCE) -> int:
+    """The bound of the table that is broadcast, whatever the corpus: 129,024 rows of six longs for 2048.
+
+    Every combination uses up a length, so there are ``capacity`` of them at most, and d
+    distinct lengths in one combination sum to d (d + 1) / 2 or more.
+    """
+    return capacity * ((math.isqrt(8 * capacity + 1) - 1) // 2)
+
+
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = SEQUENCE) -> DataFrame:
     """Pieces of at most ``capacity`` ids with their rank among equal lengths of the same task."""
 
@@ -117,7 +128,7 @@ def assign(spark: SparkSession, table: DataFrame, capacity: int = SEQUENCE) -> D
     inside = (F.col("length") == F.col("slot_length")) & (F.col("place_rank") >= F.col("low")) & (F.col("place_rank") < F.col("high"))
     nth = F.col("place_rank") - F.col("low")
     return (
-        ranked.join(F.broadcast(places), inside)  # a few rows per length at most
+        ranked.join(F.broadcast(places), inside)  # bounded, see most_places
         .withColumn("sequence_id", F.col("base") + F.floor(nth / F.col("per")).cast("long"))
         .withColumn("offset", F.col("place") + (nth % F.col("per")) * F.col("length"))
         .drop("part", "rank", "place_rank", "earlier", "slot_length", "low", "high", "per", "base", "place")

@@ -115,3 +115,15 @@ def test_fullest_is_the_best_subset():
         found = packing.fullest(counts, room)
         assert sum(found) == max(sums)
         assert all(found.count(k) <= counts.get(k, 0) for k in found)
+
+
+@pytest.mark.parametrize("capacity", [8, 40, 130])
+def test_places_stay_within_their_bound(capacity):
+    """The broadcast table of op6 is bounded by the sequence length, not by the corpus."""
+    assert packing.most_places(2048) == 2048 * 63
+    rng = random.Random(capacity)
+    for most in (1, 5, 1000):
+        counts = {length: rng.randint(1, most) for length in range(1, capacity + 1)}
+        rows = packing.slots(packing.combinations(counts, capacity))
+        assert sum(high - low for _, low, high, *_ in rows) == sum(counts.values())
+        assert len(rows) <= packing.most_places(capacity)
