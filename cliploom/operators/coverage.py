@@ -88,3 +88,13 @@ def gaps(clips: DataFrame, target: int = TARGET) -> DataFrame:
     order = F.when(F.col("priority") == "critical", 0).when(F.col("priority") == "high", 1).otherwise(2)
     below = stages(clips, target).filter("missing > 0").withColumn("priority_order", order)
     return below.select("category", "stage", "total", "missing", "priority", "priority_order").orderBy("priority_order", F.desc("missing"), "stage", "category")
+
+
+def overview(clips: DataFrame, chosen: Column, real: str) -> DataFrame:
+    """Header numbers in one pass: all clips, those of provenance ``real``, review states, and those ``chosen`` with their seconds."""
+    status = F.coalesce(F.nullif(F.col("review_status"), F.lit("")), F.lit("unreviewed"))
+    return clips.agg(
+        F.count("*").alias("total"), F.count_if(F.col("provenance") == real).alias("real"), F.count_if(status == "unreviewed").alias("unreviewed"),
+        F.count_if(status == "approved").alias("approved"), F.count_if("favorite").alias("favorite"), F.count_if(chosen).alias("filtered"),
+        F.bround(F.coalesce(F.sum(F.when(chosen, F.col("duration"))), F.lit(0.0)), 2).alias("filtered_seconds"),
+    )

@@ -66,14 +66,24 @@ def temporal(frames: DataFrame, digits: int = 5) -> DataFrame:
     )
 
 
-def matched_regions(regions: DataFrame) -> DataFrame:
-    """Each box with the box of the frame before that it overlaps most."""
-    names = ("x1", "y1", "x2", "y2")
-    before = regions.select("clip_id", (F.col("frame") + 1).alias("frame"), *[F.col(c).alias(f"p_{c}") for c in names])
-    pairs = regions.join(before, ["clip_id", "frame"])
-    overlap = iou({c: F.col(c) for c in names}, {c: F.col(f"p_{c}") for c in names})
-    best = pairs.withColumn("iou", overlap).groupBy("clip_id", "frame", "x1", "y1").agg(F.max("iou").alias("iou"))
-    return best.filter("iou > 0")
+def matched_regions(regions: DataFrame, least_iou: float = 0.3, most_distance: float = 0.08) -> DataFrame:
+    """Each box (``clip_id, frame, box``) with ``match``, a box of the frame before.
+
+    The box that overlaps most is taken, from ``least_iou`` on; where none does, the first
+    one whose centre lies within ``most_distance``; else there is no match (null). Ties go
+    to the smaller number. Frames hold a few boxes, so the pairs of a frame are few.
+    """
+    sized = geometry(regions).select("clip_id", "frame", "box", "x1", "y1", "x2", "y2", "area", "center_x", "center_y")
+    mine = ("x1", "y1", "x2", "y2", "area", "center_x", "center_y")
+    before = sized.select("clip_id", (F.col("frame") + 1).alias("frame"), F.col("box").alias("other"), *[F.col(c).alias(f"p_{c}") for c in mine])
+    side = lambda low, high: F.greatest(F.lit(0.0), F.least(high, f"p_{high}") - F.greatest(low, f"p_{low}"))
+    shared = side("x1", "x2") * side("y1", "y2")
+    union = F.col("area") + F.col("p_area") - shared
+    overlap = F.when(union > 0, F.bround(shared / union, 4)).otherwise(0.0)
+    dx, dy = F.col("center_x") - F.col("p_center_x"), F.col("center_y") - F.col("p_center_y")
+    rank = F.when(overlap >= least_iou, overlap).when(F.bround(F.sqrt(dx * dx + dy * dy), 4) <= most_distance, 0.0)
+    best = F.min(F.when(rank.isNotNull(), F.struct((-rank).alias("rank"), "other")))
+    return sized.join(before, ["clip_id", "frame"], "left").groupBy("clip_id", "frame", "box").agg(best.alias("m")).select("clip_id", "frame", "box", F.col("m.other").alias("match"))
 
 
 def intervals(points: DataFrame, keys: list[str], at: str, gap: float, pad: float) -> DataFrame:

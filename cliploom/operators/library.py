@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HARD_SUBTITLES = ("multi_region", "large_center_text", "promotional_overlay", "dense_text", "complex")
+from ..functions import materials
+
+# ---- fixed values ----
+HARD_SUBTITLES = ("multi_region", "colored_block", "complex")
+SUBTITLE_LIMITS = {"strict": 0.35, "balanced": 0.5, "loose": 0.7, "off": 1.0}
+# ---- end of fixed values ----
 CLEANABLE = ("bottom_simple", "top_simple", "single_region", "watermark_only")
 
 
@@ -35,18 +40,50 @@ def page(clips: DataFrame, order: str, size: int, number: int, descending: bool
     return clips.orderBy(key, F.desc("clip_id")).offset(min(number, last) * size).limit(size)
 
 
-def quality_gate(clips: DataFrame, least_duration=3.0, most_duration=15.0, subtitle=0.35, material=0.3, visual=0.3, overall=0.4) -> DataFrame:
-    """The first rule that a clip breaks, or ``accepted``."""
-    verdict = (
-        F.when(~F.col("duration").between(least_duration, most_duration), "duration")
-        .when(F.col("subtitle_type").isin(*HARD_SUBTITLES), "subtitle_class")
-        .when(F.col("subtitle_score") > subtitle, "subtitle_score")
-        .when(F.col("material_score") < material, "material_score")
-        .when(F.col("visual") < visual, "visual_quality")
-        .when(F.col("overall") < overall, "overall_score")
-        .otherwise("accepted")
+def quality_gate(
+    clips: DataFrame, limits: dict[str, float] | None = None, least_duration: float = 3.0, most_duration: float = 15.0,
+    material: float = 0.6, visual: float = 0.5, overall: float = 0.55, otherwise: float = 0.25,
+) -> DataFrame:
+    """``clip_id, accepted, reason, subtitle_rejected``: the first rule that a clip breaks, and null reason if it breaks none.
+
+    ``limits`` holds the highest subtitle score of each ``policy`` (others: ``otherwise``); a
+    ``required_material`` must have the base name of the clip's ``material``, a blank one asks nothing.
+    """
+    policy = F.create_map(*[F.lit(x) for pair in (limits or SUBTITLE_LIMITS).items() for x in pair])
+    limit = F.coalesce(policy[F.coalesce("policy", F.lit(""))], F.lit(otherwise))
+    wanted, seen = (materials.material_base(F.trim(F.coalesce(c, F.lit("")))) for c in ("required_material", "material"))
+    hard, heavy = F.col("subtitle_type").isin(*HARD_SUBTITLES), F.col("subtitle_score") > limit
+    reason = (
+        F.when(F.col("duration") < least_duration, "segment_too_short")
+        .when(F.col("duration") > most_duration, "quality_gate")
+        .when(hard | heavy, "subtitle_too_complex")
+        .when((wanted != "") & (seen != wanted), "no_material")
+        .when(F.col("material_score") < material, "no_material")
+        .when(F.col("visual") < visual, "low_quality")
+        .when(F.col("overall") < overall, "quality_gate")
     )
-    return clips.select("clip_id", verdict.alias("verdict"))
+    return clips.select("clip_id", reason.alias("reason")).select("clip_id", F.col("reason").isNull().alias("accepted"), "reason", F.coalesce(F.col("reason") == "subtitle_too_complex", F.lit(False)).alias("subtitle_rejected"))
+
+
+def tag_lists(tags: DataFrame, bridge: DataFrame) -> DataFrame:
+    """``clip_id, tags``: the names of a clip's tags in order of category, then name."""
+    named = bridge.join(tags, "tag_id").groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("tag_category", "name"))).alias("t"))
+    return named.select("clip_id", F.col("t.name").alias("tags"))
+
+
+def orphan_tags(tags: DataFrame, bridge: DataFrame) -> DataFrame:
+    """Tags that no clip has."""
+    return tags.join(bridge.select("tag_id").distinct(), "tag_id", "left_anti")
+
+
+def preferred_media(clips: DataFrame, cleanups: DataFrame, files: DataFrame, require_review: bool = True) -> DataFrame:
+    """``clip_id, media``: the newest derivative that succeeded, is approved and exists, else the original file."""
+    usable = cleanups.filter("status = 'succeeded'")
+    if require_review:
+        usable = usable.filter("review_status = 'approved'")
+    there = usable.join(files.select(F.col("path").alias("output_path")), "output_path", "left_semi")
+    newest = there.groupBy("clip_id").agg(F.max_by("output_path", "cleanup_id").alias("derivative"))
+    return clips.join(newest, "clip_id", "left").select("clip_id", F.coalesce("derivative", "file_path").alias("media"))
 
 
 def cleanup_routing(clips: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Longest duration in seconds and frames of each band, fixed values.
+FRAME_BANDS = ((15.0, 6), (45.0, 8), (90.0, 10))
+
 
 def unrelated_title(title: Column, material: Column, off_topic: list[str]) -> Column:
     """A title with an off-topic word is unrelated unless it shares the material or a character of it."""
@@ -42,11 +45,56 @@ def duration_routes(rows: DataFrame, low: float, high: float) -> DataFrame:
     return rows.select("source_id", route.otherwise("rejected_duration").alias("route"))
 
 
-def frame_plan(videos: DataFrame) -> DataFrame:
-    """Frames per video by band of duration, at even distances inside the clip's 20 to 80 percent."""
-    n = F.when(F.col("seconds") < 10, 3).when(F.col("seconds") < 30, 5).when(F.col("seconds") < 60, 8).otherwise(12)
-    at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.bround(F.col("seconds") * (F.lit(0.2) + i * F.lit(0.6) / (n - 1)), 3))
-    return videos.select("source_id", F.explode(F.array_distinct(at)).alias("at"))
+def frame_count(seconds: Column, bands=FRAME_BANDS, beyond: int = 12, floor: int = 3, ceiling: int = 12) -> Column:
+    """Frames by the first band of duration that fits; an unknown duration takes the first band."""
+    number = F.when(seconds.isNull() | (seconds <= 0), bands[0][1])
+    for most, frames in bands:
+        number = number.when(seconds <= most, frames)
+    return F.greatest(F.lit(floor), F.least(F.lit(ceiling), number.otherwise(beyond)))
+
+
+def _spread(start: Column, width: Column, n: Column) -> Column:
+    """``n`` (at least one) middles of equal parts."""
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: start + width * (i + 0.5) / n)
+
+
+def frame_times(seconds: Column, n: Column, strategy: str = "uniform", digits: int = 3) -> Column:
+    """Distinct ascending timestamps in a video; none without a duration, 0 alone in one of 0.05 s or less.
+
+    ``uniform``: middles of equal parts. ``uniform_edges`` (from 4 frames on): a third of them
+    in the first 15 percent, a third in the last, the rest around the middle.
+    ``dense_start`` (from 3 on): half of them in the first 40 percent.
+    """
+    none, zero, third, half = F.array().cast("array<double>"), F.lit(0.0), F.floor(n / 3).cast("int"), F.floor(n / 2).cast("int")
+    made = _spread(zero, seconds, n)
+    if strategy == "uniform_edges":
+        middle = F.greatest(F.lit(1), n - 2 * third)
+        edges = F.concat(_spread(zero, seconds * 0.15, third), _spread(seconds * 0.35, seconds * 0.3, middle), _spread(seconds - seconds * 0.15, seconds * 0.15, third))
+        made = F.when(n >= 4, edges).otherwise(made)
+    elif strategy == "dense_start":
+        made = F.when(n >= 3, F.concat(_spread(zero, seconds * 0.4, half), _spread(seconds * 0.4, seconds * 0.6, n - half))).otherwise(made)
+    inside = F.transform(made, lambda x: F.bround(F.greatest(zero, F.least(x, seconds)), digits))
+    none_left = F.coalesce(seconds <= 0, F.lit(True)) | (n <= 0)
+    return F.when(none_left, none).when(seconds <= 0.05, F.array(zero)).otherwise(F.array_sort(F.array_distinct(inside)))
+
+
+def clip_times(start: Column, end: Column, n: Column, low: float = 0.2, high: float = 0.8, margin: float = 0.05, digits: int = 3) -> Column:
+    """Timestamps at ``n`` even positions between two shares of a clip (one: the third fifth), off its very ends."""
+    span = F.greatest(F.lit(0.0), end - start)
+    edge = F.least(F.lit(margin), span / 4)
+    step = F.when(n > 1, F.lit(high - low) / (n - 1)).otherwise(0.0)
+    share = lambda i: F.when(n > 1, F.bround(low + step * i, 4)).otherwise(0.6)
+    at = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.bround(F.least(F.greatest(start + span * share(i), start + edge), end - edge), digits))
+    return F.when(span <= 0, F.array().cast("array<double>")).otherwise(F.array_distinct(at))
+
+
+def frame_plan(videos: DataFrame, digits: int = 3) -> DataFrame:
+    """``source_id, strategy, at``: the timestamps of the three ways to sample a video, and of tagging it as one clip of four frames."""
+    seconds, n = F.col("seconds"), frame_count(F.col("seconds"))
+    plans = [(s, frame_times(seconds, n, s, digits)) for s in ("uniform", "uniform_edges", "dense_start")]
+    plans.append(("clip", clip_times(F.lit(0.0), seconds, F.lit(4), digits=digits)))
+    every = F.array(*[F.struct(F.lit(s).alias("strategy"), times.alias("times")) for s, times in plans])
+    return videos.select("source_id", F.explode(every).alias("p")).select("source_id", "p.strategy", F.explode("p.times").alias("at"))
 
 
 def removed(tags: DataFrame, clips: DataFrame) -> DataFrame:

@@ -14,13 +14,6 @@ def provenance(adapter: Column, url: Column) -> Column:
     return F.when(adapter == "mock", "mock").when(adapter == "local", "local_test").when(url.rlike("^https?://[^/]+/video/[0-9]{12,}"), "remote").otherwise("unknown")
 
 
-def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case, no query, fragment or closing slash."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(url), "[?#].*$", ""), "/+$", "")
-    head = F.regexp_extract(bare, "^[A-Za-z]+://[^/]+", 0)
-    return F.concat(F.lower(head), F.substring(bare, F.length(head) + 1, F.length(bare)))
-
-
 def import_reviews(reviews: DataFrame, clips: DataFrame) -> DataFrame:
     """One row per review line: the change it makes, or why it is skipped."""
     known = clips.select(F.col("clip_id").alias("known_id"), F.col("review_status").alias("old_status"), F.col("favorite").alias("old_favorite"))

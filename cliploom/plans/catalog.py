@@ -16,7 +16,7 @@ from ..operators import coverage, duplicates, geometry, library, ranking, usage
 from ..sources.adapters import REVIEWS, STAGES
 from ..sources.adapters import library as table
 from ..sources.adapters import oracle
-from . import boxes, decisions, intake, objectives, records, rules, upkeep
+from . import boxes, decisions, intake, objectives, records, rules, selection, upkeep
 
 #: The moment that ages are measured from.
 AS_OF = "2001-12-31 00:00:00"
@@ -108,11 +108,6 @@ def _urls(spark, sf_dir):
     return library.seen_urls(_hits(spark, sf_dir), table(spark, sf_dir, "sources")).select("hit_id", "url")
 
 
-def _links(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", F.size(text.links(F.col("html"))).cast("long").alias("n_links"), F.array_join(text.links(F.col("html")), " ").alias("links"))
-
-
 def _texts(function):
     def query(spark, sf_dir):
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -182,7 +177,6 @@ SELECT query, candidates, new_to_system, known, samples, zero_runs, last_attempt
     "clip_by_edit_role": (_on("clips")(lambda c: c.filter(F.array_contains(F.split("roles", ","), "hook")).select("clip_id")), "SELECT clip_id FROM clips WHERE list_contains(string_split(roles, ','), 'hook')"),
     "clip_page": (_on("clips")(lambda c: library.page(c, "overall", 50, 3).select("clip_id", "overall")), "SELECT clip_id, overall FROM clips ORDER BY overall DESC, clip_id DESC LIMIT 50 OFFSET 150"),
     "clip_stats": (_on("clips")(lambda c: c.filter("favorite").agg(F.count("*").alias("n"), F.bround(F.sum("duration"), 2).alias("seconds"))), "SELECT count(*) AS n, round_even(sum(duration), 2) AS seconds FROM clips WHERE favorite"),
-    "quality_gate": (_on("clips")(library.quality_gate), f"SELECT clip_id, CASE WHEN duration NOT BETWEEN 3 AND 15 THEN 'duration' WHEN subtitle_type IN {library.HARD_SUBTITLES} THEN 'subtitle_class' WHEN subtitle_score > 0.35::DOUBLE THEN 'subtitle_score' WHEN material_score < 0.3::DOUBLE THEN 'material_score' WHEN visual < 0.3::DOUBLE THEN 'visual_quality' WHEN overall < 0.4::DOUBLE THEN 'overall_score' ELSE 'accepted' END AS verdict FROM clips"),
     "cleanup_routing": (_on("clips")(library.cleanup_routing), f"SELECT clip_id, CASE WHEN subtitle_type = 'unknown' THEN 'unmeasured' WHEN subtitle_type = 'none' THEN 'not_needed' WHEN subtitle_type IN {library.CLEANABLE} THEN 'eligible' ELSE 'ineligible' END AS route FROM clips"),
     "acquisition_decision": (_on("sources")(lambda s: library.acquisition(s, F.lit(AS_OF_SOURCES).cast("timestamp"))), f"""
 WITH h AS (SELECT *, (epoch(TIMESTAMP '{AS_OF_SOURCES}') - epoch(created_at)) / 3600.0 AS hours FROM sources)
@@ -219,7 +213,6 @@ r AS (SELECT *, sum(o) OVER (PARTITION BY clip_id ORDER BY t) AS run FROM g), i
 m AS (SELECT *, CASE WHEN s > max(e) OVER v OR max(e) OVER v IS NULL THEN 1 ELSE 0 END AS o FROM i WINDOW v AS (PARTITION BY clip_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 n AS (SELECT *, sum(o) OVER (PARTITION BY clip_id ORDER BY s) AS island FROM m)
 SELECT clip_id, round_even(greatest(min(s), 0), 4) AS "start", round_even(max(e), 4) AS "end" FROM n GROUP BY clip_id, island"""),
-    "html_links": (_links, "SELECT page_id, len(l) AS n_links, array_to_string(l, ' ') AS links FROM (SELECT page_id, list_transform(list_sort(list_transform(list_distinct(x), lambda v: struct_pack(p := list_position(x, v), v := v))), lambda s: s.v) AS l FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) AS x FROM pages))"),
     "redact_digits": (_texts(text.redact_digits), "SELECT doc_id, regexp_replace(text, '[0-9]{7,}', '<num>', 'g') AS result FROM documents"),
     "sanitize_error": (_texts(text.sanitize_error), """SELECT doc_id, CASE WHEN length(r) > 600 THEN substr(r, 1, 597) || '...' ELSE r END AS result FROM (SELECT doc_id,
   regexp_replace(regexp_replace(regexp_replace(COALESCE(text, ''), '(?i)\\b(bearer)\\s+[A-Za-z0-9._-]+', 'Bearer <redacted>', 'g'), '\\bsk-[A-Za-z0-9._-]{6,}', 'sk-<redacted>', 'g'),
@@ -228,8 +221,8 @@ SELECT clip_id, round_even(greatest(min(s), 0), 4) AS "start", round_even(max(e)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run for name, (run, _) in {**QUERIES, **intake.QUERIES, **upkeep.QUERIES, **objectives.QUERIES, **rules.QUERIES, **boxes.QUERIES, **decisions.QUERIES, **records.QUERIES}.items()}
+    return {name: run for name, (run, _) in {**QUERIES, **intake.QUERIES, **upkeep.QUERIES, **objectives.QUERIES, **rules.QUERIES, **boxes.QUERIES, **decisions.QUERIES, **records.QUERIES, **selection.QUERIES}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(sql) for name, (_, sql) in {**QUERIES, **intake.QUERIES, **upkeep.QUERIES, **objectives.QUERIES, **rules.QUERIES, **boxes.QUERIES, **decisions.QUERIES, **records.QUERIES}.items() if sql}
+    return {name: oracle(sql) for name, (_, sql) in {**QUERIES, **intake.QUERIES, **upkeep.QUERIES, **objectives.QUERIES, **rules.QUERIES, **boxes.QUERIES, **decisions.QUERIES, **records.QUERIES, **selection.QUERIES}.items() if sql}

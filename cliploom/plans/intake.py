@@ -77,14 +77,6 @@ def _snapped(spark, sf_dir):
     return s.select("video_id", F.bround("start", 4).alias("start"), F.bround("end", 4).alias("end"), "refined")
 
 
-def _preferred(spark, sf_dir):
-    """The newest succeeded and approved derivative of a clip, else the original."""
-    clips = table(spark, sf_dir, "clips")
-    made = table(spark, sf_dir, "regions").filter("frame <> 2 AND x1 > 0.2").groupBy("clip_id").agg(F.max("frame").alias("version"))
-    joined = clips.select("clip_id").join(made, "clip_id", "left")
-    return joined.select("clip_id", F.when(F.col("version").isNull(), "original").otherwise(F.concat(F.lit("v"), "version")).alias("media"))
-
-
 def _tag_counts(clips):
     tags = F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("shot:"), "shot"), F.concat(F.lit("stage:"), "stage")), F.transform(F.split("roles", ","), lambda r: F.concat(F.lit("role:"), r)))))
     return clips.select("clip_id", tags.alias("tag"))
@@ -133,18 +125,11 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "hamming": (_hamming, f"SELECT a.clip_id, CAST({_BITS.format('a.phash', 'b.phash')} AS INT) AS distance FROM clips a JOIN clips b ON a.clip_id = b.clip_id + 1"),
     "parse_time": (_times, "SELECT source_id, created_at AS at FROM sources"),
     "video_id": (_on("sources")(lambda s: s.select("source_id", text.video_id(F.col("url")).alias("video_id"))), "SELECT source_id, regexp_extract(url, '/video/([0-9]{6,})', 1) AS video_id FROM sources"),
-    "clip_tags_list": (lambda s, d: _tag_counts(table(s, d, "clips")).groupBy("clip_id").agg(F.array_join(F.sort_array(F.collect_list("tag")), ",").alias("tags")), f"SELECT clip_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM {_TAGS} GROUP BY 1"),
     "tag_counts": (lambda s, d: _tag_counts(table(s, d, "clips")).groupBy("tag").agg(F.count("*").alias("n")), f"SELECT tag, count(*) AS n FROM {_TAGS} GROUP BY 1"),
     "coverage_delta": (_delta, "SELECT stage, count(*) FILTER (WHERE clip_id % 2 = 0) - count(*) FILTER (WHERE clip_id % 3 = 0) AS change FROM clips GROUP BY 1 HAVING change <> 0"),
-    "preferred_media": (_preferred, "SELECT clip_id, COALESCE('v' || v, 'original') AS media FROM clips LEFT JOIN (SELECT clip_id, max(frame) AS v FROM regions WHERE frame <> 2 AND x1 > 0.2::DOUBLE GROUP BY 1) USING (clip_id)"),
-    "region_match": (lambda s, d: geometry.matched_regions(table(s, d, "regions")), """WITH p AS (SELECT a.clip_id, a.frame, a.x1, a.y1, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i,
-      (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s FROM regions a JOIN regions b ON a.clip_id = b.clip_id AND a.frame = b.frame + 1)
-      SELECT clip_id, frame, x1, y1, max(round_even(i / (s - i), 6)) AS iou FROM p GROUP BY 1, 2, 3, 4 HAVING max(round_even(i / (s - i), 6)) > 0"""),
     "segment_boundary_snap": (_snapped, """WITH s AS (SELECT clip_id, source_id AS video_id, (clip_id % 3) * 20.0::DOUBLE + overall AS a, (clip_id % 3) * 20.0::DOUBLE + overall + duration * 2 AS b FROM clips),
       t AS (SELECT DISTINCT source_id AS video_id, unnest([(clip_id % 3) * 20.0::DOUBLE, (clip_id % 3) * 20.0::DOUBLE + visual * 30]) AS t FROM clips),
       j AS (SELECT clip_id, s.video_id, a, b, max(CASE WHEN t <= a AND a - t <= 1.5::DOUBLE THEN t END) AS ta, min(CASE WHEN t >= b AND t - b <= 1.5::DOUBLE THEN t END) AS tb FROM s LEFT JOIN t USING (video_id) GROUP BY 1, 2, 3, 4)
       SELECT video_id, round_even(COALESCE(ta, a), 4) AS "start", round_even(COALESCE(tb, b), 4) AS "end", COALESCE(ta, a) <> a OR COALESCE(tb, b) <> b AS refined FROM j"""),
-    "orphan_tags": (_on("clips")(lambda c: c.select(F.col("description").alias("tag")).distinct().join(c.filter("favorite").select(F.col("description").alias("tag")), "tag", "left_anti")), "SELECT DISTINCT description AS tag FROM clips WHERE description NOT IN (SELECT description FROM clips WHERE favorite)"),
-    "library_overview": (_on("clips")(lambda c: c.agg(F.count("*").alias("clips"), F.countDistinct("source_id").alias("sources"), F.countDistinct("category").alias("categories"), F.bround(F.sum("duration"), 1).alias("seconds"))), "SELECT count(*) AS clips, count(DISTINCT source_id) AS sources, count(DISTINCT category) AS categories, round_even(sum(duration), 1) AS seconds FROM clips"),
     "stage_target_gate": (_on("clips")(lambda c: library.clip_filter(c, among={"stage": ["drying", "inside_dryer"]}).select("clip_id", "stage")), "SELECT clip_id, stage FROM clips WHERE stage IN ('drying', 'inside_dryer')"),
 }

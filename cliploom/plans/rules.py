@@ -74,7 +74,6 @@ QUERIES = {
     "title_irrelevant": (_titles, "WITH m AS (SELECT p_partkey, p_name, CASE p_partkey % 3 WHEN 0 THEN 'ring' WHEN 1 THEN 'qz' ELSE 'xy' END AS material FROM part) SELECT p_partkey, (contains(p_name, 'red') OR contains(p_name, 'small') OR contains(p_name, 'blue')) AND NOT list_bool_or(list_transform(string_split(material, ''), lambda c: contains(p_name, c))) AS unrelated FROM m"),
     "duration_route": (lambda s, d: rules.duration_routes(_rows(s, d), 5, 60), f"WITH {_ROWS} SELECT source_id, CASE WHEN state = 'unavailable' THEN 'failed' WHEN state = 'timeout' OR seconds IS NULL THEN 'discovered' WHEN seconds BETWEEN 5 AND 60 THEN 'ready' ELSE 'rejected_duration' END AS route FROM r"),
     "preview_decision": (lambda s, d: rules.previews(_answers(s, d)), "SELECT clip_id AS source_id, CASE WHEN clip_id % 6 = 0 THEN 'failed:no_frames' WHEN clip_id % 9 = 0 THEN 'failed:no_verdict' WHEN clip_id % 4 = 0 THEN 'rejected:model' WHEN clip_id % 5 = 0 THEN 'rejected:no_material' WHEN visual < 0.5::DOUBLE THEN 'rejected:low_quality' WHEN subtitle_type IN ('dense_text', 'promotional_overlay', 'large_center_text') THEN 'rejected:subtitle_class' WHEN subtitle_score > 0.35::DOUBLE THEN 'rejected:subtitle_score' ELSE 'accepted' END AS verdict FROM clips"),
-    "frame_plan": (lambda s, d: rules.frame_plan(table(s, d, "sources").select("source_id", F.col("duration").alias("seconds"))), "WITH n AS (SELECT source_id, duration, CASE WHEN duration < 10 THEN 3 WHEN duration < 30 THEN 5 WHEN duration < 60 THEN 8 ELSE 12 END AS n FROM sources) SELECT DISTINCT source_id, round_even(duration * (0.2::DOUBLE + i * 0.6::DOUBLE / (n - 1)), 3) AS at FROM (SELECT *, unnest(range(0, n)) AS i FROM n)"),
     "retag_clips": (_retagged, f"WITH {_TAG_SQL} SELECT clip_id, tag FROM t WHERE clip_id % 3 <> 0 UNION ALL SELECT clip_id, 'new' FROM clips WHERE clip_id % 3 = 0"),
     "remove_clips": (_removed, f"WITH {_TAG_SQL} SELECT clip_id, tag FROM t WHERE clip_id % 4 <> 0"),
     "link_runs": (_linked, "WITH f AS (SELECT source_id, min(clip_id) AS c FROM clips GROUP BY 1) SELECT run_id, source_id, CASE WHEN run_id % 2 = 0 THEN run_id ELSE c END AS clip_id FROM ai_runs LEFT JOIN f USING (source_id)"),

@@ -48,7 +48,6 @@ r AS (SELECT *, COALESCE(sum(missing) OVER (PARTITION BY category ORDER BY p, mi
 
 QUERIES = {
     "provenance": (_one("sources", lambda s: s.select("source_id", upkeep.provenance(F.when(F.col("source_id") % 9 == 0, "mock").when(F.col("source_id") % 9 == 1, "local").otherwise("web"), F.col("url")).alias("kind"))), "SELECT source_id, CASE WHEN source_id % 9 = 0 THEN 'mock' WHEN source_id % 9 = 1 THEN 'local_test' WHEN length(CAST(100000000000 + source_id AS VARCHAR)) >= 12 THEN 'remote' ELSE 'unknown' END AS kind FROM sources"),
-    "url_filter": (lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", upkeep.canonical_url(F.concat(F.upper(F.substring("url", 1, 9)), F.substring("url", 10, 9999), F.lit("/?a=1#b"))).alias("url")), "WITH b AS (SELECT page_id, rtrim(regexp_replace(trim(upper(substr(url, 1, 9)) || substr(url, 10) || '/?a=1#b'), '[?#].*$', ''), '/') AS u FROM pages), h AS (SELECT *, regexp_extract(u, '^[A-Za-z]+://[^/]+') AS head FROM b) SELECT page_id, lower(head) || substr(u, length(head) + 1) AS url FROM h"),
     "review_import": (_one("clips", lambda c: upkeep.import_reviews(_reviews(c), c)), """
 WITH r AS (SELECT clip_id AS line, CASE WHEN clip_id % 7 = 0 THEN NULL ELSE clip_id * CASE WHEN clip_id % 5 = 0 THEN -1 ELSE 1 END END AS number, CASE WHEN clip_id % 11 = 0 THEN 'great' ELSE 'approved' END AS status,
  CASE WHEN clip_id % 13 = 0 THEN NULL WHEN clip_id % 2 = 0 THEN true ELSE false END AS fav FROM clips)
