@@ -147,22 +147,36 @@ def recent(yield_rows: DataFrame, most: int = 500) -> DataFrame:
     return yield_rows.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= most)
 
 
-def novelty(yield_rows: DataFrame, as_of: Column, days: int = 30, least: int = 8, high: float = 0.8, fresh_rate: float = 0.3, mixed: float = 0.4, zero_runs: int = 3) -> DataFrame:
-    """Lifetime and window counts per query, with a saturation class and its actionability."""
-    start = as_of - F.make_dt_interval(F.lit(days))
+def novelty(
+    yield_rows: DataFrame, sources: DataFrame, clips: DataFrame, as_of: Column, days: int = 30, expiry: int = 30,
+    least: int = 8, samples: int = 3, high: float = 0.8, fresh_rate: float = 0.3, mixed: float = 0.4, zero_runs: int = 3,
+) -> DataFrame:
+    """Lifetime and window counts per query of the yields, with a saturation class and its actionability.
+
+    ``known_sources`` and ``represented`` are the stored sources that a query found, and those
+    of them with clips. Where old rows have neither new nor known counts, the stored sources
+    stand for the known ones, up to the number of candidates.
+    """
+    start, dead = as_of - F.make_dt_interval(F.lit(days)), as_of - F.make_dt_interval(F.lit(expiry))
     inside = F.col("created_at") >= start
     by = recent(yield_rows).groupBy("query").agg(
-        F.sum("candidates").alias("candidates"), F.sum("fresh").alias("new_to_system"), F.sum("known").alias("known"),
+        F.sum("candidates").alias("candidates"), F.sum("fresh").alias("new_to_system"), F.sum("known").alias("counted"),
         F.count_if(inside).alias("samples"), F.count_if(inside & (F.col("candidates") > 0) & (F.col("fresh") == 0)).alias("zero_runs"),
         F.max(F.when(F.col("place") == 1, F.col("created_at"))).alias("last_attempt"),
     )
+    with_clips = clips.select("source_id").distinct().withColumn("has_clip", F.lit(True))
+    found = source_queries(sources).select("source_id", "query").distinct().join(with_clips, "source_id", "left")
+    stored = found.groupBy("query").agg(F.count("*").alias("known_sources"), F.count_if("has_clip").alias("represented"))
+    by = by.join(stored, "query", "left").fillna(0, ["known_sources", "represented"])
+    old = (F.col("candidates") > 0) & (F.col("new_to_system") == 0) & (F.col("counted") == 0)
+    by = by.withColumn("known", F.when(old, F.least("candidates", "known_sources")).otherwise(F.col("counted"))).drop("counted")
     known = F.when(F.col("candidates") > 0, F.least(F.lit(1.0), F.col("known") / F.col("candidates")))
     new = F.when(F.col("candidates") > 0, F.least(F.lit(1.0), F.col("new_to_system") / F.col("candidates")))
     k, n = F.coalesce(known, F.lit(0.0)), F.coalesce(new, F.lit(0.0))
     some = F.col("new_to_system") > 0
-    worn = ((F.col("candidates") >= least) | (F.col("samples") >= 2)) & (k >= high) | (F.col("zero_runs") >= zero_runs)
+    worn = ((F.col("candidates") >= least) | (F.col("samples") >= samples)) & (k >= high) | (F.col("zero_runs") >= zero_runs)
     state = (
-        F.when(F.col("candidates") <= 0, "unknown").when(F.col("last_attempt") < start, "unknown").when(worn, "saturated")
+        F.when(F.col("candidates") <= 0, "unknown").when(F.col("last_attempt") < dead, "unknown").when(worn, "saturated")
         .when(some & (n >= fresh_rate), "fresh").when((k >= mixed) | some & (k > 0), "mixed").when(some, "fresh").otherwise("unknown")
     )
     factor = F.when(F.col("saturation") == "saturated", 0.3).when(F.col("saturation") == "mixed", 0.7).when(F.col("saturation") == "unknown", 0.8).otherwise(1.0)

@@ -18,9 +18,11 @@ from ..sources.adapters import library as table
 from ..sources.adapters import oracle
 from . import boxes, decisions, intake, objectives, records, rules, selection, upkeep
 
-#: The moment that ages are measured from.
-AS_OF = "2001-12-31 00:00:00"
+#: The moments that ages are measured from, and the days after which a query counts as untried.
 AS_OF_SOURCES = "1998-09-01 00:00:00"
+AS_OF_YIELDS, EXPIRY_YIELDS = "1999-12-01 00:00:00", 900
+#: Queries whose rows stand for old ones without counts.
+_UNCOUNTED = ("q5", "q10", "q20", "q55")
 
 _CAT = "CASE WHEN trim(category) = '' THEN '(legacy)' ELSE category END"
 _AVG = ", ".join(f"round_even(avg({c}), 3) AS avg_{c}" for c in ("overall", "material_score", "visual"))
@@ -104,6 +106,11 @@ def _known(spark, sf_dir):
     return library.known_sources(_hits(spark, sf_dir), table(spark, sf_dir, "sources"), table(spark, sf_dir, "clips"))
 
 
+def _novelty(spark, sf_dir):
+    rows = table(spark, sf_dir, "yields").withColumn("known", F.when(F.col("query").isin(*_UNCOUNTED), 0).otherwise(F.col("known")))
+    return ranking.novelty(rows, table(spark, sf_dir, "sources"), table(spark, sf_dir, "clips"), F.lit(AS_OF_YIELDS).cast("timestamp"), expiry=EXPIRY_YIELDS)
+
+
 def _urls(spark, sf_dir):
     return library.seen_urls(_hits(spark, sf_dir), table(spark, sf_dir, "sources")).select("hit_id", "url")
 
@@ -152,17 +159,20 @@ QUERIES: dict[str, Query] = {
     "query_scores": (_on(*_ALL)(lambda *t: ranking.scores(_statistics(*t)).select("query", "score_v1", "score_v2")), _STATS + "SELECT query, score_v1, score_v2 FROM scored"),
     "rank_table": (_on(*_ALL)(lambda *t: ranking.rank_table(_statistics(*t))), _STATS + ", ranked AS (SELECT query, clips, candidates, score_v1, score_v2, row_number() OVER (ORDER BY score_v1 DESC, query) AS rank_v1, row_number() OVER (ORDER BY score_v2 DESC, query) AS rank_v2 FROM scored) SELECT query, clips, candidates, score_v1, score_v2, CAST(rank_v1 AS INT) AS rank_v1, CAST(rank_v2 AS INT) AS rank_v2, CAST(rank_v1 - rank_v2 AS INT) AS rank_delta FROM ranked"),
     "recent_yields": (_on("yields")(lambda y: ranking.recent(y, 50).groupBy("query").agg(F.count("*").alias("n"), F.min("yield_id").alias("oldest"))), "SELECT query, count(*) AS n, min(yield_id) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY yield_id DESC, created_at DESC, candidates DESC) AS place FROM yields) WHERE place <= 50 GROUP BY query"),
-    "query_novelty": (_on("yields")(lambda y: ranking.novelty(y, F.lit(AS_OF).cast("timestamp"), days=3650)), f"""
-WITH recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY yield_id DESC, created_at DESC, candidates DESC) AS place FROM yields) WHERE place <= 500),
-b AS (SELECT query, CAST(sum(candidates) AS BIGINT) AS candidates, CAST(sum(fresh) AS BIGINT) AS new_to_system, CAST(sum(known) AS BIGINT) AS known,
- count(*) FILTER (WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 3650 DAY) AS samples,
- count(*) FILTER (WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 3650 DAY AND candidates > 0 AND fresh = 0) AS zero_runs,
+    "query_novelty": (_novelty, f"""
+WITH stored AS (SELECT query, count(*) AS known_sources, count(*) FILTER (WHERE source_id IN (SELECT source_id FROM clips)) AS represented FROM (SELECT DISTINCT source_id, query FROM ({_BRIDGE})) GROUP BY query),
+old_rows AS (SELECT * REPLACE (CASE WHEN query IN {_UNCOUNTED} THEN 0 ELSE known END AS known) FROM yields),
+recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY yield_id DESC, created_at DESC, candidates DESC) AS place FROM old_rows) WHERE place <= 500),
+b AS (SELECT query, CAST(sum(candidates) AS BIGINT) AS candidates, CAST(sum(fresh) AS BIGINT) AS new_to_system, CAST(sum(known) AS BIGINT) AS counted,
+ count(*) FILTER (WHERE created_at >= TIMESTAMP '{AS_OF_YIELDS}' - INTERVAL 30 DAY) AS samples,
+ count(*) FILTER (WHERE created_at >= TIMESTAMP '{AS_OF_YIELDS}' - INTERVAL 30 DAY AND candidates > 0 AND fresh = 0) AS zero_runs,
  max(CASE WHEN place = 1 THEN created_at END) AS last_attempt FROM recent GROUP BY query),
-k AS (SELECT *, CASE WHEN candidates > 0 THEN least(1.0::DOUBLE, known::DOUBLE / candidates) END AS kr, CASE WHEN candidates > 0 THEN least(1.0::DOUBLE, new_to_system::DOUBLE / candidates) END AS nr FROM b),
-s AS (SELECT *, CASE WHEN candidates <= 0 THEN 'unknown' WHEN last_attempt < TIMESTAMP '{AS_OF}' - INTERVAL 3650 DAY THEN 'unknown'
- WHEN ((candidates >= 8 OR samples >= 2) AND COALESCE(kr, 0) >= 0.8::DOUBLE) OR zero_runs >= 3 THEN 'saturated' WHEN new_to_system > 0 AND COALESCE(nr, 0) >= 0.3::DOUBLE THEN 'fresh'
+j AS (SELECT b.*, COALESCE(known_sources, 0) AS known_sources, COALESCE(represented, 0) AS represented, CASE WHEN candidates > 0 AND new_to_system = 0 AND counted = 0 THEN least(candidates, COALESCE(known_sources, 0)) ELSE counted END AS known FROM b LEFT JOIN stored USING (query)),
+k AS (SELECT *, CASE WHEN candidates > 0 THEN least(1.0::DOUBLE, known::DOUBLE / candidates) END AS kr, CASE WHEN candidates > 0 THEN least(1.0::DOUBLE, new_to_system::DOUBLE / candidates) END AS nr FROM j),
+s AS (SELECT *, CASE WHEN candidates <= 0 THEN 'unknown' WHEN last_attempt < TIMESTAMP '{AS_OF_YIELDS}' - INTERVAL {EXPIRY_YIELDS} DAY THEN 'unknown'
+ WHEN ((candidates >= 8 OR samples >= 3) AND COALESCE(kr, 0) >= 0.8::DOUBLE) OR zero_runs >= 3 THEN 'saturated' WHEN new_to_system > 0 AND COALESCE(nr, 0) >= 0.3::DOUBLE THEN 'fresh'
  WHEN COALESCE(kr, 0) >= 0.4::DOUBLE OR (new_to_system > 0 AND COALESCE(kr, 0) > 0) THEN 'mixed' WHEN new_to_system > 0 THEN 'fresh' ELSE 'unknown' END AS saturation FROM k)
-SELECT query, candidates, new_to_system, known, samples, zero_runs, last_attempt, round_even(kr, 4) AS known_rate, round_even(nr, 4) AS novelty_rate, saturation,
+SELECT query, candidates, new_to_system, known, known_sources, represented, samples, zero_runs, last_attempt, round_even(kr, 4) AS known_rate, round_even(nr, 4) AS novelty_rate, saturation,
  CASE saturation WHEN 'saturated' THEN 0.3::DOUBLE WHEN 'mixed' THEN 0.7::DOUBLE WHEN 'unknown' THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS actionability FROM s"""),
     "write_yields": (_on("yields")(usage.write_yields), "SELECT task_id, query, CAST(sum(candidates) AS BIGINT) AS candidates, CAST(sum(uniques) AS BIGINT) AS uniques, CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(downloads) AS BIGINT) AS downloads, CAST(sum(clips) AS BIGINT) AS clips FROM yields GROUP BY 1, 2"),
     "source_yield": (_on("sources", "clips")(usage.source_yield), f"SELECT source_id, author, clips, approved, round_even(s / clips, 3) AS avg_overall FROM sources JOIN {_SOURCE_CLIPS} USING (source_id)"),
