@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, languages, licenses, media, merkle, mixing, near_copies, packing, personal, substrings, token_files
+from . import fingerprints, languages, licenses, media, merkle, mixing, near_copies, packing, perplexity, personal, substrings, token_files
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_media": media.op8_media,
         "op9_personal": personal.op9_personal,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op12_perplexity": perplexity.op12_perplexity,
         "op13_merkle": merkle.op13_merkle,
     }
 
