@@ -11,13 +11,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Regular expression of a word: a run of anything but space and 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Text bytes that are looked at in one go inside a task, and those hashed in one go.
-CHUNK_BYTES, HASH_BYTES = 1 << 20, 1 << 18
+#: Text bytes that are looked at in one go inside a task.
+CHUNK_BYTES = 1 << 20
 #: Bytes of an Arrow batch that goes to a Python worker.
 BATCH_BYTES = 4 << 20
 
@@ -99,7 +100,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 _POWERS = np.ones(1, np.uint64)
 
 
@@ -134,7 +134,11 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
 
 
 class Words:
-    """The words of some texts: ``start``, ``end`` in ``data``, ``row``, and a 64-bit ``hash``."""
+    """The words of some texts: ``start``, ``end`` in ``data``, ``row``, ``code`` into the ``distinct`` ones, ``hash`` and ``check``.
+
+    ``hash`` is XXH3 and ``check`` the older XXH64, 64 bits each, of whole words: no sums or polynomials
+    of bytes, and two functions that share no structure, so what one confuses the other tells apart.
+    """
 
     def __init__(self, column: pa.Array, lower: bool = False):
         data, offsets = utf8(column)
@@ -152,42 +156,43 @@ class Words:
         #: number of words of each row, and where a row's words begin
         self.count = np.bincount(self.row, minlength=self.rows)
         self.first = np.concatenate([[0], np.cumsum(self.count)])
-        self.hash = self._hashes()
-
-    def _hashes(self) -> np.ndarray:
-        """A polynomial of each word's bytes, mixed; some words at a time, so that little is held beside the text."""
-        out = np.empty(len(self.start), np.uint64)
-        at = 0
-        while at < len(out):
-            to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + HASH_BYTES, side="right")))
-            low, high = self.start[at], self.end[to - 1]
-            begin, length = self.start[at:to] - low, self.end[at:to] - self.start[at:to]
-            part = self.data[low:high]
-            place = np.arange(high - low) - np.repeat(begin, np.diff(np.append(begin, high - low)))
-            longest = int(length.max())
-            value = _BYTE[part] * _powers(longest + 1)[np.minimum(place, longest)]
-            value[_SPACE[part]] = 0
-            out[at:to] = mix(np.add.reduceat(value, begin) + length.astype(np.uint64) * _BASE)
-            at = to
-        return out
-
-    def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and rows of the runs of ``n`` words; a row with 1 to n-1 words has its whole sequence as one."""
-        total = len(self.hash)
+        self.code, distinct = self._distinct(solid)
+        self.hash = self._hashed(distinct, xxhash.xxh3_64_intdigest)
+        self.distinct = distinct
+
+    def _hashed(self, distinct: list[bytes], digest) -> np.ndarray:
+        return np.fromiter(map(digest, distinct), np.uint64, len(distinct))[self.code]
+
+    @property
+    def check(self) -> np.ndarray:
+        return self._hashed(self.distinct, xxhash.xxh64_intdigest)
+
+    def _distinct(self, solid: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each word among the distinct ones, and these; told apart by their bytes."""
+        flat = np.ascontiguousarray(self.data[solid])
+        offsets = np.concatenate([[0], np.cumsum(self.end - self.start)]).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+        coded = words.dictionary_encode()
+        return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+    def shingles(self, n: int, check: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes (of ``check`` if asked for) and rows of the runs of ``n`` words; a row with 1 to n-1 words has its whole sequence as one."""
+        word = self.check if check else self.hash
+        total = len(word)
         out = np.zeros(0, np.uint64)
         row = np.zeros(0, np.int64)
         if total >= n:
             size = total - n + 1
             value = np.zeros(size, np.uint64)
             for j in range(n):
-                value += self.hash[j : j + size] * _powers(n + 1)[j + 1]
+                value += word[j : j + size] * _powers(n + 1)[j + 1]
             whole = self.row[:size] == self.row[n - 1 :]
             out, row = mix(value[whole] ^ np.uint64(n)), self.row[:size][whole]
         short = np.flatnonzero((self.count > 0) & (self.count < n))
         if len(short):
             extra = []
             for r in short:
-                h = self.hash[self.first[r] : self.first[r + 1]]
+                h = word[self.first[r] : self.first[r + 1]]
                 extra.append((h * _powers(n + 1)[1 : 1 + len(h)]).sum(dtype=np.uint64) ^ np.uint64(len(h) + (1 << 32)))
             out = np.concatenate([out, mix(np.array(extra, np.uint64))])
             row = np.concatenate([row, short])

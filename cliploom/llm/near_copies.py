@@ -9,7 +9,9 @@ two of similarity 0.8 share none of the 32 bands with a chance of 5e-8.
 
 Within a band the members are compared with one centre, then with a second one. What then
 lies in different components is compared completely: pair by pair in small bands, blocks of
-queries against blocks of members in large ones. Every link is confirmed on the full sets.
+queries against blocks of members in large ones. Every link is confirmed on the full sets, whose
+hashes come from a second function: texts that one function confuses are told apart by the other.
+Sets count as equal where their sizes and sums of mixed hashes by both functions agree.
 Components come from repeated hooking to the smallest neighbour and pointer jumping.
 
 Full sets are made for the documents that share a band: texts and wanted ids meet in one
@@ -60,10 +62,9 @@ def fast_sketches(value: np.ndarray, row: np.ndarray, rows: int, size: int = SIZ
     return table.reshape(rows, size)
 
 
-def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles, their rows, and the number of each row."""
-    words = common.Words(column, lower=True)
-    value, row = common.distinct_by_row(*words.shingles(shingle))
+def shingle_sets(words: common.Words, shingle: int, check: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles, their rows, and the number of each row; by the words' second hash if ``check``."""
+    value, row = common.distinct_by_row(*words.shingles(shingle, check))
     return value, row, np.bincount(row, minlength=words.rows)
 
 
@@ -79,7 +80,9 @@ def sketched(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in common.pieces(batch, "text"):
-                value, row, count = shingle_sets(part.column("text"), shingle)
+                words = common.Words(part.column("text"), lower=True)
+                value, row, count = shingle_sets(words, shingle)
+                other, _, others = shingle_sets(words, shingle, check=True)
                 table = fast_sketches(value, row, len(count))
                 bands = np.zeros((len(count), SIZE // BAND), np.uint64)
                 for j in range(BAND):
@@ -93,7 +96,7 @@ def sketched(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                         part.column("doc_id").cast(pa.int64()),
                         pa.array(count.astype(np.int64)),
                         pa.array(common.signed(_sums(common.mix(value), count))),
-                        pa.array(common.signed(_sums(common.mix(value + np.uint64(7)), count))),
+                        pa.array(common.signed(_sums(common.mix(other), others))),
                         common.lists(common.signed(bands[full].reshape(-1)), size, pa.int64()),
                         common.blobs(small[full].reshape(-1), np.where(full, SIZE, 0)),
                     ],
@@ -104,12 +107,12 @@ def sketched(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``id`` and ``shingles``, all hashes of the set."""
+    """``id`` and ``shingles``, all hashes of the set, by a function that the sketches do not use."""
 
     def run(batches):
         for batch in batches:
             for part in common.pieces(batch, "text"):
-                value, _, count = shingle_sets(part.column("text"), shingle)
+                value, _, count = shingle_sets(common.Words(part.column("text"), lower=True), shingle, check=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), common.lists(common.signed(value), count, pa.int64())], ["id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "id long, shingles array<long>")

@@ -11,7 +11,8 @@ document in which it was first seen, are to be examined; their windows are made
 many batches asked for it, meet by hash in a streaming merge with the runs of windows examined
 earlier, and yield the places to remove.
 
-Windows are told apart by 95 bits of two independent hashes. Of equal windows that meet in
+Windows are told apart by 95 bits: 64 made of the words' XXH3 hashes and 31 of their XXH64 hashes, two
+functions without a common structure. The words themselves are not carried along to be compared. Of equal windows that meet in
 one slice of a task all but the first are repeats whatever the rest holds; only the first goes
 on, so a passage that stands in a third of all documents is a few rows of a merge.
 
@@ -42,9 +43,8 @@ NEW, KNOWN = 0, 2
 _STATE = "fp long, doc_id long, old long, fresh boolean, again boolean"
 
 
-def _sum_of(words: common.Words, n: int, salt: int) -> np.ndarray:
-    """Hashes of all runs of ``n`` words, across rows too."""
-    h = words.hash if not salt else common.mix(words.hash ^ np.uint64(salt))
+def _sum_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` words of hashes ``h``, across rows too."""
     size = max(0, len(h) - n + 1)
     out = np.zeros(size, np.uint64)
     for j in range(n):
@@ -57,7 +57,7 @@ class Windows:
 
     def __init__(self, words: common.Words):
         n = len(words.hash)
-        self.grams = _sum_of(words, GRAM, 0)
+        self.grams = _sum_of(words.hash, GRAM)
         if n < WINDOW:
             self.place, self.print = np.zeros(0, np.int64), np.zeros(0, np.uint64)
             self.low = self.print
@@ -125,8 +125,8 @@ def windows_of(texts: DataFrame) -> DataFrame:
                 fps, row = wanted.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(words.rows), count)
                 mine = np.isin(common.mix(windows.print) + words.row[windows.place].astype(np.uint64), common.mix(fps) + row.astype(np.uint64))
                 at = windows.place[mine]
-                wh = common.signed(_sum_of(words, WINDOW, 1)[at])
-                check = (_sum_of(words, WINDOW, 2)[at] >> np.uint64(33)).astype(np.int64)
+                wh = common.signed(_sum_of(words.hash, WINDOW)[at])
+                check = (_sum_of(words.check, WINDOW)[at] >> np.uint64(33)).astype(np.int64)
                 place = (at - words.first[words.row[at]]) << 32 | check
                 doc = part.column("doc_id").cast(pa.int64()).to_numpy()[words.row[at]]
                 order = np.lexsort((place, doc, check, wh))

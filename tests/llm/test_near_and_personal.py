@@ -217,3 +217,14 @@ def test_redaction(spark):
     assert got[1].text == "mail <email> now, <phone> or <ip>é" and got[1].n_chars == len(got[1].text)
     assert got[2].text == "clean" and got[3].text is None and got[4].text == ""
     assert got[2].n_chars == 5 and got[2].word == "w"
+
+
+@pytest.mark.parametrize("n", [10, 12])
+def test_op1_tells_long_words_of_two_letters_apart(spark, n):
+    """Such words have one polynomial modulo 2^64; their documents share nothing."""
+    one = "a"
+    for _ in range(n):
+        one += one.translate({97: "b", 98: "a"})
+    docs = [(3, one, "en", "s", 1), (4, one.translate({97: "b", 98: "a"}), "en", "s", 1), (5, one, "en", "s", 1)]
+    got = near_copies.components(spark, frame(spark, docs), 2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {3: 3, 4: 4, 5: 3}

@@ -56,6 +56,23 @@ def test_op2_against_brute_force(spark, tmp_path, data):
             assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id], r.doc_id
 
 
+def thue_morse(n):
+    """Two words of 2^n letters that a polynomial modulo 2^64 confuses."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate({97: "b", 98: "a"})
+    return word, word.translate({97: "b", 98: "a"})
+
+
+@pytest.mark.parametrize("n", [10, 12])
+def test_long_words_of_two_letters_are_told_apart(spark, n):
+    one, other = thue_morse(n)
+    shared = [f"w{i}" for i in range(19)]
+    docs = [(1, " ".join([*shared, one]), "en", "s", 1), (2, " ".join([*shared, other]), "en", "s", 1)]
+    got = substrings.deduplicated(spark, frame(spark, docs)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0}
+
+
 @pytest.mark.parametrize("batches", [1, 7])
 def test_number_of_batches_does_not_matter(spark, batches):
     docs = passages()
