@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, languages, licenses, media, merkle, mixing, near_copies, packing, perplexity, personal, substrings, token_files
+from . import fingerprints, languages, licenses, media, merkle, mixing, near_copies, packing, perplexity, personal, ranked_search, substrings, token_files
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_media": media.op8_media,
         "op9_personal": personal.op9_personal,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_ranked": ranked_search.op11_ranked,
         "op12_perplexity": perplexity.op12_perplexity,
         "op13_merkle": merkle.op13_merkle,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op5_licenses": licenses.OP5_SQL, "op10_mix_sources": mixing.OP10_SQL, "op13_merkle": merkle.OP13_SQL}
+    return {"op5_licenses": licenses.OP5_SQL, "op10_mix_sources": mixing.OP10_SQL, "op11_ranked": ranked_search.OP11_SQL, "op13_merkle": merkle.OP13_SQL}
