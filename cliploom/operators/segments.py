@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import geometry
+from . import asof, geometry
 
 # ---- fixed values: defaults of the penalties and limits ----------------------------
 PENALTIES = {
@@ -134,16 +134,15 @@ def masks(stats: DataFrame, clips: DataFrame, guards: dict[str, float] = MASK) -
 
 
 def snap(segments: DataFrame, boundaries: DataFrame, tolerance: float = 1.5) -> DataFrame:
-    """Start to the nearest boundary before it, end to the nearest after it, within ``tolerance``."""
-    held = boundaries.groupBy("video_id").agg(F.sort_array(F.collect_set("t")).alias("ts"))
-    joined = segments.join(held, "video_id", "left").withColumn("ts", F.coalesce("ts", F.expr("cast(array() as array<double>)")))
-
-    def near(cut: Column, test) -> Column:
-        return F.filter("ts", lambda t: test(t) & (F.abs(t - cut) <= tolerance))
+    """Start to the nearest boundary before it, end to the nearest after it, within ``tolerance``.
 
-    start = F.coalesce(F.array_max(near(F.col("start"), lambda t: t <= F.col("start"))), F.col("start"))
-    end = F.coalesce(F.array_min(near(F.col("end"), lambda t: t >= F.col("end"))), F.col("end"))
-    return joined.select("video_id", start.alias("start"), end.alias("end"), ((start != F.col("start")) | (end != F.col("end"))).alias("refined"))
+    Two as-of joins; columns besides ``video_id``, ``start`` and ``end`` are not kept.
+    """
+    rows = segments.select("video_id", "start", "end")
+    rows = asof.nearest(rows, boundaries, "video_id", F.col("start"), "t", "before", tolerance)
+    rows = asof.nearest(rows, boundaries, "video_id", F.col("end"), "t", "after", tolerance, forward=True)
+    start, end = F.coalesce("before", "start"), F.coalesce("after", "end")
+    return rows.select("video_id", start.alias("start"), end.alias("end"), ((start != F.col("start")) | (end != F.col("end"))).alias("refined"))
 
 
 def split_long(segments: DataFrame, most: float = 15.0, least: float = 3.0, tolerance: float = 1.5) -> DataFrame:
