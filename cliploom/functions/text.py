@@ -66,11 +66,3 @@ def canonical_url(url: Column, prefix: str) -> Column:
     """``prefix`` and the id, or the url without its query where it holds no id."""
     own = permalink_id(url)
     return F.when(own.isNotNull(), F.concat(F.lit(prefix), own)).otherwise(F.substring_index(_absolute(url), "?", 1))
-
-
-def strip_suffixes(c: Column, words: list[str], forms: list[str]) -> Column:
-    """Trailing process words off again and again, then one form suffix if two characters stay."""
-    short = F.regexp_replace(c, f"(?:{'|'.join(words)})+$", "")
-    short = F.when(short == "", c).otherwise(short)
-    form = F.regexp_replace(short, f"(?:{'|'.join(forms)})$", "")
-    return F.when(F.length(form) >= 2, form).otherwise(short)

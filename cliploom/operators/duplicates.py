@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
+from .tables import Save
+
 #: Bits that may differ, and blocks that must be equal.
 RADIUS, SPARE = 6, 3
+#: Clips and pairs of a group that is gone through in order.
+FOLD = 100_000
 VALID = "phash RLIKE '^[0-9a-f]{16}$'"
 
 
@@ -113,23 +119,76 @@ def cascade(new: DataFrame, library: DataFrame, scope: str = "category", with_ke
     return found.filter("detector IS NOT NULL")
 
 
-def in_order(batch: DataFrame, library: DataFrame, save, scope: str = "category") -> DataFrame:
+def in_order(batch: DataFrame, library: DataFrame, save: Save, scope: str = "category", fold: int = FOLD) -> DataFrame:
     """``id, kept``: a clip of the batch goes if it matches the library or an earlier kept clip, in order of ``clip_id``.
 
     A match is an equal sha or a perceptual hash of the scope within the radius. Clips that
     agree in sha, scope and hash share their matches, so only the first can stay; the others
-    are never looked at. Every round takes the first kept and the first open clip of each sha
-    and hash, so no pairs of clips are made. ``save(df, name)`` writes a table and reads it.
+    are never looked at, and what the library knows goes at once and stops nobody. The rest is
+    cut into components of the match graph, found over stars around the first clip of each sha
+    and hash. Verdicts of different components do not meet: components of up to ``fold`` clips
+    and pairs are dealt to groups of about that size, each gone through once in order; larger
+    ones are settled in rounds over all of them at once. ``save(df, name)`` writes a table and reads it.
     """
     columns = ["sha", scope, "phash"]
     marked = (F.col("sha") != "") | F.expr(VALID)
     firsts = batch.filter(marked).groupBy(*columns).agg(F.min("clip_id").alias("id"))
-    pairs = save(close_values(batch, batch, scope).select(scope, "a", "b"), "pairs")
+    pairs = save(close_values(batch, batch, scope).filter("a <> b").select(scope, "a", "b"), "pairs")
     sha = by_sha(batch, library).select(F.col("clip_id").alias("id"))
     near = firsts.join(by_phash(batch, library, scope), [scope, "phash"]).select("id")
-    known = sha.union(near).distinct().withColumn("known", F.lit(True))
-    state = save(firsts.join(known, "id", "left").select("id", *columns, F.when(F.col("known"), False).alias("kept")), "round0")
-    step, lowest = 0, [F.min(F.when(F.col("kept"), F.col("id"))).alias("k"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("u")]
+    nodes = save(firsts.join(sha.union(near).distinct(), "id", "left_anti").select("id", *columns), "nodes")
+
+    of_sha = nodes.filter("sha <> ''").groupBy("sha").agg(F.min("id").alias("a"))
+    of_value = save(nodes.filter(VALID).groupBy(scope, "phash").agg(F.min("id").alias("a"), F.count("*").alias("n")), "values")
+    other = of_value.select(scope, F.col("phash").alias("b"), F.col("a").alias("id_b"))
+    met = save(pairs.join(of_value.select(scope, F.col("phash").alias("a"), F.col("a").alias("id_a")), [scope, "a"]).join(other, [scope, "b"]), "met")
+    stars = nodes.join(of_sha, "sha").select("a", F.col("id").alias("b")).union(nodes.join(of_value, [scope, "phash"]).select("a", F.col("id").alias("b")))
+    comps = graph.components(stars.union(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))), save)
+    placed = nodes.join(comps, "id", "left")
+    lonely = placed.filter("comp IS NULL").select("id")
+    placed = placed.filter("comp IS NOT NULL")
+    links = met.join(comps.withColumnsRenamed({"id": "id_a"}), "id_a").select("comp", scope, "a", "b")
+    sizes = placed.select("comp", F.lit(1).alias("n")).union(links.select("comp", F.lit(1))).groupBy("comp").agg(F.sum("n").alias("size"))
+    total = sizes.filter(F.col("size") <= fold).agg(F.sum("size").alias("n")).first().n or 0
+    deal = F.when(F.col("size") <= fold, F.pmod(F.xxhash64("comp"), F.lit(-(-total // max(1, fold)) or 1)))
+    sizes = save(sizes.select("comp", deal.alias("deal")), "sizes")
+    placed = save(placed.join(sizes, "comp").select("deal", "id", F.nullif("sha", F.lit("")).alias("sha"), F.when(F.expr(VALID), F.concat(scope, F.lit(" "), "phash")).alias("value"), *[F.col(c).alias(f"o_{c}") for c in columns]), "placed")
+    value = lambda c: F.concat(scope, F.lit(" "), c).alias(c)
+    dealt = links.join(sizes, "comp").filter("deal IS NOT NULL").select("deal", value("a"), value("b"))
+    small = placed.filter("deal IS NOT NULL").select("deal", "id", "sha", "value")
+    stays = small.groupBy("deal").cogroup(dealt.groupBy("deal")).applyInPandas(_fold, "id long").union(lonely)
+    large = placed.filter("deal IS NULL").select("id", *[F.col(f"o_{c}").alias(c) for c in columns])
+    if not large.isEmpty():
+        stays = stays.union(_rounds(large, pairs, save, scope))
+    stays = save(stays, "stays").select(F.col("id").alias("clip_id"), F.lit(True).alias("stays"))
+    return batch.join(stays, "clip_id", "left").select(F.col("clip_id").alias("id"), F.when(F.coalesce(marked, F.lit(False)), F.coalesce("stays", F.lit(False))).otherwise(True).alias("kept"))
+
+
+def _fold(clips: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """The clips of whole components that stay, gone through in order of id."""
+    near: dict[str, list[str]] = {}
+    for a, b in zip(links["a"], links["b"], strict=True):
+        near.setdefault(a, []).append(b)
+    taken_sha, taken_value, stay = set(), set(), []
+    clips = clips.sort_values("id")
+    for clip, sha, value in zip(clips["id"], clips["sha"], clips["value"], strict=True):
+        if sha in taken_sha or value in taken_value:
+            continue
+        stay.append(clip)
+        if sha is not None:
+            taken_sha.add(sha)
+        if value is not None:
+            taken_value.add(value)
+            taken_value.update(near.get(value, ()))
+    return pd.DataFrame({"id": pd.Series(stay, dtype="int64")})
+
+
+def _rounds(nodes: DataFrame, pairs: DataFrame, save: Save, scope: str) -> DataFrame:
+    """``id`` of those that stay, settled in rounds: each takes the first kept and the first open clip of each sha and hash."""
+    columns = ["sha", scope, "phash"]
+    pairs = pairs.union(pairs.select(scope, "a", F.col("a").alias("b")).distinct()).union(nodes.filter(VALID).select(scope, F.col("phash").alias("a"), F.col("phash").alias("b")).distinct()).distinct()
+    state, step = save(nodes.select("id", *columns, F.lit(None).cast("boolean").alias("kept")), "round0"), 0
+    lowest = [F.min(F.when(F.col("kept"), F.col("id"))).alias("k"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("u")]
     while not state.filter("kept IS NULL").isEmpty():
         step += 1
         exact = state.filter("sha <> ''").groupBy("sha").agg(*lowest).withColumnsRenamed({"k": "k1", "u": "u1"})
@@ -138,5 +197,4 @@ def in_order(batch: DataFrame, library: DataFrame, save, scope: str = "category"
         both = state.join(exact, "sha", "left").join(around, [scope, "phash"], "left")
         verdict = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.least("k1", "k2") < F.col("id"), False).when(F.least("u1", "u2") >= F.col("id"), True)
         state = save(both.select("id", *columns, verdict.alias("kept")), f"round{step}")
-    stay = state.filter("kept").select(F.col("id").alias("clip_id"), F.lit(True).alias("stays"))
-    return batch.join(stay, "clip_id", "left").select(F.col("clip_id").alias("id"), F.when(F.coalesce(marked, F.lit(False)), F.coalesce("stays", F.lit(False))).otherwise(True).alias("kept"))
+    return state.filter("kept").select("id")

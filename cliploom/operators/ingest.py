@@ -1,9 +1,7 @@
-"""Candidate intake: nested payloads to rows, streams, in-run duplicates, collapse, batch dedup."""
+"""Candidate intake: nested payloads to rows, streams, in-run duplicates, collapse."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,32 +65,3 @@ def collapse(hits: DataFrame) -> DataFrame:
     merged = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "queries"))), lambda s: s["queries"])))
     own = F.coalesce(F.nullif(F.trim("url"), F.lit("")), F.concat(F.lit("id "), "video_id"))
     return by_id.groupBy(own.alias("key")).agg(F.min_by("url", "seq").alias("url"), F.min_by("video_id", "seq").alias("video_id"), F.min("seq").alias("seq"), merged.alias("queries")).drop("key")
-
-
-def saver(spark):
-    """Writes tables to a new part of the shared folder and reads them."""
-    root = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/batch-{uuid.uuid4().hex[:12]}"
-
-    def save(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
-    return save
-
-
-def batch_dedup(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Kept or dropped in order of ``id``: a node is dropped if an earlier kept node is its neighbour.
-
-    ``edges`` (a, b) has a < b. Every round keeps the nodes whose earlier neighbours are all
-    dropped and drops the later neighbours of kept ones; rounds are written to the shared folder.
-    """
-    save = saver(nodes.sparkSession)
-    state, step = nodes.select("id", F.lit(None).cast("boolean").alias("kept")), 0
-    while True:
-        step += 1
-        earlier = edges.join(state.select(F.col("id").alias("a"), F.col("kept").alias("a_kept")), "a")
-        seen = earlier.groupBy(F.col("b").alias("id")).agg(F.max("a_kept").alias("hit"), F.count_if(F.col("a_kept").isNull()).alias("open"))
-        verdict = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = save(state.join(seen, "id", "left").select("id", verdict.alias("kept")), f"round{step}")
-        if state.filter("kept IS NULL").isEmpty():
-            return state

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import duplicates, geometry, ingest, library, segments
+from ..operators import duplicates, geometry, ingest, library, segments, tables
 from ..sources.adapters import library as table
 
 
@@ -58,7 +58,7 @@ def _probe(spark, sf_dir):
 def _batch(spark, sf_dir):
     """All clips as one batch into an empty library."""
     clips = table(spark, sf_dir, "clips").select("clip_id", "category", "sha", "phash")
-    return duplicates.in_order(clips, clips.limit(0), ingest.saver(spark))
+    return duplicates.in_order(clips, clips.limit(0), tables.saver(spark, "batch"))
 
 
 def _segments(spark, sf_dir):

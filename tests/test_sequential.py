@@ -2,21 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cliploom.functions import text
-from cliploom.operators import duplicates, geometry, ingest, ranking, segments
-
-
-def test_batch_dedup_is_the_sequential_loop(spark):
-    rng = random.Random(1)
-    edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(120)}
-    kept = {}
-    for i in range(60):
-        kept[i] = not any(kept[a] for a, b in edges if b == i)
-    nodes = spark.range(60)
-    got = ingest.batch_dedup(nodes, spark.createDataFrame(sorted(edges), "a long, b long")).collect()
-    assert {r.id: r.kept for r in got} == kept
+from cliploom.operators import duplicates, geometry, graph, ranking, segments, tables
 
 
 def test_overlaps_are_dropped_in_order(spark):
@@ -72,12 +62,11 @@ def test_published_scores(spark):
 def test_scalar_texts(spark):
     row = spark.createDataFrame([("Bearer abc.def sk-12345678 token=xyz, ok",)], "t string")
     assert row.select(text.sanitize_error(F.col("t"))).first()[0] == "Bearer <redacted> sk-<redacted> token=<redacted>, ok"
-    base = text.strip_suffixes(F.col("t"), ["drying", "process"], ["dry", "slice"])
-    names = spark.createDataFrame([("appledrydryingprocess",), ("process",), ("adry",)], "t string")
-    assert [r[0] for r in names.select(base).collect()] == ["apple", "process", "adry"]
 
 
-def test_dedup_in_order_is_the_sequential_loop(spark):
+@pytest.mark.parametrize("fold", [duplicates.FOLD, 12, 0])
+def test_dedup_in_order_is_the_sequential_loop(spark, fold):
+    """With all components gone through in order, with some of them, and with all settled in rounds."""
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(12)]
     near = lambda: f"{rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))):016x}"
@@ -90,6 +79,37 @@ def test_dedup_in_order_is_the_sequential_loop(spark):
         kept[r[0]] = not any((r[2] and r[2] == o[2]) or close(r, o) for o in held)
         held += [r] if kept[r[0]] else []
     schema = "clip_id long, category string, sha string, phash string"
-    got = duplicates.in_order(spark.createDataFrame(batch, schema), spark.createDataFrame(library, schema), ingest.saver(spark)).collect()
+    got = duplicates.in_order(spark.createDataFrame(batch, schema), spark.createDataFrame(library, schema), tables.saver(spark), fold=fold).collect()
     assert {r.id: r.kept for r in got} == kept and len(got) == len(batch)
     assert sum(kept[300 + i] for i in range(5)) == 1
+
+
+def test_a_chain_of_ten_thousand_clips(spark):
+    """Each clip shares its sha with one neighbour and its hash with the other: every second one stays, and the tables written grow with the logarithm."""
+    rows = [(i, "m", f"a{i // 2}", f"{random.Random(1000 + (i + 1) // 2).getrandbits(64):016x}") for i in range(10_000)]
+    names = []
+    save = tables.saver(spark)
+    batch = spark.createDataFrame(rows, "clip_id long, category string, sha string, phash string")
+    got = duplicates.in_order(batch, batch.limit(0), lambda df, name: (names.append(name), save(df, name))[1]).collect()
+    assert all(r.kept == (r.id % 2 == 0) for r in got) and len(got) == 10_000
+    assert len(names) < 40
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
+    root = list(range(300))
+    for _ in range(300):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.id: r.comp for r in graph.components(spark.createDataFrame(edges, "a long, b long"), tables.saver(spark)).collect()}
+    assert got == {i: root[i] for i in {x for a, b in edges if a != b for x in (a, b)}}
+    assert graph.components(spark.createDataFrame([], "a long, b long"), tables.saver(spark)).count() == 0
+
+
+def test_numbers_by_ranges(spark):
+    rows = spark.range(5000).selectExpr("id", "hash(id) % 100 AS v", "'x' AS _n")
+    got = tables.numbered(rows, [F.desc("v"), F.asc("id")], "place", tables.saver(spark)).collect()
+    order = sorted(got, key=lambda r: (-r.v, r.id))
+    assert [r.place for r in order] == list(range(1, 5001)) and got[0]._n == "x"
+    assert tables.numbered(rows.limit(0), [F.asc("id")], "place", tables.saver(spark)).count() == 0
