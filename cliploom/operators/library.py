@@ -92,41 +92,6 @@ def cleanup_routing(clips: DataFrame) -> DataFrame:
     return clips.select("clip_id", route.alias("route"))
 
 
-def acquisition(sources: DataFrame, as_of: Column) -> DataFrame:
-    """Skip or retry by reason, status and age; an unresolved duration is looked at before the status."""
-    hours = (F.unix_timestamp(as_of) - F.unix_timestamp("created_at")) / 3600.0
-    status, reason = F.col("status"), F.col("reject_reason")
-
-    def wait(limit: float, name: str) -> Column:
-        return F.when(hours < limit, f"skip:{name}").otherwise(f"retry:{name}_expired")
-
-    decision = (
-        F.when(reason == "duration_unresolved", wait(6, "duration_unresolved"))
-        .when(status.isin("completed", "duplicate"), "skip:completed")
-        .when(status == "rejected_preview", wait(24 * 30, "rejected"))
-        .when(status == "failed", wait(24, "failed"))
-        .when(status == "downloading", wait(6, "in_progress"))
-        .when(status == "discovered", "retry:discovered")
-        .otherwise("retry:unknown_status")
-    )
-    return sources.select("source_id", decision.alias("decision"))
-
-
-def rejection_buckets(sources: DataFrame) -> DataFrame:
-    reason = F.col("reject_reason")
-    bucket = F.when(reason.contains("duplicate"), "duplicate").when(reason.contains("subtitle"), "subtitle").when(reason.contains("quality"), "quality").otherwise("other")
-    return sources.filter("reject_reason <> ''").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-
-
-def known_sources(hits: DataFrame, sources: DataFrame, clips: DataFrame) -> DataFrame:
-    """Per hit: is its source stored, and is it represented by a clip."""
-    stored = sources.select("source_id").distinct().withColumn("known", F.lit(True))
-    shown = clips.select("source_id").distinct().withColumn("represented", F.lit(True))
-    joined = hits.join(stored, "source_id", "left").join(shown, "source_id", "left")
-    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("known", "represented")]
-    return joined.select("hit_id", "source_id", *flags)
-
-
 def seen_urls(hits: DataFrame, sources: DataFrame) -> DataFrame:
     return hits.join(sources.select("url").filter("url <> ''"), "url", "left_semi")
 
@@ -141,19 +106,3 @@ def similar(clips: DataFrame, key: str, most: int = 5) -> DataFrame:
 
 def key_groups(clips: DataFrame, key: str) -> DataFrame:
     return clips.groupBy(key).agg(F.count("*").alias("n"), F.min("clip_id").alias("first_id")).filter("n > 1")
-
-
-def upsert(snapshot: DataFrame, changes: DataFrame, key: str, terminal: tuple[str, ...], bookkeeping: tuple[str, ...]) -> DataFrame:
-    """A new snapshot: the last change per key wins, blanks keep the old value, attempts add up.
-
-    A terminal status stays against a change that only carries a bookkeeping reason.
-    """
-    newest = changes.groupBy(key).agg(F.max(F.struct("seq", *[c for c in changes.columns if c not in (key, "seq")])).alias("n"), F.count("*").alias("tries"))
-    old = snapshot.select(key, F.struct(*[c for c in snapshot.columns if c != key]).alias("o"))
-    both = old.join(newest, key, "full")
-    held = F.col("o.status").isin(*terminal) & F.coalesce(F.col("n.reject_reason").isin(*bookkeeping), F.lit(False))
-    status = F.when(held, F.col("o.status")).otherwise(F.coalesce("n.status", "o.status"))
-    reason = F.when(held, F.col("o.reject_reason")).otherwise(F.coalesce("n.reject_reason", "o.reject_reason"))
-    title = F.coalesce(F.when(F.col("n.title") != "", F.col("n.title")), F.col("o.title"))
-    attempts = F.coalesce("o.attempts", F.lit(0)) + F.coalesce("tries", F.lit(0))
-    return both.select(key, status.alias("status"), reason.alias("reject_reason"), title.alias("title"), attempts.alias("attempts"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tables
 from .coverage import ratio
 
 
@@ -133,11 +134,13 @@ def scores(stats: DataFrame, w: Weights = Weights()) -> DataFrame:
 def rank_table(stats: DataFrame, w: Weights = Weights()) -> DataFrame:
     """Both ranks on the rounded scores and their difference; bookkeeping rows are left out.
 
-    The windows run over one row per query, after all aggregation.
+    Ranks are numbers over ranges of the scores, so no task sorts all queries.
     """
-    scored = scores(stats.filter(~F.col("query").startswith("(")), w)
-    rank = lambda c: F.row_number().over(Window.orderBy(F.desc(c), F.col("query")))
-    ranked = scored.select("query", "clips", "candidates", "score_v1", "score_v2", rank("score_v1").alias("rank_v1"), rank("score_v2").alias("rank_v2"))
+    save = tables.saver(stats.sparkSession, "ranks")
+    ranked = scores(stats.filter(~F.col("query").startswith("(")), w).select("query", "clips", "candidates", "score_v1", "score_v2")
+    for version in ("v1", "v2"):
+        numbered = tables.numbered(ranked, [F.desc(f"score_{version}"), F.asc("query")], f"rank_{version}", save, version)
+        ranked = numbered.withColumn(f"rank_{version}", F.col(f"rank_{version}").cast("int"))
     return ranked.withColumn("rank_delta", F.col("rank_v1") - F.col("rank_v2"))
 
 

@@ -18,16 +18,6 @@ def unrelated_title(title: Column, material: Column, off_topic: list[str]) -> Co
     return hit & ~shares
 
 
-def candidates(rows: DataFrame, low: float, high: float) -> DataFrame:
-    """Accepted or the first reason against a candidate; an unknown duration is pending, not rejected."""
-    reason = (
-        F.when(F.col("video_id").isNull() | (F.coalesce("url", F.lit("")) == ""), "missing_id_or_url")
-        .when(F.col("no_video"), "no_video").when(F.col("seen_id"), "duplicate_in_run").when(F.col("known_url"), "url_known")
-        .when(F.col("seconds").isNull(), "duration_pending").when(~F.col("seconds").between(low, high), "duration_out_of_range").otherwise("accepted")
-    )
-    return rows.select("source_id", reason.alias("verdict"))
-
-
 def previews(answers: DataFrame, least_quality: float = 0.5, most_text: float = 0.35) -> DataFrame:
     """Verdict on a preview answer; without an answer it is a failure to retry, not a rejection."""
     verdict = (

@@ -25,9 +25,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def unique(what: str) -> str:
+    """A name that no other run uses."""
+    return f"{what}-{uuid.uuid4().hex[:12]}"
+
+
 def saver(spark: SparkSession, what: str = "tables") -> Save:
     """Writes tables to a new part of the shared folder and reads them."""
-    root = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+    root = f"{shared_folder(spark)}/{unique(what)}"
 
     def save(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{root}/{name}")

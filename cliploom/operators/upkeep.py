@@ -9,11 +9,6 @@ REVIEW_WORDS = ("unreviewed", "approved", "rejected", "needs_work")
 TRUE_WORDS, FALSE_WORDS = ("1", "true", "yes", "y"), ("0", "false", "no", "n", "")
 
 
-def provenance(adapter: Column, url: Column) -> Column:
-    """mock, local_test, remote (a permalink with an id of twelve digits or more) or unknown."""
-    return F.when(adapter == "mock", "mock").when(adapter == "local", "local_test").when(url.rlike("^https?://[^/]+/video/[0-9]{12,}"), "remote").otherwise("unknown")
-
-
 def import_reviews(reviews: DataFrame, clips: DataFrame) -> DataFrame:
     """One row per review line: the change it makes, or why it is skipped."""
     known = clips.select(F.col("clip_id").alias("known_id"), F.col("review_status").alias("old_status"), F.col("favorite").alias("old_favorite"))

@@ -65,9 +65,3 @@ def latest_per_source(runs: DataFrame) -> DataFrame:
     """The newest run of each source and operation."""
     newest = Window.partitionBy("source_id", "operation").orderBy(F.desc("run_id"), F.desc("prompt_tokens"), F.desc("latency_ms"), "model")
     return runs.withColumn("place", F.row_number().over(newest)).filter("place = 1").select("source_id", "operation", "run_id", "prompt_tokens")
-
-
-def write_yields(hits: DataFrame) -> DataFrame:
-    """Counters of one run as one row per task and query."""
-    names = ("candidates", "uniques", "accepted", "downloads", "clips")
-    return hits.groupBy("task_id", "query").agg(*[F.sum(c).alias(c) for c in names])

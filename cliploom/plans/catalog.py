@@ -16,10 +16,9 @@ from ..operators import coverage, duplicates, geometry, library, ranking, usage
 from ..sources.adapters import REVIEWS, STAGES
 from ..sources.adapters import library as table
 from ..sources.adapters import oracle
-from . import boxes, decisions, intake, objectives, records, rules, selection, upkeep
+from . import acquiring, boxes, decisions, intake, objectives, records, rules, selection, upkeep
 
-#: The moments that ages are measured from, and the days after which a query counts as untried.
-AS_OF_SOURCES = "1998-09-01 00:00:00"
+#: The moment that ages are measured from, and the days after which a query counts as untried.
 AS_OF_YIELDS, EXPIRY_YIELDS = "1999-12-01 00:00:00", 900
 #: Queries whose rows stand for old ones without counts.
 _UNCOUNTED = ("q5", "q10", "q20", "q55")
@@ -102,10 +101,6 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("event_id").alias("hit_id"), source, F.concat(F.lit("https://v.example.com/video/"), (F.lit(100000000000) + F.col("event_id") * 3).cast("string")).alias("url"))
 
 
-def _known(spark, sf_dir):
-    return library.known_sources(_hits(spark, sf_dir), table(spark, sf_dir, "sources"), table(spark, sf_dir, "clips"))
-
-
 def _novelty(spark, sf_dir):
     rows = table(spark, sf_dir, "yields").withColumn("known", F.when(F.col("query").isin(*_UNCOUNTED), 0).otherwise(F.col("known")))
     return ranking.novelty(rows, table(spark, sf_dir, "sources"), table(spark, sf_dir, "clips"), F.lit(AS_OF_YIELDS).cast("timestamp"), expiry=EXPIRY_YIELDS)
@@ -131,13 +126,6 @@ def _sha(clips):
     return duplicates.by_sha(clips.filter("clip_id % 4 = 0"), clips.filter("clip_id % 4 <> 0"))
 
 
-def _upsert(spark, sf_dir):
-    sources = table(spark, sf_dir, "sources")
-    stored = sources.filter("source_id % 3 <> 0").select("source_id", "status", "reject_reason", F.col("url").alias("title"), F.lit(1).alias("attempts"))
-    changes = sources.filter("source_id % 2 = 0").select("source_id", F.col("source_id").alias("seq"), F.lit("failed").alias("status"), "reject_reason", F.lit("").alias("title"))
-    return library.upsert(stored, changes, "source_id", ("completed", "duplicate", "rejected_preview"), ("duration_unresolved", "duplicate_source"))
-
-
 QUERIES: dict[str, Query] = {
     "coverage_summary": (_on("clips")(coverage.summary), f"SELECT {_CAT} AS category, count(*) AS total, count(*) FILTER (WHERE provenance = 'remote') AS real, count(*) FILTER (WHERE review_status = 'approved') AS approved, count(*) FILTER (WHERE favorite) AS favorites, {_AVG} FROM clips GROUP BY 1"),
     "coverage_stage": (_on("clips")(lambda c: coverage.stages(c, 400)), _STAGE_SQL + "SELECT * FROM full_stages"),
@@ -174,7 +162,6 @@ s AS (SELECT *, CASE WHEN candidates <= 0 THEN 'unknown' WHEN last_attempt < TIM
  WHEN COALESCE(kr, 0) >= 0.4::DOUBLE OR (new_to_system > 0 AND COALESCE(kr, 0) > 0) THEN 'mixed' WHEN new_to_system > 0 THEN 'fresh' ELSE 'unknown' END AS saturation FROM k)
 SELECT query, candidates, new_to_system, known, known_sources, represented, samples, zero_runs, last_attempt, round_even(kr, 4) AS known_rate, round_even(nr, 4) AS novelty_rate, saturation,
  CASE saturation WHEN 'saturated' THEN 0.3::DOUBLE WHEN 'mixed' THEN 0.7::DOUBLE WHEN 'unknown' THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS actionability FROM s"""),
-    "write_yields": (_on("yields")(usage.write_yields), "SELECT task_id, query, CAST(sum(candidates) AS BIGINT) AS candidates, CAST(sum(uniques) AS BIGINT) AS uniques, CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(downloads) AS BIGINT) AS downloads, CAST(sum(clips) AS BIGINT) AS clips FROM yields GROUP BY 1, 2"),
     "source_yield": (_on("sources", "clips")(usage.source_yield), f"SELECT source_id, author, clips, approved, round_even(s / clips, 3) AS avg_overall FROM sources JOIN {_SOURCE_CLIPS} USING (source_id)"),
     "author_yield": (_on("sources", "clips")(usage.author_yield), f"SELECT author, count(*) AS videos, CAST(sum(clips) AS BIGINT) AS clips, CAST(sum(approved) AS BIGINT) AS approved, round_even(sum(s) / sum(clips), 3) AS avg_overall FROM sources JOIN {_SOURCE_CLIPS} USING (source_id) GROUP BY author"),
     "task_performance": (_on("sources", "clips", "ai_runs")(usage.task_performance), f"WITH t AS (SELECT task_id, count(*) AS candidates, CAST(COALESCE(sum(clips), 0) AS BIGINT) AS clips, CAST(COALESCE(sum(calls), 0) AS BIGINT) AS calls, CAST(COALESCE(sum(tokens), 0) AS BIGINT) AS tokens FROM sources LEFT JOIN {_SOURCE_CLIPS} USING (source_id) LEFT JOIN (SELECT source_id, count(*) AS calls, sum(prompt_tokens + completion_tokens) AS tokens FROM ai_runs GROUP BY source_id) USING (source_id) GROUP BY task_id) SELECT *, {_ratio('tokens', 'clips')} AS tokens_per_clip FROM t"),
@@ -188,14 +175,6 @@ SELECT query, candidates, new_to_system, known, known_sources, represented, samp
     "clip_page": (_on("clips")(lambda c: library.page(c, "overall", 50, 3).select("clip_id", "overall")), "SELECT clip_id, overall FROM clips ORDER BY overall DESC, clip_id DESC LIMIT 50 OFFSET 150"),
     "clip_stats": (_on("clips")(lambda c: c.filter("favorite").agg(F.count("*").alias("n"), F.bround(F.sum("duration"), 2).alias("seconds"))), "SELECT count(*) AS n, round_even(sum(duration), 2) AS seconds FROM clips WHERE favorite"),
     "cleanup_routing": (_on("clips")(library.cleanup_routing), f"SELECT clip_id, CASE WHEN subtitle_type = 'unknown' THEN 'unmeasured' WHEN subtitle_type = 'none' THEN 'not_needed' WHEN subtitle_type IN {library.CLEANABLE} THEN 'eligible' ELSE 'ineligible' END AS route FROM clips"),
-    "acquisition_decision": (_on("sources")(lambda s: library.acquisition(s, F.lit(AS_OF_SOURCES).cast("timestamp"))), f"""
-WITH h AS (SELECT *, (epoch(TIMESTAMP '{AS_OF_SOURCES}') - epoch(created_at)) / 3600.0 AS hours FROM sources)
-SELECT source_id, CASE WHEN reject_reason = 'duration_unresolved' THEN CASE WHEN hours < 6 THEN 'skip:duration_unresolved' ELSE 'retry:duration_unresolved_expired' END
- WHEN status IN ('completed', 'duplicate') THEN 'skip:completed' WHEN status = 'rejected_preview' THEN CASE WHEN hours < 720 THEN 'skip:rejected' ELSE 'retry:rejected_expired' END
- WHEN status = 'failed' THEN CASE WHEN hours < 24 THEN 'skip:failed' ELSE 'retry:failed_expired' END WHEN status = 'downloading' THEN CASE WHEN hours < 6 THEN 'skip:in_progress' ELSE 'retry:in_progress_expired' END
- WHEN status = 'discovered' THEN 'retry:discovered' ELSE 'retry:unknown_status' END AS decision FROM h"""),
-    "rejection_bucket": (_on("sources")(library.rejection_buckets), "SELECT CASE WHEN reject_reason LIKE '%duplicate%' THEN 'duplicate' WHEN reject_reason LIKE '%subtitle%' THEN 'subtitle' WHEN reject_reason LIKE '%quality%' THEN 'quality' ELSE 'other' END AS bucket, count(*) AS n FROM sources WHERE reject_reason <> '' GROUP BY 1"),
-    "known_sources": (_known, "SELECT event_id AS hit_id, event_id * 3 AS source_id, event_id * 3 IN (SELECT source_id FROM sources) AS known, event_id * 3 IN (SELECT source_id FROM clips) AS represented FROM events"),
     "url_seen": (_urls, "SELECT event_id AS hit_id, concat('https://v.example.com/video/', CAST(100000000000 + event_id * 3 AS VARCHAR)) AS url FROM events WHERE event_id * 3 IN (SELECT source_id FROM sources)"),
     "dup_sha256": (_on("clips")(_sha), "SELECT n.clip_id, min(l.clip_id) AS match_id FROM clips n JOIN clips l ON n.sha = l.sha WHERE n.clip_id % 4 = 0 AND l.clip_id % 4 <> 0 GROUP BY 1"),
     "dup_phash": (_on("clips")(_phash), f"""
@@ -212,11 +191,6 @@ SELECT n.clip_id, CASE WHEN e.match_id IS NOT NULL THEN 'sha256' ELSE 'phash' EN
 FROM new n LEFT JOIN exact e USING (clip_id) LEFT JOIN near p ON n.category = p.category AND n.phash = p.phash WHERE e.match_id IS NOT NULL OR p.match_id IS NOT NULL"""),
     "similar_clips": (_on("clips")(lambda c: library.similar(c, "sha", 3)), "SELECT clip_id, similar_id FROM (SELECT a.clip_id, b.clip_id AS similar_id, row_number() OVER (PARTITION BY a.clip_id ORDER BY b.clip_id) AS place FROM clips a JOIN clips b ON a.sha = b.sha AND a.clip_id <> b.clip_id) WHERE place <= 3"),
     "content_key_groups": (_on("clips")(lambda c: library.key_groups(c, "sha")), "SELECT sha, count(*) AS n, min(clip_id) AS first_id FROM clips GROUP BY sha HAVING count(*) > 1"),
-    "upsert_sources": (_upsert, """
-WITH old AS (SELECT source_id, status, reject_reason, url FROM sources WHERE source_id % 3 <> 0), new AS (SELECT source_id, reject_reason FROM sources WHERE source_id % 2 = 0)
-SELECT source_id, CASE WHEN o.status IN ('completed', 'duplicate', 'rejected_preview') AND COALESCE(n.reject_reason, '') IN ('duration_unresolved', 'duplicate_source') THEN o.status WHEN n.reject_reason IS NOT NULL THEN 'failed' ELSE o.status END AS status,
- CASE WHEN o.status IN ('completed', 'duplicate', 'rejected_preview') AND COALESCE(n.reject_reason, '') IN ('duration_unresolved', 'duplicate_source') THEN o.reject_reason ELSE COALESCE(n.reject_reason, o.reject_reason) END AS reject_reason,
- o.url AS title, CAST(CASE WHEN o.status IS NULL THEN 0 ELSE 1 END + CASE WHEN n.reject_reason IS NULL THEN 0 ELSE 1 END AS BIGINT) AS attempts FROM old o FULL JOIN new n USING (source_id)"""),
     "active_intervals": (_on("regions")(lambda r: geometry.intervals(r.select("clip_id", F.col("x1").alias("t")).distinct(), ["clip_id"], "t", 0.05, 0.01).select("clip_id", F.bround("start", 4).alias("start"), F.bround("end", 4).alias("end"))), """
 WITH p AS (SELECT DISTINCT clip_id, x1 AS t FROM regions), g AS (SELECT *, CASE WHEN t - lag(t) OVER w > 0.05::DOUBLE OR lag(t) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM p WINDOW w AS (PARTITION BY clip_id ORDER BY t)),
 r AS (SELECT *, sum(o) OVER (PARTITION BY clip_id ORDER BY t) AS run FROM g), i AS (SELECT clip_id, run, min(t) - 0.01::DOUBLE AS s, max(t) + 0.01::DOUBLE AS e FROM r GROUP BY 1, 2),
@@ -231,8 +205,8 @@ SELECT clip_id, round_even(greatest(min(s), 0), 4) AS "start", round_even(max(e)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run for name, (run, _) in {**QUERIES, **intake.QUERIES, **upkeep.QUERIES, **objectives.QUERIES, **rules.QUERIES, **boxes.QUERIES, **decisions.QUERIES, **records.QUERIES, **selection.QUERIES}.items()}
+    return {name: run for name, (run, _) in {**QUERIES, **intake.QUERIES, **upkeep.QUERIES, **objectives.QUERIES, **rules.QUERIES, **boxes.QUERIES, **decisions.QUERIES, **records.QUERIES, **selection.QUERIES, **acquiring.QUERIES}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(sql) for name, (_, sql) in {**QUERIES, **intake.QUERIES, **upkeep.QUERIES, **objectives.QUERIES, **rules.QUERIES, **boxes.QUERIES, **decisions.QUERIES, **records.QUERIES, **selection.QUERIES}.items() if sql}
+    return {name: oracle(sql) for name, (_, sql) in {**QUERIES, **intake.QUERIES, **upkeep.QUERIES, **objectives.QUERIES, **rules.QUERIES, **boxes.QUERIES, **decisions.QUERIES, **records.QUERIES, **selection.QUERIES, **acquiring.QUERIES}.items() if sql}

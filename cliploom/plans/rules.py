@@ -54,11 +54,6 @@ def _misses(spark, sf_dir):
     return rules.cache_misses(c.select("clip_id", F.col("sha").alias("cache_key")), c.filter("clip_id % 50 = 7").select(F.col("sha").alias("cache_key"))).select("clip_id", "cache_key")
 
 
-def _cleanups(spark, sf_dir):
-    r = table(spark, sf_dir, "regions")
-    return rules.latest(r.groupBy("clip_id", "frame").agg(F.bround(F.max("x2"), 4).alias("x2")), ["clip_id"], "frame").select("clip_id", "frame", "x2")
-
-
 def _effect(spark, sf_dir):
     y = table(spark, sf_dir, "yields")
     return rules.effectiveness(y.select((F.col("task_id") % 50).alias("plan_id"), "clips", F.least("clips", F.col("accepted") % 3).alias("qualifying"), "downloads", (F.col("candidates") * 100).alias("tokens")))
@@ -70,7 +65,6 @@ def _titles(spark, sf_dir):
 
 
 QUERIES = {
-    "candidate_filter": (lambda s, d: rules.candidates(_rows(s, d), 5, 60), f"WITH {_ROWS} SELECT source_id, CASE WHEN video_id IS NULL OR url = '' THEN 'missing_id_or_url' WHEN no_video THEN 'no_video' WHEN seen_id THEN 'duplicate_in_run' WHEN known_url THEN 'url_known' WHEN seconds IS NULL THEN 'duration_pending' WHEN seconds NOT BETWEEN 5 AND 60 THEN 'duration_out_of_range' ELSE 'accepted' END AS verdict FROM r"),
     "title_irrelevant": (_titles, "WITH m AS (SELECT p_partkey, p_name, CASE p_partkey % 3 WHEN 0 THEN 'ring' WHEN 1 THEN 'qz' ELSE 'xy' END AS material FROM part) SELECT p_partkey, (contains(p_name, 'red') OR contains(p_name, 'small') OR contains(p_name, 'blue')) AND NOT list_bool_or(list_transform(string_split(material, ''), lambda c: contains(p_name, c))) AS unrelated FROM m"),
     "duration_route": (lambda s, d: rules.duration_routes(_rows(s, d), 5, 60), f"WITH {_ROWS} SELECT source_id, CASE WHEN state = 'unavailable' THEN 'failed' WHEN state = 'timeout' OR seconds IS NULL THEN 'discovered' WHEN seconds BETWEEN 5 AND 60 THEN 'ready' ELSE 'rejected_duration' END AS route FROM r"),
     "preview_decision": (lambda s, d: rules.previews(_answers(s, d)), "SELECT clip_id AS source_id, CASE WHEN clip_id % 6 = 0 THEN 'failed:no_frames' WHEN clip_id % 9 = 0 THEN 'failed:no_verdict' WHEN clip_id % 4 = 0 THEN 'rejected:model' WHEN clip_id % 5 = 0 THEN 'rejected:no_material' WHEN visual < 0.5::DOUBLE THEN 'rejected:low_quality' WHEN subtitle_type IN ('dense_text', 'promotional_overlay', 'large_center_text') THEN 'rejected:subtitle_class' WHEN subtitle_score > 0.35::DOUBLE THEN 'rejected:subtitle_score' ELSE 'accepted' END AS verdict FROM clips"),
@@ -78,7 +72,6 @@ QUERIES = {
     "remove_clips": (_removed, f"WITH {_TAG_SQL} SELECT clip_id, tag FROM t WHERE clip_id % 4 <> 0"),
     "link_runs": (_linked, "WITH f AS (SELECT source_id, min(clip_id) AS c FROM clips GROUP BY 1) SELECT run_id, source_id, CASE WHEN run_id % 2 = 0 THEN run_id ELSE c END AS clip_id FROM ai_runs LEFT JOIN f USING (source_id)"),
     "cache_misses": (_misses, "SELECT clip_id, sha AS cache_key FROM clips WHERE sha NOT IN (SELECT sha FROM clips WHERE clip_id % 50 = 7)"),
-    "upsert_cleanups": (_cleanups, "WITH g AS (SELECT clip_id, frame, round_even(max(x2), 4) AS x2 FROM regions GROUP BY 1, 2) SELECT clip_id, max(frame) AS frame, arg_max(x2, frame) AS x2 FROM g GROUP BY 1"),
     "task_history": (lambda s, d: rules.task_history(table(s, d, "sources"), table(s, d, "clips")), "WITH m AS (SELECT source_id, count(*) AS n, list(DISTINCT category) AS c FROM clips GROUP BY 1) SELECT task_id, count(*) AS sources, CAST(COALESCE(sum(n), 0) AS BIGINT) AS clips, COALESCE(array_to_string(list_sort(list_distinct(flatten(list(c) FILTER (WHERE c IS NOT NULL)))), '|'), '') AS categories FROM sources LEFT JOIN m USING (source_id) GROUP BY 1"),
     "plan_effectiveness": (_effect, "WITH p AS (SELECT task_id % 50 AS plan_id, CAST(sum(clips) AS BIGINT) AS clips, CAST(sum(least(clips, accepted % 3)) AS BIGINT) AS qualifying, sum(downloads) AS d, sum(candidates * 100) AS t FROM yields GROUP BY 1) SELECT plan_id, clips, qualifying, CASE WHEN clips > 0 THEN round_even(qualifying::DOUBLE / clips, 3) END AS hit_rate, clips - qualifying AS off_target, CASE WHEN qualifying > 0 THEN round_even(t::DOUBLE / qualifying, 3) END AS tokens_per_clip, CASE WHEN qualifying > 0 THEN round_even(d::DOUBLE / qualifying, 3) END AS downloads_per_clip FROM p"),
 }

@@ -47,7 +47,6 @@ k AS (SELECT category, stage, 400 - total AS missing, CASE WHEN total = 0 THEN 0
 r AS (SELECT *, COALESCE(sum(missing) OVER (PARTITION BY category ORDER BY p, missing DESC, stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)"""
 
 QUERIES = {
-    "provenance": (_one("sources", lambda s: s.select("source_id", upkeep.provenance(F.when(F.col("source_id") % 9 == 0, "mock").when(F.col("source_id") % 9 == 1, "local").otherwise("web"), F.col("url")).alias("kind"))), "SELECT source_id, CASE WHEN source_id % 9 = 0 THEN 'mock' WHEN source_id % 9 = 1 THEN 'local_test' WHEN length(CAST(100000000000 + source_id AS VARCHAR)) >= 12 THEN 'remote' ELSE 'unknown' END AS kind FROM sources"),
     "review_import": (_one("clips", lambda c: upkeep.import_reviews(_reviews(c), c)), """
 WITH r AS (SELECT clip_id AS line, CASE WHEN clip_id % 7 = 0 THEN NULL ELSE clip_id * CASE WHEN clip_id % 5 = 0 THEN -1 ELSE 1 END END AS number, CASE WHEN clip_id % 11 = 0 THEN 'great' ELSE 'approved' END AS status,
  CASE WHEN clip_id % 13 = 0 THEN NULL WHEN clip_id % 2 = 0 THEN true ELSE false END AS fav FROM clips)
