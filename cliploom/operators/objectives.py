@@ -26,15 +26,6 @@ def best_per_family(scored: DataFrame) -> DataFrame:
     return scored.withColumn("family", planning.family(F.col("query"))).withColumn("place", place).filter("place = 1").drop("place")
 
 
-def production_gaps(stages: DataFrame, scored: DataFrame) -> DataFrame:
-    """Gaps with the best query of their category, ordered by gap share times actionability."""
-    best = scored.groupBy("category").agg(F.max_by("query", F.struct("score", "query")).alias("best_query"), F.max("score").alias("score"))
-    joined = stages.filter("missing > 0").join(best, "category", "left")
-    share = F.col("missing") / F.col("target")
-    value = F.bround(share * F.when(F.coalesce("score", F.lit(0.0)) > 0, 1.0).otherwise(0.5), 4)
-    return joined.select("category", "stage", "missing", "best_query", value.alias("value"))
-
-
 def linkage(tasks: DataFrame, sources: DataFrame, clips: DataFrame) -> DataFrame:
     """Distinct sources and clips behind every plan; clips are counted per source before the chain is joined."""
     made = clips.groupBy("source_id").agg(F.countDistinct("clip_id").alias("clips"))

@@ -76,6 +76,8 @@ STAGE_FAMILIES = {
     "preparation": ("material_process", "factory_line"),
 }
 USUAL_FAMILIES = ("material_process", "factory_line", "other")
+#: What a query whose sources are all processed already loses of its score.
+REDISCOVERY = 2.0
 # ---- end of fixed values -----------------------------------------------------------
 
 
@@ -111,12 +113,17 @@ def recommended(category: Column, stage: Column, material: Column | None = None,
 
 
 def historical(categories: DataFrame, searches: DataFrame) -> DataFrame:
-    """Productive queries that hold the base name of a category: every piece of a query is a key of an equi-join."""
-    text = F.col("query")
-    lengths = F.sequence(F.lit(1), F.length(text))
-    pieces = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))))
-    spread = searches.filter((F.col("clips") > 0) & (F.length(text) > 0)).select("*", F.explode(F.array_distinct(pieces)).alias("base"))
+    """Productive queries that hold the base name of a category.
+
+    The pieces of a query are keys of an equi-join, but only those as long as some base name, so a
+    long query makes as many pieces as it has characters for each length of a name.
+    """
     named = categories.select("category", materials.base(F.col("category")).alias("base")).distinct()
+    lengths = named.filter("base <> ''").agg(F.collect_set(F.length("base")).alias("lengths"))  # one row
+    text = F.col("query")
+    starts = lambda n: F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    pieces = F.flatten(F.transform("lengths", lambda n: F.transform(starts(n), lambda i: F.substring(text, i, n))))
+    spread = searches.filter(F.col("clips") > 0).crossJoin(F.broadcast(lengths)).select(*[F.col(f"`{c}`") for c in searches.columns], F.explode(F.array_distinct(pieces)).alias("base"))
     return spread.join(named, "base").drop("base")
 
 
@@ -145,7 +152,7 @@ def _family_templates(goals: DataFrame) -> DataFrame:
     return texts.select("category", "stage", "turn", "family", "step", F.replace("template", F.lit("{material}"), F.col("base")).alias("query"))
 
 
-def objective_queries(goals: DataFrame, searches: DataFrame, limit: int = 4, weight: float = 0.2) -> DataFrame:
+def objective_queries(goals: DataFrame, searches: DataFrame, limit: int = 4, weight: float = REDISCOVERY) -> DataFrame:
     """``category, stage, place, query, origin, family, score``: relevant history, one query per family; templates of open families; other history.
 
     ``searches`` has query, clips, score and ``rediscovery``, the share of a query's sources

@@ -16,7 +16,7 @@ from ..operators import coverage, duplicates, geometry, library, ranking, usage
 from ..sources.adapters import REVIEWS, STAGES
 from ..sources.adapters import library as table
 from ..sources.adapters import oracle
-from . import acquiring, boxes, decisions, intake, objectives, records, rules, selection, upkeep
+from . import acquiring, boxes, decisions, gapping, intake, objectives, records, rules, selection, upkeep
 
 #: The moment that ages are measured from, and the days after which a query counts as untried.
 AS_OF_YIELDS, EXPIRY_YIELDS = "1999-12-01 00:00:00", 900
@@ -203,6 +203,11 @@ SELECT clip_id, round_even(greatest(min(s), 0), 4) AS "start", round_even(max(e)
     '(?i)\\b(api[-_]?key|authorization|token|secret|password|cookie)\\b\\s*[:=]\\s*["'']?([^\\s"'',;)]+)', '\\1=<redacted>', 'g') AS r FROM documents)"""),
 }
 
+QUERIES["production_gaps"] = (
+    lambda s, d: gapping.query(s, d, _statistics(*[table(s, d, n) for n in _ALL]), _novelty(s, d)),
+    gapping.sql(_STATS + "SELECT * FROM scored", *[QUERIES[name][1] for name in ("query_novelty", "query_rediscovery")]),
+)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, (run, _) in {**QUERIES, **intake.QUERIES, **upkeep.QUERIES, **objectives.QUERIES, **rules.QUERIES, **boxes.QUERIES, **decisions.QUERIES, **records.QUERIES, **selection.QUERIES, **acquiring.QUERIES}.items()}

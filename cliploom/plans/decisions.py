@@ -65,8 +65,8 @@ ordered AS (SELECT *, row_number() OVER (PARTITION BY category, stage ORDER BY t
 SELECT category, stage, CAST(place AS INT) AS place, query, origin, round_even(score, 6) AS score FROM ordered WHERE place <= 4"""
 _TEXTS = f"""texts AS (SELECT category, stage, turn, family, step, replace(template, '{{material}}', base) AS query FROM goals
   JOIN (VALUES {_STAGE_FAMILY_ROWS}) f(stage, turn, family) USING (stage) JOIN (VALUES {_FAMILY_ROWS}) t(family, step, template) USING (family))"""
-_OBJECTIVE = f"""{_GOALS}, {_HISTORY}, {_TEXTS}, words(stage, word) AS (VALUES {_WORD_ROWS}),
-own AS (SELECT category, stage, query, score - 0.2 * rediscovery AS score, {_FAMILY} AS family,
+OBJECTIVE_SQL = _OBJECTIVE = f"""{_GOALS}, {_HISTORY}, {_TEXTS}, words(stage, word) AS (VALUES {_WORD_ROWS}),
+own AS (SELECT category, stage, query, score - {planning.REDISCOVERY} * COALESCE(rediscovery, 0) AS score, {_FAMILY} AS family,
   NOT EXISTS (SELECT 1 FROM words w WHERE w.stage = g.stage) OR EXISTS (SELECT 1 FROM words w WHERE w.stage = g.stage AND contains(query, word)) AS relevant
   FROM goals g JOIN hist USING (category)),
 one AS (SELECT * FROM own WHERE relevant QUALIFY row_number() OVER (PARTITION BY category, stage, family ORDER BY score DESC, query) = 1),

@@ -28,17 +28,6 @@ c AS (SELECT category, stage, COALESCE(total, 0) AS total FROM (SELECT DISTINCT
 k AS (SELECT category, stage, 400 - total AS missing FROM c WHERE total < 400)"""
 
 
-def _stages(spark, sf_dir):
-    return coverage.stages(table(spark, sf_dir, "clips"), 400)
-
-
-def _scored(spark, sf_dir):
-    s = table(spark, sf_dir, "yields").groupBy("query").agg(F.sum("clips").alias("n"))
-    number = F.substring("query", 2, 9).cast("int")
-    names = ["apple dry", "banana dry", "mango slice"]
-    return s.select(F.get(F.array(*map(F.lit, names)), number % 3).alias("category"), "query", F.col("n").cast("double").alias("score"))
-
-
 def _tasks(spark, sf_dir):
     return table(spark, sf_dir, "sources").select((F.col("task_id") % 40).alias("plan_id"), "task_id")
 
@@ -85,7 +74,6 @@ QUERIES = {
         f"SELECT reference AS objective, {_FAMILY} AS family, query, clips FROM searches QUALIFY row_number() OVER (PARTITION BY 1, 2 ORDER BY clips DESC, query) = 1".replace("PARTITION BY 1, 2", f"PARTITION BY reference, {_FAMILY}"),
     ),
     "keyword_relevance": (_posts, "SELECT * FROM (SELECT doc_id, CAST(contains(lower(text), 'license') AS INT) + CAST(contains(lower(text), 'password') AS INT) + CAST(contains(lower(text), 'the') AS INT) AS hits FROM documents) WHERE hits > 0"),
-    "production_gaps": (lambda s, d: objectives.production_gaps(_stages(s, d), _scored(s, d)), f"WITH {_COUNTS}, y AS (SELECT CASE CAST(substr(query, 2) AS INT) % 3 WHEN 0 THEN 'apple dry' WHEN 1 THEN 'banana dry' ELSE 'mango slice' END AS category, query, sum(clips)::DOUBLE AS score FROM yields GROUP BY 1, 2), b AS (SELECT category, arg_max(query, (score, query)) AS best_query, max(score) AS score FROM y GROUP BY 1) SELECT category, stage, missing, best_query, round_even(missing / 400.0::DOUBLE * CASE WHEN COALESCE(score, 0) > 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END, 4) AS value FROM k LEFT JOIN b USING (category)"),
     "plan_linkage": (lambda s, d: objectives.linkage(_tasks(s, d), table(s, d, "sources"), table(s, d, "clips")), "WITH m AS (SELECT source_id, count(*) AS n FROM clips GROUP BY 1) SELECT task_id % 40 AS plan_id, count(DISTINCT task_id) AS tasks, count(*) AS sources, CAST(COALESCE(sum(n), 0) AS BIGINT) AS clips FROM sources LEFT JOIN m USING (source_id) GROUP BY 1"),
     "plan_timeline": (lambda s, d: objectives.timeline(_events(s, d)), "WITH e AS (SELECT event_id, user_id % 50 AS plan_id, concat('q', event_id % 31) AS query FROM events) SELECT event_id, plan_id, query, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY event_id) AS INT) AS place, row_number() OVER (PARTITION BY plan_id, query ORDER BY event_id) > 1 AS again FROM e"),
     "funnel_metrics": (lambda s, d: objectives.funnel(*[table(s, d, n) for n in ("yields", "sources", "clips", "ai_runs")]), "SELECT (SELECT CAST(sum(candidates) AS BIGINT) FROM yields) AS candidates, (SELECT CAST(sum(uniques) AS BIGINT) FROM yields) AS uniques, (SELECT CAST(sum(downloads) AS BIGINT) FROM yields) AS downloads, (SELECT count(*) FROM sources) AS sources, (SELECT count(*) FROM sources WHERE status = 'rejected_preview') AS preview_rejected, (SELECT count(*) FROM clips) AS clips, (SELECT count(*) FROM clips WHERE review_status = 'approved') AS approved, (SELECT count(*) FROM ai_runs) AS calls, (SELECT CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) FROM ai_runs) AS tokens, (SELECT count(*) FROM (SELECT query FROM yields GROUP BY query HAVING sum(clips) = 0)) AS zero_yield_queries"),
