@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +139,7 @@ class Words:
 
     ``hash`` is XXH3 and ``check`` the older XXH64, 64 bits each, of whole words: no sums or polynomials
     of bytes, and two functions that share no structure, so what one confuses the other tells apart.
+    All four are made when asked for.
     """
 
     def __init__(self, column: pa.Array, lower: bool = False):
@@ -156,24 +158,36 @@ class Words:
         #: number of words of each row, and where a row's words begin
         self.count = np.bincount(self.row, minlength=self.rows)
         self.first = np.concatenate([[0], np.cumsum(self.count)])
-        self.code, distinct = self._distinct(solid)
-        self.hash = self._hashed(distinct, xxhash.xxh3_64_intdigest)
-        self.distinct = distinct
+        self._solid, self._found = solid, None
 
-    def _hashed(self, distinct: list[bytes], digest) -> np.ndarray:
-        return np.fromiter(map(digest, distinct), np.uint64, len(distinct))[self.code]
+    @property
+    def code(self) -> np.ndarray:
+        return self._distinct()[0]
+
+    @property
+    def distinct(self) -> list[bytes]:
+        return self._distinct()[1]
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return self._hashed(xxhash.xxh3_64_intdigest)
 
     @property
     def check(self) -> np.ndarray:
-        return self._hashed(self.distinct, xxhash.xxh64_intdigest)
+        return self._hashed(xxhash.xxh64_intdigest)
+
+    def _hashed(self, digest) -> np.ndarray:
+        return np.fromiter(map(digest, self.distinct), np.uint64, len(self.distinct))[self.code]
 
-    def _distinct(self, solid: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    def _distinct(self) -> tuple[np.ndarray, list[bytes]]:
         """The number of each word among the distinct ones, and these; told apart by their bytes."""
-        flat = np.ascontiguousarray(self.data[solid])
-        offsets = np.concatenate([[0], np.cumsum(self.end - self.start)]).astype(np.int64)
-        words = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
-        coded = words.dictionary_encode()
-        return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        if self._found is None:
+            flat = np.ascontiguousarray(self.data[self._solid])
+            offsets = np.concatenate([[0], np.cumsum(self.end - self.start)]).astype(np.int64)
+            words = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            coded = words.dictionary_encode()
+            self._found = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        return self._found
 
     def shingles(self, n: int, check: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Hashes (of ``check`` if asked for) and rows of the runs of ``n`` words; a row with 1 to n-1 words has its whole sequence as one."""
@@ -201,15 +215,21 @@ class Words:
         return out, row
 
 
-def distinct_by_row(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of each row, ascending by row, then value."""
+def distinct_places(value: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Where the distinct values of each row stand, ascending by row, then value."""
     order = np.lexsort((value, row))
+    if not len(order):
+        return order
     value, row = value[order], row[order]
-    if len(value):
-        keep = np.ones(len(value), bool)
-        keep[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-        value, row = value[keep], row[keep]
-    return value, row
+    keep = np.ones(len(value), bool)
+    keep[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
+    return order[keep]
+
+
+def distinct_by_row(value: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of each row, ascending by row, then value."""
+    at = distinct_places(value, row)
+    return value[at], row[at]
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -62,12 +62,6 @@ def fast_sketches(value: np.ndarray, row: np.ndarray, rows: int, size: int = SIZ
     return table.reshape(rows, size)
 
 
-def shingle_sets(words: common.Words, shingle: int, check: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles, their rows, and the number of each row; by the words' second hash if ``check``."""
-    value, row = common.distinct_by_row(*words.shingles(shingle, check))
-    return value, row, np.bincount(row, minlength=words.rows)
-
-
 def _sums(value: np.ndarray, count: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
     ends = np.concatenate([[0], np.cumsum(count)])
@@ -81,8 +75,10 @@ def sketched(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for batch in batches:
             for part in common.pieces(batch, "text"):
                 words = common.Words(part.column("text"), lower=True)
-                value, row, count = shingle_sets(words, shingle)
-                other, _, others = shingle_sets(words, shingle, check=True)
+                value, row = words.shingles(shingle)
+                at = common.distinct_places(value, row)
+                value, row, other = value[at], row[at], words.shingles(shingle, check=True)[0][at]
+                count = np.bincount(row, minlength=words.rows)
                 table = fast_sketches(value, row, len(count))
                 bands = np.zeros((len(count), SIZE // BAND), np.uint64)
                 for j in range(BAND):
@@ -96,7 +92,7 @@ def sketched(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                         part.column("doc_id").cast(pa.int64()),
                         pa.array(count.astype(np.int64)),
                         pa.array(common.signed(_sums(common.mix(value), count))),
-                        pa.array(common.signed(_sums(common.mix(other), others))),
+                        pa.array(common.signed(_sums(common.mix(other), count))),
                         common.lists(common.signed(bands[full].reshape(-1)), size, pa.int64()),
                         common.blobs(small[full].reshape(-1), np.where(full, SIZE, 0)),
                     ],
@@ -112,7 +108,9 @@ def full_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in common.pieces(batch, "text"):
-                value, _, count = shingle_sets(common.Words(part.column("text"), lower=True), shingle, check=True)
+                words = common.Words(part.column("text"), lower=True)
+                value, row = common.distinct_by_row(*words.shingles(shingle, check=True))
+                count = np.bincount(row, minlength=words.rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), common.lists(common.signed(value), count, pa.int64())], ["id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "id long, shingles array<long>")

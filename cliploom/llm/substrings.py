@@ -56,8 +56,9 @@ class Windows:
     """Places (index of the first word) of all whole windows of some texts, and their fingerprints."""
 
     def __init__(self, words: common.Words):
-        n = len(words.hash)
-        self.grams = _sum_of(words.hash, GRAM)
+        n = len(words.start)
+        self.hash = words.hash
+        self.grams = _sum_of(self.hash, GRAM)
         if n < WINDOW:
             self.place, self.print = np.zeros(0, np.int64), np.zeros(0, np.uint64)
             self.low = self.print
@@ -125,7 +126,7 @@ def windows_of(texts: DataFrame) -> DataFrame:
                 fps, row = wanted.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(words.rows), count)
                 mine = np.isin(common.mix(windows.print) + words.row[windows.place].astype(np.uint64), common.mix(fps) + row.astype(np.uint64))
                 at = windows.place[mine]
-                wh = common.signed(_sum_of(words.hash, WINDOW)[at])
+                wh = common.signed(_sum_of(windows.hash, WINDOW)[at])
                 check = (_sum_of(words.check, WINDOW)[at] >> np.uint64(33)).astype(np.int64)
                 place = (at - words.first[words.row[at]]) << 32 | check
                 doc = part.column("doc_id").cast(pa.int64()).to_numpy()[words.row[at]]
@@ -301,7 +302,7 @@ def without(docs: DataFrame, places: DataFrame) -> DataFrame:
         for batch in batches:
             for part in common.pieces(batch, "text"):
                 words = common.Words(part.column("text"))
-                n = len(words.hash)
+                n = len(words.start)
                 change = np.zeros(n + 1, np.int64)
                 places = pc.fill_null(part.column("places"), pa.scalar([], pa.list_(pa.int64())))
                 row = np.repeat(np.arange(words.rows), pc.list_value_length(places).to_numpy())
