@@ -1,8 +1,7 @@
-"""Text tracks over time and time ranges of videos; the two inherently sequential steps run per group in Arrow batches."""
+"""Classes of text and time ranges of videos."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +15,6 @@ PENALTIES = {
 LIMITS = {
     "simple_bottom_area": 0.12, "simple_bottom_boxes": 3, "center_area": 0.10, "dense_area": 0.25, "multi": 0.40, "center": 0.50, "band": 0.40,
 }
-#: Thresholds of stable tracks and guards of masks.
-STABLE = {"samples": 2, "persistence": 0.55, "seconds": 0.30, "jitter": 0.05, "growth": 0.75, "area": 0.10, "union_area": 0.15}
-MASK = {"pad": 0.02, "width": 0.90, "height": 0.30, "area": 0.10, "total": 0.20, "count": 3}
 # ---- end of fixed values -----------------------------------------------------------
 
 
@@ -53,86 +49,6 @@ def cleanliness(classified: DataFrame, weights: dict[str, float] = PENALTIES, li
     return classified.withColumn("cleanliness", F.when(kind == "none", 1.0).when(kind == "unknown", 0.0).otherwise(score))
 
 
-def tracks(boxes: DataFrame, least_iou: float = 0.3, most_distance: float = 0.15) -> DataFrame:
-    """Boxes of a clip joined greedily over time: each to the open track it overlaps most, else the nearest.
-
-    A track takes one box per timestamp. Groups are the sampled boxes of one clip, bounded by the sampling.
-    """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["t", "x1", "y1"]).reset_index(drop=True)
-        last: list[tuple[float, tuple]] = []
-        number = []
-        for row in group.itertuples(index=False):
-            box = (row.x1, row.y1, row.x2, row.y2)
-            best, rank = None, None
-            for k, (t, old) in enumerate(last):
-                if t == row.t:
-                    continue
-                w = max(0.0, min(box[2], old[2]) - max(box[0], old[0]))
-                h = max(0.0, min(box[3], old[3]) - max(box[1], old[1]))
-                union = (box[2] - box[0]) * (box[3] - box[1]) + (old[2] - old[0]) * (old[3] - old[1]) - w * h
-                overlap = w * h / union if union > 0 else 0.0
-                far = ((box[0] + box[2] - old[0] - old[2]) ** 2 + (box[1] + box[3] - old[1] - old[3]) ** 2) ** 0.5 / 2
-                score = (1, overlap) if overlap >= least_iou else (0, -far) if far <= most_distance else None
-                if score is not None and (rank is None or score > rank):
-                    best, rank = k, score
-            if best is None:
-                best = len(last)
-                last.append((row.t, box))
-            last[best] = (row.t, box)
-            number.append(best)
-        return group.assign(track=number)
-
-    schema = "clip_id long, t double, x1 double, y1 double, x2 double, y2 double, track long"
-    return boxes.select("clip_id", "t", "x1", "y1", "x2", "y2").groupBy("clip_id").applyInPandas(run, schema)
-
-
-def track_stats(tracked: DataFrame, samples: int) -> DataFrame:
-    """Per track: boxes, persistence, first and last time, jitter of the centres, median and union box, growth of the union."""
-    center = lambda a, b: (F.col(a) + F.col(b)) / 2
-    names = ("x1", "y1", "x2", "y2")
-    area = lambda p: (F.col(f"{p}x2") - F.col(f"{p}x1")) * (F.col(f"{p}y2") - F.col(f"{p}y1"))
-    stats = tracked.groupBy("clip_id", "track").agg(
-        F.count("*").alias("boxes"), F.bround(F.countDistinct("t") / samples, 4).alias("persistence"), F.min("t").alias("first_seen"), F.max("t").alias("last_seen"),
-        F.bround(F.stddev_pop(center("y1", "y2")), 6).alias("jitter_y"), F.bround(F.stddev_pop(center("x1", "x2")), 6).alias("jitter_x"),
-        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), *[F.median(c).alias(f"median_{c}") for c in names],
-    )
-    sized = stats.withColumns({"union_area": F.bround(area(""), 6), "median_area": F.bround(area("median_"), 6)})
-    return sized.withColumn("growth", F.bround(F.coalesce(F.try_divide(F.col("union_area") - F.col("median_area"), "median_area"), F.lit(0.0)), 4))
-
-
-def stable(stats: DataFrame, limits: dict[str, float] = STABLE) -> DataFrame:
-    """Tracks that pass all seven thresholds; the time rule spares those that are nearly always there."""
-    brief = (F.col("persistence") < 0.9) & (F.col("last_seen") - F.col("first_seen") < limits["seconds"])
-    return stats.filter(
-        (F.col("boxes") >= max(2, limits["samples"])) & (F.col("persistence") >= limits["persistence"]) & ~brief & (F.coalesce("jitter_y", F.lit(0.0)) <= limits["jitter"])
-        & (F.col("growth") <= limits["growth"]) & (F.col("median_area") <= limits["area"]) & (F.col("union_area") <= limits["union_area"])
-    )
-
-
-def masks(stats: DataFrame, clips: DataFrame, guards: dict[str, float] = MASK) -> DataFrame:
-    """Per clip the padded boxes of its largest safe tracks, or one row with the reason why there is none.
-
-    Guards on width, height and area come before the choice of the largest, the guard on the
-    total after it. ``clips`` names the clips that a verdict is wanted for.
-    """
-    pad = guards["pad"]
-    low = lambda c: F.bround(F.greatest(F.lit(0.0), F.least(F.col(c) - pad, F.lit(1.0))), 5).alias(c)
-    high = lambda c: F.bround(F.greatest(F.lit(0.0), F.least(F.col(c) + pad, F.lit(1.0))), 5).alias(c)
-    boxes = stats.select("clip_id", "track", low("x1"), low("y1"), high("x2"), high("y2"))
-    wide, tall = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    sized = boxes.withColumn("area", F.bround(wide * tall, 6))
-    safe = (wide > 0) & (tall > 0) & (wide <= guards["width"]) & (tall <= guards["height"]) & (F.col("area") <= guards["area"])
-    item = F.struct((-F.col("area")).alias("o"), "track", "x1", "y1", "x2", "y2", "area")
-    best = sized.groupBy("clip_id").agg(F.slice(F.array_sort(F.array_compact(F.collect_list(F.when(safe, item)))), 1, int(guards["count"])).alias("m"))
-    joined = clips.select("clip_id").distinct().join(best, "clip_id", "left")
-    total = F.aggregate("m", F.lit(0.0), lambda a, x: a + x["area"])
-    reason = F.when(F.col("m").isNull(), "no_stable_subtitle_track").when(F.size("m") == 0, "mask_geometry_guard").when(total > guards["total"], "mask_total_area_guard")
-    rows = joined.withColumn("reason", reason).select("clip_id", "reason", F.explode_outer(F.when(reason.isNull(), F.col("m"))).alias("m"))
-    return rows.select("clip_id", "m.track", "m.x1", "m.y1", "m.x2", "m.y2", "m.area", "reason")
-
-
 def snap(segments: DataFrame, boundaries: DataFrame, tolerance: float = 1.5) -> DataFrame:
     """Start to the nearest boundary before it, end to the nearest after it, within ``tolerance``.
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import geometry, segments
+from ..operators import geometry, segments, tracks
 from ..sources.adapters import library as table
+from .records import _rows
 
 _SHARE = "round_even(count(*) FILTER (WHERE {}) / count(*)::DOUBLE, 4)".format
 _MEAN = "round_even(sum({}) / count(*), 8)".format
@@ -46,17 +47,69 @@ def _classified(spark, sf_dir):
     return segments.classify(_metrics(spark, sf_dir))
 
 
-def _boxes(spark, sf_dir):
-    r = table(spark, sf_dir, "regions")
-    return r.select("clip_id", F.col("frame").cast("double").alias("t"), "x1", "y1", "x2", "y2")
+#: Steady lines of text at three heights that tremble, jump or pause, beside the given boxes.
+LINES = """SELECT clip_id, CAST(frame AS DOUBLE) * 0.5e0 AS t, x1, y1, x2, y2, 0.2 + event % 8 / 1e1 AS confidence, concat(words, event % 3) AS text FROM (
+  SELECT clip_id, frame, row_number() OVER (PARTITION BY clip_id, frame ORDER BY x1, y1, x2, y2) * 5 + frame AS event, x1, y1, x2, y2, words FROM {regions}) r
+  UNION ALL SELECT clip_id, frame * 0.5e0 + CASE WHEN frame >= 3 THEN clip_id % 3 ELSE 0 END, 0.1 + frame % 2 / 2e2, 0.75 + line * 0.08 + clip_id % 5 * frame / 2e2, 0.5 + clip_id % 4 / 1e1, 0.8 + line * 0.08 + clip_id % 5 * frame / 2e2, 0.9, concat('line ', line, ' ', frame % 2)
+  FROM {sampled}, (SELECT 0 AS line UNION ALL SELECT 1) l WHERE (clip_id + line) % 3 > 0"""
+SIZES = "SELECT DISTINCT clip_id, CAST(CASE WHEN clip_id % 2 = 0 THEN 1080 ELSE 120 END AS INT) AS width, CAST(CASE WHEN clip_id % 2 = 0 THEN 1920 ELSE 160 END AS INT) AS height FROM {sampled}"
 
 
 def _tracks(spark, sf_dir):
-    return segments.tracks(_boxes(spark, sf_dir))
+    return tracks.tracks(_rows(spark, sf_dir, LINES))
 
 
 def _stats(spark, sf_dir):
-    return segments.track_stats(_tracks(spark, sf_dir), 4)
+    return tracks.stats(_tracks(spark, sf_dir), 4)
+
+
+def _shown(found):
+    spans = F.array_join(F.transform("intervals", lambda x: F.format_string("%.2f-%.2f", x["start"], x["end"])), " ")
+    return found.withColumn("intervals", spans).withColumn("texts", F.array_join("texts", "|"))
+
+
+def _masks(spark, sf_dir):
+    found = tracks.masks(tracks.stable(_stats(spark, sf_dir)), _rows(spark, sf_dir, SIZES))
+    return found.select("clip_id", "track", "x1", "y1", "x2", "y2", "area", "persistence", "reason")
+
+
+_IOU = """CASE WHEN least(b.x2, o.x2) > greatest(b.x1, o.x1) AND least(b.y2, o.y2) > greatest(b.y1, o.y1) AND b.area + o.area - (least(b.x2, o.x2) - greatest(b.x1, o.x1)) * (least(b.y2, o.y2) - greatest(b.y1, o.y1)) > 0
+  THEN round_even((least(b.x2, o.x2) - greatest(b.x1, o.x1)) * (least(b.y2, o.y2) - greatest(b.y1, o.y1)) / (b.area + o.area - (least(b.x2, o.x2) - greatest(b.x1, o.x1)) * (least(b.y2, o.y2) - greatest(b.y1, o.y1))), 4) ELSE 0 END"""
+_FAR = "round_even(sqrt((b.cx - o.cx) * (b.cx - o.cx) + (b.cy - o.cy) * (b.cy - o.cy)), 4)"
+_FIT = f"CASE WHEN o.t = b.t THEN -1 WHEN {_IOU} >= {tracks.LEAST_IOU}::DOUBLE THEN 1 + {_IOU} WHEN abs(b.cy - o.cy) <= {tracks.MOST_DISTANCE}::DOUBLE AND {_FAR} <= {tracks.MOST_DISTANCE * 1.6!r}::DOUBLE THEN 0.5 + greatest(0, 1 - {_FAR}) ELSE -1 END"
+#: Every box of a clip in turn meets the last boxes of its tracks.
+_TRACKED = f"""WITH RECURSIVE lines AS ({LINES.format(regions='regions', sampled='sampled')}),
+sized AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY round_even(t, 3), x1, y1, x2, y2, area, cx, cy, text) AS n, {{'t': round_even(t, 3), 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'area': area, 'cx': cx, 'cy': cy, 'text': text}} AS b FROM (
+  SELECT *, round_even(round_even(greatest(0, x2 - x1), 4) * round_even(greatest(0, y2 - y1), 4), 5) AS area, round_even((x1 + x2) / 2, 4) AS cx, round_even((y1 + y2) / 2, 4) AS cy FROM lines WHERE confidence >= {tracks.LEAST_CONFIDENCE}::DOUBLE)),
+walk AS (SELECT clip_id, n, [b] AS last, 1::BIGINT AS k, b FROM sized WHERE n = 1
+  UNION ALL SELECT clip_id, n, CASE WHEN k > len(last) THEN list_append(last, b) ELSE list_transform(last, lambda o, i: CASE WHEN i = k THEN b ELSE o END) END, k, b FROM (
+    SELECT s.clip_id, s.n, w.last, s.b, CASE WHEN list_max(fits) > 0 THEN list_position(fits, list_max(fits)) ELSE len(w.last) + 1 END AS k
+    FROM walk w JOIN (SELECT * FROM sized) s ON s.clip_id = w.clip_id AND s.n = w.n + 1, LATERAL (SELECT list_transform(w.last, lambda o: ({_FIT.replace('b.', 's.b.')})::DOUBLE) AS fits) x)),
+tracked AS (SELECT clip_id, b.t AS t, b.x1 AS x1, b.y1 AS y1, b.x2 AS x2, b.y2 AS y2, b.cx AS cx, b.cy AS cy, b.text AS text, k - 1 AS track FROM walk)"""
+_SPANS = f"""sp AS (SELECT clip_id, track, string_agg(printf('%.2f-%.2f', greatest(0, a - {tracks.PADDING}), z + {tracks.PADDING}), ' ' ORDER BY a) AS intervals FROM (
+  SELECT clip_id, track, run, min(t) AS a, max(t) AS z FROM (SELECT *, sum(o) OVER (PARTITION BY clip_id, track ORDER BY t) AS run FROM (
+    SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY clip_id, track ORDER BY t) <= {tracks.GAP}::DOUBLE THEN 0 ELSE 1 END AS o FROM (SELECT DISTINCT clip_id, track, t FROM tracked))) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+tx AS (SELECT clip_id, track, string_agg(text, '|' ORDER BY o) AS texts FROM (SELECT clip_id, track, trim(text) AS text, min((t, x1, y1)) AS o, row_number() OVER (PARTITION BY clip_id, track ORDER BY min((t, x1, y1))) AS r FROM tracked GROUP BY 1, 2, 3) WHERE r <= {tracks.TEXTS} GROUP BY 1, 2)"""
+_MEDIANS = ", ".join(f"median({c}) AS m_{c}" for c in ("x1", "y1", "x2", "y2"))
+_TRACK_STATS = f"""{_TRACKED}, {_SPANS},
+m AS (SELECT clip_id, track, count(DISTINCT t) AS sample_count, min(t) AS first_seen, max(t) AS last_seen, {_MEDIANS}, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, list({{'cx': cx, 'cy': cy}}) AS centres FROM tracked GROUP BY 1, 2),
+st AS (SELECT *, round_even(least(1, sample_count / 4.0::DOUBLE), 4) AS persistence, round_even(list_max(list_transform(centres, lambda p: abs(p.cy - (m_y1 + m_y2) / 2))), 5) AS vertical_jitter,
+  round_even(list_max(list_transform(centres, lambda p: sqrt((p.cx - (m_x1 + m_x2) / 2) * (p.cx - (m_x1 + m_x2) / 2) + (p.cy - (m_y1 + m_y2) / 2) * (p.cy - (m_y1 + m_y2) / 2)))), 5) AS center_jitter,
+  round_even(greatest(0, greatest(0, (x2 - x1) * (y2 - y1)) / greatest(1e-9, (m_x2 - m_x1) * (m_y2 - m_y1)) - 1), 4) AS growth, round_even(greatest(1e-9, (m_x2 - m_x1) * (m_y2 - m_y1)), 5) AS median_area, round_even(greatest(0, (x2 - x1) * (y2 - y1)), 5) AS union_area FROM m),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY persistence DESC, union_area DESC, track) AS place FROM st),
+steady AS (SELECT * FROM ranked WHERE sample_count >= 2 AND persistence >= {tracks.STABLE['persistence']}::DOUBLE AND (persistence >= 0.9::DOUBLE OR last_seen - first_seen >= {tracks.STABLE['seconds']}::DOUBLE) AND vertical_jitter <= {tracks.STABLE['jitter']}::DOUBLE
+  AND growth <= {tracks.STABLE['growth']}::DOUBLE AND median_area <= {tracks.STABLE['area']}::DOUBLE AND union_area <= {tracks.STABLE['union_area']}::DOUBLE)"""
+_STAT_SQL = _TRACK_STATS + """ SELECT clip_id, track, CAST(sample_count AS INT) AS sample_count, persistence, first_seen, last_seen, round_even(m_x1, 5) AS median_x1, round_even(m_y1, 5) AS median_y1, round_even(m_x2, 5) AS median_x2, round_even(m_y2, 5) AS median_y2,
+  round_even(x1, 5) AS x1, round_even(y1, 5) AS y1, round_even(x2, 5) AS x2, round_even(y2, 5) AS y2, vertical_jitter, center_jitter, growth, median_area, union_area, intervals, texts, CAST(place AS INT) AS place FROM ranked JOIN sp USING (clip_id, track) JOIN tx USING (clip_id, track)"""
+_INSIDE = "round_even(greatest(0, least({0}, 1)), 5)".format
+_MX, _MY = (f"greatest({tracks.MASK['margin']}::DOUBLE, {tracks.MASK['pixels']}::DOUBLE / {c})" for c in ("width", "height"))
+_MASKED = f"""{_TRACK_STATS}, sizes AS ({SIZES.format(sampled='sampled')}),
+wide AS (SELECT s.clip_id, track, place, persistence, {_INSIDE(f'round_even(x1, 5) - {_MX}')} AS x1, {_INSIDE(f'round_even(y1, 5) - {_MY}')} AS y1, {_INSIDE(f'round_even(x2, 5) + {_MX}')} AS x2, {_INSIDE(f'round_even(y2, 5) + {_MY}')} AS y2 FROM steady s JOIN sizes USING (clip_id)),
+fit AS (SELECT *, round_even(w * h, 5) AS area FROM (SELECT *, round_even(x2 - x1, 5) AS w, round_even(y2 - y1, 5) AS h FROM wide) WHERE w > 0 AND h > 0 AND w <= {tracks.MASK['width']}::DOUBLE AND h <= {tracks.MASK['height']}::DOUBLE AND round_even(w * h, 5) <= {tracks.MASK['area']}::DOUBLE),
+top AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY area DESC, place) AS r FROM fit QUALIFY r <= {tracks.MASK['count']}),
+why AS (SELECT clip_id, CASE WHEN clip_id NOT IN (SELECT clip_id FROM steady) THEN 'no_stable_subtitle_track' WHEN total IS NULL THEN 'mask_geometry_guard' WHEN round_even(total, 5) > {tracks.MASK['total']}::DOUBLE THEN 'mask_total_area_guard' END AS reason
+  FROM sizes LEFT JOIN (SELECT clip_id, sum(area) AS total FROM top GROUP BY 1) USING (clip_id))
+SELECT clip_id, track, x1, y1, x2, y2, area, persistence, reason FROM why LEFT JOIN (SELECT * FROM top WHERE clip_id IN (SELECT clip_id FROM why WHERE reason IS NULL)) t USING (clip_id)"""
 
 
 def _ranges(spark, sf_dir):
@@ -88,10 +141,10 @@ QUERIES = {
     "temporal_metrics": (lambda s, d: _metrics(s, d).select(*_TIME), f"WITH {GEO} SELECT {', '.join(_TIME)} FROM tm"),
     "classify_subtitles": (lambda s, d: _classified(s, d).select("clip_id", "subtitle_class"), f"WITH {GEO} SELECT clip_id, subtitle_class FROM cl"),
     "cleanliness": (lambda s, d: segments.cleanliness(_classified(s, d)).select("clip_id", "cleanliness"), f"WITH {GEO} {_CLEAN}"),
-    "region_tracks": (_tracks, None),
-    "track_stats": (_stats, None),
-    "stable_tracks": (lambda s, d: segments.stable(_stats(s, d), {**segments.STABLE, "growth": 20.0, "jitter": 0.5, "union_area": 0.6, "persistence": 0.2}).select("clip_id", "track", "persistence", "growth"), None),
-    "plan_masks": (lambda s, d: segments.masks(_stats(s, d).filter("persistence >= 0.5"), table(s, d, "sampled")), None),
+    "region_tracks": (lambda s, d: _tracks(s, d).select("clip_id", "t", "x1", "y1", "x2", "y2", "track"), _TRACKED + " SELECT clip_id, t, x1, y1, x2, y2, track FROM tracked"),
+    "track_stats": (lambda s, d: _shown(_stats(s, d)).drop("total"), _STAT_SQL),
+    "stable_tracks": (lambda s, d: tracks.stable(_stats(s, d)).select("clip_id", "track", "persistence", "vertical_jitter", "growth"), _TRACK_STATS + " SELECT clip_id, track, persistence, vertical_jitter, growth FROM steady"),
+    "plan_masks": (_masks, _MASKED),
     "split_segments": (_split, None),
     "normalize_segments": (_normalized, None),
 }

@@ -102,6 +102,8 @@ def oracle(sql: str) -> str:
     body = sql.strip()
     if not parts:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(parts)}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {', '.join(parts)}, {body[5:]}"
     return f"WITH {', '.join(parts)} {body}"

@@ -74,45 +74,6 @@ def test_normalize_segments_is_the_loop(spark):
     near([tuple(r) for r in boxes._normalized(spark, SF).collect()], want)
 
 
-def test_tracks_stats_and_masks_are_the_loops(spark):
-    by = {}
-    for r in boxes._tracks(spark, SF).collect():
-        by.setdefault((r.clip_id, r.track), []).append(r)
-    got = {(r.clip_id, r.track): r for r in boxes._stats(spark, SF).collect()}
-    assert set(got) == set(by)
-    for key, rows in by.items():
-        r = got[key]
-        assert len({x.t for x in rows}) == len(rows) == r.boxes  # one box per track and time
-        assert abs(r.jitter_y - statistics.pstdev((x.y1 + x.y2) / 2 for x in rows)) < 1e-5
-        assert abs(r.median_x1 - statistics.median(x.x1 for x in rows)) < EDGE and r.first_seen == min(x.t for x in rows)
-        union = (max(x.x2 for x in rows) - min(x.x1 for x in rows)) * (max(x.y2 for x in rows) - min(x.y1 for x in rows))
-        m = [statistics.median(getattr(x, c) for x in rows) for c in ("x1", "y1", "x2", "y2")]
-        middle = (m[2] - m[0]) * (m[3] - m[1])
-        assert abs(r.union_area - union) < 1e-5 and abs(r.growth - (round(union, 6) - round(middle, 6)) / round(middle, 6)) < 1e-3
-    masks = {}
-    for r in boxes.QUERIES["plan_masks"][0](spark, SF).collect():
-        masks.setdefault(r.clip_id, []).append(r)
-    assert set(masks) == {r.clip_id for r in boxes.table(spark, SF, "sampled").select("clip_id").distinct().collect()}
-    for clip, rows in masks.items():
-        own = [r for (c, _), r in got.items() if c == clip and r.persistence >= 0.5]
-        fit = []
-        for r in own:
-            x1, y1, x2, y2 = max(0.0, r.x1 - 0.02), max(0.0, r.y1 - 0.02), min(1.0, r.x2 + 0.02), min(1.0, r.y2 + 0.02)
-            if x2 - x1 <= 0.9 + EDGE and y2 - y1 <= 0.3 + EDGE and (x2 - x1) * (y2 - y1) <= 0.1 + EDGE:
-                fit.append((x2 - x1) * (y2 - y1))
-        fit = sorted(fit, reverse=True)[:3]
-        reason = "no_stable_subtitle_track" if not own else "mask_geometry_guard" if not fit else "mask_total_area_guard" if sum(fit) > 0.2 + EDGE else None
-        assert {r.reason for r in rows} == {reason}, clip
-        if reason is None:
-            assert [round(x, 4) for x in sorted((r.area for r in rows), reverse=True)] == [round(x, 4) for x in fit]
-
-
-def test_oversized_tracks_do_not_push_out_good_masks(spark):
-    stats = spark.createDataFrame([(1, k, 0.05, 0.1 + k / 10, 0.9, 0.5 + k / 10) for k in range(3)] + [(1, 9, 0.3, 0.8, 0.6, 0.85)], "clip_id long, track long, x1 double, y1 double, x2 double, y2 double")
-    got = segments.masks(stats, stats).collect()
-    assert [(r.track, r.reason) for r in got] == [(9, None)]
-
-
 def test_classes_by_hand(spark):
     """One clip of two frames for each class."""
     clips = {

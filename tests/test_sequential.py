@@ -21,15 +21,6 @@ def test_long_segments_are_split(spark):
     assert sorted(map(tuple, got)) == [(1, 0.0, 15.0), (1, 15.0, 30.0), (1, 30.0, 40.0), (2, 0.0, 16.0), (3, 0.0, 9.0)]
 
 
-def test_tracks(spark):
-    box = (0.2, 0.8, 0.8, 0.9)
-    rows = [(1, t, *box) for t in (0.0, 0.5, 1.0)] + [(2, t, 0.2, y, 0.8, y + 0.05) for t in (0.0, 0.5) for y in (0.80, 0.86)]
-    tracked = segments.tracks(spark.createDataFrame(rows, "clip_id long, t double, x1 double, y1 double, x2 double, y2 double"))
-    stats = {(r.clip_id, r.track): r for r in segments.track_stats(tracked, 4).collect()}
-    assert stats[1, 0].boxes == 3 and len([k for k in stats if k[0] == 1]) == 1
-    assert sorted(r.boxes for k, r in stats.items() if k[0] == 2) == [2, 2]
-
-
 def test_hamming_rules(spark):
     pairs = [("0" * 16, "0" * 16, 0), ("0" * 16, "0" * 15 + "1", 1), ("", "abc", 64), ("0" * 16, "f" * 16, 64), ("zz", "zz", 0), (None, "0" * 16, 64)]
     df = spark.createDataFrame(pairs, "a string, b string, want int")
