@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..sources.adapters import REVIEWS, STAGES
 
 TARGET = 8
-#: Quality bands, from the lower edge.
+#: Scores of a clip, and quality bands of the overall one from the lower edge.
+AVERAGED = ("material_score", "visual", "cleanliness", "stability", "composition", "overall")
 BANDS = (("band_90", 0.9), ("band_80", 0.8), ("band_70", 0.7))
 
 
@@ -22,7 +23,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def priority(total: Column, target: Column) -> Column:
-    """Share of the target: below a quarter critical, a half high, one medium, else healthy."""
+    """Nothing at all is critical, less than half the target high, less than the target medium, else healthy; so is no target."""
     share = total / target
     return F.when(target <= 0, "healthy").when(total == 0, "critical").when(share < 0.5, "high").when(share < 1, "medium").otherwise("healthy")
 
@@ -33,7 +34,7 @@ def summary(clips: DataFrame) -> DataFrame:
         F.count_if(F.col("provenance") == "remote").alias("real"),
         F.count_if(F.col("review_status") == "approved").alias("approved"),
         F.count_if("favorite").alias("favorites"),
-        *[F.bround(F.avg(c), 3).alias(f"avg_{c}") for c in ("overall", "material_score", "visual")],
+        *[F.bround(F.coalesce(F.avg(c), F.lit(0.0)), 3).alias(f"avg_{c}") for c in AVERAGED],
     )
 
 
@@ -98,3 +99,16 @@ def overview(clips: DataFrame, chosen: Column, real: str) -> DataFrame:
         F.count_if(status == "approved").alias("approved"), F.count_if("favorite").alias("favorite"), F.count_if(chosen).alias("filtered"),
         F.bround(F.coalesce(F.sum(F.when(chosen, F.col("duration"))), F.lit(0.0)), 2).alias("filtered_seconds"),
     )
+
+
+def delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``category, stage, change``: how the counts (``category, stage, total``) of two snapshots differ.
+
+    Stages that one side lacks count 0 there, unchanged ones are left out. A category that either
+    side knows nothing of has nothing to be compared with and no rows.
+    """
+    old, new = (df.groupBy("category", "stage").agg(F.sum("total").alias(name)) for df, name in ((before, "old"), (after, "new")))
+    both = old.join(new, ["category", "stage"], "full")
+    both = both.join(old.select("category").distinct(), "category", "left_semi").join(new.select("category").distinct(), "category", "left_semi")
+    change = F.coalesce("new", F.lit(0)) - F.coalesce("old", F.lit(0))
+    return both.select("category", "stage", change.alias("change")).filter("change <> 0")

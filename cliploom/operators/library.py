@@ -105,4 +105,6 @@ def similar(clips: DataFrame, key: str, most: int = 5) -> DataFrame:
 
 
 def key_groups(clips: DataFrame, key: str) -> DataFrame:
-    return clips.groupBy(key).agg(F.count("*").alias("n"), F.min("clip_id").alias("first_id")).filter("n > 1")
+    """Clips that share a key, largest groups first, then by the first clip; blank keys are no group."""
+    groups = clips.filter(F.col(key) != "").groupBy(key).agg(F.count("*").alias("n"), F.min("clip_id").alias("first_id")).filter("n > 1")
+    return groups.orderBy(F.desc("n"), "first_id")

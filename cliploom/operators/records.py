@@ -143,19 +143,17 @@ def write_export(rows: DataFrame, path: str, form: str = "csv") -> None:
 
 
 def demo_removal(clips: DataFrame, with_local: bool = False, small: int = 640, tiny: int = 200 * 1024) -> DataFrame:
-    """``clip_id, removable, reason``: only clips that are synthetic beyond doubt may go."""
-    largest = F.greatest(F.coalesce("width", F.lit(0)), F.coalesce("height", F.lit(0)))
-    low = F.when((largest > 0) & (largest <= small), F.concat(F.lit("low_resolution "), F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string")))
-    light = F.when(F.col("size_bytes") <= tiny, F.concat(F.lit("tiny_file "), F.col("size_bytes").cast("string"), F.lit("B")))
-    signals = F.concat_ws(", ", low, light)
+    """``clip_id, removable, code, signals``: only clips that are synthetic beyond doubt may go, local tests if asked for.
+
+    ``code`` says by which rule; ``signals`` are the signs of a placeholder of a synthetic clip: a
+    picture with no side over ``small`` pixels, a file of at most ``tiny`` bytes.
+    """
+    side = F.greatest(F.coalesce("width", F.lit(0)), F.coalesce("height", F.lit(0)))
+    signs = F.array_compact(F.array(F.when((side > 0) & (side <= small), "small_picture"), F.when(F.col("size_bytes") <= tiny, "small_file")))
     kind = F.col("provenance")
-    mock = F.concat(F.lit("provenance=mock"), F.when(signals == "", "").otherwise(F.concat(F.lit(" ("), signals, F.lit(")"))))
-    local = (kind == "local_test") & F.lit(with_local)
-    reason = (
-        F.when(kind == "mock", mock).when(local, "provenance=local_test (explicitly requested)").when(kind == "remote", "real production clip - never removed automatically")
-        .when(kind == "local_test", "local test clip - ask for local tests to remove it").otherwise("unclassified provenance - needs manual review")
-    )
-    return clips.select("clip_id", ((kind == "mock") | local).alias("removable"), reason.alias("reason"))
+    code = F.when(kind == "mock", "synthetic").when(kind == "remote", "real").when(kind == "local_test", "local_asked" if with_local else "local_kept").otherwise("unknown_origin")
+    none = F.expr(_STRINGS)
+    return clips.select("clip_id", code.isin("synthetic", "local_asked").alias("removable"), code.alias("code"), F.when(kind == "mock", signs).otherwise(none).alias("signals"))
 
 
 def acceptance(clips: DataFrame, files: DataFrame, probes: DataFrame, root: str, least: float = 3.0, most: float = 15.0) -> DataFrame:

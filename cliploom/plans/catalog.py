@@ -24,9 +24,11 @@ AS_OF_YIELDS, EXPIRY_YIELDS = "1999-12-01 00:00:00", 900
 _UNCOUNTED = ("q5", "q10", "q20", "q55")
 
 _CAT = "CASE WHEN trim(category) = '' THEN '(legacy)' ELSE category END"
-_AVG = ", ".join(f"round_even(avg({c}), 3) AS avg_{c}" for c in ("overall", "material_score", "visual"))
+_AVG = ", ".join(f"round_even(avg({c}), 3) AS avg_{c}" for c in coverage.AVERAGED)
 _STAGES = ", ".join(f"('{s}')" for s in STAGES)
 
+_KEY = "substr(sha256(category || '|' || regexp_extract(description, 'of (.*) no', 1) || '|' || printf('%.1f', floor(duration))), 1, 16)"
+
 
 def _ratio(a: str, b: str, digits: int = 3) -> str:
     return f"CASE WHEN {b} > 0 THEN round_even(CAST({a} AS DOUBLE) / {b}, {digits}) END"
@@ -118,6 +120,12 @@ def _texts(function):
     return query
 
 
+def _keyed(clips):
+    """Clips with the content key of their category, kind of event and whole seconds."""
+    key = duplicates.content_key(F.col("category"), F.regexp_extract("description", "of (.*) no", 1), F.floor("duration").cast("double"))
+    return clips.select("clip_id", key.alias("key"))
+
+
 def _phash(clips):
     return duplicates.by_phash(clips.filter("clip_id % 4 = 0"), clips.filter("clip_id % 4 <> 0"))
 
@@ -146,7 +154,7 @@ QUERIES: dict[str, Query] = {
     "query_statistics": (_on(*_ALL)(lambda *t: _statistics(*t).drop("tokens_per_clip")), _STATS + f"SELECT {_STAT_COLUMNS} FROM scored"),
     "query_scores": (_on(*_ALL)(lambda *t: ranking.scores(_statistics(*t)).select("query", "score_v1", "score_v2")), _STATS + "SELECT query, score_v1, score_v2 FROM scored"),
     "rank_table": (_on(*_ALL)(lambda *t: ranking.rank_table(_statistics(*t))), _STATS + ", ranked AS (SELECT query, clips, candidates, score_v1, score_v2, row_number() OVER (ORDER BY score_v1 DESC, query) AS rank_v1, row_number() OVER (ORDER BY score_v2 DESC, query) AS rank_v2 FROM scored) SELECT query, clips, candidates, score_v1, score_v2, CAST(rank_v1 AS INT) AS rank_v1, CAST(rank_v2 AS INT) AS rank_v2, CAST(rank_v1 - rank_v2 AS INT) AS rank_delta FROM ranked"),
-    "recent_yields": (_on("yields")(lambda y: ranking.recent(y, 50).groupBy("query").agg(F.count("*").alias("n"), F.min("yield_id").alias("oldest"))), "SELECT query, count(*) AS n, min(yield_id) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY yield_id DESC, created_at DESC, candidates DESC) AS place FROM yields) WHERE place <= 50 GROUP BY query"),
+    "recent_yields": (_on("yields")(lambda y: ranking.recent(y).groupBy("query").agg(F.count("*").alias("n"), F.min("yield_id").alias("oldest"))), "SELECT query, count(*) AS n, min(yield_id) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY yield_id DESC, created_at DESC, candidates DESC) AS place FROM yields) WHERE place <= 500 GROUP BY query"),
     "query_novelty": (_novelty, f"""
 WITH stored AS (SELECT query, count(*) AS known_sources, count(*) FILTER (WHERE source_id IN (SELECT source_id FROM clips)) AS represented FROM (SELECT DISTINCT source_id, query FROM ({_BRIDGE})) GROUP BY query),
 old_rows AS (SELECT * REPLACE (CASE WHEN query IN {_UNCOUNTED} THEN 0 ELSE known END AS known) FROM yields),
@@ -189,8 +197,8 @@ close AS (SELECT h.category, h.phash, match_id, CAST({_BITS.format('h.phash', 'f
 near AS (SELECT category, phash, min(match_id) AS match_id, arg_min(distance, match_id) AS distance FROM close WHERE distance <= 6 GROUP BY 1, 2)
 SELECT n.clip_id, CASE WHEN e.match_id IS NOT NULL THEN 'sha256' ELSE 'phash' END AS detector, COALESCE(e.match_id, p.match_id) AS match_id, CASE WHEN e.match_id IS NULL THEN p.distance END AS distance
 FROM new n LEFT JOIN exact e USING (clip_id) LEFT JOIN near p ON n.category = p.category AND n.phash = p.phash WHERE e.match_id IS NOT NULL OR p.match_id IS NOT NULL"""),
-    "similar_clips": (_on("clips")(lambda c: library.similar(c, "sha", 3)), "SELECT clip_id, similar_id FROM (SELECT a.clip_id, b.clip_id AS similar_id, row_number() OVER (PARTITION BY a.clip_id ORDER BY b.clip_id) AS place FROM clips a JOIN clips b ON a.sha = b.sha AND a.clip_id <> b.clip_id) WHERE place <= 3"),
-    "content_key_groups": (_on("clips")(lambda c: library.key_groups(c, "sha")), "SELECT sha, count(*) AS n, min(clip_id) AS first_id FROM clips GROUP BY sha HAVING count(*) > 1"),
+    "similar_clips": (_on("clips")(lambda c: library.similar(_keyed(c), "key", 3)), f"WITH k AS (SELECT clip_id, {_KEY} AS key FROM clips) SELECT clip_id, similar_id FROM (SELECT a.clip_id, b.clip_id AS similar_id, row_number() OVER (PARTITION BY a.clip_id ORDER BY b.clip_id) AS place FROM k a JOIN k b ON a.key = b.key AND a.clip_id <> b.clip_id) WHERE place <= 3"),
+    "content_key_groups": (_on("clips")(lambda c: library.key_groups(_keyed(c), "key")), f"SELECT {_KEY} AS key, count(*) AS n, min(clip_id) AS first_id FROM clips GROUP BY 1 HAVING count(*) > 1"),
     "active_intervals": (_on("regions")(lambda r: geometry.intervals(r.select("clip_id", F.col("x1").alias("t")).distinct(), ["clip_id"], "t", 0.05, 0.01).select("clip_id", F.bround("start", 4).alias("start"), F.bround("end", 4).alias("end"))), """
 WITH p AS (SELECT DISTINCT clip_id, x1 AS t FROM regions), g AS (SELECT *, CASE WHEN t - lag(t) OVER w > 0.05::DOUBLE OR lag(t) OVER w IS NULL THEN 1 ELSE 0 END AS o FROM p WINDOW w AS (PARTITION BY clip_id ORDER BY t)),
 r AS (SELECT *, sum(o) OVER (PARTITION BY clip_id ORDER BY t) AS run FROM g), i AS (SELECT clip_id, run, min(t) - 0.01::DOUBLE AS s, max(t) + 0.01::DOUBLE AS e FROM r GROUP BY 1, 2),

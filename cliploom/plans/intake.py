@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import duplicates, geometry, ingest, library, segments, tables
+from ..operators import coverage, duplicates, geometry, ingest, library, segments, tables
 from ..sources.adapters import library as table
 
 
@@ -83,11 +83,10 @@ def _tag_counts(clips):
 
 
 def _delta(spark, sf_dir):
+    """Two snapshots; one lacks a category, the other one has fewer clips and stages."""
     c = table(spark, sf_dir, "clips")
-    count = lambda cond, name: c.filter(cond).groupBy("stage").agg(F.count("*").alias(name))
-    both = count("clip_id % 3 = 0", "before").join(count("clip_id % 2 = 0", "after"), "stage", "full")
-    change = F.coalesce("after", F.lit(0)) - F.coalesce("before", F.lit(0))
-    return both.select("stage", change.alias("change")).filter("change <> 0")
+    count = lambda cond: c.filter(cond).groupBy("category", "stage").agg(F.count("*").alias("total"))
+    return coverage.delta(count("category <> 'mushroom' AND clip_id % 5 < 2"), count("clip_id % 7 < 4 AND stage <> 'other'"))
 
 
 def _hamming(spark, sf_dir):
@@ -126,7 +125,7 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
     "parse_time": (_times, "SELECT source_id, created_at AS at FROM sources"),
     "video_id": (_on("sources")(lambda s: s.select("source_id", text.video_id(F.col("url")).alias("video_id"))), "SELECT source_id, regexp_extract(url, '/video/([0-9]{6,})', 1) AS video_id FROM sources"),
     "tag_counts": (lambda s, d: _tag_counts(table(s, d, "clips")).groupBy("tag").agg(F.count("*").alias("n")), f"SELECT tag, count(*) AS n FROM {_TAGS} GROUP BY 1"),
-    "coverage_delta": (_delta, "SELECT stage, count(*) FILTER (WHERE clip_id % 2 = 0) - count(*) FILTER (WHERE clip_id % 3 = 0) AS change FROM clips GROUP BY 1 HAVING change <> 0"),
+    "coverage_delta": (_delta, """SELECT category, stage, count(*) FILTER (WHERE clip_id % 7 < 4 AND stage <> 'other') - count(*) FILTER (WHERE clip_id % 5 < 2) AS change FROM clips WHERE category <> 'mushroom' GROUP BY 1, 2 HAVING change <> 0"""),
     "segment_boundary_snap": (_snapped, """WITH s AS (SELECT clip_id, source_id AS video_id, (clip_id % 3) * 20.0::DOUBLE + overall AS a, (clip_id % 3) * 20.0::DOUBLE + overall + duration * 2 AS b FROM clips),
       t AS (SELECT DISTINCT source_id AS video_id, unnest([(clip_id % 3) * 20.0::DOUBLE, (clip_id % 3) * 20.0::DOUBLE + visual * 30]) AS t FROM clips),
       j AS (SELECT clip_id, s.video_id, a, b, max(CASE WHEN t <= a AND a - t <= 1.5::DOUBLE THEN t END) AS ta, min(CASE WHEN t >= b AND t - b <= 1.5::DOUBLE THEN t END) AS tb FROM s LEFT JOIN t USING (video_id) GROUP BY 1, 2, 3, 4)

@@ -160,10 +160,9 @@ SELECT tag_id, name, tag_category, (SELECT count(DISTINCT clip_id) FROM r WHERE
    clip_id % 10 <> 0 AND clip_id % 17 <> 0 AND duration BETWEEN 3 AND 15 AS duration_in_range, clip_id % 10 <> 0 AND clip_id % 17 <> 0 AND clip_id % 13 <> 0 AS video_stream FROM t)"""),
     ),
     "demo_removal": (
-        lambda s, d: records.demo_removal(_rows(s, d, DEMOS)),
-        _twin({"t": DEMOS}, """SELECT clip_id, clip_id % 4 = 0 AS removable, CASE clip_id % 4 WHEN 1 THEN 'real production clip - never removed automatically' WHEN 2 THEN 'local test clip - ask for local tests to remove it' WHEN 3 THEN 'unclassified provenance - needs manual review'
-  ELSE 'provenance=mock' || CASE WHEN low AND tiny THEN ' (low_resolution ' || width || 'x' || height || ', tiny_file ' || size_bytes || 'B)' WHEN low THEN ' (low_resolution ' || width || 'x' || height || ')' WHEN tiny THEN ' (tiny_file ' || size_bytes || 'B)' ELSE '' END END AS reason
-  FROM (SELECT *, width IS NOT NULL AND greatest(width, height) BETWEEN 1 AND 640 AS low, size_bytes <= 204800 AS tiny FROM t)"""),
+        lambda s, d: records.demo_removal(_rows(s, d, DEMOS)).withColumn("signals", F.array_join("signals", "|")),
+        _twin({"t": DEMOS}, """SELECT clip_id, clip_id % 4 = 0 AS removable, CASE clip_id % 4 WHEN 0 THEN 'synthetic' WHEN 1 THEN 'real' WHEN 2 THEN 'local_kept' ELSE 'unknown_origin' END AS code,
+  CASE WHEN clip_id % 4 <> 0 THEN '' ELSE concat_ws('|', CASE WHEN greatest(COALESCE(width, 0), height) BETWEEN 1 AND 640 THEN 'small_picture' END, CASE WHEN size_bytes <= 204800 THEN 'small_file' END) END AS signals FROM t"""),
     ),
     "legacy_failures": (
         lambda s, d: records.legacy_failures(_rows(s, d, SOURCES), _rows(s, d, RUNS)),

@@ -42,7 +42,8 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
           concat({pick('event_id % 1033', ROLES)}, ',', {pick('floor(event_id % 1039 / 3e0)', ROLES)}) AS roles,
           {pick('event_id % 1049', SUBTITLES)} AS subtitle_type, (event_id * 31 % 1001) / 1e3 AS subtitle_score,
           (event_id * 7919 % 1001) / 1e3 AS overall, (event_id * 104729 % 1001) / 1e3 AS material_score,
-          (event_id * 1299709 % 1001) / 1e3 AS visual, 2 + (event_id * 17 % 200) / 1e1 AS duration,
+          (event_id * 1299709 % 1001) / 1e3 AS visual, (event_id * 611953 % 1001) / 1e3 AS cleanliness, (event_id * 350377 % 1001) / 1e3 AS stability,
+          (event_id * 179424673 % 1001) / 1e3 AS composition, 2 + (event_id * 17 % 200) / 1e1 AS duration,
           concat('clip of ', event_type, ' no ', CAST(event_id % 499 AS VARCHAR(20))) AS description, ts AS created_at,
           concat(substr(md5(CAST(event_id % 330 AS VARCHAR(20))), 1, 15), substr('0123456789abcdef', CAST(event_id % 16 AS INT) + 1, 1)) AS phash,
           md5(CAST(event_id % 743 AS VARCHAR(20))) AS sha

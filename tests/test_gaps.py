@@ -2,7 +2,7 @@
 
 import math
 
-from cliploom.operators import gaps, planning
+from cliploom.operators import coverage, gaps, planning
 
 KNOWN = "query string, clips long, score double, candidates long, uniques long, tokens_per_clip double, subtitle_rejection_rate double, saturation string, known_rate double, novelty_rate double, known_sources long, past_candidates long, new_to_system long, last_attempt timestamp, rediscovery double"
 CLIPS = "clip_id long, category string, stage string, roles string"
@@ -73,3 +73,12 @@ def test_a_long_query_makes_few_pieces(spark):
     searches = spark.createDataFrame([("x" * 200_000 + "辣椒", 1, 1.0), ("椒", 1, 1.0), ("", 1, 1.0)], "query string, clips long, score double")
     got = planning.historical(spark.createDataFrame([("辣椒干",), ("香菇",)], "category string"), searches).collect()
     assert [(r.category, len(r.query)) for r in got] == [("辣椒干", 200_002)]
+
+
+def test_delta_of_two_snapshots(spark):
+    """drying 3 to 5, loading gone, equal counts left out; a category that one side lacks has nothing to compare."""
+    schema = "category string, stage string, total long"
+    before = spark.createDataFrame([("a", "drying", 3), ("a", "loading", 1), ("a", "factory", 2), ("b", "drying", 1)], schema)
+    after = spark.createDataFrame([("a", "drying", 5), ("a", "factory", 2), ("c", "drying", 4)], schema)
+    assert sorted(map(tuple, coverage.delta(before, after).collect())) == [("a", "drying", 2), ("a", "loading", -1)]
+    assert coverage.delta(before, after.limit(0)).count() == 0
