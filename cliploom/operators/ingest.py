@@ -1,45 +1,13 @@
-"""Candidate intake: nested payloads to rows, streams, in-run duplicates, collapse."""
+"""Candidate intake: probe reports, in-run duplicates, collapse."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PAYLOAD = """struct<aweme_id:string, id:string, desc:string, title:string, create_time:string, no_video:boolean,
- author:struct<nickname:string, uid:string>, video:struct<duration:double, bit_rate:array<struct<url:string, bitrate:long, size:long, watermark:boolean>>>,
- stats:map<string,long>, tags:array<string>>"""
 PROBE = """struct<format:struct<duration:string>, streams:array<struct<codec_type:string, duration:string, width:int, height:int, nb_frames:string, r_frame_rate:string>>>"""
 
 
-def unwrap(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """Item texts of a payload that is one item, a bare list, or an object holding a list."""
-    raw = F.col(column)
-    bare = F.from_json(F.when(F.trim(raw).startswith("["), raw), "array<string>")
-    lists = [F.from_json(F.get_json_object(raw, f"$.{k}"), "array<string>") for k in ("items", "contents", "data", "posts", "list")]
-    items = F.coalesce(bare, *lists, F.array(raw))
-    return payloads.select(*[c for c in payloads.columns if c != column], F.posexplode(items).alias("seq", "item"))
-
-
-def normalize(items: DataFrame, column: str = "item") -> DataFrame:
-    """Flat candidate rows: id, seconds, author, title (else 60 characters of the description), flags."""
-    p = F.from_json(column, PAYLOAD)
-    rows = items.withColumn("p", p)
-    title = F.coalesce(F.nullif(F.trim("p.title"), F.lit("")), F.substring("p.desc", 1, 60))
-    return rows.select(
-        *[c for c in items.columns if c != column],
-        F.coalesce(F.nullif("p.aweme_id", F.lit("")), F.col("p.id")).alias("video_id"), title.alias("title"), F.col("p.author.nickname").alias("author"),
-        (F.col("p.video.duration") / 1000.0).alias("seconds"), F.coalesce("p.no_video", F.col("p.video").isNull()).alias("no_video"), F.size(F.coalesce("p.tags", F.array())).alias("n_tags"),
-        best_stream(F.col("p.video.bit_rate")).alias("stream_url"),
-    )
-
-
-def best_stream(streams: Column) -> Column:
-    """The http url without watermark, then of the highest bitrate and size, then the first listed."""
-    usable = F.filter(streams, lambda s: s["url"].rlike("^https?://"))
-    ranked = F.transform(usable, lambda s, i: F.struct((~F.coalesce(s["watermark"], F.lit(False))).cast("int").alias("clean"), F.coalesce(s["bitrate"], F.lit(0)).alias("bitrate"), F.coalesce(s["size"], F.lit(0)).alias("size"), (-i).alias("place"), s["url"].alias("url")))
-    return F.array_max(ranked)["url"]
-
-
 def probe(reports: DataFrame, column: str = "report") -> DataFrame:
     """Duration by format, video, audio, then frames / rate; size and frame rate of the video stream."""
     rows = reports.withColumn("p", F.from_json(column, PROBE))
@@ -59,9 +27,10 @@ def in_run_duplicates(hits: DataFrame) -> DataFrame:
 
 
 def collapse(hits: DataFrame) -> DataFrame:
-    """One row per candidate of all queries: first by id, then by url where there is one; queries in order of appearance."""
+    """One row per candidate of all queries: first by id, then by url where there is one, its query string and last slashes aside; queries in order of appearance."""
     in_order = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(c).alias("q")))), lambda s: s["q"]))
     by_id = hits.groupBy("video_id").agg(F.min("seq").alias("seq"), F.min_by("url", "seq").alias("url"), in_order("query").alias("queries"))
     merged = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "queries"))), lambda s: s["queries"])))
-    own = F.coalesce(F.nullif(F.trim("url"), F.lit("")), F.concat(F.lit("id "), "video_id"))
+    plain = F.rtrim(F.substring_index(F.trim("url"), "?", 1), F.lit("/"))
+    own = F.coalesce(F.nullif(plain, F.lit("")), F.concat(F.lit("id "), "video_id"))
     return by_id.groupBy(own.alias("key")).agg(F.min_by("url", "seq").alias("url"), F.min_by("video_id", "seq").alias("video_id"), F.min("seq").alias("seq"), merged.alias("queries")).drop("key")

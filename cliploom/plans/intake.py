@@ -8,31 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import coverage, duplicates, geometry, ingest, library, segments, tables
+from ..operators import coverage, duplicates, geometry, ingest, library, payloads, segments, tables
 from ..sources.adapters import library as table
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of candidates as nested JSON, two shapes in turn, from the stored sources."""
-    s = table(spark, sf_dir, "sources")
-    stream = lambda url, rate, mark: F.struct(url.alias("url"), rate.cast("long").alias("bitrate"), F.lit(10).cast("long").alias("size"), mark.alias("watermark"))
-    streams = F.array(
-        stream(F.concat(F.lit("https://a/"), "source_id"), F.col("source_id") % 7, F.col("source_id") % 2 == 0),
-        stream(F.concat(F.lit("https://b/"), "source_id"), F.col("source_id") % 5, F.col("source_id") % 3 == 0),
-        stream(F.lit("ftp://c"), F.lit(99), F.lit(False)),
-    )
+    """Payloads made of the stored sources: five shapes, broken texts, and lists with an entry that is none."""
+    s, n = table(spark, sf_dir, "sources"), F.col("source_id")
+    stream = lambda url, rate, mark, many: F.struct((F.array(url) if many else url).alias("urls" if many else "url"), rate.alias("bitrate"), mark.alias("watermark"))
+    media = F.struct(stream(F.concat(F.lit("https://a/"), n), n % 7, n % 2 == 0, False).alias("video"), F.array(stream(F.concat(F.lit("https://b/"), n), n % 5, n % 3 == 0, True), stream(F.lit("ftp://c"), F.lit(99).cast("long"), F.lit(False), True)).alias("streams"))
     item = F.struct(
-        F.when(F.col("source_id") % 4 != 0, F.col("source_id").cast("string")).alias("aweme_id"), F.col("source_id").cast("string").alias("id"), F.concat(F.lit("about "), "url").alias("desc"),
-        F.when(F.col("source_id") % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit("title "), "author")).alias("title"), F.struct(F.col("author").alias("nickname")).alias("author"),
-        F.struct((F.col("duration") * 1000).alias("duration"), streams.alias("bit_rate")).alias("video"), F.array(F.lit("t1"), F.lit("t2")).alias("tags"),
+        F.when((n % 4 != 0) & (n % 11 != 0), n.cast("string")).alias("content_id"), F.when((n % 4 == 0) & (n % 11 != 0), n).alias("aweme_id"), F.concat(F.lit("about "), "url").alias("description"),
+        F.when(n % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit("title "), "author")).alias("title"), F.struct(F.col("author").alias("nickname")).alias("author"), F.when(n % 3 != 0, F.col("duration") * 1000).alias("duration_ms"),
+        F.when(n % 6 == 0, "soon").alias("duration"), media.alias("media"), F.array(F.lit("t1"), F.lit("t2")).alias("tags"),
     )
-    shape = F.when(F.col("source_id") % 2 == 0, F.to_json(F.struct(F.array(item).alias("items")))).otherwise(F.to_json(F.array(item)))
+    text, bare = F.to_json(item), F.to_json(F.array(item))
+    shapes = [text, F.concat(F.lit('{"items": '), bare, F.lit("}")), bare, F.concat(F.lit('{"data": {"items": '), bare, F.lit("}}")), F.concat(F.lit('{"posts": '), bare, F.lit("}")), F.substring(text, 1, 30), F.concat(F.lit("["), text, F.lit(', "x"]'))]
+    shape = F.get(F.array(*shapes), (n % 7).cast("int"))
     return s.select("source_id", shape.alias("payload"))
 
 
+def _candidates(spark, sf_dir):
+    return payloads.normalize(payloads.unwrap(_payloads(spark, sf_dir)))
+
+
 def _normalized(spark, sf_dir):
-    rows = ingest.normalize(ingest.unwrap(_payloads(spark, sf_dir)))
-    return rows.select("source_id", "video_id", "title", "author", F.bround("seconds", 3).alias("seconds"), "no_video", "n_tags", "stream_url")
+    rows = _candidates(spark, sf_dir).filter("reason IS NULL")
+    return rows.select("source_id", "seq", F.col("platform_video_id").alias("video_id"), "title", "author", "duration", "no_video", F.size("tags").alias("n_tags"), "media_url", F.array_join("issues", "|").alias("issues"))
 
 
 def _hits(spark, sf_dir):
@@ -108,11 +110,25 @@ def _on(name):
 _BITS = "bit_count(xor(('0x' || substr({0}, 1, 8))::BIGINT, ('0x' || substr({1}, 1, 8))::BIGINT)) + bit_count(xor(('0x' || substr({0}, 9, 8))::BIGINT, ('0x' || substr({1}, 9, 8))::BIGINT))"
 _TAGS = "(SELECT DISTINCT clip_id, unnest(list_concat(['shot:' || shot, 'stage:' || stage], list_transform(string_split(roles, ','), lambda r: 'role:' || r))) AS tag FROM clips)"
 
+_READ = "source_id % 11 <> 0 AND source_id % 7 <> 5"
+#: The rule by rounds over all pairs: out if an earlier match stays, in if all earlier matches are out.
+_IN_ORDER = f"""WITH RECURSIVE pairs AS (SELECT a.clip_id AS a, b.clip_id AS b FROM clips a JOIN clips b ON a.clip_id < b.clip_id AND a.sha = b.sha
+  UNION SELECT a.clip_id, b.clip_id FROM clips a JOIN clips b ON a.clip_id < b.clip_id AND a.category = b.category WHERE {_BITS.format('a.phash', 'b.phash')} <= 6),
+rounds AS (SELECT clip_id AS id, -1 AS kept, 0 AS turn FROM clips
+  UNION ALL SELECT s.id, CASE WHEN s.kept >= 0 THEN s.kept WHEN e.hit = 1 THEN 0 WHEN COALESCE(e.waits, 0) = 0 THEN 1 ELSE -1 END, s.turn + 1 FROM rounds s
+    LEFT JOIN (SELECT p.b, max(k.kept) AS hit, count(*) FILTER (WHERE k.kept = -1) AS waits FROM pairs p JOIN rounds k ON k.id = p.a GROUP BY p.b) e ON e.b = s.id WHERE EXISTS (SELECT 1 FROM rounds WHERE kept = -1))
+SELECT id, kept = 1 AS kept FROM rounds WHERE turn = (SELECT max(turn) FROM rounds)"""
+
 #: key -> (query, SQL or None)
 QUERIES: dict[str, tuple[Callable, str | None]] = {
-    "normalize_candidates": (_normalized, """SELECT source_id, CAST(source_id AS VARCHAR) AS video_id, CASE WHEN source_id % 5 = 0 THEN substr('about ' || url, 1, 60) ELSE 'title ' || author END AS title, author,
-      round_even(duration * 1000 / 1000.0::DOUBLE, 3) AS seconds, false AS no_video, CAST(2 AS INT) AS n_tags,
-      CASE WHEN (source_id % 2 <> 0) = (source_id % 3 <> 0) THEN CASE WHEN source_id % 7 >= source_id % 5 THEN 'https://a/' ELSE 'https://b/' END WHEN source_id % 2 <> 0 THEN 'https://a/' ELSE 'https://b/' END || source_id AS stream_url FROM sources"""),
+    "normalize_candidates": (_normalized, f"""SELECT source_id, CAST(0 AS INT) AS seq, CAST(source_id AS VARCHAR) AS video_id, CASE WHEN source_id % 5 = 0 THEN substr('about ' || url, 1, 60) ELSE 'title ' || author END AS title, author,
+      CASE WHEN source_id % 3 <> 0 THEN round_even(duration * 1000 / 1000.0::DOUBLE, 3) END AS duration, false AS no_video, CAST(2 AS INT) AS n_tags, CASE WHEN source_id % 6 = 0 THEN 'duration' ELSE '' END AS issues,
+      CASE WHEN (source_id % 2 <> 0) = (source_id % 3 <> 0) THEN CASE WHEN source_id % 7 >= source_id % 5 THEN 'https://a/' ELSE 'https://b/' END WHEN source_id % 2 <> 0 THEN 'https://a/' ELSE 'https://b/' END || source_id AS media_url FROM sources WHERE {_READ}"""),
+    "unwrap_pages": (
+        lambda s, d: _candidates(s, d).groupBy(F.coalesce("reason", F.lit("read")).alias("outcome")).agg(F.count("*").alias("n")),
+        f"""SELECT CASE WHEN {_READ} THEN 'read' WHEN source_id % 7 = 5 THEN 'not_json' WHEN source_id % 7 = 0 THEN 'unknown_shape' ELSE 'no_id' END AS outcome, count(*) AS n FROM sources GROUP BY 1
+      UNION ALL SELECT 'not_an_object', count(*) FROM sources WHERE source_id % 7 = 6""",
+    ),
     "probe_parse": (_probe, """SELECT source_id, round_even(CASE WHEN source_id % 3 = 0 THEN duration WHEN source_id % 9 = 0 THEN NULL ELSE (source_id % 900 + 1) / 30.0::DOUBLE END, 4) AS seconds, CAST(1080 AS INT) AS width, CAST(1920 AS INT) AS height,
       CASE WHEN source_id % 9 <> 0 THEN 30.0::DOUBLE END AS fps, false AS has_audio FROM sources"""),
     "in_run_duplicates": (lambda s, d: ingest.in_run_duplicates(_hits(s, d)).select("seq", "duplicate"), "SELECT source_id AS seq, row_number() OVER (PARTITION BY task_id % 7, source_id % 977 ORDER BY source_id) > 1 AS duplicate FROM sources"),
@@ -120,7 +136,7 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
       i AS (SELECT video_id, url, min(seq) AS seq FROM h GROUP BY 1, 2), f AS (SELECT url, arg_min(video_id, seq) AS video_id, min(seq) AS seq FROM i GROUP BY url),
       q AS (SELECT h.url, query, min(i.seq) AS s1, min(h.seq) AS s2 FROM h JOIN i USING (video_id) GROUP BY h.url, h.video_id, query), o AS (SELECT url, query, min((s1, s2)) AS k FROM q GROUP BY 1, 2)
       SELECT f.url, f.video_id, f.seq, (SELECT string_agg(query, ',' ORDER BY k) FROM o WHERE o.url = f.url) AS queries FROM f"""),
-    "dedup_batch": (_batch, None),
+    "dedup_batch": (_batch, _IN_ORDER),
     "hamming": (_hamming, f"SELECT a.clip_id, CAST({_BITS.format('a.phash', 'b.phash')} AS INT) AS distance FROM clips a JOIN clips b ON a.clip_id = b.clip_id + 1"),
     "parse_time": (_times, "SELECT source_id, created_at AS at FROM sources"),
     "video_id": (_on("sources")(lambda s: s.select("source_id", text.video_id(F.col("url")).alias("video_id"))), "SELECT source_id, regexp_extract(url, '/video/([0-9]{6,})', 1) AS video_id FROM sources"),
