@@ -27,10 +27,10 @@ def in_run_duplicates(hits: DataFrame) -> DataFrame:
 
 
 def collapse(hits: DataFrame) -> DataFrame:
-    """One row per candidate of all queries: first by id, then by url where there is one, its query string and last slashes aside; queries in order of appearance."""
+    """One row per candidate of all queries: first by id, then by url where there is one, its query string, fragment and last slashes aside; queries in order of appearance."""
     in_order = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(c).alias("q")))), lambda s: s["q"]))
     by_id = hits.groupBy("video_id").agg(F.min("seq").alias("seq"), F.min_by("url", "seq").alias("url"), in_order("query").alias("queries"))
     merged = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "queries"))), lambda s: s["queries"])))
-    plain = F.rtrim(F.substring_index(F.trim("url"), "?", 1), F.lit("/"))
+    plain = F.rtrim(F.substring_index(F.substring_index(F.trim("url"), "?", 1), "#", 1), F.lit("/"))
     own = F.coalesce(F.nullif(plain, F.lit("")), F.concat(F.lit("id "), "video_id"))
     return by_id.groupBy(own.alias("key")).agg(F.min_by("url", "seq").alias("url"), F.min_by("video_id", "seq").alias("video_id"), F.min("seq").alias("seq"), merged.alias("queries")).drop("key")

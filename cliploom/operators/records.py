@@ -183,12 +183,6 @@ def missing_thumbnails(clips: DataFrame, files: DataFrame) -> DataFrame:
     return clips.join(there, "file_path", "left_semi").join(thumbs, "thumbnail_path", "left_anti").select("clip_id", "thumbnail_path")
 
 
-def inventory(spark, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
-    """``path, bytes`` of the files below a folder with one of the suffixes; contents are never read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("bytes"))
-    return suffixed(found, suffixes)
-
-
 def suffixed(files: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
     return files.filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*suffixes))
 

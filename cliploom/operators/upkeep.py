@@ -30,14 +30,6 @@ def apply_reviews(clips: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.select("clip_id", F.coalesce("new_status", "review_status").alias("review_status"))
 
 
-def missing_files(clips: DataFrame, files: DataFrame) -> DataFrame:
-    return clips.select("clip_id", "path").join(files.select("path"), "path", "left_anti").select("clip_id", "path")
-
-
-def orphan_files(clips: DataFrame, files: DataFrame) -> DataFrame:
-    return files.join(clips.select("path"), "path", "left_anti")
-
-
 def audit(tagged: DataFrame) -> DataFrame:
     """Per prompt version: how many descriptions and score vectors differ, and the commonest stage's share.
 

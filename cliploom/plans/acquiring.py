@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import acquisition, merging, tables
+from ..operators import acquisition, health, merging, tables
 from ..operators import vocabulary as v
 from ..sources.adapters import pick
 from ..sources.adapters import library as table
@@ -39,6 +39,21 @@ CLEANED = f"""SELECT clip_id % 2 AS batch, floor(clip_id / 9e0) AS clip_id, conc
   {pick('clip_id % 1009', ['succeeded', 'failed_quality', 'not_needed', 'pending'])} AS status, {pick('clip_id % 1013', ['pending', 'approved', 'rejected'])} AS review_status, clip_id % 4 = 0 AS eligible, clip_id % 500 AS processing_ms,
   CASE WHEN clip_id % 3 = 0 THEN concat('/clean/', {_S('clip_id')}) END AS output_path FROM {{clips}}"""
 
+#: Clips with plain and crooked paths, some outside the library; cleanups inside and beside it; the files that there are.
+NAMED = f"""SELECT clip_id, CASE clip_id % 7 WHEN 0 THEN concat('/other/', {_S('clip_id')}, '.mp4') WHEN 1 THEN concat('file:/lib//x/../', {_S('clip_id')}, '.mp4') WHEN 2 THEN '' ELSE concat('/lib/./', {_S('clip_id')}, '.mp4') END AS file_path,
+  CASE WHEN clip_id % 3 = 0 THEN NULL WHEN clip_id % 11 = 0 THEN '/lib/../thumb.jpg' ELSE concat('/lib/t/', {_S('clip_id')}, '.jpg') END AS thumbnail_path FROM {{clips}}"""
+OUTPUTS = f"SELECT clip_id, CASE WHEN clip_id % 2 = 0 THEN concat('/lib/clean/', {_S('clip_id')}, '.mp4') ELSE concat('/away/', {_S('clip_id')}, '.mp4') END AS output_path FROM {{clips}} WHERE clip_id % 5 = 0"
+THERE = f"""SELECT concat('/lib/', {_S('clip_id')}, '.mp4') AS path FROM {{clips}} WHERE clip_id % 4 <> 1 UNION ALL SELECT concat('/lib/t/', {_S('clip_id')}, '.JPG') FROM {{clips}} WHERE clip_id % 13 = 0
+  UNION ALL SELECT concat('/lib/t/', {_S('clip_id')}, '.jpg') FROM {{clips}} WHERE clip_id % 13 > 2 UNION ALL SELECT concat('/lib/clean/', {_S('clip_id')}, '.mp4') FROM {{clips}} WHERE clip_id % 4 = 0 UNION ALL SELECT concat('/away/', {_S('clip_id')}, '.mp4') FROM {{clips}} WHERE clip_id % 3 = 0"""
+
+
+def _problems(s, d):
+    return health.problems(_rows(s, d, NAMED), _rows(s, d, OUTPUTS), _rows(s, d, THERE), "/lib")
+
+
+def _orphans(s, d):
+    return health.orphans(_rows(s, d, NAMED), _rows(s, d, OUTPUTS), _rows(s, d, THERE), "/lib")
+
 
 def _as_of():
     return F.lit(AS_OF).cast("timestamp")
@@ -136,6 +151,12 @@ QUERIES = {
         _twin({"hits": HITS, "stored": STORED}, f""", {_FLAGGED} SELECT task_id, query, count(*) AS candidates, count(*) FILTER (NOT again) AS uniques, count(*) FILTER (again) AS current_run_duplicate, count(*) FILTER (new) AS new_to_system, count(*) FILTER (known) AS known_source,
   count(*) FILTER (processed) AS already_processed, count(*) FILTER (represented) AS already_represented, count(*) FILTER (accepted) AS accepted, count(*) FILTER (downloaded) AS downloads, CAST(sum(clips) AS BIGINT) AS clips FROM x GROUP BY 1, 2"""),
     ),
+    "missing_files": (_problems, _twin({"n": NAMED, "o": OUTPUTS, "p": THERE}, f"""SELECT 'video' AS kind, clip_id, CASE clip_id % 7 WHEN 0 THEN concat('/other/', clip_id, '.mp4') WHEN 2 THEN NULL ELSE concat('/lib/', clip_id, '.mp4') END AS path,
+  CASE WHEN clip_id % 7 IN (0, 2) THEN 'outside_root' ELSE 'missing_file' END AS reason FROM n WHERE clip_id % 7 IN (0, 2) OR clip_id % 4 = 1
+  UNION ALL SELECT 'thumbnail', clip_id, CASE WHEN clip_id % 11 = 0 THEN '/thumb.jpg' ELSE thumbnail_path END, CASE WHEN clip_id % 11 = 0 THEN 'outside_root' ELSE 'missing_file' END FROM n WHERE clip_id % 3 <> 0 AND (clip_id % 11 = 0 OR thumbnail_path NOT IN (SELECT path FROM p))
+  UNION ALL SELECT 'cleanup', clip_id, output_path, 'missing_file' FROM o WHERE output_path NOT IN (SELECT path FROM p)""")),
+    "orphan_files": (_orphans, _twin({"n": NAMED, "o": OUTPUTS, "p": THERE}, """SELECT path, CASE WHEN path LIKE '%.mp4' THEN 'media' ELSE 'thumbnail' END AS kind FROM p WHERE path LIKE '/lib/%'
+  AND path NOT IN (SELECT concat('/lib/', clip_id, '.mp4') FROM n WHERE clip_id % 7 NOT IN (0, 2)) AND path NOT IN (SELECT output_path FROM o) AND path NOT IN (SELECT thumbnail_path FROM n WHERE thumbnail_path IS NOT NULL)""")),
     "upsert_sources": (_sources, _twin({"changes": CHANGES}, f", {_SOURCES}")),
     "upsert_cleanups": (_cleanups, _twin({"changes": CLEANED}, f", {_CLEANUPS}")),
     "source_audit": (_audit, None),

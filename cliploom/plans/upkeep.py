@@ -28,14 +28,6 @@ def _reviews(clips):
     return clips.select(F.col("clip_id").alias("line"), text.alias("clip_id_text"), status.alias("status"), word.alias("favorite_text"))
 
 
-def _files(clips):
-    return clips.filter("clip_id % 6 <> 0").select(F.concat(F.lit("lib/"), F.col("clip_id") + 3, F.lit(".mp4")).alias("path"))
-
-
-def _paths(clips):
-    return clips.select("clip_id", F.concat(F.lit("lib/"), "clip_id", F.lit(".mp4")).alias("path"))
-
-
 def _found(sources):
     return sources.filter("source_id % 4 = 0").select("source_id", F.concat(F.lit("q"), F.col("source_id") % 59).alias("query"), F.lit("z").alias("author"))
 
@@ -53,8 +45,6 @@ WITH r AS (SELECT clip_id AS line, CASE WHEN clip_id % 7 = 0 THEN NULL ELSE clip
 SELECT line, CASE WHEN number IS NULL THEN 'skipped:bad_id' WHEN c.clip_id IS NULL THEN 'skipped:unknown_id' WHEN status = 'great' THEN 'skipped:bad_status' WHEN fav IS NULL THEN 'skipped:bad_boolean'
  WHEN status = c.review_status AND fav = c.favorite THEN 'skipped:unchanged' ELSE 'changed' END AS outcome, c.review_status AS old_status, status AS new_status FROM r LEFT JOIN clips c ON r.number = c.clip_id"""),
     "apply_reviews": (_one("clips", lambda c: upkeep.apply_reviews(c, c.filter("clip_id % 10 = 3").select("clip_id", F.lit("approved").alias("status")))), "SELECT clip_id, CASE WHEN clip_id % 10 = 3 THEN 'approved' ELSE review_status END AS review_status FROM clips"),
-    "missing_files": (_one("clips", lambda c: upkeep.missing_files(_paths(c), _files(c))), "SELECT clip_id, concat('lib/', clip_id, '.mp4') AS path FROM clips WHERE clip_id - 3 NOT IN (SELECT clip_id FROM clips WHERE clip_id % 6 <> 0)"),
-    "orphan_files": (_one("clips", lambda c: upkeep.orphan_files(_paths(c), _files(c))), "SELECT concat('lib/', clip_id + 3, '.mp4') AS path FROM clips WHERE clip_id % 6 <> 0 AND clip_id + 3 NOT IN (SELECT clip_id FROM clips)"),
     "tag_audit": (_one("clips", lambda c: upkeep.audit(_versioned(c))), """
 WITH t AS (SELECT *, concat('v', clip_id % 4) AS version FROM clips), s AS (SELECT version, max(k) AS top FROM (SELECT version, stage, count(*) AS k FROM t GROUP BY 1, 2) GROUP BY 1)
 SELECT version, count(*) AS n, count(DISTINCT description) AS descriptions, count(DISTINCT (overall, material_score, visual)) AS vectors, count(DISTINCT stage) AS stages, round_even(max(top)::DOUBLE / count(*), 4) AS top_stage_share, count(DISTINCT stage) = 1 AS single_stage FROM t JOIN s USING (version) GROUP BY version"""),
