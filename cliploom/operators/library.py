@@ -25,21 +25,6 @@ def clip_filter(clips: DataFrame, equal: dict | None = None, among: dict | None
     return clips
 
 
-def free_text(clips: DataFrame, columns: list[str], text: str) -> DataFrame:
-    """Rows with ``text`` in a column, ASCII case aside; ``%`` and ``_`` are wildcards."""
-    hit = F.lit(False)
-    for c in columns:
-        hit = hit | F.coalesce(F.col(c).ilike(f"%{text}%"), F.lit(False))
-    return clips.filter(hit)
-
-
-def page(clips: DataFrame, order: str, size: int, number: int, descending: bool = True) -> DataFrame:
-    """One page, ties by id from the newest; a page past the end is the last one."""
-    last = max(0, (clips.count() - 1) // size)
-    key = F.desc(order) if descending else F.asc(order)
-    return clips.orderBy(key, F.desc("clip_id")).offset(min(number, last) * size).limit(size)
-
-
 def quality_gate(
     clips: DataFrame, limits: dict[str, float] | None = None, least_duration: float = 3.0, most_duration: float = 15.0,
     material: float = 0.6, visual: float = 0.5, overall: float = 0.55, otherwise: float = 0.25,

@@ -7,12 +7,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import coverage, duplicates, geometry, library, ranking, usage
+from ..operators import coverage, duplicates, geometry, library, ranking, search, tables, usage
 from ..sources.adapters import REVIEWS, STAGES
 from ..sources.adapters import library as table
 from ..sources.adapters import oracle
@@ -126,6 +127,26 @@ def _keyed(clips):
     return clips.select("clip_id", key.alias("key"))
 
 
+_SEARCHED = "SELECT clip_id, description, shot AS scene, url AS title, author FROM {clips} c LEFT JOIN {sources} s ON c.source_id = s.source_id"
+_SEARCHES = ("CLICK no 1_", "Author4", "video/1000000001", "ro", "close_up", "no match at all")
+
+
+def _free_text(spark, sf_dir):
+    rows = spark.sql(_SEARCHED, clips=table(spark, sf_dir, "clips"), sources=table(spark, sf_dir, "sources"))
+    columns = ["description", "scene", "title", "author"]
+    index = search.text_index(rows, columns, tables.saver(spark, "texts"))
+    found = [search.free_text(rows, index, columns, text).select(F.lit(text).alias("text"), "clip_id") for text in _SEARCHES]
+    return reduce(DataFrame.union, found)
+
+
+def _pages(spark, sf_dir):
+    """The fourth page from the end by score, and the last one by length, asked for beyond the end."""
+    clips = table(spark, sf_dir, "clips")
+    last = (clips.count() - 1) // 50
+    deep = search.page(clips, "overall", 50, last - 3).select(F.lit("deep").alias("page"), "clip_id", F.col("overall").alias("value"))
+    return deep.union(search.page(clips, "duration", 50, last + 7, descending=False).select(F.lit("last"), "clip_id", "duration"))
+
+
 def _phash(clips):
     return duplicates.by_phash(clips.filter("clip_id % 4 = 0"), clips.filter("clip_id % 4 <> 0"))
 
@@ -178,9 +199,9 @@ SELECT query, candidates, new_to_system, known, known_sources, represented, samp
     "ai_cost_per_clip": (_on("ai_runs", "clips")(usage.cost_per_clip), f"WITH t AS (SELECT (SELECT count(*) FROM ai_runs WHERE origin = 'pipeline') AS calls, (SELECT CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) FROM ai_runs WHERE origin = 'pipeline') AS tokens, (SELECT count(*) FROM clips) AS clips) SELECT *, {_ratio('tokens', 'clips')} AS tokens_per_clip, {_ratio('calls', 'clips')} AS calls_per_clip FROM t"),
     "latest_per_clip": (_on("ai_runs")(usage.latest_per_source), "SELECT source_id, operation, run_id, prompt_tokens FROM (SELECT *, row_number() OVER (PARTITION BY source_id, operation ORDER BY run_id DESC, prompt_tokens DESC, latency_ms DESC, model) AS place FROM ai_runs) WHERE place = 1"),
     "clip_filter": (_on("clips")(lambda c: library.clip_filter(c, {"provenance": "remote", "favorite": True}, {"subtitle_type": ["none", "bottom_simple"]}, {"overall": (0.2, 0.9)}).select("clip_id", "overall")), "SELECT clip_id, overall FROM clips WHERE provenance = 'remote' AND favorite AND subtitle_type IN ('none', 'bottom_simple') AND overall BETWEEN 0.2::DOUBLE AND 0.9::DOUBLE"),
-    "clip_free_text": (_on("clips")(lambda c: library.free_text(c, ["description"], "CLICK no 1_").select("clip_id", "description")), "SELECT clip_id, description FROM clips WHERE description ILIKE '%CLICK no 1_%'"),
+    "clip_free_text": (_free_text, f"WITH t AS ({_SEARCHED.format(clips='clips', sources='sources')}) SELECT text, clip_id FROM t, (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in _SEARCHES)}) q(text) WHERE description ILIKE '%' || text || '%' OR scene ILIKE '%' || text || '%' OR title ILIKE '%' || text || '%' OR author ILIKE '%' || text || '%'"),
+    "clip_page": (_pages, "SELECT 'deep' AS page, clip_id, overall AS value FROM (SELECT clip_id, overall, row_number() OVER (ORDER BY overall DESC, clip_id DESC) AS r, count(*) OVER () AS n FROM clips) WHERE (r - 1) // 50 = (n - 1) // 50 - 3 UNION ALL SELECT 'last', clip_id, duration FROM (SELECT clip_id, duration, row_number() OVER (ORDER BY duration, clip_id DESC) AS r, count(*) OVER () AS n FROM clips) WHERE (r - 1) // 50 = (n - 1) // 50"),
     "clip_by_edit_role": (_on("clips")(lambda c: c.filter(F.array_contains(F.split("roles", ","), "hook")).select("clip_id")), "SELECT clip_id FROM clips WHERE list_contains(string_split(roles, ','), 'hook')"),
-    "clip_page": (_on("clips")(lambda c: library.page(c, "overall", 50, 3).select("clip_id", "overall")), "SELECT clip_id, overall FROM clips ORDER BY overall DESC, clip_id DESC LIMIT 50 OFFSET 150"),
     "clip_stats": (_on("clips")(lambda c: c.filter("favorite").agg(F.count("*").alias("n"), F.bround(F.sum("duration"), 2).alias("seconds"))), "SELECT count(*) AS n, round_even(sum(duration), 2) AS seconds FROM clips WHERE favorite"),
     "cleanup_routing": (_on("clips")(library.cleanup_routing), f"SELECT clip_id, CASE WHEN subtitle_type = 'unknown' THEN 'unmeasured' WHEN subtitle_type = 'none' THEN 'not_needed' WHEN subtitle_type IN {library.CLEANABLE} THEN 'eligible' ELSE 'ineligible' END AS route FROM clips"),
     "url_seen": (_urls, "SELECT event_id AS hit_id, concat('https://v.example.com/video/', CAST(100000000000 + event_id * 3 AS VARCHAR)) AS url FROM events WHERE event_id * 3 IN (SELECT source_id FROM sources)"),
