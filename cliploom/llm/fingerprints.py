@@ -5,7 +5,9 @@ so equal texts have equal fingerprints and a text with fewer shingles keeps its
 Fingerprints of parts merge into that of the whole. Words are ``[^\\x20\\x09-\\x0D]+`` as they
 stand; a text of one to four words has its whole sequence as its only shingle, and one
 without words (null included) has the empty fingerprint. Two empty ones are alike (1), an
-empty and another are not (0). Extra columns are ignored.
+empty and another are not (0). Rows that repeat an id stand next to each other by their text, so one may be the
+other's next document. Long texts are taken whole, one at a time beside a few of the next. An empty table gives
+an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

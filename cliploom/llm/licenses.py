@@ -16,7 +16,8 @@ that share no sentence with one another and touch no line with such a unit. Long
 (GPL, Apache, MPL, Creative Commons) are known by the opening passage of their text.
 
 Null and empty texts have no unit: ``license`` is null, ``dice`` 0. Ties go to the first
-template name. Rows may repeat; extra columns are ignored.
+template name. Rows may repeat; long texts are read whole; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations

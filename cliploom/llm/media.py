@@ -3,7 +3,9 @@
 A text's UTF-8 bytes are padded with 255 to a multiple of 576 (at least 576) and stored as
 the samples of an image: by the number of 576-byte units in turn a PGM and a PPM file (24
 bytes a row) or a bottom-up 8-bit BMP. All three are lossless and depend on the text only.
-Null text is empty: one unit of padding. Extra columns are ignored.
+Null text is empty: one unit of padding. Long texts are stored whole, one image each, some of them at a time;
+rows that repeat are images of their own with equal values; an empty table gives an empty result. Extra columns
+are ignored.
 """
 
 from __future__ import annotations

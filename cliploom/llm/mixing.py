@@ -3,7 +3,7 @@
 Null text has size 0, a null source is a source of its own (the last one). Rows with equal
 ``doc_id`` draw the same random number, so reruns and repeated rows agree; rows without an
 id draw one number together. An empty table gives an empty mix. Texts of any length only add
-their number of words. Further columns, whatever their names, are carried along unchanged.
+their number of words. Sources of equal weight that reach the cap together stop together. Further columns, whatever their names, are carried along unchanged.
 
 Rates meet the documents in a plain join on the source: Spark sends the rates to every
 executor where their written size allows it, and otherwise splits a source that holds a

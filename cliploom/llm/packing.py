@@ -8,7 +8,9 @@ combinations as lengths. Pieces then find their place by their rank among equal
 without being moved.
 
 Null text is empty (its end id alone), repeated rows are packed one by one, an empty table
-packs to nothing. Only ``doc_id`` and ``text`` are read.
+packs to nothing. Long texts are encoded whole and cut into pieces of the sequence length. Pieces of equal length
+are placed in the order of their ranges and rows; which one of a tie comes first changes no length. Only
+``doc_id`` and ``text`` are read, so columns of any other name are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ their numbers of ids, the coded payload, checkpoints and checksums. ``table`` be
 holds the frequency table that all blocks share.
 
 Null text has the end id only; equal ids stand next to each other, shorter first, then by
-their bytes; an empty table gives an empty file set. Only ``doc_id`` and ``text`` are read.
+their bytes; rows that repeat are documents of their own. Long texts are encoded whole and may go over many blocks.
+An empty table gives an empty file set. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
