@@ -135,6 +135,30 @@ def _normalized(spark, sf_dir):
     return segments.normalized(_ranges(spark, sf_dir), durations, _cuts(spark, sf_dir))
 
 
+_RANGES_SQL = "rg AS (SELECT row_number() OVER () AS id, source_id AS video_id, clip_id % 3 * 20.0::DOUBLE + overall - 1 AS a, clip_id % 3 * 20.0::DOUBLE + overall - 1 + duration * 2 AS e, clip_id % 7 <> 0 AS usable FROM clips)"
+_CUTS_SQL = "ts AS (SELECT video_id, list_sort(list(DISTINCT t)) AS ts FROM (SELECT source_id AS video_id, unnest([clip_id % 3 * 20.0::DOUBLE + 14.5, clip_id % 3 * 20.0::DOUBLE + visual * 30]) AS t FROM clips WHERE source_id % 2 = 0) GROUP BY 1)"
+
+
+def _walked(ranges: str) -> str:
+    """SQL that cuts the rows of ``ranges`` (id, video_id, a, e, ts) one cut after another; ``pieces`` holds the parts of 3 seconds at least."""
+    near = "list_sort(list_transform(list_filter(ts, lambda t: abs(t - (pos + 15)) <= 1.5::DOUBLE), lambda t: {'d': abs(t - (pos + 15)), 't': t}))[1].t"
+    return f"""walk AS (SELECT id, video_id, a, e, ts, a AS pos, []::DOUBLE[] AS cuts, false AS done FROM {ranges}
+  UNION ALL SELECT id, video_id, a, e, ts, CASE WHEN stop THEN pos ELSE cut END, CASE WHEN stop THEN cuts ELSE list_append(cuts, cut) END, stop FROM (
+    SELECT *, e - pos <= 15.01::DOUBLE OR e - cut < 3 AS stop FROM (SELECT * EXCLUDE (found), CASE WHEN found - pos < 3 OR found >= e THEN least(pos + 15, e) ELSE found END AS cut FROM (SELECT *, COALESCE(nullif({near}, 0), pos + 15) AS found FROM walk WHERE NOT done)))),
+marks AS (SELECT id, video_id, a, e, len(cuts) AS n, list_concat([a], CASE WHEN len(cuts) > 0 AND e - cuts[-1] < 3 THEN cuts[:-2] ELSE cuts END, [e]) AS m FROM walk WHERE done),
+pieces AS (SELECT video_id, x, y FROM (SELECT video_id, CASE WHEN n = 0 THEN a ELSE round_even(m[i], 3) END AS x, CASE WHEN n = 0 THEN e ELSE round_even(m[i + 1], 3) END AS y FROM marks, LATERAL (SELECT unnest(range(1, len(m))) AS i) q) WHERE y - x >= 3)"""
+
+
+_SPLIT_SQL = f"""WITH RECURSIVE {_RANGES_SQL}, {_CUTS_SQL}, held AS (SELECT id, rg.video_id, a, e, COALESCE(ts, []) AS ts FROM rg LEFT JOIN ts USING (video_id)), {_walked('held')}
+SELECT video_id, x AS start, least(y, x + 15) AS "end" FROM pieces"""
+#: Pieces of a video in turn: one stays if it begins no more than half a second before the end of the last that stayed.
+_NORMAL_SQL = f"""WITH RECURSIVE {_RANGES_SQL}, {_CUTS_SQL}, ds AS (SELECT DISTINCT source_id AS video_id, (source_id % 70)::DOUBLE AS d FROM clips),
+held AS (SELECT id, video_id, a, e, COALESCE(ts, []) AS ts FROM (SELECT id, rg.video_id, greatest(0, least(a, d)) AS a, greatest(0, least(e, d)) AS e FROM rg JOIN ds USING (video_id) WHERE usable AND d > 0) c LEFT JOIN ts USING (video_id) WHERE e - a >= 3),
+{_walked('held')}, placed AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY x, y) AS r FROM pieces),
+kept AS (SELECT video_id, r, x, y, true AS stays, y AS until FROM placed WHERE r = 1
+  UNION ALL SELECT p.video_id, p.r, p.x, p.y, p.x >= k.until - 0.5::DOUBLE, CASE WHEN p.x >= k.until - 0.5::DOUBLE THEN p.y ELSE k.until END FROM kept k JOIN placed p ON p.video_id = k.video_id AND p.r = k.r + 1)
+SELECT video_id, x AS start, y AS "end" FROM kept WHERE stays QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY r) <= 12"""
+
 QUERIES = {
     "region_geometry": (lambda s, d: geometry.geometry(table(s, d, "regions")).select("clip_id", "frame", "area", "center_x", "center_y", "zone", "watermark"), f"WITH {GEO} SELECT clip_id, frame, area, center_x, center_y, zone, watermark FROM geo"),
     "frame_metrics": (lambda s, d: _frames(s, d).select(*_FRAME), f"WITH {GEO} SELECT {', '.join(_FRAME)} FROM fr"),
@@ -145,6 +169,6 @@ QUERIES = {
     "track_stats": (lambda s, d: _shown(_stats(s, d)).drop("total"), _STAT_SQL),
     "stable_tracks": (lambda s, d: tracks.stable(_stats(s, d)).select("clip_id", "track", "persistence", "vertical_jitter", "growth"), _TRACK_STATS + " SELECT clip_id, track, persistence, vertical_jitter, growth FROM steady"),
     "plan_masks": (_masks, _MASKED),
-    "split_segments": (_split, None),
-    "normalize_segments": (_normalized, None),
+    "split_segments": (_split, _SPLIT_SQL),
+    "normalize_segments": (_normalized, _NORMAL_SQL),
 }
