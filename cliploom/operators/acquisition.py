@@ -127,3 +127,57 @@ def yield_rows(flagged: DataFrame) -> DataFrame:
         F.count_if("known").alias("known_source"), F.count_if("processed").alias("already_processed"), F.count_if("represented").alias("already_represented"),
         count("accepted"), F.count_if("downloaded").alias("downloads"), F.sum("clips").alias("clips"),
     )
+
+
+def _named(values: dict, key: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[key]
+
+
+def previews(rows: DataFrame, least_relevance: float = 0.35, least_quality: float = 0.45) -> DataFrame:
+    """``rows`` with ``accepted``, ``reason``, ``subtitle_rejected``, ``failed`` and ``rule``, the one that decided.
+
+    The model's answer (``answered``, ``accept``, ``reject_reason``, ``material_visible``, ``relevance``, ``quality``,
+    ``complexity``) is judged in order: no frames, no answer (a failure to be tried again, no rejection), its own rejection, no
+    material, low quality. Then the measured class and cleanliness decide on text where there is a
+    measurement (``measured_class`` not null), by hard classes and the limit of the ``policy``; else the complexities
+    that the policy allows. An unknown policy is the strict one.
+    """
+    on = lambda c: F.coalesce(F.col(c), F.lit(False))
+    policy = F.when(F.col("policy").isin(*v.SCORE_LIMITS), F.col("policy")).otherwise("strict")
+    measured = F.col("measured_class").isNotNull()
+    score = F.bround(1.0 - F.col("cleanliness"), 3)
+    allowed = F.create_map(*[x for k, own in v.COMPLEXITIES.items() for x in (F.lit(k), F.array(*map(F.lit, own)))])[policy]
+    told = F.coalesce("reject_reason", F.lit("other"))
+    of_class = F.coalesce(_named(v.CLASS_REASONS, F.col("measured_class")), F.lit("subtitle_too_complex"))
+    rules = [
+        ("frames", F.col("frames") <= 0, F.lit("unusable_visual"), F.lit(False)), ("answer", ~on("answered"), F.lit("other"), F.lit(False)), ("model", ~on("accept"), told, told.isin(*v.SUBTITLE_REASONS)),
+        ("material", ~on("material_visible") | (F.col("relevance") < least_relevance), F.lit("no_material"), F.lit(False)), ("quality", F.col("quality") < least_quality, F.lit("low_quality"), F.lit(False)),
+        ("class", measured & F.col("measured_class").isin(*v.HARD_CLASSES), of_class, F.lit(True)), ("score", measured & (score > _named(v.SCORE_LIMITS, policy)), of_class, F.lit(True)),
+        ("complexity", ~measured & ~F.array_contains(allowed, F.coalesce("complexity", F.lit("unknown"))), F.lit("subtitle_too_complex"), F.lit(True)),
+    ]
+    found = F
+    for name, hit, reason, text in rules:
+        found = found.when(F.coalesce(hit, F.lit(False)), F.struct(reason.alias("reason"), text.alias("text"), F.lit(name).alias("rule")))
+    found = found.otherwise(F.struct(F.lit(None).cast("string").alias("reason"), F.lit(False).alias("text"), F.when(measured, "measurement").otherwise("policy").alias("rule")))
+    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns], found.alias("_f"))
+    shown = [F.col(f"`{c}`") for c in rows.columns if c != "_f"]
+    return rows.select(*shown, F.col("_f.reason").isNull().alias("accepted"), "_f.reason", F.col("_f.text").alias("subtitle_rejected"), (F.col("_f.rule") == "answer").alias("failed"), "_f.rule")
+
+
+def duration_routes(rows: DataFrame, low: float = 5.0, high: float = 300.0) -> DataFrame:
+    """``rows`` with ``ready``, ``reason`` and ``status`` after the probe of a source whose length was unknown.
+
+    Without a length the probe's ``state`` gives both; with one the source limits are tested, a limit of 0 being none.
+    """
+    reasons, statuses = ({k: x[i] for k, x in v.PROBE_STATES.items()} for i in (0, 1))
+    seconds = F.col("seconds")
+    outside = (F.lit(low > 0) & (seconds < low)) | (F.lit(high > 0) & (seconds > high))
+    reason = F.when(seconds.isNull(), F.coalesce(_named(reasons, F.col("state")), F.lit(v.OTHER_PROBE[0]))).when(outside, "duration_out_of_range")
+    status = F.when(seconds.isNull(), F.coalesce(_named(statuses, F.col("state")), F.lit(v.OTHER_PROBE[1]))).when(outside, "rejected")
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns], reason.isNull().alias("ready"), reason.alias("reason"), status.alias("status"))
+
+
+def stage_gate(clips: DataFrame) -> DataFrame:
+    """``clips`` with ``accepted`` and ``reason``: a clip of another stage than ``wanted_stage``, if any is wanted, is rejected."""
+    other = F.coalesce((F.col("wanted_stage") != "") & ~F.col("stage").eqNullSafe(F.col("wanted_stage")), F.lit(False))
+    return clips.select(*[F.col(f"`{c}`") for c in clips.columns], (~other).alias("accepted"), F.when(other, "target_stage_mismatch").alias("reason"))

@@ -18,23 +18,6 @@ def unrelated_title(title: Column, material: Column, off_topic: list[str]) -> Co
     return hit & ~shares
 
 
-def previews(answers: DataFrame, least_quality: float = 0.5, most_text: float = 0.35) -> DataFrame:
-    """Verdict on a preview answer; without an answer it is a failure to retry, not a rejection."""
-    verdict = (
-        F.when(F.col("frames") == 0, "failed:no_frames").when(F.col("accept").isNull(), "failed:no_verdict").when(~F.col("accept"), "rejected:model")
-        .when(~F.col("material_visible"), "rejected:no_material").when(F.col("quality") < least_quality, "rejected:low_quality")
-        .when(F.col("text_class").isin("dense_text", "promotional_overlay", "large_center_text"), "rejected:subtitle_class").when(F.col("text_score") > most_text, "rejected:subtitle_score")
-        .otherwise("accepted")
-    )
-    return answers.select("source_id", verdict.alias("verdict"))
-
-
-def duration_routes(rows: DataFrame, low: float, high: float) -> DataFrame:
-    """What to do with a probed source: states without a duration wait or fail, others meet the limits."""
-    route = F.when(F.col("state") == "unavailable", "failed").when(F.col("state") == "timeout", "discovered").when(F.col("seconds").isNull(), "discovered").when(F.col("seconds").between(low, high), "ready")
-    return rows.select("source_id", route.otherwise("rejected_duration").alias("route"))
-
-
 def frame_count(seconds: Column, bands=FRAME_BANDS, beyond: int = 12, floor: int = 3, ceiling: int = 12) -> Column:
     """Frames by the first band of duration that fits; an unknown duration takes the first band."""
     number = F.when(seconds.isNull() | (seconds <= 0), bands[0][1])

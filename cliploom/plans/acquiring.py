@@ -54,6 +54,11 @@ def _problems(s, d):
 def _orphans(s, d):
     return health.orphans(_rows(s, d, NAMED), _rows(s, d, OUTPUTS), _rows(s, d, THERE), "/lib")
 
+ANSWERS = f"""SELECT clip_id, clip_id % 31 AS frames, clip_id % 9 <> 0 AS answered, clip_id % 4 <> 0 AS accept, NULLIF({pick('clip_id % 1013', ['', 'too_many_stickers', 'low_quality', 'colored_text_block'])}, '') AS reject_reason, clip_id % 17 <> 0 AS material_visible,
+  material_score AS relevance, visual AS quality, {pick('clip_id % 1019', ['low', 'medium', 'high', 'unknown', ''])} AS complexity, CASE WHEN clip_id % 5 < 3 THEN subtitle_type END AS measured_class, cleanliness, {pick('clip_id % 1021', ['strict', 'balanced', 'loose', 'off', 'odd'])} AS policy FROM {{clips}}"""
+PROBED = f"SELECT source_id, {pick('source_id % 1009', ['invalid_media_source', 'media_unreachable', 'duration_unknown_unresolved', 'odd', ''])} AS state, CASE WHEN source_id % 3 > 0 THEN duration * 4 END AS seconds FROM {{sources}}"
+STAGED = f"SELECT clip_id, stage, {pick('task_id', ['drying', '', 'factory', 'loading'])} AS wanted_stage FROM {{clips}}"
+
 
 def _as_of():
     return F.lit(AS_OF).cast("timestamp")
@@ -140,6 +145,14 @@ _CLEANUPS = f"""{_folded('clip_id, version', '', '')}
 SELECT CAST(clip_id AS BIGINT) AS clip_id, version, cs[-1].status AS status, cs[-1].review_status AS review_status, cs[-1].eligible AS eligible, cs[-1].processing_ms AS processing_ms, cs[-1].output_path AS output_path,
   list_min(list_transform(list_filter(cs, lambda c: c.batch = cs[1].batch), lambda c: c.changed_at)) AS created_at, cs[-1].changed_at AS updated_at, cs[-1].seq AS updated_seq, cs[-1].batch AS batch_id FROM lists"""
 
+_CLASS = "CASE measured_class " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in v.CLASS_REASONS.items()) + " ELSE 'subtitle_too_complex' END"
+_LIMIT = "CASE policy " + " ".join(f"WHEN '{k}' THEN {x}::DOUBLE" for k, x in v.SCORE_LIMITS.items()) + f" ELSE {v.SCORE_LIMITS['strict']}::DOUBLE END"
+_PREVIEWED = f"""SELECT clip_id, rule IN ('measurement', 'policy') AS accepted, CASE rule WHEN 'frames' THEN 'unusable_visual' WHEN 'answer' THEN 'other' WHEN 'model' THEN COALESCE(reject_reason, 'other') WHEN 'material' THEN 'no_material' WHEN 'quality' THEN 'low_quality'
+  WHEN 'class' THEN {_CLASS} WHEN 'score' THEN {_CLASS} WHEN 'complexity' THEN 'subtitle_too_complex' END AS reason, rule IN ('class', 'score', 'complexity') OR rule = 'model' AND COALESCE(reject_reason IN {_in(v.SUBTITLE_REASONS)}, false) AS subtitle_rejected, rule = 'answer' AS failed, rule FROM (
+  SELECT *, CASE WHEN frames = 0 THEN 'frames' WHEN NOT answered THEN 'answer' WHEN NOT accept THEN 'model' WHEN NOT material_visible OR relevance < 0.35::DOUBLE THEN 'material' WHEN quality < 0.45::DOUBLE THEN 'quality' WHEN measured_class IN {_in(v.HARD_CLASSES)} THEN 'class'
+    WHEN measured_class IS NOT NULL THEN CASE WHEN round_even(1 - cleanliness, 3) > {_LIMIT} THEN 'score' ELSE 'measurement' END
+    WHEN complexity = 'low' OR complexity = 'medium' AND policy IN ('balanced', 'loose', 'off') OR complexity IN ('high', 'unknown') AND policy = 'off' THEN 'policy' ELSE 'complexity' END AS rule FROM t)"""
+
 QUERIES = {
     "acquisition_decision": (_decided, _twin({"stored": STORED, "found": FOUND}, f", {_DECIDED} SELECT hit_id, skip, why FROM e")),
     "candidate_filter": (_filtered, _twin({"stored": STORED, "found": FOUND}, f", {_DECIDED} {_FILTERED}")),
@@ -151,6 +164,13 @@ QUERIES = {
         _twin({"hits": HITS, "stored": STORED}, f""", {_FLAGGED} SELECT task_id, query, count(*) AS candidates, count(*) FILTER (NOT again) AS uniques, count(*) FILTER (again) AS current_run_duplicate, count(*) FILTER (new) AS new_to_system, count(*) FILTER (known) AS known_source,
   count(*) FILTER (processed) AS already_processed, count(*) FILTER (represented) AS already_represented, count(*) FILTER (accepted) AS accepted, count(*) FILTER (downloaded) AS downloads, CAST(sum(clips) AS BIGINT) AS clips FROM x GROUP BY 1, 2"""),
     ),
+    "preview_decision": (lambda s, d: acquisition.previews(_rows(s, d, ANSWERS)).select("clip_id", "accepted", "reason", "subtitle_rejected", "failed", "rule"), _twin({"t": ANSWERS}, _PREVIEWED)),
+    "duration_route": (
+        lambda s, d: acquisition.duration_routes(_rows(s, d, PROBED)).select("source_id", "ready", "reason", "status"),
+        _twin({"t": PROBED}, """SELECT source_id, seconds BETWEEN 5 AND 300 AND seconds IS NOT NULL AS ready, CASE WHEN seconds IS NULL THEN CASE state WHEN 'invalid_media_source' THEN state WHEN 'media_unreachable' THEN 'unreachable' ELSE 'duration_unknown_unresolved' END WHEN seconds NOT BETWEEN 5 AND 300 THEN 'duration_out_of_range' END AS reason,
+  CASE WHEN seconds IS NULL THEN CASE WHEN state IN ('invalid_media_source', 'media_unreachable', 'duration_unknown_unresolved') THEN 'failed_media' ELSE 'rejected' END WHEN seconds NOT BETWEEN 5 AND 300 THEN 'rejected' END AS status FROM t"""),
+    ),
+    "stage_target_gate": (lambda s, d: acquisition.stage_gate(_rows(s, d, STAGED)).select("clip_id", "accepted", "reason"), _twin({"t": STAGED}, "SELECT clip_id, wanted_stage IN ('', stage) AS accepted, CASE WHEN wanted_stage NOT IN ('', stage) THEN 'target_stage_mismatch' END AS reason FROM t")),
     "missing_files": (_problems, _twin({"n": NAMED, "o": OUTPUTS, "p": THERE}, f"""SELECT 'video' AS kind, clip_id, CASE clip_id % 7 WHEN 0 THEN concat('/other/', clip_id, '.mp4') WHEN 2 THEN NULL ELSE concat('/lib/', clip_id, '.mp4') END AS path,
   CASE WHEN clip_id % 7 IN (0, 2) THEN 'outside_root' ELSE 'missing_file' END AS reason FROM n WHERE clip_id % 7 IN (0, 2) OR clip_id % 4 = 1
   UNION ALL SELECT 'thumbnail', clip_id, CASE WHEN clip_id % 11 = 0 THEN '/thumb.jpg' ELSE thumbnail_path END, CASE WHEN clip_id % 11 = 0 THEN 'outside_root' ELSE 'missing_file' END FROM n WHERE clip_id % 3 <> 0 AND (clip_id % 11 = 0 OR thumbnail_path NOT IN (SELECT path FROM p))

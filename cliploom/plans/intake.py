@@ -146,5 +146,4 @@ QUERIES: dict[str, tuple[Callable, str | None]] = {
       t AS (SELECT DISTINCT source_id AS video_id, unnest([(clip_id % 3) * 20.0::DOUBLE, (clip_id % 3) * 20.0::DOUBLE + visual * 30]) AS t FROM clips),
       j AS (SELECT clip_id, s.video_id, a, b, max(CASE WHEN t <= a AND a - t <= 1.5::DOUBLE THEN t END) AS ta, min(CASE WHEN t >= b AND t - b <= 1.5::DOUBLE THEN t END) AS tb FROM s LEFT JOIN t USING (video_id) GROUP BY 1, 2, 3, 4)
       SELECT video_id, round_even(COALESCE(ta, a), 4) AS "start", round_even(COALESCE(tb, b), 4) AS "end", COALESCE(ta, a) <> a OR COALESCE(tb, b) <> b AS refined FROM j"""),
-    "stage_target_gate": (_on("clips")(lambda c: library.clip_filter(c, among={"stage": ["drying", "inside_dryer"]}).select("clip_id", "stage")), "SELECT clip_id, stage FROM clips WHERE stage IN ('drying', 'inside_dryer')"),
 }

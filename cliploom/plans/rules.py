@@ -8,25 +8,6 @@ from ..operators import rules
 from ..sources.adapters import library as table
 
 
-def _rows(spark, sf_dir):
-    s = table(spark, sf_dir, "sources")
-    return s.select(
-        "source_id", F.when(F.col("source_id") % 17 != 0, F.col("source_id")).alias("video_id"), F.when(F.col("source_id") % 19 == 0, "").otherwise(F.col("url")).alias("url"),
-        (F.col("source_id") % 7 == 0).alias("no_video"), (F.col("source_id") % 5 == 0).alias("seen_id"), (F.col("source_id") % 11 == 0).alias("known_url"),
-        F.when(F.col("source_id") % 3 != 0, F.col("duration")).alias("seconds"), F.when(F.col("source_id") % 4 == 0, "unavailable").when(F.col("source_id") % 4 == 1, "timeout").otherwise("ok").alias("state"),
-    )
-
-
-_ROWS = """r AS (SELECT source_id, CASE WHEN source_id % 17 <> 0 THEN source_id END AS video_id, CASE WHEN source_id % 19 = 0 THEN '' ELSE url END AS url, source_id % 7 = 0 AS no_video, source_id % 5 = 0 AS seen_id, source_id % 11 = 0 AS known_url,
- CASE WHEN source_id % 3 <> 0 THEN duration END AS seconds, CASE source_id % 4 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'timeout' ELSE 'ok' END AS state FROM sources)"""
-
-
-def _answers(spark, sf_dir):
-    c = table(spark, sf_dir, "clips")
-    accept = F.when(F.col("clip_id") % 9 != 0, F.col("clip_id") % 4 != 0)
-    return c.select(F.col("clip_id").alias("source_id"), (F.col("clip_id") % 6).alias("frames"), accept.alias("accept"), (F.col("clip_id") % 5 != 0).alias("material_visible"), F.col("visual").alias("quality"), F.col("subtitle_type").alias("text_class"), F.col("subtitle_score").alias("text_score"))
-
-
 def _tags(clips):
     return clips.select("clip_id", F.explode(F.array_distinct(F.split("roles", ","))).alias("tag"))
 
@@ -66,8 +47,6 @@ def _titles(spark, sf_dir):
 
 QUERIES = {
     "title_irrelevant": (_titles, "WITH m AS (SELECT p_partkey, p_name, CASE p_partkey % 3 WHEN 0 THEN 'ring' WHEN 1 THEN 'qz' ELSE 'xy' END AS material FROM part) SELECT p_partkey, (contains(p_name, 'red') OR contains(p_name, 'small') OR contains(p_name, 'blue')) AND NOT list_bool_or(list_transform(string_split(material, ''), lambda c: contains(p_name, c))) AS unrelated FROM m"),
-    "duration_route": (lambda s, d: rules.duration_routes(_rows(s, d), 5, 60), f"WITH {_ROWS} SELECT source_id, CASE WHEN state = 'unavailable' THEN 'failed' WHEN state = 'timeout' OR seconds IS NULL THEN 'discovered' WHEN seconds BETWEEN 5 AND 60 THEN 'ready' ELSE 'rejected_duration' END AS route FROM r"),
-    "preview_decision": (lambda s, d: rules.previews(_answers(s, d)), "SELECT clip_id AS source_id, CASE WHEN clip_id % 6 = 0 THEN 'failed:no_frames' WHEN clip_id % 9 = 0 THEN 'failed:no_verdict' WHEN clip_id % 4 = 0 THEN 'rejected:model' WHEN clip_id % 5 = 0 THEN 'rejected:no_material' WHEN visual < 0.5::DOUBLE THEN 'rejected:low_quality' WHEN subtitle_type IN ('dense_text', 'promotional_overlay', 'large_center_text') THEN 'rejected:subtitle_class' WHEN subtitle_score > 0.35::DOUBLE THEN 'rejected:subtitle_score' ELSE 'accepted' END AS verdict FROM clips"),
     "retag_clips": (_retagged, f"WITH {_TAG_SQL} SELECT clip_id, tag FROM t WHERE clip_id % 3 <> 0 UNION ALL SELECT clip_id, 'new' FROM clips WHERE clip_id % 3 = 0"),
     "remove_clips": (_removed, f"WITH {_TAG_SQL} SELECT clip_id, tag FROM t WHERE clip_id % 4 <> 0"),
     "link_runs": (_linked, "WITH f AS (SELECT source_id, min(clip_id) AS c FROM clips GROUP BY 1) SELECT run_id, source_id, CASE WHEN run_id % 2 = 0 THEN run_id ELSE c END AS clip_id FROM ai_runs LEFT JOIN f USING (source_id)"),

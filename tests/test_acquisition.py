@@ -89,3 +89,28 @@ def test_flags_and_counters(spark):
     assert got == {0: (False, False, True, True, True), 1: (True, False, True, True, True), 2: (False, False, True, False, False), 3: (False, False, True, True, False), 4: (False, True, False, False, False), 9: (False, False, True, True, True)}
     row = acquisition.yield_rows(flagged).filter("task_id = 1").first()
     assert tuple(row)[2:] == (5, 4, 1, 1, 4, 3, 2, 3, 1, 4)
+
+
+def test_previews_by_hand(spark):
+    """The order of rules, measured text over the model's word, limits of each policy."""
+    names = ["frames", "answered", "accept", "reject_reason", "material_visible", "relevance", "quality", "complexity", "measured_class", "cleanliness", "policy"]
+    schema = "frames int, answered boolean, accept boolean, reject_reason string, material_visible boolean, relevance double, quality double, complexity string, measured_class string, cleanliness double, policy string, i long"
+    base = dict(zip(names, (3, True, True, None, True, 0.9, 0.9, "low", None, None, "strict")))
+    cases = [
+        ({}, True, None, False, "policy"), ({"frames": 0, "answered": False}, False, "unusable_visual", False, "frames"), ({"answered": None, "accept": None}, False, "other", False, "answer"),
+        ({"accept": False, "reject_reason": "too_many_stickers"}, False, "too_many_stickers", True, "model"), ({"accept": False}, False, "other", False, "model"), ({"material_visible": False}, False, "no_material", False, "material"), ({"relevance": 0.34}, False, "no_material", False, "material"),
+        ({"quality": 0.44, "measured_class": "complex"}, False, "low_quality", False, "quality"), ({"measured_class": "dense_text", "cleanliness": 1.0, "policy": "off"}, False, "multi_region_subtitle", True, "class"), ({"measured_class": "promotional_overlay"}, False, "colored_text_block", True, "class"),
+        ({"measured_class": "single_region", "cleanliness": 0.64}, False, "subtitle_too_complex", True, "score"), ({"measured_class": "single_region", "cleanliness": 0.65}, True, None, False, "measurement"), ({"measured_class": "none", "cleanliness": 0.5, "policy": "balanced", "complexity": "high"}, True, None, False, "measurement"),
+        ({"complexity": "medium"}, False, "subtitle_too_complex", True, "complexity"), ({"complexity": "medium", "policy": "loose"}, True, None, False, "policy"), ({"complexity": None, "policy": "off"}, True, None, False, "policy"), ({"complexity": "high", "policy": "loose"}, False, "subtitle_too_complex", True, "complexity"),
+    ]
+    rows = [tuple({**base, **more}[n] for n in names) + (i,) for i, (more, *_) in enumerate(cases)]
+    got = {r.i: (r.accepted, r.reason, r.subtitle_rejected, r.rule) for r in acquisition.previews(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {i: tuple(c[1:]) for i, c in enumerate(cases)}
+
+
+def test_lengths_and_stages_by_hand(spark):
+    cases = [("media_unreachable", None, "unreachable", "failed_media"), ("invalid_media_source", None, "invalid_media_source", "failed_media"), ("duration_unknown_unresolved", None, "duration_unknown_unresolved", "failed_media"), (None, None, "duration_unknown_unresolved", "rejected"), ("ok", 4.9, "duration_out_of_range", "rejected"), ("ok", 5.0, None, None), ("ok", 300.1, "duration_out_of_range", "rejected")]
+    got = acquisition.duration_routes(spark.createDataFrame([(s, x) for s, x, *_ in cases], "state string, seconds double")).collect()
+    assert [(r.reason, r.status) for r in got] == [c[2:] for c in cases] and [r.ready for r in got] == [c[2] is None for c in cases]
+    rows = spark.createDataFrame([("drying", "drying"), ("drying", ""), ("drying", None), ("other", "drying"), (None, "drying")], "stage string, wanted_stage string")
+    assert [r.accepted for r in acquisition.stage_gate(rows).collect()] == [True, True, True, False, False]
