@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import round_even
+
 # ---- fixed values ----
 SAMPLES, SAMPLE_FPS = 240, 2.0
 LEAST_CONFIDENCE, LEAST_IOU, MOST_DISTANCE = 0.30, 0.20, 0.10
@@ -34,9 +36,9 @@ def _score(box: Column, last: Column) -> Column:
     wide = F.least(box["x2"], last["x2"]) - F.greatest(box["x1"], last["x1"])
     tall = F.least(box["y2"], last["y2"]) - F.greatest(box["y1"], last["y1"])
     union = box["area"] + last["area"] - wide * tall
-    overlap = F.when((wide > 0) & (tall > 0) & (union > 0), F.bround(wide * tall / union, 4)).otherwise(0.0)
+    overlap = F.when((wide > 0) & (tall > 0) & (union > 0), round_even(wide * tall / union, 4)).otherwise(0.0)
     across, down = box["cx"] - last["cx"], box["cy"] - last["cy"]
-    far = F.bround(F.sqrt(across * across + down * down), 4)
+    far = round_even(F.sqrt(across * across + down * down), 4)
     near = (F.abs(down) <= MOST_DISTANCE) & (far <= MOST_DISTANCE * 1.6)
     fits = F.when(overlap >= LEAST_IOU, 1.0 + overlap).when(near, 0.5 + F.greatest(F.lit(0.0), 1.0 - far))
     return F.when(last["t"] != box["t"], fits)
@@ -52,9 +54,9 @@ def tracks(boxes: DataFrame) -> DataFrame:
     have = set(boxes.columns)
     text = F.col("text") if "text" in have else F.lit(None).cast("string")
     rows = boxes.filter(F.col("confidence") >= LEAST_CONFIDENCE) if "confidence" in have else boxes
-    side = lambda a, b: F.bround(F.greatest(F.lit(0.0), F.col(b) - F.col(a)), 4)
-    middle = lambda a, b: F.bround((F.col(a) + F.col(b)) / 2, 4)
-    sized = rows.select("clip_id", F.bround("t", 3).alias("t"), "x1", "y1", "x2", "y2", F.bround(side("x1", "x2") * side("y1", "y2"), 5).alias("area"), middle("x1", "x2").alias("cx"), middle("y1", "y2").alias("cy"), text.alias("text"))
+    side = lambda a, b: round_even(F.greatest(F.lit(0.0), F.col(b) - F.col(a)), 4)
+    middle = lambda a, b: round_even((F.col(a) + F.col(b)) / 2, 4)
+    sized = rows.select("clip_id", round_even("t", 3).alias("t"), "x1", "y1", "x2", "y2", round_even(side("x1", "x2") * side("y1", "y2"), 5).alias("area"), middle("x1", "x2").alias("cx"), middle("y1", "y2").alias("cy"), text.alias("text"))
     clips = sized.groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct(*_BOX))).alias("boxes"))
 
     def step(state: Column, box: Column) -> Column:
@@ -88,7 +90,7 @@ def stats(tracked: DataFrame, samples: int | None = None) -> DataFrame:
     jitter around the median centre, growth of the union, active intervals, first texts, and ``place`` by persistence and union."""
     names = ("x1", "y1", "x2", "y2")
     of = lambda name: F.sort_array(F.collect_set(name))
-    middle = lambda a, b: F.bround((F.col(a) + F.col(b)) / 2, 4)
+    middle = lambda a, b: round_even((F.col(a) + F.col(b)) / 2, 4)
     rows = tracked.select("clip_id", "track", "t", *names, "text", middle("x1", "x2").alias("cx"), middle("y1", "y2").alias("cy"))
     spoken = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("t", "x1", "y1", F.trim("text").alias("text")))), lambda b: b["text"]), lambda x: x.isNotNull() & (x != ""))
     by = rows.groupBy("clip_id", "track").agg(
@@ -100,14 +102,14 @@ def stats(tracked: DataFrame, samples: int | None = None) -> DataFrame:
     else:
         by = by.withColumn("total", F.lit(max(1, samples)))
     mx, my = (F.col("m_x1") + F.col("m_x2")) / 2, (F.col("m_y1") + F.col("m_y2")) / 2
-    most = lambda f: F.bround(F.array_max(F.transform("centres", f)), 5)
+    most = lambda f: round_even(F.array_max(F.transform("centres", f)), 5)
     area = lambda p: (F.col(f"{p}x2") - F.col(f"{p}x1")) * (F.col(f"{p}y2") - F.col(f"{p}y1"))
     median, union = F.greatest(F.lit(1e-9), area("m_")), F.greatest(F.lit(0.0), area(""))
     shown = by.select(
-        "clip_id", "track", F.size("times").alias("sample_count"), "total", F.bround(F.least(F.lit(1.0), F.size("times") / F.col("total")), 4).alias("persistence"),
-        F.array_min("times").alias("first_seen"), F.array_max("times").alias("last_seen"), *[F.bround(f"m_{c}", 5).alias(f"median_{c}") for c in names], *[F.bround(c, 5).alias(c) for c in names],
+        "clip_id", "track", F.size("times").alias("sample_count"), "total", round_even(F.least(F.lit(1.0), F.size("times") / F.col("total")), 4).alias("persistence"),
+        F.array_min("times").alias("first_seen"), F.array_max("times").alias("last_seen"), *[round_even(f"m_{c}", 5).alias(f"median_{c}") for c in names], *[round_even(c, 5).alias(c) for c in names],
         most(lambda p: F.abs(p["cy"] - my)).alias("vertical_jitter"), most(lambda p: F.sqrt((p["cx"] - mx) * (p["cx"] - mx) + (p["cy"] - my) * (p["cy"] - my))).alias("center_jitter"),
-        F.bround(F.greatest(F.lit(0.0), union / median - 1), 4).alias("growth"), F.bround(median, 5).alias("median_area"), F.bround(union, 5).alias("union_area"), intervals(F.col("times")).alias("intervals"), "texts",
+        round_even(F.greatest(F.lit(0.0), union / median - 1), 4).alias("growth"), round_even(median, 5).alias("median_area"), round_even(union, 5).alias("union_area"), intervals(F.col("times")).alias("intervals"), "texts",
     )
     order = Window.partitionBy("clip_id").orderBy(F.desc("persistence"), F.desc("union_area"), "track")
     return shown.withColumn("place", F.row_number().over(order))
@@ -131,16 +133,16 @@ def masks(steady: DataFrame, clips: DataFrame, guards: dict[str, float] = MASK)
     """
     rows = steady.join(clips.select("clip_id", "width", "height").distinct(), "clip_id")
     margin = lambda c: F.greatest(F.lit(guards["margin"]), guards["pixels"] / F.greatest(F.lit(1), c))
-    inside = lambda v: F.bround(F.greatest(F.lit(0.0), F.least(v, F.lit(1.0))), 5)
+    inside = lambda v: round_even(F.greatest(F.lit(0.0), F.least(v, F.lit(1.0))), 5)
     across, down = margin("width"), margin("height")
     boxes = rows.select("clip_id", "track", "place", inside(F.col("x1") - across).alias("x1"), inside(F.col("y1") - down).alias("y1"), inside(F.col("x2") + across).alias("x2"), inside(F.col("y2") + down).alias("y2"), "persistence", "intervals")
-    wide, tall = F.bround(F.col("x2") - F.col("x1"), 5), F.bround(F.col("y2") - F.col("y1"), 5)
-    sized = boxes.withColumn("area", F.bround(wide * tall, 5))
+    wide, tall = round_even(F.col("x2") - F.col("x1"), 5), round_even(F.col("y2") - F.col("y1"), 5)
+    sized = boxes.withColumn("area", round_even(wide * tall, 5))
     safe = (wide > 0) & (tall > 0) & (wide <= guards["width"]) & (tall <= guards["height"]) & (F.col("area") <= guards["area"])
     item = F.struct((-F.col("area")).alias("o"), "place", "track", "x1", "y1", "x2", "y2", "area", "persistence", "intervals")
     best = sized.groupBy("clip_id").agg(F.slice(F.array_sort(F.array_compact(F.collect_list(F.when(safe, item)))), 1, int(guards["count"])).alias("m"))
     joined = clips.select("clip_id").distinct().join(best, "clip_id", "left")
-    total = F.bround(F.aggregate("m", F.lit(0.0), lambda a, x: a + x["area"]), 5)
+    total = round_even(F.aggregate("m", F.lit(0.0), lambda a, x: a + x["area"]), 5)
     reason = F.when(F.col("m").isNull(), "no_stable_subtitle_track").when(F.size("m") == 0, "mask_geometry_guard").when(total > guards["total"], "mask_total_area_guard")
     shown = joined.withColumn("reason", reason).select("clip_id", "reason", F.explode_outer(F.when(reason.isNull(), F.col("m"))).alias("m"))
     return shown.select("clip_id", "m.track", "m.x1", "m.y1", "m.x2", "m.y2", "m.area", "m.persistence", "m.intervals", "reason")
