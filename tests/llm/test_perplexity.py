@@ -135,3 +135,20 @@ def test_words_of_one_colliding_sum_differ():
         word += word.translate({97: "b", 98: "a"})
     words = common.Words(pa.array([word, word.translate({97: "b", 98: "a"})]))
     assert len(set(words.hash.tolist())) == 2 and len(set(words.check.tolist())) == 2
+
+
+@pytest.mark.parametrize("held", [0, 40, 700])
+def test_no_ngram_is_left_out_of_a_small_memory(spark, tmp_path, monkeypatch, held):
+    """With few or no n-grams in memory the others are joined: the same perplexities, bands and verdicts."""
+    folder = written(spark, rows()[:60] + awkward(), tmp_path)
+    want = sorted(map(tuple, perplexity.op12_perplexity(spark, folder).collect()), key=repr)
+    monkeypatch.setattr(perplexity, "ENTRIES", held)
+    got = sorted(map(tuple, perplexity.op12_perplexity(spark, folder).collect()), key=repr)
+    assert [r[:8] for r in got] == [r[:8] for r in want]
+    for a, b in zip(got, want, strict=True):
+        assert [x for x in a[8:] if x is not None] == pytest.approx([x for x in b[8:] if x is not None], rel=1e-6) and a.count(None) == b.count(None)
+
+
+def test_least_held_count(spark):
+    level = spark.createDataFrame([(0, i, c) for i, c in enumerate([900, 900, 40, 7, 7, 1])], "m int, gram long, c long")
+    assert [perplexity.least_held(level, n) for n in (1, 2, 4, 5, 6)] == [(None, False), (900, False), (40, False), (7, False), (1, True)]
