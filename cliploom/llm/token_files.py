@@ -56,7 +56,7 @@ def write(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int) ->
     scratch = common.Scratch(spark, "rans")
 
     def narrow(batches):
-        for part, flat, count in tokens.token_batches(batches, vocabulary, end_id):
+        for part, flat, count in tokens.token_batches(batches, vocabulary, end_id, keep=True):
             if len(flat) and int(flat.max()) >= 1 << 16:
                 raise ValueError("ids of 16 bits hold vocabularies of up to 65,536 entries")
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), common.blobs(flat.astype("<u2"), count)], ["doc_id", "ids"])

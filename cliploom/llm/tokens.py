@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,10 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: Segments and ids kept per worker; beyond either the memory starts afresh.
+#: Segments and ids kept per worker; beyond either the memory starts afresh. The second figures are those of
+#: a worker that keeps its memory from task to task, about 270 MB.
 MEMORY, MEMORY_IDS = 400_000, 1 << 21
+KEPT, KEPT_IDS = 1_000_000, 1 << 22
 #: Text bytes that are encoded in one go.
 PIECE = 3 << 20
 #: Letters of one character in every normal form and either case, after at most one blank; and
@@ -72,6 +75,7 @@ class SegmentTokenizer:
         self.tokenizer.encode_special_tokens = special_as_text
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None
+        self.most, self.most_ids = MEMORY, MEMORY_IDS
         self._clear()
 
     def _clear(self) -> None:
@@ -87,8 +91,6 @@ class SegmentTokenizer:
 
     def _letters(self, text: str) -> bytes:
         """Ids of letters after at most one blank: a single pre-token, in the spelling of the byte level."""
-        if self.lower:
-            text = text.lstrip(" ").lower()
         spelled = text.replace(" ", "Ġ") if text.isascii() else text.encode().decode("latin-1").translate(_SPELLED)
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
@@ -110,6 +112,8 @@ class SegmentTokenizer:
                 rest.append((i, text))
                 continue
             line, letters, marks = m.groups()
+            if self.lower:  # one part for a word in either case, after a blank or not
+                letters = letters.lstrip(" ").lower()
             ids = self._part(letters)
             if line:
                 ids = self._part(line) + ids
@@ -137,14 +141,16 @@ class SegmentTokenizer:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows one after another, and their number for each row."""
-        if max(len(self.known), len(self.parts)) > MEMORY or self.used > MEMORY_IDS:
+        if max(len(self.known), len(self.parts)) > self.most or self.used > self.most_ids:
             self._clear()
         data, offsets = common.utf8(column)
         start = segments(data, offsets)
         bounds = np.append(start, len(data)).astype(np.int64)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pieces.dictionary_encode()
-        raws = coded.dictionary.to_pylist()
+        found, places = common.utf8(coded.dictionary)
+        held = found.tobytes()
+        raws = [held[a:b] for a, b in pairwise(places.tolist())]
         at = [self.known.get(raw, -1) for raw in raws]
         new = [i for i, k in enumerate(at) if k < 0]
         if new:
@@ -174,16 +180,21 @@ def tokenizer(path: str, special_as_text: bool = False) -> SegmentTokenizer:
 
 
 def token_batches(
-    batches: Iterator[pa.RecordBatch], path: str, end_id: int, special_as_text: bool = False
+    batches: Iterator[pa.RecordBatch], path: str, end_id: int, special_as_text: bool = False, keep: bool = False
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the input with their ids; every document's ids close with ``end_id``."""
+    """Slices of the input with their ids; every document's ids close with ``end_id``.
+
+    With ``keep`` the worker still knows its segments in its next task, for more memory.
+    """
     own = tokenizer(path, special_as_text)
+    own.most, own.most_ids = (KEPT, KEPT_IDS) if keep else (MEMORY, MEMORY_IDS)
     for batch in batches:
         for part in common.pieces(batch, "text", PIECE):
             flat, count = own.encode(part.column("text"))
             ends = np.cumsum(count)
             yield part, np.insert(flat, ends, np.uint32(end_id)), count + 1
-    own._clear()  # an idle worker remembers no segments
+    if not keep:
+        own._clear()  # an idle worker remembers no segments
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:

@@ -127,3 +127,30 @@ def test_places_stay_within_their_bound(capacity):
         rows = packing.slots(packing.combinations(counts, capacity))
         assert sum(high - low for _, low, high, *_ in rows) == sum(counts.values())
         assert len(rows) <= packing.most_places(capacity)
+
+
+def test_a_word_is_learnt_once(monkeypatch):
+    """One part for a word in either case, after a blank or a line end and before marks; and none again in the worker's next task."""
+    path, asked = public_tokenizers.path("word_bpe_49k.json"), []
+    monkeypatch.setattr(tokens, "_CACHE", {})
+    own = tokens.tokenizer(path)
+    plain_letters = own._letters
+    monkeypatch.setattr(own, "_letters", lambda text: asked.append(text) or plain_letters(text))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["Word word. the\nWORD!", "wOrd THE"])], ["doc_id", "text"])
+    for _ in range(2):
+        ((_, flat, count),) = tokens.token_batches([batch], path, 2, keep=True)
+        want = [[*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 2] for t in batch.column("text").to_pylist()]
+        assert [x.tolist() for x in np.split(flat, np.cumsum(count)[:-1])] == want
+    assert sorted(asked) == ["the", "word"]
+
+
+def test_a_kept_memory_is_bounded(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(tokens, "_CACHE", {})
+    monkeypatch.setattr(tokens, "KEPT", 50)
+    for i in range(5):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(chr(97 + i) * (k + 1) for k in range(30))])], ["doc_id", "text"])
+        list(tokens.token_batches([batch], path, 2, keep=True))
+        assert len(tokens.tokenizer(path).known) <= 80
+    list(tokens.token_batches([batch], path, 2))
+    assert not tokens.tokenizer(path).known
